@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity
 from .frames import read
 
 
@@ -39,8 +39,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op6_substring_dedup, op7_bpe, op8_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op6_substring_dedup, op7_bpe, op8_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
