@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, fingerprint, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity
 from .frames import read
 
 
@@ -26,6 +26,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op6_substring_dedup, op7_bpe, op8_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_fingerprint, op6_substring_dedup, op7_bpe, op8_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
