@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, fingerprint, html_text, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity
 from .frames import read
 
 
@@ -30,6 +30,10 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_fingerprint, op6_substring_dedup, op7_bpe, op8_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_fingerprint, op4_html_text, op6_substring_dedup, op7_bpe, op8_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
