@@ -260,6 +260,21 @@ def _search(percent: int):
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    return classes_of(df, id_col, text_col, size, percent, block).select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which each component keeps the one of the smallest identifier; texts without words all stay."""
+    classed = classes_of(df, id_col, text_col)
+    empty = F.col("size") == 0
+    stay = classed.where(empty).select("did", "tag", "size").unionByName(classed.where(~empty).select(F.col("least.did").alias("did"), F.col("least.tag").alias("tag"), F.lit(1).cast("long").alias("size"))).distinct()
+    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"), F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"))
+    kept = tagged.join(stay, ["did", "tag"]).withColumn("own", F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return kept.dropDuplicates(["did", "tag", "own"]).select("row.*")
+
+
+def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, did, tag and size of every document, and ``least``: doc_id, did and tag of the first document of its component."""
     p = partitions(df.sparkSession)
     docs = keyed(df, id_col, text_col)
     every = checkpoint(profiles(docs, size, percent))
@@ -298,6 +313,6 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     more = checkpoint(verified(pairs, texts, size, percent))
 
     final = components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-    classed = every.select("doc_id", "sid", "size").join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "size", F.coalesce("label", "sid").alias("class"))
-    least = classed.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return classed.join(least, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    classed = every.select("doc_id", "did", "tag", "sid", "size").join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "did", "tag", "size", F.coalesce("label", "sid").alias("class"))
+    least = classed.where("size > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "did", "tag")).alias("least"))
+    return classed.join(least, "class", "left").select("doc_id", "did", "tag", "size", "least")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html_text, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, decontamination, fingerprint, html_text, jaccard_join, licences, quality, substring_dedup, suffix_dedup, toxicity
 from .frames import read
 
 
@@ -34,6 +34,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read(spark, sf_dir, "pages"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"))
 
@@ -47,13 +51,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_suffix_dedup, op2_quality_classifier, op3_fingerprint, op4_html_text, op5_licence_scan,
+    op6_substring_dedup, op7_bpe, op8_toxicity, op9_decontamination, op10_jaccard_join,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_fingerprint, op4_html_text, op6_substring_dedup, op7_bpe, op8_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the operator; the others are tested against brute force, round trips or held-out labels."""
+    return {"op5_licence_scan": licences.oracle_sql(), "op9_decontamination": decontamination.oracle_sql()}
