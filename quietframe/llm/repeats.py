@@ -268,13 +268,19 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def covered(docs: DataFrame, kind: Kind, resolver: Resolver, hot: int = HOT) -> DataFrame:
-    """did, tag and the spans of tokens covered by windows that occur elsewhere too; ``docs`` comes from ``keyed``."""
+    """did, tag and the spans of tokens covered by windows that occur elsewhere too.
+
+    ``docs`` has did, tag and text (``keyed``) and any columns the caller needs
+    later: all of them go through the join that finds the contexts, so that a
+    later join of the same ``docs`` with the spans reuses its exchange and the
+    texts are shuffled once.
+    """
     p = partitions(docs.sparkSession)
     texts = docs.select("did", "tag", "text")
     repeated = docs.select("text").mapInArrow(_keys(kind), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
     places = texts.mapInArrow(_places(kind), "key long, did long, tag int")
     wanted = places.join(repeated, "key").groupBy("did", "tag").agg(F.collect_list(F.struct("key", "hot")).alias("keys"))
-    contexts = texts.join(wanted, ["did", "tag"]).select("did", "tag", "text", "keys").mapInArrow(_contexts(kind), ROWS)
+    contexts = docs.join(wanted, ["did", "tag"]).mapInArrow(_contexts(kind), ROWS)
     found = contexts.repartition(p, "key").sortWithinPartitions("key").mapInArrow(_resolve(kind, resolver), "did long, tag int, first long, last long")
     return found.groupBy("did", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 

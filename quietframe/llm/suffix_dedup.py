@@ -107,25 +107,24 @@ def rewrite(df: DataFrame, n: int = N, text_col: str = "text", id_col: str = "do
     A span is narrowed to whole characters, so that the text stays valid; a
     column ``n_chars``, if there is one, follows the text.
     """
-    docs = repeats.keyed(df, id_col, text_col)
-    spans = repeats.covered(docs, kind(n), resolve)
-
     def cut(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column("_text"))
+            data, offsets = text_buffers(batch.column("text"))
             texts = []
-            for i, (first, last) in enumerate(zip(batch.column("_first").to_pylist(), batch.column("_last").to_pylist())):
+            for i, (first, last) in enumerate(zip(batch.column("first").to_pylist(), batch.column("last").to_pylist())):
                 own = data[offsets[i] : offsets[i + 1]]
                 gone = repeats.cover(len(own), first, last)
                 lead = np.flatnonzero((own & 0xC0) != 0x80)
                 whole = np.logical_and.reduceat(gone, lead) if len(lead) else gone
                 keep = np.repeat(~whole, np.diff(np.append(lead, len(own)))) if len(lead) else ~gone
                 texts.append(own[keep].tobytes().decode("utf-8", "replace"))
-            yield batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(texts, pa.string()))
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    named = [c for c in df.columns]
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in named]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"), F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    joined = packed.withColumn("_row", F.col("_row").dropFields(text_col)).join(spans, ["did", "tag"], "left").select("_row", "_text", F.transform("spans", lambda s: s["first"]).alias("_first"), F.transform("spans", lambda s: s["last"]).alias("_last"))
+    named = list(df.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in named if c not in (text_col, "n_chars")])
+    docs = df.select(rest.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"), F.hash(text).alias("tag"), text.alias("text"))
+    joined = docs.join(repeats.covered(docs, kind(n), resolve), ["did", "tag"], "left").select("row", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["last"]).alias("last"))
     out = joined.mapInArrow(cut, joined.schema)
-    fresh = {text_col: F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[(fresh[c] if c in fresh else F.col("_row")[c]).alias(c) for c in named])
+    fresh = {text_col: F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[(fresh[c] if c in fresh else F.col("row")[c]).alias(c) for c in named])
