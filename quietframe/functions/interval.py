@@ -115,7 +115,7 @@ class Interval:
     def __abs__(self):
         if self.low >= 0:
             return self
-        return -self if self.high <= 0 else Interval._make(Decimal(0), max(-self.low, self.high))
+        return -self if self.high <= 0 else Interval._make(Decimal(0), max(self.low.copy_negate(), self.high))
 
     def sign(self) -> int | None:
         """1, 0 or -1, or None if it is not certain."""
@@ -204,7 +204,7 @@ def erf(x: Interval) -> Interval:
 
     def at(v: Decimal) -> Interval:
         if v < 0:
-            return -at(-v)
+            return -at(v.copy_negate())
         if float(v) ** 2 > 2.31 * (_digits + 5):  # 1 - erf(v) <= exp(-v*v)
             return Interval._make((1 - (-(Interval(v).square())).exp()).low, Decimal(1))
         near = _around(_erf_near(v), Decimal(10) ** -_digits)
@@ -225,7 +225,7 @@ def _erfinv_end(p: Decimal, above: bool) -> Interval:
     if p == 0:
         return Interval(0)
     if p < 0:
-        return -_erfinv_end(-p, not above)
+        return -_erfinv_end(p.copy_negate(), not above)
     with localcontext(Context(prec=_digits + 15, Emax=10**12, Emin=-(10**12), traps=[])):
         q = float(p)
         start = NormalDist().inv_cdf((1 + q) / 2) / math.sqrt(2) if q < 1 - 1e-9 else math.sqrt(-float((1 - p).ln()))
