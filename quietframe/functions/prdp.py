@@ -42,9 +42,9 @@ def phi_inverse(p: Interval) -> Interval:
 
 
 def square_root_gaussian_inverse_cdf(p: Interval, sigma: float) -> Interval:
-    """Inverse distribution function of the density proportional to exp(-sqrt(|x|) / sigma).
+    """Inverse distribution function of the density proportional to exp(-sqrt(|x| / sigma)).
 
-    With t = sqrt(|x|) / sigma the tail beyond |x| is (1 + t) exp(-t) / 2, which the
+    With t = sqrt(|x| / sigma) the tail beyond |x| is (1 + t) exp(-t) / 2, which the
     lower branch of Lambert's function inverts; here by bisection on intervals.
     """
     d = p - Interval(Decimal("0.5"))
@@ -69,7 +69,7 @@ def square_root_gaussian_inverse_cdf(p: Interval, sigma: float) -> Interval:
             return Interval(low, high)
 
     t = at(tail.low).union(at(tail.high))
-    return Interval(side) * (t * Decimal(sigma)).square()
+    return Interval(side) * t.square() * Decimal(sigma)
 
 
 def square_root_gaussian_mechanism(sigma: float) -> float:
@@ -78,22 +78,21 @@ def square_root_gaussian_mechanism(sigma: float) -> float:
 
 
 def exponential_polylogarithmic_inverse_cdf(p: Interval, d: float, a: float, sigma: float) -> Interval:
-    """Inverse distribution function of the density proportional to exp(-(ln(|x| + a) / sigma)**2 / 2 ) for d = 2.
+    """Inverse distribution function of the density proportional to exp(-d * ln(|x| / sigma + a)**2).
 
-    In y = ln(|x| + a) the density is that of a normal variable with mean sigma**2,
-    cut below ln(a), so its inverse is the normal one on the upper part.
+    y = ln(|x| / sigma + a) has the density of a normal variable of mean and
+    variance 1 / (2 d), cut below ln(a), so its inverse is the normal one on what
+    is left.
     """
-    if d != 2:
-        raise NotImplementedError("Only the quadratic exponent has a closed inverse.")
-    side_of = p - Interval(Decimal("0.5"))
-    side = side_of.sign()
+    off = p - Interval(Decimal("0.5"))
+    side = off.sign()
     if side is None:
         raise ValueError("The side of the median is not certain.")
-    share = 2 * abs(side_of)
-    s, shift = Interval(Decimal(sigma)), Interval(Decimal(a))
-    start = phi(shift.ln() / s - s)
-    y = phi_inverse(start + (1 - start) * share) * s + s.square()
-    return Interval(side) * (y.exp() - shift)
+    variance, shift = 1 / (2 * Interval(Decimal(d))), Interval(Decimal(a))
+    deviation = variance.sqrt()
+    below = phi((shift.ln() - variance) / deviation)
+    y = phi_inverse(below + (1 - below) * (2 * abs(off))) * deviation + variance
+    return Interval(side) * (y.exp() - shift) * Decimal(sigma)
 
 
 def exponential_polylogarithmic_mechanism(d: float, a: float, sigma: float, step_size: int = 63) -> float:

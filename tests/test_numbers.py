@@ -113,8 +113,11 @@ def test_continuous():
     assert ks([samplers.laplace(1.0, 2.0) for _ in range(1500)], lambda v: 0.5 * math.exp((v - 1) / 2) if v < 1 else 1 - 0.5 * math.exp(-(v - 1) / 2)) < 2.6
     assert ks([samplers.gaussian(4.0, 1) for _ in range(1000)], lambda v: 0.5 * (1 + math.erf((v - 1) / math.sqrt(8)))) < 2.6
     assert ks([samplers.uniform(-1.0, 3.0) for _ in range(1000)], lambda v: (v + 1) / 4) < 2.6
-    s = 1.0
-    assert ks([prdp.square_root_gaussian_mechanism(s) for _ in range(200)], lambda v: 0.5 + math.copysign(0.5 * (1 - (1 + math.sqrt(abs(v)) / s) * math.exp(-math.sqrt(abs(v)) / s)), v)) < 2.6
+    root = lambda v: math.sqrt(abs(v) / 3)
+    assert ks([prdp.square_root_gaussian_mechanism(3.0) for _ in range(200)], lambda v: 0.5 + math.copysign(0.5 * (1 - (1 + root(v)) * math.exp(-root(v))), v)) < 2.6
+    grid = np.exp(np.linspace(math.log(1.5), 12, 40001)) - 1.5
+    mass = np.concatenate([[0], np.cumsum(np.exp(-2 * np.log((grid[1:] + grid[:-1]) / 2 + 1.5) ** 2) * np.diff(grid))])
+    assert ks([prdp.exponential_polylogarithmic_mechanism(2.0, 1.5, 3.0) for _ in range(400)], lambda v: 0.5 + math.copysign(0.5 * np.interp(abs(v) / 3, grid, mass / mass[-1]), v)) < 2.6
     assert samplers.uniform(2.0, 2.0) == 2.0
     for f in (prdp.fourth_root_transformation_mechanism, prdp.square_root_transformation_mechanism, prdp.log_transformation_mechanism):
         assert abs(f(100.0, 1.0, 1e-6) - 100) < 0.1
