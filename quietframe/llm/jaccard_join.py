@@ -12,8 +12,10 @@ may differ, and ``k`` is chosen for ``MISS`` = 2**-56 a pair, the odds of equal
 Links are found in two rounds, so that a family of copies is never expanded
 into pairs:
 
-1. every set is compared with the first and the last set of its groups; the
-   links found are joined into provisional components;
+1. every set is compared with centres of its groups: a group's centre is the set
+   whose shingles are shared most, as that of an original is among its copies.
+   The links found are joined into provisional components; groups that still
+   hold several are given a centre from another component, once more;
 2. groups that still hold several components are searched by signature trees:
    nodes hold the OR of their sets' bitmaps, the range of set sizes and the
    largest excess of size over bits.  A dual traversal prunes two nodes when the
@@ -51,7 +53,7 @@ MISS = 56 * math.log(2)
 FREQUENT, OFTEN = 50_000, 50
 BLOCK = 2000
 LEAF = 16
-BITS = 1024
+BITS = 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -273,6 +275,12 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return kept.dropDuplicates(["did", "tag", "own"]).select("row.*")
 
 
+def _labelled(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with the labels of their sets, and the components as links (a, b)."""
+    rows = member.join(known, F.col("sid") == F.col("node"), "left").select("token", "sid", "weight", F.coalesce("label", "sid").alias("label"))
+    return rows, known.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, did, tag and size of every document, and ``least``: doc_id, did and tag of the first document of its component."""
     p = partitions(df.sparkSession)
@@ -280,18 +288,27 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     every = checkpoint(profiles(docs, size, percent))
     classes = every.where("size > 0").groupBy("sid").agg(F.min(F.struct("did", "tag")).alias("place"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
     tokens = classes.select(F.explode("tokens").alias("token"), "sid")
-    shared = tokens.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     member = checkpoint(tokens.join(shared, "token"))
+    member = checkpoint(member.join(member.groupBy("sid").agg(F.sum("n").alias("weight")), "sid").select("token", "sid", "weight"))
 
     places = member.select("sid").distinct().join(classes.select("sid", "place"), "sid").select("sid", "place.did", "place.tag")
     texts = checkpoint(places.join(docs.select("did", "tag", "text"), ["did", "tag"]).dropDuplicates(["sid"]).select("sid", "text"))
 
-    ends = member.groupBy("sid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    star = ends.select(F.explode(F.array(*[F.struct(F.least("sid", c).alias("a"), F.greatest("sid", c).alias("b")) for c in ("low", "high")])).alias("e")).select("e.*").where("a < b").distinct()
+    centres = member.groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("c"))
+    reach = member.join(centres, "token").where("sid != c.sid").groupBy("sid").agg(F.max("c").alias("heavy"), F.min("c").alias("light"))
+    star = reach.select(F.explode(F.array(*[F.struct(F.least("sid", f"{c}.sid").alias("a"), F.greatest("sid", f"{c}.sid").alias("b")) for c in ("heavy", "light")])).alias("e")).select("e.*").distinct()
     links = checkpoint(verified(star, texts, size, percent))
 
-    known = components(links)
-    labelled = member.select("token", "sid").join(known, F.col("sid") == F.col("node"), "left").select("token", "sid", F.coalesce("label", "sid").alias("label"))
+    labelled, known = _labelled(member, components(links))
+    whole = F.struct("weight", "sid", "label")
+    open_groups = labelled.groupBy("token").agg(F.max(whole).alias("top"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token", "top")
+    rest = checkpoint(labelled.join(open_groups, "token"))
+    second = rest.where("label != top.label").groupBy("token").agg(F.max(whole).alias("c"))
+    star = rest.join(second, "token").where("label != c.label").select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
+    links = checkpoint(verified(star, texts, size, percent)).unionByName(known)
+
+    labelled, known = _labelled(rest.select("token", "sid", "weight"), components(links))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1").select("token", F.ceil(F.col("n") / block).cast("int").alias("nb"))
 
     def signed(batches):
@@ -312,7 +329,7 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     pairs = searched.mapInArrow(_search(percent), "a long, b long").distinct()
     more = checkpoint(verified(pairs, texts, size, percent))
 
-    final = components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    final = components(known.unionByName(more))
     classed = every.select("doc_id", "did", "tag", "sid", "size").join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "did", "tag", "size", F.coalesce("label", "sid").alias("class"))
     least = classed.where("size > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "did", "tag")).alias("least"))
     return classed.join(least, "class", "left").select("doc_id", "did", "tag", "size", "least")
