@@ -24,6 +24,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tu
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {int(r["label"]): int(r["count"]) for r in known.groupBy("label").count().collect()}
     draw = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    drawn = draw(0).unionByName(draw(1)).dropDuplicates(["doc_id"])
+    drawn = draw(0).unionByName(draw(1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = documents(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").toArrow()
     return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]), counts
