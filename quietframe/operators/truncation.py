@@ -36,6 +36,24 @@ def row_hash(df: DataFrame, columns: Sequence[str], *more: Column) -> Column:
     return F.sha2(F.sha2(F.concat_ws(",", *cells), 256), 256)
 
 
+#: Parts that a group is first limited in, so that a group of any size is ranked by many tasks.
+PARTS = 32
+
+
+def lowest(df: DataFrame, groups: Sequence[Column], hashed: str, order: Sequence[Column], threshold: int) -> DataFrame:
+    """The first ``threshold`` rows of each group by the hash column and the rest of the order.
+
+    A row that is not among the first of its part is not among the first of its
+    group, so parts (by the hash) are limited first, and what then meets in one
+    task is at most ``PARTS * threshold`` rows a group.
+    """
+    part = F.pmod(F.xxhash64(hashed), F.lit(PARTS))
+    for extra in ([part], []):
+        place = F.row_number().over(Window.partitionBy(*groups, *extra).orderBy(hashed, *order))
+        df = df.withColumn("__place", place).where(F.col("__place") <= threshold).drop("__place")
+    return df
+
+
 def truncate_large_groups(df: DataFrame, grouping_columns: Sequence[str], threshold: int) -> DataFrame:
     """At most ``threshold`` rows of each group; copies of a row are told apart by their number, so that they do not clump."""
     every = df.columns
@@ -44,8 +62,7 @@ def truncate_large_groups(df: DataFrame, grouping_columns: Sequence[str], thresh
     number = F.row_number().over(Window.partitionBy(*map(named, every)).orderBy(*map(named, every)))
     counted = df.withColumn("__number", number)
     hashed = counted.withColumn("__hash", row_hash(df, every, F.col("__number").cast("long")))
-    place = F.row_number().over(Window.partitionBy(*map(named, grouping_columns)).orderBy("__hash", *map(named, every)))
-    return hashed.withColumn("__place", place).where(F.col("__place") <= threshold).select(*map(named, every))
+    return lowest(hashed, list(map(named, grouping_columns)), "__hash", list(map(named, every)), threshold).select(*map(named, every))
 
 
 def drop_large_groups(df: DataFrame, grouping_columns: Sequence[str], threshold: int) -> DataFrame:
@@ -69,9 +86,8 @@ def limit_keys_per_group(df: DataFrame, grouping_columns: Sequence[str], key_col
     sorted rows as it has keys.
     """
     both = [*grouping_columns, *key_columns]
-    keys = df.select(*map(named, both)).distinct()
-    place = F.row_number().over(Window.partitionBy(*map(named, grouping_columns)).orderBy(row_hash(df, both), *map(named, key_columns)))
-    kept = keys.withColumn("__place", place).where(F.col("__place") <= threshold)
+    keys = df.select(*map(named, both)).distinct().withColumn("__hash", row_hash(df, both))
+    kept = lowest(keys, list(map(named, grouping_columns)), "__hash", list(map(named, key_columns)), threshold)
     matches = reduce(lambda a, b: a & b, [F.col(f"d.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in both])
     return df.alias("d").join(kept.alias("k"), matches, "left_semi")
 
