@@ -2,11 +2,12 @@
 
 from quietframe.functions.distributions import *  # noqa: F403
 from quietframe.functions.exact import ExactNumber, ExactNumberInput, validate_exact_number
+from quietframe.functions.helpers import assert_never, copy_if_mutable, get_element_type, get_fullname, get_immutable_types
 from quietframe.functions.prdp import (
     exponential_polylogarithmic_mechanism, fourth_root_transformation_mechanism, log_transformation_mechanism,
     square_root_gaussian_mechanism, square_root_transformation_mechanism,
 )
-from quietframe.functions.samplers import construct_inverse_sampler, gaussian, laplace, prng, sample_dgauss, uniform
+from quietframe.functions.samplers import RNGWrapper, construct_inverse_sampler, gaussian, laplace, prng, sample_dgauss, uniform
 from quietframe.operators.grouped import (
     Count, CountDistinct, CountDistinctGrouped, CountGrouped, GroupBy, GroupedDataFrame, Sum, SumGrouped, compute_full_domain_df, create_count_aggregation,
     create_count_distinct_aggregation, create_groupby_from_column_domains, create_groupby_from_list_of_keys, create_sum_aggregation, validate_groupby_domains,

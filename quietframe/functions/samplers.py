@@ -26,6 +26,23 @@ def prng():
     return np.random.default_rng(secrets.randbits(256))
 
 
+class RNGWrapper:
+    """Unbiased whole numbers of any size from a source of bits (system entropy unless another is given)."""
+
+    def __init__(self, getrandbits: Callable[[int], int] = secrets.randbits):
+        self._bits = getrandbits
+
+    def randrange(self, stop: int) -> int:
+        """A uniform integer in [0, stop): draws of enough bits, those beyond the end again."""
+        if stop <= 0:
+            raise ValueError("The range is empty.")
+        size = (stop - 1).bit_length()
+        while True:
+            value = self._bits(size) if size else 0
+            if value < stop:
+                return value
+
+
 def uniform_below(m: int) -> int:
     """A uniform integer in [0, m)."""
     return _draw(m)

@@ -143,3 +143,17 @@ def test_random_order_does_not_matter():
     total = sum(parts, X(0))
     rng.shuffle(parts)
     assert sum(parts, X(0)) == total and hash(sum(parts, X(0))) == hash(total)
+
+
+def test_helpers():
+    from quietframe.functions import helpers
+
+    inner = {"a": [1, [2]]}
+    copied = helpers.copy_if_mutable(inner)
+    copied["a"][1].append(3)
+    assert inner == {"a": [1, [2]]}
+    assert helpers.get_element_type([1, None, 2]) is int and helpers.get_fullname(X(1)) == "quietframe.functions.exact.ExactNumber"
+    with pytest.raises(ValueError):
+        helpers.get_element_type([1, "a"])
+    draws = [samplers.RNGWrapper().randrange(5) for _ in range(2000)]
+    assert set(draws) == set(range(5)) and max(abs(draws.count(k) - 400) for k in range(5)) < 120
