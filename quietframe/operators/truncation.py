@@ -36,19 +36,21 @@ def row_hash(df: DataFrame, columns: Sequence[str], *more: Column) -> Column:
     return F.sha2(F.sha2(F.concat_ws(",", *cells), 256), 256)
 
 
-#: Parts that a group is first limited in, so that a group of any size is ranked by many tasks.
-PARTS = 32
+#: Parts that a group is first limited in where Spark does not limit it before the shuffle (its window-group limit ends below this threshold).
+PARTS, UNLIMITED = 32, 1000
 
 
 def lowest(df: DataFrame, groups: Sequence[Column], hashed: str, order: Sequence[Column], threshold: int) -> DataFrame:
     """The first ``threshold`` rows of each group by the hash column and the rest of the order.
 
-    A row that is not among the first of its part is not among the first of its
-    group, so parts (by the hash) are limited first, and what then meets in one
-    task is at most ``PARTS * threshold`` rows a group.
+    Spark limits each group by itself in every task before the shuffle, so what
+    meets in one task is at most ``threshold`` rows a group and task.  For large
+    thresholds, where it does not, parts of a group (by the hash) are limited
+    first: a row that is not among the first of its part is not among the first
+    of its group.
     """
     part = F.pmod(F.xxhash64(hashed), F.lit(PARTS))
-    for extra in ([part], []):
+    for extra in ([part], []) if threshold >= UNLIMITED else ([],):
         place = F.row_number().over(Window.partitionBy(*groups, *extra).orderBy(hashed, *order))
         df = df.withColumn("__place", place).where(F.col("__place") <= threshold).drop("__place")
     return df

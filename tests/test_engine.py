@@ -156,7 +156,7 @@ def test_private_join(spark):
     assert free.stability_function({"l": 1, "r": 0}) == INFINITY and free(data).count() == 14
 
 
-def test_truncation(spark):
+def test_truncation(spark, monkeypatch):
     df = make(spark, [("x", i) for i in range(20)] * 3 + [("y", 1), (None, 2)])
     once = got(truncation.truncate_large_groups(df, ["A"], 5))
     assert once == got(truncation.truncate_large_groups(df.repartition(7).orderBy(F.rand()), ["A"], 5))
@@ -166,6 +166,8 @@ def test_truncation(spark):
     assert got(truncation.drop_large_groups(df, ["A"], 1)) == [("y", 1), (None, 2)]
     assert truncation.limit_keys_per_group(df, ["A"], ["B"], 4).count() == 4 * 3 + 2
     assert truncation.drop_large_groups(df, [], 10).count() == 0
+    monkeypatch.setattr(truncation, "UNLIMITED", 0)
+    assert once == got(truncation.truncate_large_groups(df, ["A"], 5))
     g = IfGroupedBy("A", SD)
     assert truncation.LimitRowsPerGroup(AB, SD, "A", 3).stability_function(2) == 6
     assert truncation.LimitKeysPerGroup(AB, IfGroupedBy("B", RootSumOfSquared(g)), "A", "B", 3).stability_function(2) == 2 * ExactNumber.sqrt(3)
