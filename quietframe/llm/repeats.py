@@ -35,7 +35,7 @@ from .textcore import BASE_A, BASE_B, BYTE_VALUES, U64, Rolling, runs, text_buff
 #: Occurrences from which an anchor's windows are counted one by one.
 HOT = 2000
 #: Bytes of context that a resolver takes at once, cut at a change of the hash.
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 POSITION = U64((1 << 20) - 1)
 CONTEXT, WINDOW, DECIDED = 0, 1, 2
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 from .repeats import Kind
-from .textcore import BASE_A, BASE_B, Rolling, text_buffers, word_hashes, words
+from .textcore import BASE_A, BASE_B, Rolling, runs, text_buffers, word_hashes, words
 
 N = 35
 WORDS = Kind("word", N, 24, 2, 16)
@@ -57,8 +57,13 @@ class Index:
 
 def resolve(kind: Kind, key: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """hit[row, a]: the window that starts ``a`` words before the row's anchor is in a factor of at least ``n`` words or straddles two."""
-    start, end, bounds = words(data, offsets)
-    values = word_hashes(data, start, end)
+    parts, bounds = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64)
+    for a, b in runs(offsets):  # a slice at a time: what is per byte stays small
+        own = data[offsets[a] : offsets[b]]
+        start, end, edges = words(own, offsets[a : b + 1] - offsets[a])
+        parts.append(word_hashes(own, start, end))
+        bounds[a + 1 : b + 1] = bounds[a] + edges[1:]
+    values = np.concatenate(parts)
     many = hi - lo + 1
     row = np.repeat(np.arange(len(hi)), many)
     step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
