@@ -2,7 +2,8 @@
 
 Texts become words without punctuation.  A template replaces numbers, units and
 capitalised words (names) by a placeholder of their type; other words are in
-lower case.  Templates of ``WINDOW`` words are taken at every word of a
+lower case.  Where that differs, a second template keeps names as words in lower
+case, so that a copy in capitals is found too.  Templates of ``WINDOW`` words are taken at every word of a
 benchmark item and at every ``WINDOW``-th word of a document, so that any
 stretch of ``2 * WINDOW - 1`` shared words holds a document's window, and are
 hash-joined.  Windows of fewer than ``LITERAL`` words outside slots match too
@@ -44,27 +45,28 @@ def cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
-def template(clean: Column) -> Column:
-    """The cleaned text with typed placeholders, word for word."""
+def template(clean: Column, names: bool = True) -> Column:
+    """The cleaned text with typed placeholders, word for word; names stay words if they are no slots."""
     out = F.regexp_replace(clean, r"(^| )\p{N}[^ ]*", f"$1{NUMBER}")
-    out = F.regexp_replace(out, r"(^| )\p{Lu}[^ ]*", f"$1{NAME}")
+    if names:
+        out = F.regexp_replace(out, r"(^| )\p{Lu}[^ ]*", f"$1{NAME}")
     out = F.lower(out)
     return F.regexp_replace(out, rf"(^| )(?:{'|'.join(UNITS)})(?![^ ])", f"$1{UNIT}")
 
 
 def _split(docs: DataFrame, text: Column) -> DataFrame:
     clean = docs.withColumn("clean", cleaned(text))
-    return clean.withColumn("raw", F.split("clean", " ")).withColumn("template", F.split(template(F.col("clean")), " ")).withColumn("words", F.when(F.col("clean") == "", 0).otherwise(F.size("raw"))).drop("clean")
+    return clean.withColumn("raw", F.split("clean", " ")).withColumn("template", F.split(template(F.col("clean")), " ")).withColumn("folded", F.split(template(F.col("clean"), False), " ")).withColumn("words", F.when(F.col("clean") == "", 0).otherwise(F.size("raw"))).drop("clean")
 
 
-def _window(at: Column) -> list[Column]:
-    return [F.element_at(F.col("template"), (at + F.lit(i + 1)).cast("int")) for i in range(WINDOW)]
+def _window(column: str, at: Column) -> Column:
+    return F.xxhash64(*[F.element_at(F.col(column), (at + F.lit(i + 1)).cast("int")) for i in range(WINDOW)])
 
 
 def windows(split: DataFrame, stride: int, *keep: str) -> DataFrame:
-    """Rows of ``at``, the window's hash ``w`` and its words as they stand, at every ``stride``-th word."""
+    """Rows of ``at``, the hashes of the window in either template, and its words as they stand, at every ``stride``-th word."""
     last = F.col("words") - WINDOW
-    spots = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.struct(i.alias("at"), F.xxhash64(*_window(i)).alias("w"), F.slice("raw", i + 1, WINDOW).alias("own"))))
+    spots = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.struct(i.alias("at"), _window("template", i).alias("typed"), _window("folded", i).alias("plain"), F.slice("raw", i + 1, WINDOW).alias("own"))))
     return split.select(*keep, F.explode(spots).alias("s")).select(*keep, "s.*")
 
 
@@ -72,14 +74,14 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """did, tag, doc_id, item_id, matched windows, windows the item has room for, and slots, for every leak."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("item"))
     known = _split(items, F.col("item")).where(F.col("words") >= SHORTEST)
-    slots = lambda t: F.transform(F.slice(t, F.col("at") + 1, WINDOW), lambda x: x.isin(NUMBER, NAME, UNIT))
-    known = windows(known, 1, "item_id", "item", "words", "template").withColumn("slot", slots(F.col("template"))).where(F.size(F.filter("slot", lambda x: ~x)) >= LITERAL)
-    known = known.select("item_id", F.xxhash64("item").alias("copy"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), "w", F.col("own").alias("theirs"), "slot", F.slice("template", F.col("at") + 1, WINDOW).alias("kind"))
+    known = windows(known, 1, "item_id", "item", "words", "template", "folded")
+    forms = [known.select("item_id", F.xxhash64("item").alias("copy"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), F.col(w).alias("w"), F.col("own").alias("theirs"), F.slice(t, F.col("at") + 1, WINDOW).alias("kind"), "typed") for w, t in (("typed", "template"), ("plain", "folded"))]
+    known = forms[0].unionByName(forms[1].where("w != typed")).drop("typed").withColumn("slot", F.transform("kind", lambda x: x.isin(NUMBER, NAME, UNIT))).where(F.size(F.filter("slot", lambda x: ~x)) >= LITERAL)
     if known.limit(BROADCAST + 1).count() <= BROADCAST:
         known = F.broadcast(known)
 
     docs = _split(keyed(df, id_col, text_col), F.col("text"))
-    hits = windows(docs, WINDOW, "doc_id", "did", "tag").join(known, "w")
+    hits = windows(docs, WINDOW, "doc_id", "did", "tag").withColumn("w", F.explode(F.array_distinct(F.array("typed", "plain")))).join(known, "w")
     pairs = F.filter(F.zip_with(F.arrays_zip("slot", "kind", "theirs"), "own", lambda a, b: F.when(a["slot"], F.struct(F.concat(a["kind"], F.lower(a["theirs"])).alias("theirs"), F.concat(a["kind"], F.lower(b)).alias("own")))), lambda x: x.isNotNull())
     shift = F.col("at") - F.col("item_at")
     together = (
@@ -110,15 +112,17 @@ def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 def oracle_sql() -> str:
     """The same search over ``documents`` and ``benchmark`` for DuckDB."""
-    kind = f"CASE WHEN regexp_matches(x, '^\\p{{N}}') THEN '{NUMBER}' WHEN regexp_matches(x, '^\\p{{Lu}}') THEN '{NAME}' WHEN list_contains([{', '.join(repr(u) for u in UNITS)}], lower(x)) THEN '{UNIT}' ELSE lower(x) END"
+    kind = lambda names: f"CASE WHEN regexp_matches(x, '^\\p{{N}}') THEN '{NUMBER}' {names}WHEN list_contains([{', '.join(repr(u) for u in UNITS)}], lower(x)) THEN '{UNIT}' ELSE lower(x) END"
+    forms = f"list_transform(raw, lambda x: {kind(f"WHEN regexp_matches(x, '^\\p{{Lu}}') THEN '{NAME}' ")}) AS t, list_transform(raw, lambda x: {kind('')}) AS f"
     raw = "list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
-    cut = lambda column, at: f"list_slice({column}, {at} + 1, {at} + {WINDOW})"
+    cuts = ", ".join(f"list_slice({column}, pos + 1, pos + {WINDOW}) AS {name}" for column, name in (("t", "wt"), ("f", "wf"), ("raw", "own")))
+    both = lambda table, columns: f"SELECT {columns}, wt AS w FROM {table} UNION ALL SELECT {columns}, wf FROM {table} WHERE wf <> wt"
     return f"""
 WITH docs AS (SELECT doc_id, {raw} AS raw FROM documents), items AS (SELECT item_id, text AS item, {raw} AS raw FROM benchmark),
-dt AS (SELECT doc_id, raw, list_transform(raw, lambda x: {kind}) AS t FROM docs),
-it AS (SELECT item_id, item, raw, list_transform(raw, lambda x: {kind}) AS t FROM items WHERE len(raw) >= {SHORTEST}),
-dw AS (SELECT doc_id, pos, {cut('t', 'pos')} AS w, {cut('raw', 'pos')} AS own FROM (SELECT doc_id, raw, t, unnest(range(0, len(t) - {WINDOW - 1}, {WINDOW})) AS pos FROM dt WHERE len(t) >= {WINDOW})),
-iw AS (SELECT item_id, item, len(t) AS words, pos, {cut('t', 'pos')} AS w, {cut('raw', 'pos')} AS theirs FROM (SELECT item_id, item, raw, t, unnest(range(0, len(t) - {WINDOW - 1})) AS pos FROM it)),
+dt AS (SELECT doc_id, raw, {forms} FROM docs), it AS (SELECT item_id, item, raw, {forms} FROM items WHERE len(raw) >= {SHORTEST}),
+dc AS (SELECT doc_id, pos, {cuts} FROM (SELECT *, unnest(range(0, len(t) - {WINDOW - 1}, {WINDOW})) AS pos FROM dt WHERE len(t) >= {WINDOW})),
+ic AS (SELECT item_id, item, len(t) AS words, pos, {cuts} FROM (SELECT *, unnest(range(0, len(t) - {WINDOW - 1})) AS pos FROM it)),
+dw AS ({both('dc', 'doc_id, pos, own')}), iw AS ({both('ic', 'item_id, item, words, pos, own AS theirs')}),
 iw2 AS (SELECT * FROM iw WHERE len(list_filter(w, lambda x: x NOT IN ('{NUMBER}', '{NAME}', '{UNIT}'))) >= {LITERAL}),
 hits AS (SELECT doc_id, item_id, item, words, dw.pos - iw2.pos AS shift, iw2.pos AS item_at, list_filter(list_transform(range(1, {WINDOW + 1}), lambda i: CASE WHEN dw.w[i] IN ('{NUMBER}', '{NAME}', '{UNIT}') THEN {{'a': dw.w[i] || lower(theirs[i]), 'b': dw.w[i] || lower(own[i])}} END), lambda x: x IS NOT NULL) AS pairs FROM dw JOIN iw2 ON dw.w = iw2.w),
 grouped AS (SELECT doc_id, item_id, item, words, shift, count(DISTINCT item_at) AS matched, list_distinct(flatten(list(pairs))) AS pairs FROM hits GROUP BY ALL),

@@ -50,11 +50,11 @@ def test_leaks(spark, monkeypatch, broadcast):
     mixed = ITEM.replace("Anna", "Bruno", 1)  # one name for two
     other = "quite another text about the weather of these days that says nothing of the kind and goes on"
     rows = [(i, pre + text + post) for i, (pre, text, post) in enumerate([("", ITEM, ""), (other + " ", renamed, " " + other), ("x ", renamed.replace(" ", " %%% "), ""), (other, " " + mixed, ""), ("", other, ""), ("", "of the 40 km until it", ""), ("", "", "")])]
-    rows += [(7, None), (0, ITEM), (None, "so " + ITEM)]
+    rows += [(7, None), (0, ITEM), (None, "so " + ITEM), (8, other + " " + ITEM.upper()), (9, ITEM.lower() + "!!")]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(1, ITEM, "a"), (2, None, "b"), (3, "too short a text", "c"), (4, "", "d")], "item_id long, text string, own string")
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(df, items).collect()}
-    assert got == {(0, 1), (1, 1), (2, 1), (None, 1)}
+    assert got == {(0, 1), (1, 1), (2, 1), (8, 1), (9, 1), (None, 1)}
     left = dc.clean(df, items)
     assert left.columns == df.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == ["3", "4", "5", "6", "7"]
     assert dc.contaminated(df.limit(0), items).collect() == [] and dc.contaminated(df, items.limit(0)).collect() == []
