@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,3 +48,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the identifier and the text, under fixed names: other columns never get in the way."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that checkpoints have replaced: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

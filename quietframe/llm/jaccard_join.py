@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import checkpoint, partitions
+from .frames import checkpoint, free_shuffles, partitions
 from .repeats import keyed
 from .textcore import U64, Rolling, ascii_lower, mix, runs, text_buffers, word_hashes, words
 
@@ -277,7 +277,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _labelled(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows with the labels of their sets, and the components as links (a, b)."""
-    rows = member.join(known, F.col("sid") == F.col("node"), "left").select("token", "sid", "weight", F.coalesce("label", "sid").alias("label"))
+    rows = member.join(known, F.col("sid") == F.col("node"), "left").select("token", "sid", "size", "weight", F.coalesce("label", "sid").alias("label"))
     return rows, known.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
@@ -287,28 +287,33 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     docs = keyed(df, id_col, text_col)
     every = checkpoint(profiles(docs, size, percent))
     classes = every.where("size > 0").groupBy("sid").agg(F.min(F.struct("did", "tag")).alias("place"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    tokens = classes.select(F.explode("tokens").alias("token"), "sid")
+    tokens = classes.select(F.explode("tokens").alias("token"), "sid", "size")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     member = checkpoint(tokens.join(shared, "token"))
-    member = checkpoint(member.join(member.groupBy("sid").agg(F.sum("n").alias("weight")), "sid").select("token", "sid", "weight"))
+    member = checkpoint(member.join(member.groupBy("sid").agg(F.sum("n").alias("weight")), "sid").select("token", "sid", "size", "weight"))
 
     places = member.select("sid").distinct().join(classes.select("sid", "place"), "sid").select("sid", "place.did", "place.tag")
     texts = checkpoint(places.join(docs.select("did", "tag", "text"), ["did", "tag"]).dropDuplicates(["sid"]).select("sid", "text"))
 
-    centres = member.groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("c"))
-    reach = member.join(centres, "token").where("sid != c.sid").groupBy("sid").agg(F.max("c").alias("heavy"), F.min("c").alias("light"))
+    alike = percent * F.greatest("size", "c.size") <= 100 * F.least("size", "c.size")
+    free_shuffles(df.sparkSession)
+
+    centres = member.groupBy("token").agg(F.max(F.struct("weight", "sid", "size")).alias("c"))
+    reach = member.join(centres, "token").where((F.col("sid") != F.col("c.sid")) & alike).groupBy("sid").agg(F.max("c").alias("heavy"), F.min("c").alias("light"))
     star = reach.select(F.explode(F.array(*[F.struct(F.least("sid", f"{c}.sid").alias("a"), F.greatest("sid", f"{c}.sid").alias("b")) for c in ("heavy", "light")])).alias("e")).select("e.*").distinct()
     links = checkpoint(verified(star, texts, size, percent))
+    free_shuffles(df.sparkSession)
 
     labelled, known = _labelled(member, components(links))
-    whole = F.struct("weight", "sid", "label")
+    whole = F.struct("weight", "sid", "label", "size")
     open_groups = labelled.groupBy("token").agg(F.max(whole).alias("top"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token", "top")
     rest = checkpoint(labelled.join(open_groups, "token"))
     second = rest.where("label != top.label").groupBy("token").agg(F.max(whole).alias("c"))
-    star = rest.join(second, "token").where("label != c.label").select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
+    star = rest.join(second, "token").where((F.col("label") != F.col("c.label")) & alike).select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
     links = checkpoint(verified(star, texts, size, percent)).unionByName(known)
+    free_shuffles(df.sparkSession)
 
-    labelled, known = _labelled(rest.select("token", "sid", "weight"), components(links))
+    labelled, known = _labelled(rest.select("token", "sid", "size", "weight"), components(links))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1").select("token", F.ceil(F.col("n") / block).cast("int").alias("nb"))
 
     def signed(batches):
@@ -316,9 +321,9 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             for a, b, h, bounds in each_run(batch.column("text"), size):
                 bits = signatures(h, bounds)
                 rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), b - a, [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(a, b - a), pa.array(np.diff(bounds).astype(np.int64)), rows], ["sid", "size", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(a, b - a), rows], ["sid", "bits"])
 
-    signature = texts.mapInArrow(signed, "sid long, size long, bits binary")
+    signature = texts.mapInArrow(signed, "sid long, bits binary")
     own = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
     searched = (
         labelled.join(mixed, "token").withColumn("own", own).join(signature, "sid")
@@ -328,6 +333,7 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     )
     pairs = searched.mapInArrow(_search(percent), "a long, b long").distinct()
     more = checkpoint(verified(pairs, texts, size, percent))
+    free_shuffles(df.sparkSession)
 
     final = components(known.unionByName(more))
     classed = every.select("doc_id", "did", "tag", "sid", "size").join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "did", "tag", "size", F.coalesce("label", "sid").alias("class"))
