@@ -12,9 +12,19 @@ much and are not taken from items.
 Windows of a document that lie at one shift of one item are put together: their
 slots have to be consistent (each value of the item stands for one value of the
 document, and the other way round), and at least half of the windows that the
-item has room for at that shift, two at least, have to match.  (Items of 8 to 10
-words may have room for one window: then all have to match; shorter items are
-not searched.)
+item offers at that shift (those with enough words outside slots), two at least,
+have to match.  (Items of 8 to 10 words may have room for one window: then one
+match is enough.)  Where a number of several parts (``1,250``, ``3.5``) or a run
+of capitalised words stands, the text is searched again with each of them as one
+word, so that ``950`` may stand for ``1,250``.
+
+Items of fewer than ``SHORTEST`` words, and those that offer fewer than two
+windows at some shift, are also looked up by the template of the whole item at
+every word of a document; if fewer than ``LITERAL`` words of it are outside
+slots, it has to be copied word for word.
+
+``oracle_sql`` has windows of single words only, and neither the windows an item
+offers nor whole templates: it finds a subset, and leaks it finds have its figures.
 
 The item windows are broadcast only if they are at most ``BROADCAST`` (counted
 first); beyond that the join is a plain hash or merge join.
@@ -54,9 +64,22 @@ def template(clean: Column, names: bool = True) -> Column:
     return F.regexp_replace(out, rf"(^| )(?:{'|'.join(UNITS)})(?![^ ])", f"$1{UNIT}")
 
 
+def merged(text: Column) -> Column:
+    """The cleaned text in which a number like ``1,250`` or ``3.5`` and a run of capitalised words are one word each."""
+    one = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{N}),(?=\p{N}{3})", ""), r"(?<=\p{N})[.,](?=\p{N})", "d")
+    return F.regexp_replace(cleaned(one), r"(?<![^ ])(\p{Lu}[^ ]*) (?=\p{Lu})", "$1_")
+
+
+def _forms(clean: Column, joined: bool) -> Column:
+    words = F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
+    return F.struct(F.lit(joined).alias("joined"), F.split(clean, " ").alias("raw"), F.split(template(clean), " ").alias("template"), F.split(template(clean, False), " ").alias("folded"), words.alias("words"))
+
+
 def _split(docs: DataFrame, text: Column) -> DataFrame:
-    clean = docs.withColumn("clean", cleaned(text))
-    return clean.withColumn("raw", F.split("clean", " ")).withColumn("template", F.split(template(F.col("clean")), " ")).withColumn("folded", F.split(template(F.col("clean"), False), " ")).withColumn("words", F.when(F.col("clean") == "", 0).otherwise(F.size("raw"))).drop("clean")
+    """Rows of the words as they stand and, where that differs, of the words with numbers and names joined."""
+    both = docs.withColumn("clean", cleaned(text)).withColumn("merged", merged(text))
+    forms = F.when(F.col("clean") == F.col("merged"), F.array(_forms(F.col("clean"), False))).otherwise(F.array(_forms(F.col("clean"), False), _forms(F.col("merged"), True)))
+    return both.withColumn("form", F.explode(forms)).select(*docs.columns, "form.*")
 
 
 def _window(column: str, at: Column) -> Column:
@@ -70,30 +93,95 @@ def windows(split: DataFrame, stride: int, *keep: str) -> DataFrame:
     return split.select(*keep, F.explode(spots).alias("s")).select(*keep, "s.*")
 
 
+def _literal(kind: Column) -> Column:
+    """How many words of a template are no slots."""
+    return F.size(F.filter(kind, lambda x: ~x.isin(NUMBER, NAME, UNIT)))
+
+
+def _offered(column: str) -> Column:
+    """By place modulo ``WINDOW``, how many windows with enough words outside slots an item has."""
+    last = F.col("words") - WINDOW
+    good = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: _literal(F.slice(column, i + 1, WINDOW)) >= LITERAL)).otherwise(F.array().cast("array<int>"))
+    return F.array(*[F.size(F.filter(good, lambda i, r=r: i % WINDOW == r)) for r in range(WINDOW)])
+
+
+def _consistent(pairs: Column) -> Column:
+    """Each value of the item stands for one value of the document, and the other way round."""
+    sides = [F.size(F.array_distinct(pairs[side])) for side in ("theirs", "own")]
+    return (F.size(pairs) == sides[0]) & (F.size(pairs) == sides[1])
+
+
+def _slots(item: Column) -> Column:
+    """Pairs of the item's and the document's (``own``) values of the slots."""
+    return F.filter(F.zip_with(item, "own", lambda a, b: F.when(a["slot"], F.struct(F.concat(a["kind"], F.lower(a["theirs"])).alias("theirs"), F.concat(a["kind"], F.lower(b)).alias("own")))), lambda x: x.isNotNull())
+
+
+def _small(known: DataFrame) -> DataFrame:
+    return F.broadcast(known) if known.limit(BROADCAST + 1).count() <= BROADCAST else known
+
+
+def _whole(items: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Places where the template of a whole item stands, for items with too few windows; None if there are no such items.
+
+    Names and numbers are slots in the joined words, and numbers alone in the
+    words as they stand (copies in capitals).  An item that is slots but for
+    fewer than ``LITERAL`` words has to be copied word for word.
+    """
+    short = (F.col("words") < SHORTEST) | (F.array_min(_offered("template")) < 2)
+    hard = items.where((F.col("words") > 0) & short).select("item_id", "copy").distinct()
+    same = F.col("i.item_id").eqNullSafe(F.col("h.item_id")) & (F.col("i.copy") == F.col("h.copy"))
+    hard = items.alias("i").join(hard.alias("h"), same, "left_semi").distinct()
+    lower = lambda raw: F.transform(raw, F.lower)
+    loose = lambda column: _literal(F.col(column)) >= LITERAL
+    keys = F.array(
+        F.struct(F.lit(0).alias("form"), F.when(loose("template"), F.col("template")).alias("key")),
+        F.struct(F.lit(1).alias("form"), F.when(loose("folded"), F.col("folded")).alias("key")),
+        F.struct(F.lit(2).alias("form"), F.when(~loose("template"), lower(F.col("raw"))).alias("key")),
+    )
+    hard = hard.withColumn("k", F.explode(keys)).where("k.key IS NOT NULL").select("item_id", "copy", "joined", "words", F.col("raw").alias("theirs"), "k.form", F.col("k.key").alias("key"))
+    specs = sorted((r["form"], r["words"]) for r in hard.select("form", "words").distinct().collect())
+    if not specs:
+        return None
+    known = hard.select("item_id", "copy", "form", F.col("words").alias("item_words"), F.xxhash64("key").alias("w"), "theirs", "key", F.transform("key", lambda x: x.isin(NUMBER, NAME, UNIT) & (F.col("form") != 2)).alias("slot"))
+    docs = docs.withColumn("lower", lower(F.col("raw")))
+
+    def spots(form: int, n: int) -> Column:
+        column = ("template", "folded", "lower")[form]
+        at = F.sequence(F.lit(0), F.col("words") - n)
+        return F.when(F.col("words") >= n, F.transform(at, lambda i: F.struct(F.lit(form).alias("form"), F.lit(n).alias("item_words"), F.xxhash64(F.slice(column, i + 1, n)).alias("w"), F.slice("raw", i + 1, n).alias("own")))).otherwise(F.array().cast("array<struct<form:int,item_words:int,w:bigint,own:array<string>>>"))
+
+    places = docs.select("did", "tag", "doc_id", F.explode(F.flatten(F.array(*[spots(*s) for s in specs]))).alias("s")).select("did", "tag", "doc_id", "s.*")
+    hits = places.join(_small(known), ["form", "item_words", "w"]).withColumn("pairs", F.array_distinct(_slots(F.arrays_zip("slot", F.col("key").alias("kind"), "theirs"))))
+    full = F.greatest(F.lit(1), F.floor(F.col("item_words") / WINDOW))
+    return hits.where(_consistent(F.col("pairs"))).select("did", "tag", "doc_id", "item_id", F.lit(False).alias("strict"), full.alias("matched"), full.alias("room"), "pairs")
+
+
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """did, tag, doc_id, item_id, matched windows, windows the item has room for, and slots, for every leak."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("item"))
-    known = _split(items, F.col("item")).where(F.col("words") >= SHORTEST)
-    known = windows(known, 1, "item_id", "item", "words", "template", "folded")
-    forms = [known.select("item_id", F.xxhash64("item").alias("copy"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), F.col(w).alias("w"), F.col("own").alias("theirs"), F.slice(t, F.col("at") + 1, WINDOW).alias("kind"), "typed") for w, t in (("typed", "template"), ("plain", "folded"))]
-    known = forms[0].unionByName(forms[1].where("w != typed")).drop("typed").withColumn("slot", F.transform("kind", lambda x: x.isin(NUMBER, NAME, UNIT))).where(F.size(F.filter("slot", lambda x: ~x)) >= LITERAL)
-    if known.limit(BROADCAST + 1).count() <= BROADCAST:
-        known = F.broadcast(known)
-
+    items = _split(items, F.col("item")).withColumn("copy", F.xxhash64("item")).drop("item")
     docs = _split(keyed(df, id_col, text_col), F.col("text"))
-    hits = windows(docs, WINDOW, "doc_id", "did", "tag").withColumn("w", F.explode(F.array_distinct(F.array("typed", "plain")))).join(known, "w")
-    pairs = F.filter(F.zip_with(F.arrays_zip("slot", "kind", "theirs"), "own", lambda a, b: F.when(a["slot"], F.struct(F.concat(a["kind"], F.lower(a["theirs"])).alias("theirs"), F.concat(a["kind"], F.lower(b)).alias("own")))), lambda x: x.isNotNull())
+    whole = _whole(items, docs)
+
+    known = items.where(F.col("words") >= SHORTEST).withColumn("can", F.struct(_offered("template").alias("typed"), _offered("folded").alias("plain")))
+    known = windows(known, 1, "item_id", "copy", "joined", "words", "template", "folded", "can")
+    forms = [known.select("item_id", "copy", F.col("joined").alias("item_joined"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), F.col(w).alias("w"), F.lit(w == "typed").alias("named"), F.col("own").alias("theirs"), F.slice(t, F.col("at") + 1, WINDOW).alias("kind"), *[F.col("can")[c][F.col("at") % WINDOW].alias(f"can_{c}") for c in ("typed", "plain")], "typed") for w, t in (("typed", "template"), ("plain", "folded"))]
+    known = forms[0].unionByName(forms[1].where("w != typed")).drop("typed").where(_literal(F.col("kind")) >= LITERAL).withColumn("slot", F.transform("kind", lambda x: x.isin(NUMBER, NAME, UNIT)))
+
+    hits = windows(docs, WINDOW, "doc_id", "did", "tag", "joined").withColumn("w", F.explode(F.array_distinct(F.array("typed", "plain")))).join(_small(known), "w")
     shift = F.col("at") - F.col("item_at")
     together = (
-        hits.withColumn("shift", shift).withColumn("pairs", pairs)
-        .groupBy("did", "tag", "item_id", "copy", "shift", "item_words").agg(F.countDistinct("item_at").alias("matched"), F.min("doc_id").alias("doc_id"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        hits.withColumn("shift", shift).withColumn("pairs", _slots(F.arrays_zip("slot", "kind", "theirs")))
+        .groupBy("did", "tag", "item_id", "copy", "joined", "item_joined", "shift", "item_words").agg(F.countDistinct("item_at").alias("matched"), F.size(F.collect_set(F.when(F.col("named"), F.col("item_at")))).alias("as_typed"), F.max("can_typed").alias("can_typed"), F.max("can_plain").alias("can_plain"), F.min("doc_id").alias("doc_id"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
     room = F.floor((F.col("item_words") - F.pmod(-F.col("shift"), F.lit(WINDOW))) / WINDOW)
-    sides = [F.size(F.array_distinct(F.col("pairs")[side])) for side in ("theirs", "own")]
-    enough = (2 * F.col("matched") >= F.col("room")) & (F.col("matched") >= F.least(F.lit(2), F.col("room")))
+    full = ~F.col("joined") & ~F.col("item_joined") & (2 * F.col("matched") >= F.col("room")) & (F.col("matched") >= F.least(F.lit(2), F.col("room")))
+    offered = (F.col("matched") >= 2) & ((2 * F.col("matched") >= F.col("can_plain")) | ((F.col("as_typed") >= 2) & (2 * F.col("as_typed") >= F.col("can_typed"))))
+    found = together.withColumn("room", room).withColumn("strict", full).where((F.col("strict") | offered) & _consistent(F.col("pairs"))).select("did", "tag", "doc_id", "item_id", "strict", "matched", "room", "pairs")
+    if whole is not None:
+        found = found.unionByName(whole)
     return (
-        together.withColumn("room", room).where(enough & (F.size("pairs") == sides[0]) & (F.size("pairs") == sides[1]))
-        .groupBy("did", "tag", "item_id").agg(F.min("doc_id").alias("doc_id"), F.max(F.struct("matched", "room", F.size("pairs").alias("slots"))).alias("best"))
+        found.groupBy("did", "tag", "item_id").agg(F.min("doc_id").alias("doc_id"), F.max(F.struct("strict", "matched", "room", F.size("pairs").alias("slots"))).alias("best"))
         .select("did", "tag", "doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.room").cast("long").alias("room"), F.col("best.slots").cast("long").alias("slots"))
     )
 

@@ -58,3 +58,18 @@ def test_leaks(spark, monkeypatch, broadcast):
     left = dc.clean(df, items)
     assert left.columns == df.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == ["3", "4", "5", "6", "7"]
     assert dc.contaminated(df.limit(0), items).collect() == [] and dc.contaminated(df, items.limit(0)).collect() == []
+
+
+SUM = "Compute 12 + 7 * 3 - 45 / 9 + 6 for x = 2 and y = 5"
+PRICE = "a shop sells 950 apples to a man called Anna who then eats half of them before going home again"
+
+
+@pytest.mark.parametrize("offset", range(4))
+def test_leaks_of_items_with_many_slots(spark, offset):
+    lead = "so it was told here ".split()[:offset]
+    texts = [SUM, SUM.replace("12", "31"), "how many legs has a cow", PRICE.replace("950", "1,250"), PRICE.replace("Anna", "Maria Luisa Bruno"), "7 8 9", "Compute 12 for x and nothing else in this text of words", "quite another text, 7 9 8"]
+    df = spark.createDataFrame([(i, " ".join([*lead, t, "and", "on"])) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, SUM), (2, "How many legs has a cow?"), (3, PRICE), (4, "7 8 9")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(df, items).collect()}
+    assert got == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4)}
+    assert {r.doc_id for r in dc.clean(df, items).collect()} == {6, 7}
