@@ -7,7 +7,10 @@ The known digests are a fixed list of a few hundred rows, so they are broadcast;
 documents are never shuffled, only the few lines found.
 
 Defined cases: null and empty texts and texts of copyright lines alone have no
-licence; a text that is a whole licence has it in ``licence``; notices found as
+licence; a text that is a whole licence has it in ``licence``, with a title line of
+``TITLES`` above it or not, and wrapped at any word but before a
+``copyright`` that ``WORDING`` does not know (``digest`` and notices are
+of all lines, without those that begin with ``copyright``); notices found as
 whole lines are in ``notices``, sorted and distinct, the empty string if none;
 repeated rows get a row each; an empty table gives no rows.
 """
@@ -43,7 +46,25 @@ NAMES = {
 }
 PHRASES = ("Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "Distributed under the {}", "Available under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This file is licensed under the {}", "This software is licensed under the {}", "License: {}")
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("organisation", "organization"), ("https://", "http://"), ("merchantibility", "merchantability"))
+# Digests of the canonical full texts, title included, as published by their stewards.
+FULL = {
+    "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0": "Apache-2.0",
+    "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "9085ee283b8c84517846c5acafee37391c28bb825b7ecec4aaa90768f2f283b0": "GPL-3.0",
+    "5b313222545879140519fc4f8ac7558088e9529f29bda08d2b75946987652f50": "LGPL-2.0",
+    "6ce9e9dc5005db9536b303ace5104e7d79eb77fa76f5ca2e335ea6401497ea1e": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61": "MPL-1.1",
+    "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56": "MPL-2.0",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "49259de2e41746a2de3ac8abe98d6effcc752e1bb462ce8dae8c86b9d34d94bc": "CC-BY-SA-4.0",
+}
+# Canonical titles of the licences, which stand above their texts in files.
+TITLES = ("mit license", "the mit license", "the mit license mit", "mit no attribution", "isc license", "the isc license", "bsd zero clause license", "zero clause bsd", "bsd 2 clause license", "the bsd 2 clause license", "simplified bsd license", "bsd 3 clause license", "the bsd 3 clause license", "new bsd license", "zlib license", "the zlib license")
 COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©)|all rights reserved"
+# Lines of a wrapped text that begin with the word and are no copyright statements.
+WORDING = r"copyright\s+(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|treaty|treaties|disclaimers?|and|or|in|on|for|to|is|as|rights?|permission|status|conditions)\b"
 
 
 def notices() -> list[tuple[str, str]]:
@@ -52,15 +73,26 @@ def notices() -> list[tuple[str, str]]:
     return rows + [(k, f"SPDX-License-Identifier: {k}") for k in NAMES]
 
 
-def canonical_lines(text: Column) -> Column:
-    """The lines of a text in canonical form, without copyright lines and empty ones."""
+def canonical_lines(text: Column, kept: str | None = None) -> Column:
+    """The lines of a text in canonical form, without empty ones and copyright lines (but those that begin with ``kept``)."""
     low = F.lower(text)
     for old, new in SPELLINGS:
         low = F.replace(low, F.lit(old), F.lit(new))
-    lines = F.filter(F.split(low, "\n"), lambda line: ~line.rlike(COPYRIGHT))
+    lines = F.filter(F.split(low, "\n"), lambda line: ~line.rlike(COPYRIGHT) if kept is None else ~line.rlike(COPYRIGHT) | line.rlike(rf"^[^a-z0-9]*{kept}"))
     return F.filter(F.transform(lines, lambda line: F.trim(F.regexp_replace(line, "[^a-z0-9]+", " "))), lambda line: line != "")
 
 
+def untitled(lines: Column) -> Column:
+    """Canonical lines without a title at their head."""
+    return F.when(F.element_at(F.concat(lines, F.array(F.lit(""))), 1).isin(*TITLES), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+
+
+def _texts(spark: SparkSession) -> DataFrame:
+    """Digests of whole texts: those written out here, and ``FULL``."""
+    full = spark.createDataFrame(list(FULL.items()), "digest string, licence string").select("licence", "digest")
+    return F.broadcast(_known(spark, list(WHOLE.items())).unionByName(full).dropDuplicates(["digest"]))
+
+
 def _known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     frame = spark.createDataFrame(rows, "licence string, known string")
     return F.broadcast(frame.select("licence", F.sha2(F.array_join(canonical_lines(F.col("known")), " "), 256).alias("digest")).dropDuplicates(["digest"]))
@@ -69,12 +101,14 @@ def _known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest of the canonical text, licence (null if none), notices and n_notices of every document."""
     spark = df.sparkSession
-    lines = keyed(df, id_col, text_col).select("doc_id", "did", "tag", canonical_lines(F.col("text")).alias("lines"))
+    lines = keyed(df, id_col, text_col).select("doc_id", "did", "tag", canonical_lines(F.col("text")).alias("lines"), F.when(F.lower("text").rlike(rf"(?m)^[^a-z0-9\n]*{WORDING}"), canonical_lines(F.col("text"), WORDING)).alias("wrapped"))
     found = (
         lines.select("did", "tag", F.explode("lines").alias("line")).select("did", "tag", F.sha2("line", 256).alias("digest"))
         .join(_known(spark, notices()), "digest").groupBy("did", "tag").agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.countDistinct("licence").alias("n_notices"))
     )
-    whole = lines.select("doc_id", "did", "tag", F.sha2(F.array_join("lines", " "), 256).alias("digest")).join(_known(spark, list(WHOLE.items())), "digest", "left")
+    bare = untitled(F.coalesce("wrapped", "lines"))
+    own = F.sha2(F.array_join("lines", " "), 256)
+    whole = lines.select("doc_id", "did", "tag", own.alias("shown"), F.when(bare == F.col("lines"), own).otherwise(F.sha2(F.array_join(bare, " "), 256)).alias("digest")).join(_texts(spark), "digest", "left").drop("digest").withColumnRenamed("shown", "digest")
     return whole.join(found, ["did", "tag"], "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 

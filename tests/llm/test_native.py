@@ -73,3 +73,17 @@ def test_leaks_of_items_with_many_slots(spark, offset):
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(df, items).collect()}
     assert got == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4)}
     assert {r.doc_id for r in dc.clean(df, items).collect()} == {6, 7}
+
+
+def test_titled_wrapped_and_full_licences(spark):
+    import os
+    import textwrap
+
+    wrapped = lambda t: "\n".join(textwrap.wrap(t, 72))
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrapped(licences.WHOLE["MIT"]), "MIT"), (2, "BSD 3-Clause License\n\nCopyright (c) 2020, Some Body\nAll rights reserved.\n\n" + wrapped(licences.WHOLE["BSD-3-Clause"]), "BSD-3-Clause"), (3, "MIT License\n", None), (5, licences.WHOLE["BSD-2-Clause"].replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"), "BSD-2-Clause"), (4, "# A program\nMIT License\n" + licences.WHOLE["MIT"], None)]
+    folder = "/usr/share/common-licenses"
+    for i, (name, licence) in enumerate((("GPL-3", "GPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"))):
+        if os.path.exists(f"{folder}/{name}"):
+            rows.append((10 + i, open(f"{folder}/{name}", encoding="utf-8").read(), licence))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert {r.doc_id: r.licence for r in licences.scan(df).collect()} == {r[0]: r[2] for r in rows}
