@@ -444,11 +444,10 @@ def add_remove_keys_distance(spark, sf_dir):
 
 @query("SELECT sum(n * n) AS squared FROM (SELECT count(*) AS n FROM customer WHERE c_custkey % 4 = 0 GROUP BY c_nationkey)")
 def grouped_distance(spark, sf_dir):
-    customer = read_table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").where("c_nationkey < 6")
+    customer = read_table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
     less = customer.where("c_custkey % 4 != 0")
     d = IfGroupedBy("c_nationkey", RootSumOfSquared(SD)).distance(customer, less, dense(customer))
-    rest = read_table(spark, sf_dir, "customer").where("c_custkey % 4 = 0 AND c_nationkey >= 6").groupBy("c_nationkey").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("n")).first()["n"]
-    return one_row(spark, squared=int((d * d).to_fraction()) + rest)
+    return one_row(spark, squared=int((d * d).to_fraction()))
 
 
 @query(f"SELECT custkey, o_orderkey, status FROM (SELECT o_custkey AS custkey, o_orderkey, o_orderstatus AS status FROM ({truncated('(SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)', ['o_custkey', 'o_orderkey', 'o_orderstatus'], 'o_custkey', 3, {'o_orderstatus'})}))")

@@ -43,3 +43,11 @@ def test_entry_without_text_operators(tmp_path):
     shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; names = set(e.queries()); assert 'count_grouped' in names and 'pipeline' not in names and not any(n.startswith('op1') for n in names)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_grouped_distance_passes_all_groups(spark, monkeypatch):
+    """The whole customer table goes through the metric, not the first nations alone."""
+    seen, distance = [], catalogue.IfGroupedBy.distance
+    monkeypatch.setattr(catalogue.IfGroupedBy, "distance", lambda self, one, two, domain: seen.append(one.count()) or distance(self, one, two, domain))
+    catalogue.queries()["grouped_distance"](spark, DIR).collect()
+    assert seen == [spark.read.parquet(f"{DIR}/customer.parquet").count()]
