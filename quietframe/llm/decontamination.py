@@ -1,30 +1,30 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become words without punctuation.  A template replaces numbers, units and
-capitalised words (names) by a placeholder of their type; other words are in
-lower case.  Where that differs, a second template keeps names as words in lower
-case, so that a copy in capitals is found too.  Templates of ``WINDOW`` words are taken at every word of a
-benchmark item and at every ``WINDOW``-th word of a document, so that any
-stretch of ``2 * WINDOW - 1`` shared words holds a document's window, and are
-hash-joined.  Windows of fewer than ``LITERAL`` words outside slots match too
-much and are not taken from items.
-
-Windows of a document that lie at one shift of one item are put together: their
-slots have to be consistent (each value of the item stands for one value of the
-document, and the other way round), and at least half of the windows that the
-item offers at that shift (those with enough words outside slots), two at least,
-have to match.  (Items of 8 to 10 words may have room for one window: then one
-match is enough.)  Where a number of several parts (``1,250``, ``3.5``) or a run
-of capitalised words stands, the text is searched again with each of them as one
-word, so that ``950`` may stand for ``1,250``.
-
-Items of fewer than ``SHORTEST`` words, and those that offer fewer than two
-windows at some shift, are also looked up by the template of the whole item at
-every word of a document; if fewer than ``LITERAL`` words of it are outside
-slots, it has to be copied word for word.
-
-``oracle_sql`` has windows of single words only, and neither the windows an item
-offers nor whole templates: it finds a subset, and leaks it finds have its figures.
+Texts become words: runs of letters and digits, where a number such as ``1,250``
+or ``3.5`` is one word.  There are three forms of them:
+
+* ``TYPED``: numbers, units and names (runs of capitalised words, one slot each)
+  are placeholders of their type, other words are in lower case;
+* ``PLAIN``: the same with names as words in lower case, so that copies in
+  capitals or without them are found;
+* ``VERBATIM``: every word in lower case, without placeholders.
+
+Every window of ``WINDOW`` words of an item is hashed in its forms (an item of
+fewer words is one window), and every window of a document, at every word; both
+sides are hash-joined.  A template window needs ``LITERAL`` words outside slots
+to stand for its item: an item that offers too few of them is looked up in the
+verbatim form, and then has to be copied word for word.
+
+1. A search of all documents keeps the keys of those that share enough windows
+   with the benchmark.  It carries hashes alone.
+2. In these documents, windows at one shift of one item are put together.  Their
+   slots have to be consistent: each value of the item stands for one value of
+   the document, and the other way round (a name at an item's edge is left out,
+   since the document's run of names may go on).  At least half of the windows
+   that the item offers in that form, two at least, have to match; all of them
+   for items of fewer than ``SHORTEST`` words and in the verbatim form.  Names as
+   words do not count where the typed form matches a larger share of its windows
+   and its slots are not consistent: another name stands at one of its places.
 
 The item windows are broadcast only if they are at most ``BROADCAST`` (counted
 first); beyond that the join is a plain hash or merge join.
@@ -39,70 +39,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import keyed
+from .frames import KEY, keyed, with_row
 
 WINDOW = 4
 LITERAL = 2
 SHORTEST = 8
 BROADCAST = 200_000
 NUMBER, NAME, UNIT = "#", "@", "&"
+TYPED, PLAIN, VERBATIM = range(3)
 # Units of measure, money and time.
 UNITS = "km kg cm mm mg lb lbs oz ft mph kmh hz khz mhz ghz kb mb gb tb kwh percent dollar dollars euro euros pound pounds cent cents mile miles meter meters metre metres kilometer kilometers kilometre kilometres kilogram kilograms gram grams liter liters litre litres hour hours minute minutes second seconds day days week weeks month months year years degree degrees".split()
+#: What stands between words: all but letters, digits and the points and commas between two digits.
+BETWEEN = r"(?:[^\p{L}\p{N}.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+"
 
 
-def cleaned(text: Column) -> Column:
-    """Words of letters and digits, one space between them."""
-    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+def _first(word: Column, plain: tuple[str, str], kind: str) -> Column:
+    """Whether a word's first character is of a kind; ASCII is told by comparison, the rest by a pattern."""
+    return ((word >= plain[0]) & (word <= plain[1] + "\U0010ffff")) | ((word >= "\u0080") & word.rlike(rf"^\p{{{kind}}}"))
 
 
-def template(clean: Column, names: bool = True) -> Column:
-    """The cleaned text with typed placeholders, word for word; names stay words if they are no slots."""
-    out = F.regexp_replace(clean, r"(^| )\p{N}[^ ]*", f"$1{NUMBER}")
+def _placeholder(word: Column, names: bool) -> Column:
+    low = F.lower(word)
+    out = F.when(_first(word, ("0", "9"), "N"), NUMBER)
     if names:
-        out = F.regexp_replace(out, r"(^| )\p{Lu}[^ ]*", f"$1{NAME}")
-    out = F.lower(out)
-    return F.regexp_replace(out, rf"(^| )(?:{'|'.join(UNITS)})(?![^ ])", f"$1{UNIT}")
+        out = out.when(_first(word, ("A", "Z"), "Lu"), NAME)
+    return out.when(low.isin(UNITS), UNIT).otherwise(low)
 
 
-def merged(text: Column) -> Column:
-    """The cleaned text in which a number like ``1,250`` or ``3.5`` and a run of capitalised words are one word each."""
-    one = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{N}),(?=\p{N}{3})", ""), r"(?<=\p{N})[.,](?=\p{N})", "d")
-    return F.regexp_replace(cleaned(one), r"(?<![^ ])(\p{Lu}[^ ]*) (?=\p{Lu})", "$1_")
+def forms(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the words of a text in the three forms, and the first word of each token of the typed one."""
+    out = df.withColumn("words", F.filter(F.split(text, BETWEEN), lambda w: w != ""))
+    out = out.withColumn("each", F.transform("words", lambda w: _placeholder(w, True))).withColumn("plain", F.transform("words", lambda w: _placeholder(w, False)))
+    head = lambda x, i: (x != NAME) | (i == 0) | (F.get("each", F.greatest(i - 1, F.lit(0))) != NAME)
+    return out.withColumn("typed", F.filter("each", head))
 
 
-def _forms(clean: Column, joined: bool) -> Column:
-    words = F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
-    return F.struct(F.lit(joined).alias("joined"), F.split(clean, " ").alias("raw"), F.split(template(clean), " ").alias("template"), F.split(template(clean, False), " ").alias("folded"), words.alias("words"))
+def _starts(tokens: Column, size: int) -> Column:
+    return F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
 
 
-def _split(docs: DataFrame, text: Column) -> DataFrame:
-    """Rows of the words as they stand and, where that differs, of the words with numbers and names joined."""
-    both = docs.withColumn("clean", cleaned(text)).withColumn("merged", merged(text))
-    forms = F.when(F.col("clean") == F.col("merged"), F.array(_forms(F.col("clean"), False))).otherwise(F.array(_forms(F.col("clean"), False), _forms(F.col("merged"), True)))
-    return both.withColumn("form", F.explode(forms)).select(*docs.columns, "form.*")
-
-
-def _window(column: str, at: Column) -> Column:
-    return F.xxhash64(*[F.element_at(F.col(column), (at + F.lit(i + 1)).cast("int")) for i in range(WINDOW)])
+def _literal(tokens: Column) -> Column:
+    """How many words of a template are no slots."""
+    return F.size(F.filter(tokens, lambda x: ~x.isin(NUMBER, NAME, UNIT)))
+
+
+def _with_values(df: DataFrame) -> DataFrame:
+    """Rows of one form each: ``form``, its ``tokens`` and what stands for each of them (``values``)."""
+    low = df.withColumn("verbatim", F.transform("words", lambda w: F.lower(F.regexp_replace(w, ",", ""))))
+    head = F.filter(F.sequence(F.lit(0), F.size("each")), lambda i: (i == F.size("each")) | (F.coalesce(F.get("each", i), F.lit("")) != NAME) | (i == 0) | (F.coalesce(F.get("each", i - 1), F.lit("")) != NAME))
+    low = low.withColumn("head", head)
+    runs = F.transform("typed", lambda _, j: F.array_join(F.slice("verbatim", F.get("head", j) + 1, F.get("head", j + 1) - F.get("head", j)), "_"))
+    rows = F.array(*[F.struct(F.lit(form).alias("form"), F.col(tokens).alias("tokens"), values.alias("values")) for form, tokens, values in ((TYPED, "typed", runs), (PLAIN, "plain", F.col("verbatim")), (VERBATIM, "verbatim", F.col("verbatim")))])
+    kept = [c for c in df.columns if c not in ("words", "each", "plain", "typed")]
+    return low.select(*kept, F.explode(rows).alias("f")).where(F.size("f.tokens") > 0).select(*kept, "f.*")
+
+
+def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """item_id, copy, form, size (words of a window), at, w, tokens and values of the window, ``last`` start, and how many windows are needed, for all windows of items that count."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("item"))
+    items = _with_values(forms(items.withColumn("copy", F.xxhash64("item")), "item").drop("item")).distinct()
+    size = F.least(F.size("tokens"), F.lit(WINDOW))
+    cut = F.transform(F.sequence(F.lit(0), F.size("tokens") - size), lambda i: F.struct(i.alias("at"), F.slice("tokens", i + 1, size).alias("tokens"), F.slice("values", i + 1, size).alias("values")))
+    usable = F.filter(cut, lambda c: (F.col("form") == VERBATIM) | (_literal(c["tokens"]) >= LITERAL))
+    items = items.select("item_id", "copy", "form", size.alias("size"), (F.size("tokens") - size).alias("last"), F.size("tokens").alias("n"), usable.alias("usable")).withColumn("offered", F.size("usable"))
+    enough = F.col("offered") >= F.when(F.col("n") >= SHORTEST, 2).otherwise(1)
+    strong = items.where((F.col("form") == TYPED) & enough).select("item_id", "copy", F.lit(True).alias("strong")).distinct()
+    same = F.col("i.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("i.copy") == F.col("s.copy"))
+    items = items.alias("i").join(strong.alias("s"), same, "left").where((F.col("form") == VERBATIM) & F.col("strong").isNull() | (F.col("form") != VERBATIM) & enough).select("i.*")
+    need = F.when((F.col("n") < SHORTEST) | (F.col("form") == VERBATIM), F.col("offered")).otherwise(F.greatest(F.lit(2), F.floor(F.col("offered") / 2))).cast("int")
+    return items.select("item_id", "copy", "form", "size", "last", "offered", need.alias("need"), F.explode("usable").alias("u")).select("item_id", "copy", "form", "size", "last", "offered", "need", F.col("u.at").alias("item_at"), F.col("u.tokens").alias("kind"), F.col("u.values").alias("theirs")).withColumn("w", F.xxhash64("form", *[F.get("kind", F.lit(k)) for k in range(WINDOW)]))
 
 
-def windows(split: DataFrame, stride: int, *keep: str) -> DataFrame:
-    """Rows of ``at``, the hashes of the window in either template, and its words as they stand, at every ``stride``-th word."""
-    last = F.col("words") - WINDOW
-    spots = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.struct(i.alias("at"), _window("template", i).alias("typed"), _window("folded", i).alias("plain"), F.slice("raw", i + 1, WINDOW).alias("own"))))
-    return split.select(*keep, F.explode(spots).alias("s")).select(*keep, "s.*")
+def _small(known: DataFrame) -> DataFrame:
+    return F.broadcast(known) if known.limit(BROADCAST + 1).count() <= BROADCAST else known
 
 
-def _literal(kind: Column) -> Column:
-    """How many words of a template are no slots."""
-    return F.size(F.filter(kind, lambda x: ~x.isin(NUMBER, NAME, UNIT)))
+def _hash(form: int, tokens: str, size: int):
+    """The window at a place, as ``items_of`` hashes it (words beyond a short window are null)."""
+    return lambda i: F.xxhash64(F.lit(form), *[F.get(F.col(tokens), i + k) if k < size else F.lit(None).cast("string") for k in range(WINDOW)])
 
 
-def _offered(column: str) -> Column:
-    """By place modulo ``WINDOW``, how many windows with enough words outside slots an item has."""
-    last = F.col("words") - WINDOW
-    good = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: _literal(F.slice(column, i + 1, WINDOW)) >= LITERAL)).otherwise(F.array().cast("array<int>"))
-    return F.array(*[F.size(F.filter(good, lambda i, r=r: i % WINDOW == r)) for r in range(WINDOW)])
+def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """k1 and k2 of the documents that share as many windows with the benchmark as an item needs."""
+    specs = sorted((r["form"], r["size"]) for r in known.select("form", "size").distinct().collect())
+    marks = known.groupBy("w").agg(F.min("need").alias("need"))
+    split = forms(docs, "text")
+    split = split.withColumn("low", F.transform("words", lambda w: F.lower(F.regexp_replace(w, ",", "")))) if any(form == VERBATIM for form, _ in specs) else split
+    tokens = {TYPED: "typed", PLAIN: "plain", VERBATIM: "low"}
+    hashes = [F.transform(_starts(F.col(tokens[form]), size), _hash(form, tokens[form], size)) for form, size in specs]
+    if not hashes:
+        return docs.select(*KEY).limit(0)
+    hits = split.select(*KEY, F.explode(F.concat(*hashes)).alias("w")).join(_small(marks), "w")
+    return hits.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("need").alias("need")).where(F.col("n") >= F.least("need", F.lit(2))).select(*KEY)
 
 
 def _consistent(pairs: Column) -> Column:
@@ -111,79 +139,39 @@ def _consistent(pairs: Column) -> Column:
     return (F.size(pairs) == sides[0]) & (F.size(pairs) == sides[1])
 
 
-def _slots(item: Column) -> Column:
-    """Pairs of the item's and the document's (``own``) values of the slots."""
-    return F.filter(F.zip_with(item, "own", lambda a, b: F.when(a["slot"], F.struct(F.concat(a["kind"], F.lower(a["theirs"])).alias("theirs"), F.concat(a["kind"], F.lower(b)).alias("own")))), lambda x: x.isNotNull())
-
-
-def _small(known: DataFrame) -> DataFrame:
-    return F.broadcast(known) if known.limit(BROADCAST + 1).count() <= BROADCAST else known
-
-
-def _whole(items: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Places where the template of a whole item stands, for items with too few windows; None if there are no such items.
-
-    Names and numbers are slots in the joined words, and numbers alone in the
-    words as they stand (copies in capitals).  An item that is slots but for
-    fewer than ``LITERAL`` words has to be copied word for word.
-    """
-    short = (F.col("words") < SHORTEST) | (F.array_min(_offered("template")) < 2)
-    hard = items.where((F.col("words") > 0) & short).select("item_id", "copy").distinct()
-    same = F.col("i.item_id").eqNullSafe(F.col("h.item_id")) & (F.col("i.copy") == F.col("h.copy"))
-    hard = items.alias("i").join(hard.alias("h"), same, "left_semi").distinct()
-    lower = lambda raw: F.transform(raw, F.lower)
-    loose = lambda column: _literal(F.col(column)) >= LITERAL
-    keys = F.array(
-        F.struct(F.lit(0).alias("form"), F.when(loose("template"), F.col("template")).alias("key")),
-        F.struct(F.lit(1).alias("form"), F.when(loose("folded"), F.col("folded")).alias("key")),
-        F.struct(F.lit(2).alias("form"), F.when(~loose("template"), lower(F.col("raw"))).alias("key")),
-    )
-    hard = hard.withColumn("k", F.explode(keys)).where("k.key IS NOT NULL").select("item_id", "copy", "joined", "words", F.col("raw").alias("theirs"), "k.form", F.col("k.key").alias("key"))
-    specs = sorted((r["form"], r["words"]) for r in hard.select("form", "words").distinct().collect())
-    if not specs:
-        return None
-    known = hard.select("item_id", "copy", "form", F.col("words").alias("item_words"), F.xxhash64("key").alias("w"), "theirs", "key", F.transform("key", lambda x: x.isin(NUMBER, NAME, UNIT) & (F.col("form") != 2)).alias("slot"))
-    docs = docs.withColumn("lower", lower(F.col("raw")))
-
-    def spots(form: int, n: int) -> Column:
-        column = ("template", "folded", "lower")[form]
-        at = F.sequence(F.lit(0), F.col("words") - n)
-        return F.when(F.col("words") >= n, F.transform(at, lambda i: F.struct(F.lit(form).alias("form"), F.lit(n).alias("item_words"), F.xxhash64(F.slice(column, i + 1, n)).alias("w"), F.slice("raw", i + 1, n).alias("own")))).otherwise(F.array().cast("array<struct<form:int,item_words:int,w:bigint,own:array<string>>>"))
-
-    places = docs.select("did", "tag", "doc_id", F.explode(F.flatten(F.array(*[spots(*s) for s in specs]))).alias("s")).select("did", "tag", "doc_id", "s.*")
-    hits = places.join(_small(known), ["form", "item_words", "w"]).withColumn("pairs", F.array_distinct(_slots(F.arrays_zip("slot", F.col("key").alias("kind"), "theirs"))))
-    full = F.greatest(F.lit(1), F.floor(F.col("item_words") / WINDOW))
-    return hits.where(_consistent(F.col("pairs"))).select("did", "tag", "doc_id", "item_id", F.lit(False).alias("strict"), full.alias("matched"), full.alias("room"), "pairs")
+def _slots() -> Column:
+    """Pairs of the item's and the document's values of the slots, but for names at the item's edges."""
+    edge = lambda k: ((F.col("item_at") == 0) & (k == 0)) | ((F.col("item_at") == F.col("last")) & (k == F.col("size") - 1))
+    pair = lambda kind, k: F.struct(F.concat(kind, F.get("theirs", k)).alias("theirs"), F.concat(kind, F.get("own", k)).alias("own"))
+    slot = lambda kind, k: kind.isin(NUMBER, UNIT) | ((kind == NAME) & ~edge(k))
+    return F.when(F.col("form") == VERBATIM, F.array().cast("array<struct<theirs:string,own:string>>")).otherwise(F.filter(F.transform("kind", lambda kind, k: F.when(slot(kind, k), pair(kind, k))), lambda x: x.isNotNull()))
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """did, tag, doc_id, item_id, matched windows, windows the item has room for, and slots, for every leak."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("item"))
-    items = _split(items, F.col("item")).withColumn("copy", F.xxhash64("item")).drop("item")
-    docs = _split(keyed(df, id_col, text_col), F.col("text"))
-    whole = _whole(items, docs)
-
-    known = items.where(F.col("words") >= SHORTEST).withColumn("can", F.struct(_offered("template").alias("typed"), _offered("folded").alias("plain")))
-    known = windows(known, 1, "item_id", "copy", "joined", "words", "template", "folded", "can")
-    forms = [known.select("item_id", "copy", F.col("joined").alias("item_joined"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), F.col(w).alias("w"), F.lit(w == "typed").alias("named"), F.col("own").alias("theirs"), F.slice(t, F.col("at") + 1, WINDOW).alias("kind"), *[F.col("can")[c][F.col("at") % WINDOW].alias(f"can_{c}") for c in ("typed", "plain")], "typed") for w, t in (("typed", "template"), ("plain", "folded"))]
-    known = forms[0].unionByName(forms[1].where("w != typed")).drop("typed").where(_literal(F.col("kind")) >= LITERAL).withColumn("slot", F.transform("kind", lambda x: x.isin(NUMBER, NAME, UNIT)))
-
-    hits = windows(docs, WINDOW, "doc_id", "did", "tag", "joined").withColumn("w", F.explode(F.array_distinct(F.array("typed", "plain")))).join(_small(known), "w")
-    shift = F.col("at") - F.col("item_at")
+    """k1, k2, doc_id, item_id, matched windows, windows the item offers, and distinct slots, for every leak."""
+    known = items_of(benchmark, item_col, item_text_col)
+    docs = keyed(df, id_col, text_col)
+    few = docs.join(candidates(docs, known), KEY, "left_semi")
+    own = _with_values(forms(few, "text").drop("text"))
+    spot = lambda size: F.transform(_starts(F.col("tokens"), size), lambda i: F.struct(i.alias("at"), F.xxhash64("form", *[F.get("tokens", i + k) if k < size else F.lit(None).cast("string") for k in range(WINDOW)]).alias("w"), F.slice("values", i + 1, size).alias("own")))
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
+    if not sizes:
+        return few.select(*KEY, "doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in ("matched", "room", "slots")]).limit(0)
+    places = own.select(*KEY, "doc_id", F.explode(F.concat(*map(spot, sizes))).alias("s")).select(*KEY, "doc_id", "s.*")
     together = (
-        hits.withColumn("shift", shift).withColumn("pairs", _slots(F.arrays_zip("slot", "kind", "theirs")))
-        .groupBy("did", "tag", "item_id", "copy", "joined", "item_joined", "shift", "item_words").agg(F.countDistinct("item_at").alias("matched"), F.size(F.collect_set(F.when(F.col("named"), F.col("item_at")))).alias("as_typed"), F.max("can_typed").alias("can_typed"), F.max("can_plain").alias("can_plain"), F.min("doc_id").alias("doc_id"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        places.join(_small(known), "w").withColumn("pairs", _slots())
+        .groupBy(*KEY, "item_id", "copy", "form", "offered", "need", (F.col("at") - F.col("item_at")).alias("shift"))
+        .agg(F.min("doc_id").alias("doc_id"), F.countDistinct("item_at").alias("matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
-    room = F.floor((F.col("item_words") - F.pmod(-F.col("shift"), F.lit(WINDOW))) / WINDOW)
-    full = ~F.col("joined") & ~F.col("item_joined") & (2 * F.col("matched") >= F.col("room")) & (F.col("matched") >= F.least(F.lit(2), F.col("room")))
-    offered = (F.col("matched") >= 2) & ((2 * F.col("matched") >= F.col("can_plain")) | ((F.col("as_typed") >= 2) & (2 * F.col("as_typed") >= F.col("can_typed"))))
-    found = together.withColumn("room", room).withColumn("strict", full).where((F.col("strict") | offered) & _consistent(F.col("pairs"))).select("did", "tag", "doc_id", "item_id", "strict", "matched", "room", "pairs")
-    if whole is not None:
-        found = found.unionByName(whole)
-    return (
-        found.groupBy("did", "tag", "item_id").agg(F.min("doc_id").alias("doc_id"), F.max(F.struct("strict", "matched", "room", F.size("pairs").alias("slots"))).alias("best"))
-        .select("did", "tag", "doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.room").cast("long").alias("room"), F.col("best.slots").cast("long").alias("slots"))
+    full = together.where(F.col("matched") >= F.col("need")).withColumn("share", F.col("matched") / F.col("offered")).withColumn("good", _consistent(F.col("pairs")))
+    taken = F.when(F.col("good"), F.struct("matched", F.col("offered").alias("room"), F.size("pairs").alias("slots")))
+    best = full.groupBy(*KEY, "item_id").agg(
+        F.min("doc_id").alias("doc_id"), F.max(F.when(F.col("form") != PLAIN, taken)).alias("first"), F.max(F.when(F.col("form") == PLAIN, taken)).alias("second"),
+        F.max(F.when(F.col("good") & (F.col("form") == PLAIN), F.col("share"))).alias("plain"), F.max(F.when(~F.col("good"), F.col("share"))).alias("mixed"),
     )
+    second = F.when(F.col("mixed").isNull() | (F.col("plain") >= F.col("mixed")), F.col("second"))
+    best = best.withColumn("best", F.greatest("first", second)).where("best IS NOT NULL")
+    return best.select(*KEY, "doc_id", "item_id", *[F.col(f"best.{c}").cast("long").alias(c) for c in ("matched", "room", "slots")])
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
@@ -193,28 +181,40 @@ def contaminated(df: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no leak."""
-    bad = leaks(df, benchmark, id_col, text_col).select("did", "tag").distinct()
-    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"), F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"))
-    return tagged.join(bad, ["did", "tag"], "left_anti").select("row.*")
+    return with_row(df, id_col, text_col).join(leaks(df, benchmark, id_col, text_col).select(*KEY).distinct(), KEY, "left_anti").select("row.*")
 
 
 def oracle_sql() -> str:
-    """The same search over ``documents`` and ``benchmark`` for DuckDB."""
-    kind = lambda names: f"CASE WHEN regexp_matches(x, '^\\p{{N}}') THEN '{NUMBER}' {names}WHEN list_contains([{', '.join(repr(u) for u in UNITS)}], lower(x)) THEN '{UNIT}' ELSE lower(x) END"
-    forms = f"list_transform(raw, lambda x: {kind(f"WHEN regexp_matches(x, '^\\p{{Lu}}') THEN '{NAME}' ")}) AS t, list_transform(raw, lambda x: {kind('')}) AS f"
-    raw = "list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
-    cuts = ", ".join(f"list_slice({column}, pos + 1, pos + {WINDOW}) AS {name}" for column, name in (("t", "wt"), ("f", "wf"), ("raw", "own")))
-    both = lambda table, columns: f"SELECT {columns}, wt AS w FROM {table} UNION ALL SELECT {columns}, wf FROM {table} WHERE wf <> wt"
+    """The same search over ``documents`` and ``benchmark`` for DuckDB, without the first step."""
+    units = ", ".join(repr(u) for u in UNITS)
+    kind = lambda names: f"CASE WHEN regexp_matches(x, '^\\p{{N}}') THEN '{NUMBER}' {names}WHEN lower(x) IN ({units}) THEN '{UNIT}' ELSE lower(x) END"
+    named = f"WHEN regexp_matches(x, '^\\p{{Lu}}') THEN '{NAME}' "
+    # RE2 has no look-around: points and commas between digits are marked first, twice since matches do not overlap
+    mark = lambda c, sign, to: f"regexp_replace(regexp_replace({c}, '(\\p{{N}})[{sign}](\\p{{N}})', '\\1{to}\\2', 'g'), '(\\p{{N}})[{sign}](\\p{{N}})', '\\1{to}\\2', 'g')"
+    marked = mark(mark("coalesce(text, '')", ",", "\x01"), ".", "\x02")
+    words = f"list_transform(list_filter(string_split(regexp_replace({marked}, '[^\\p{{L}}\\p{{N}}\\x01\\x02]+', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: replace(replace(x, chr(1), ','), chr(2), '.'))"
+    slot = f"('{NUMBER}', '{NAME}', '{UNIT}')"
+    head = f"list_filter(range(1, len(each) + 2), lambda i: i = len(each) + 1 OR each[i] <> '{NAME}' OR i = 1 OR each[i - 1] <> '{NAME}')"
+    shape = lambda source, key: f"""SELECT {key}, {words} AS words FROM {source}"""
+    each = lambda table, key: f"""SELECT {key}, list_transform(words, lambda x: {kind(named)}) AS each, list_transform(words, lambda x: {kind('')}) AS plain, list_transform(words, lambda x: lower(replace(x, ',', ''))) AS low FROM {table}"""
+    rows = lambda table, key: f"""SELECT {key}, {TYPED} AS form, list_transform(range(1, len(head)), lambda j: each[head[j]]) AS tokens, list_transform(range(1, len(head)), lambda j: array_to_string(list_slice(low, head[j], head[j + 1] - 1), '_')) AS vals FROM (SELECT *, {head} AS head FROM {table}) WHERE len(each) > 0
+UNION ALL SELECT {key}, {PLAIN}, plain, low FROM {table} WHERE len(low) > 0 UNION ALL SELECT {key}, {VERBATIM}, low, low FROM {table} WHERE len(low) > 0"""
     return f"""
-WITH docs AS (SELECT doc_id, {raw} AS raw FROM documents), items AS (SELECT item_id, text AS item, {raw} AS raw FROM benchmark),
-dt AS (SELECT doc_id, raw, {forms} FROM docs), it AS (SELECT item_id, item, raw, {forms} FROM items WHERE len(raw) >= {SHORTEST}),
-dc AS (SELECT doc_id, pos, {cuts} FROM (SELECT *, unnest(range(0, len(t) - {WINDOW - 1}, {WINDOW})) AS pos FROM dt WHERE len(t) >= {WINDOW})),
-ic AS (SELECT item_id, item, len(t) AS words, pos, {cuts} FROM (SELECT *, unnest(range(0, len(t) - {WINDOW - 1})) AS pos FROM it)),
-dw AS ({both('dc', 'doc_id, pos, own')}), iw AS ({both('ic', 'item_id, item, words, pos, own AS theirs')}),
-iw2 AS (SELECT * FROM iw WHERE len(list_filter(w, lambda x: x NOT IN ('{NUMBER}', '{NAME}', '{UNIT}'))) >= {LITERAL}),
-hits AS (SELECT doc_id, item_id, item, words, dw.pos - iw2.pos AS shift, iw2.pos AS item_at, list_filter(list_transform(range(1, {WINDOW + 1}), lambda i: CASE WHEN dw.w[i] IN ('{NUMBER}', '{NAME}', '{UNIT}') THEN {{'a': dw.w[i] || lower(theirs[i]), 'b': dw.w[i] || lower(own[i])}} END), lambda x: x IS NOT NULL) AS pairs FROM dw JOIN iw2 ON dw.w = iw2.w),
-grouped AS (SELECT doc_id, item_id, item, words, shift, count(DISTINCT item_at) AS matched, list_distinct(flatten(list(pairs))) AS pairs FROM hits GROUP BY ALL),
-roomy AS (SELECT *, ((words - ((-shift % {WINDOW} + {WINDOW}) % {WINDOW})) // {WINDOW})::BIGINT AS room FROM grouped),
-good AS (SELECT * FROM roomy WHERE 2 * matched >= room AND matched >= least(2, room) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda p: p.a))) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda p: p.b)))),
-ranked AS (SELECT *, len(pairs)::BIGINT AS slots, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, room DESC, len(pairs) DESC) AS k FROM good)
-SELECT doc_id, item_id, matched, room, slots FROM ranked WHERE k = 1"""
+WITH iw AS ({shape("(SELECT DISTINCT item_id, text FROM benchmark)", "item_id, text AS copy")}), ie AS ({each("iw", "item_id, copy")}), i AS ({rows("ie", "item_id, copy")}),
+cut AS (SELECT *, least(len(tokens), {WINDOW}) AS size, len(tokens) AS n, unnest(range(0, greatest(len(tokens) - {WINDOW}, 0) + 1)) AS item_at FROM i),
+win AS (SELECT item_id, copy, form, size, n, item_at, n - size AS last, list_slice(tokens, item_at + 1, item_at + size) AS kind, list_slice(vals, item_at + 1, item_at + size) AS theirs FROM cut),
+usable AS (SELECT *, count(*) OVER (PARTITION BY item_id, copy, form) AS offered FROM win WHERE form = {VERBATIM} OR len(list_filter(kind, lambda x: x NOT IN {slot})) >= {LITERAL}),
+fine AS (SELECT *, offered >= CASE WHEN n >= {SHORTEST} THEN 2 ELSE 1 END AS enough FROM usable),
+marked AS (SELECT *, bool_or(form = {TYPED} AND enough) OVER (PARTITION BY item_id, copy) AS strong FROM fine),
+known AS (SELECT *, CASE WHEN n < {SHORTEST} OR form = {VERBATIM} THEN offered ELSE greatest(2, offered // 2) END AS need FROM marked WHERE CASE WHEN form = {VERBATIM} THEN NOT strong ELSE enough END),
+dw AS ({shape("documents", "doc_id")}), de AS ({each("dw", "doc_id")}), d AS ({rows("de", "doc_id")}),
+sizes AS (SELECT DISTINCT size FROM known),
+spots AS (SELECT doc_id, form, tokens, vals, size, unnest(range(0, len(tokens) - size + 1)) AS pos FROM d, sizes WHERE len(tokens) >= size),
+dwin AS (SELECT doc_id, form, size, pos, list_slice(tokens, pos + 1, pos + size) AS kind, list_slice(vals, pos + 1, pos + size) AS own FROM spots),
+hits AS (SELECT doc_id, item_id, copy, form, offered, need, pos - item_at AS shift, item_at, CASE WHEN form = {VERBATIM} THEN [] ELSE list_filter(list_transform(range(1, size + 1), lambda k: CASE WHEN kind[k] IN ('{NUMBER}', '{UNIT}') OR (kind[k] = '{NAME}' AND NOT (item_at = 0 AND k = 1) AND NOT (item_at = last AND k = size)) THEN {{'a': kind[k] || theirs[k], 'b': kind[k] || own[k]}} END), lambda x: x IS NOT NULL) END AS pairs FROM dwin JOIN known USING (form, size, kind)),
+grouped AS (SELECT doc_id, item_id, copy, form, offered, need, shift, count(DISTINCT item_at) AS matched, list_distinct(flatten(list(pairs))) AS pairs FROM hits GROUP BY ALL),
+whole AS (SELECT *, len(pairs) AS slots, matched / offered AS share, len(pairs) = len(list_distinct(list_transform(pairs, lambda p: p.a))) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda p: p.b))) AS fits FROM grouped WHERE matched >= need),
+sides AS (SELECT *, max(CASE WHEN NOT fits THEN share END) OVER pair AS mixed, max(CASE WHEN fits AND form = {PLAIN} THEN share END) OVER pair AS plainly FROM whole WINDOW pair AS (PARTITION BY doc_id, item_id)),
+good AS (SELECT * FROM sides WHERE fits AND (form <> {PLAIN} OR mixed IS NULL OR plainly >= mixed)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, offered DESC, slots DESC) AS k FROM good)
+SELECT doc_id, item_id, matched::BIGINT AS matched, offered::BIGINT AS room, slots::BIGINT AS slots FROM ranked WHERE k = 1"""

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,11 +19,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared(spark: SparkSession) -> None:
-    """Take the checkpoint folder that the cluster names; set one only where none is set (tests)."""
+    """Take the checkpoint folder that the cluster names; a local session without one gets a temporary folder, a cluster has to name it."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quietframe-checkpoints"))
 
 
@@ -45,12 +46,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """``k1`` and ``k2``: two 64-bit hashes of a row's identifier and text, by which results find their row.
+
+    Rows of one identifier and one text share a key and have one result; null
+    counts as the smallest long and as the empty text.
+    """
+    both = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.coalesce(F.col(text_col).cast("string"), F.lit(""))]
+    return [F.xxhash64(*both).alias("k1"), F.xxhash64(F.lit(0x5851F42D4C957F2D), *reversed(both)).alias("k2")]
+
+
+KEY = ["k1", "k2"]
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k1, k2, doc_id and text."""
+    return df.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k1, k2 and all columns of a row as the struct ``row``: no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *row_key(id_col, text_col))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the identifier and the text, under fixed names: other columns never get in the way."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that checkpoints have replaced: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()

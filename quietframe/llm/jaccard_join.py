@@ -42,8 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import checkpoint, free_shuffles, partitions
-from .repeats import keyed
+from .frames import KEY, checkpoint, keyed, partitions, with_row
 from .textcore import U64, Rolling, ascii_lower, mix, runs, text_buffers, word_hashes, words
 
 SHINGLE = 5
@@ -110,7 +109,7 @@ def _frequent(df: DataFrame, size: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, did, tag, the set's identity ``sid``, its size and the shingles that stand for it."""
+    """doc_id, k1, k2, the set's identity ``sid``, its size and the shingles that stand for it."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
 
     def emit(batches):
@@ -128,9 +127,9 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     n, many = len(own), int(often.sum())
                     k = prefix_length(n, n - many, percent) if n else 0
                     tokens.append((np.concatenate([own[~often], own[often]]) if many else own)[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("did"), batch.column("tag"), pa.array(np.concatenate(sid).view(np.int64)), pa.array(np.concatenate(count).astype(np.int64)), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "did", "tag", "sid", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(np.concatenate(sid).view(np.int64)), pa.array(np.concatenate(count).astype(np.int64)), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "sid", "size", "tokens"])
 
-    return docs.select("doc_id", "did", "tag", "text").mapInArrow(emit, "doc_id long, did long, tag int, sid long, size long, tokens array<long>")
+    return docs.select("doc_id", *KEY, "text").mapInArrow(emit, "doc_id long, k1 long, k2 long, sid long, size long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -269,10 +268,10 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents, with all their columns, of which each component keeps the one of the smallest identifier; texts without words all stay."""
     classed = classes_of(df, id_col, text_col)
     empty = F.col("size") == 0
-    stay = classed.where(empty).select("did", "tag", "size").unionByName(classed.where(~empty).select(F.col("least.did").alias("did"), F.col("least.tag").alias("tag"), F.lit(1).cast("long").alias("size"))).distinct()
-    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"), F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"))
-    kept = tagged.join(stay, ["did", "tag"]).withColumn("own", F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    return kept.dropDuplicates(["did", "tag", "own"]).select("row.*")
+    stay = classed.where(empty).select(*KEY, "size").unionByName(classed.where(~empty).select(F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"), F.lit(1).cast("long").alias("size"))).distinct()
+    tagged = with_row(df, id_col, text_col)
+    kept = tagged.join(stay, KEY).withColumn("own", F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return kept.dropDuplicates([*KEY, "own"]).select("row.*")
 
 
 def _labelled(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,27 +281,25 @@ def _labelled(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, did, tag and size of every document, and ``least``: doc_id, did and tag of the first document of its component."""
+    """doc_id, k1, k2 and size of every document, and ``least``: doc_id, k1 and k2 of the first document of its component."""
     p = partitions(df.sparkSession)
     docs = keyed(df, id_col, text_col)
     every = checkpoint(profiles(docs, size, percent))
-    classes = every.where("size > 0").groupBy("sid").agg(F.min(F.struct("did", "tag")).alias("place"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    classes = every.where("size > 0").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("place"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
     tokens = classes.select(F.explode("tokens").alias("token"), "sid", "size")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     member = checkpoint(tokens.join(shared, "token"))
     member = checkpoint(member.join(member.groupBy("sid").agg(F.sum("n").alias("weight")), "sid").select("token", "sid", "size", "weight"))
 
-    places = member.select("sid").distinct().join(classes.select("sid", "place"), "sid").select("sid", "place.did", "place.tag")
-    texts = checkpoint(places.join(docs.select("did", "tag", "text"), ["did", "tag"]).dropDuplicates(["sid"]).select("sid", "text"))
+    places = member.select("sid").distinct().join(classes.select("sid", "place"), "sid").select("sid", "place.k1", "place.k2")
+    texts = checkpoint(places.join(docs.select(*KEY, "text"), KEY).dropDuplicates(["sid"]).select("sid", "text"))
 
     alike = percent * F.greatest("size", "c.size") <= 100 * F.least("size", "c.size")
-    free_shuffles(df.sparkSession)
 
     centres = member.groupBy("token").agg(F.max(F.struct("weight", "sid", "size")).alias("c"))
     reach = member.join(centres, "token").where((F.col("sid") != F.col("c.sid")) & alike).groupBy("sid").agg(F.max("c").alias("heavy"), F.min("c").alias("light"))
     star = reach.select(F.explode(F.array(*[F.struct(F.least("sid", f"{c}.sid").alias("a"), F.greatest("sid", f"{c}.sid").alias("b")) for c in ("heavy", "light")])).alias("e")).select("e.*").distinct()
     links = checkpoint(verified(star, texts, size, percent))
-    free_shuffles(df.sparkSession)
 
     labelled, known = _labelled(member, components(links))
     whole = F.struct("weight", "sid", "label", "size")
@@ -311,7 +308,6 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     second = rest.where("label != top.label").groupBy("token").agg(F.max(whole).alias("c"))
     star = rest.join(second, "token").where((F.col("label") != F.col("c.label")) & alike).select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
     links = checkpoint(verified(star, texts, size, percent)).unionByName(known)
-    free_shuffles(df.sparkSession)
 
     labelled, known = _labelled(rest.select("token", "sid", "size", "weight"), components(links))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1").select("token", F.ceil(F.col("n") / block).cast("int").alias("nb"))
@@ -333,9 +329,8 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     )
     pairs = searched.mapInArrow(_search(percent), "a long, b long").distinct()
     more = checkpoint(verified(pairs, texts, size, percent))
-    free_shuffles(df.sparkSession)
 
     final = components(known.unionByName(more))
-    classed = every.select("doc_id", "did", "tag", "sid", "size").join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "did", "tag", "size", F.coalesce("label", "sid").alias("class"))
-    least = classed.where("size > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "did", "tag")).alias("least"))
-    return classed.join(least, "class", "left").select("doc_id", "did", "tag", "size", "least")
+    classed = every.select("doc_id", *KEY, "sid", "size").join(final, F.col("sid") == F.col("node"), "left").select("doc_id", *KEY, "size", F.coalesce("label", "sid").alias("class"))
+    least = classed.where("size > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *KEY)).alias("least"))
+    return classed.join(least, "class", "left").select("doc_id", *KEY, "size", "least")

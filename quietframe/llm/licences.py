@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import keyed
+from .frames import KEY, keyed
 
 # Texts of well-known short licences, and names with identifiers.
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
@@ -101,15 +101,15 @@ def _known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest of the canonical text, licence (null if none), notices and n_notices of every document."""
     spark = df.sparkSession
-    lines = keyed(df, id_col, text_col).select("doc_id", "did", "tag", canonical_lines(F.col("text")).alias("lines"), F.when(F.lower("text").rlike(rf"(?m)^[^a-z0-9\n]*{WORDING}"), canonical_lines(F.col("text"), WORDING)).alias("wrapped"))
+    lines = keyed(df, id_col, text_col).select("doc_id", *KEY, canonical_lines(F.col("text")).alias("lines"), F.when(F.lower("text").rlike(rf"(?m)^[^a-z0-9\n]*{WORDING}"), canonical_lines(F.col("text"), WORDING)).alias("wrapped"))
     found = (
-        lines.select("did", "tag", F.explode("lines").alias("line")).select("did", "tag", F.sha2("line", 256).alias("digest"))
-        .join(_known(spark, notices()), "digest").groupBy("did", "tag").agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.countDistinct("licence").alias("n_notices"))
+        lines.select(*KEY, F.explode("lines").alias("line")).select(*KEY, F.sha2("line", 256).alias("digest"))
+        .join(_known(spark, notices()), "digest").groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.countDistinct("licence").alias("n_notices"))
     )
     bare = untitled(F.coalesce("wrapped", "lines"))
     own = F.sha2(F.array_join("lines", " "), 256)
-    whole = lines.select("doc_id", "did", "tag", own.alias("shown"), F.when(bare == F.col("lines"), own).otherwise(F.sha2(F.array_join(bare, " "), 256)).alias("digest")).join(_texts(spark), "digest", "left").drop("digest").withColumnRenamed("shown", "digest")
-    return whole.join(found, ["did", "tag"], "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+    whole = lines.select("doc_id", *KEY, own.alias("shown"), F.when(bare == F.col("lines"), own).otherwise(F.sha2(F.array_join(bare, " "), 256)).alias("digest")).join(_texts(spark), "digest", "left").drop("digest").withColumnRenamed("shown", "digest")
+    return whole.join(found, KEY, "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
 def _sql_lines(column: str) -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import partitions
+from .frames import KEY, partitions
 from .textcore import BASE_A, BASE_B, BYTE_VALUES, U64, Rolling, runs, text_buffers, word_hashes, words
 
 #: Occurrences from which an anchor's windows are counted one by one.
@@ -133,29 +133,29 @@ def _keys(kind: Kind):
 def _places(kind: Kind):
     def emit(batches):
         for batch in batches:
-            did, tag = batch.column("did").to_numpy(), batch.column("tag").to_numpy()
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for a, _, _, _, _, _, _, _, _, key, doc in scan(kind, batch.column("text")):
                 order = np.lexsort((key, doc))
                 k, d = key[order], doc[order]
                 new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(did[a + d[new]]), pa.array(tag[a + d[new]])], ["key", "did", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(k1[a + d[new]]), pa.array(k2[a + d[new]])], ["key", "k1", "k2"])
 
     return emit
 
 
-ROWS = "key long, proof long, kind int, did long, tag int, at int, lo int, hi int, many int, context binary"
+ROWS = "key long, proof long, kind int, k1 long, k2 long, at int, lo int, hi int, many int, context binary"
 
 
-def _rows(key, proof, what, did, tag, at, lo, hi, many, context):
+def _rows(key, proof, what, k1, k2, at, lo, hi, many, context):
     n = len(key)
     i32 = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int32), n))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.broadcast_to(np.asarray(proof, np.int64), n)), i32(what), pa.array(did), pa.array(tag), i32(at), i32(lo), i32(hi), i32(many), context if context is not None else pa.nulls(n, pa.binary())], ["key", "proof", "kind", "did", "tag", "at", "lo", "hi", "many", "context"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.broadcast_to(np.asarray(proof, np.int64), n)), i32(what), pa.array(k1), pa.array(k2), i32(at), i32(lo), i32(hi), i32(many), context if context is not None else pa.nulls(n, pa.binary())], ["key", "proof", "kind", "k1", "k2", "at", "lo", "hi", "many", "context"])
 
 
 def _contexts(kind: Kind):
     def emit(batches):
         for batch in batches:
-            did, tag = batch.column("did").to_numpy(), batch.column("tag").to_numpy()
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             lists = batch.column("keys")
             wanted, flags = lists.flatten().field("key").to_numpy(), lists.flatten().field("hot").to_numpy(zero_copy_only=False)
             wanted, at = np.unique(wanted, return_index=True)
@@ -169,7 +169,7 @@ def _contexts(kind: Kind):
                     if len(part):
                         d = doc[part]
                         context = gather(own, start[t[part] - hi[part]], end[t[part] - lo[part] + kind.n - 1])
-                        yield _rows(key[part], 0, CONTEXT, did[a + d], tag[a + d], t[part] - bounds[d], lo[part], hi[part], 0, context)
+                        yield _rows(key[part], 0, CONTEXT, k1[a + d], k2[a + d], t[part] - bounds[d], lo[part], hi[part], 0, context)
                 sel = np.flatnonzero(hot)
                 if not len(sel):
                     continue
@@ -183,7 +183,7 @@ def _contexts(kind: Kind):
                 size = np.bincount(group)
                 head = order[new]
                 at = begin - bounds[d]
-                yield _rows(name[head], proof[head], WINDOW, did[a + d[head]], tag[a + d[head]], at[head], 0, 0, np.minimum(size, 2), None)
+                yield _rows(name[head], proof[head], WINDOW, k1[a + d[head]], k2[a + d[head]], at[head], 0, 0, np.minimum(size, 2), None)
                 twice = order[size[group] > 1]
                 if len(twice):  # decided here: as runs of starts
                     twice = np.sort(twice)
@@ -191,7 +191,7 @@ def _contexts(kind: Kind):
                     cut = np.append(True, (s[1:] != s[:-1] + 1) | (dd[1:] != dd[:-1]))
                     first, last = s[cut], s[np.append(cut[1:], True)]
                     dd = dd[cut]
-                    yield _rows(did[a + dd] * 31 + first, 0, DECIDED, did[a + dd], tag[a + dd], first, first, last + kind.n, 0, None)
+                    yield _rows(k1[a + dd] * 31 + first, 0, DECIDED, k1[a + dd], k2[a + dd], first, first, last + kind.n, 0, None)
 
     return emit
 
@@ -221,17 +221,17 @@ def _resolve(kind: Kind, resolver: Resolver):
             data, offsets = text_buffers(context.take(pa.array(sel)))
             hit = resolver(kind, names["key"][sel], data, offsets, names["lo"][sel].astype(np.int64), names["hi"][sel].astype(np.int64))
             row, first, last = starts_to_spans(kind, hit, names["at"][sel].astype(np.int64))
-            out.append((names["did"][sel][row], names["tag"][sel][row], first, last))
+            out.append((names["k1"][sel][row], names["k2"][sel][row], first, last))
         sel = np.flatnonzero(what == WINDOW)
         if len(sel):
             order = sel[np.lexsort((names["proof"][sel], names["key"][sel]))]
             k, p = names["key"][order], names["proof"][order]
             group = np.cumsum(np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))) - 1
             yes = order[np.bincount(group, names["many"][order])[group] > 1]
-            out.append((names["did"][yes], names["tag"][yes], names["at"][yes].astype(np.int64), names["at"][yes].astype(np.int64) + kind.n))
+            out.append((names["k1"][yes], names["k2"][yes], names["at"][yes].astype(np.int64), names["at"][yes].astype(np.int64) + kind.n))
         sel = np.flatnonzero(what == DECIDED)
         if len(sel):
-            out.append((names["did"][sel], names["tag"][sel], names["lo"][sel].astype(np.int64), names["hi"][sel].astype(np.int64)))
+            out.append((names["k1"][sel], names["k2"][sel], names["lo"][sel].astype(np.int64), names["hi"][sel].astype(np.int64)))
         return [np.concatenate(x) for x in zip(*out)] if out else None
 
     def emit(batches):
@@ -243,7 +243,7 @@ def _resolve(kind: Kind, resolver: Resolver):
             if whole.num_rows:
                 found = spans({n: whole.column(n).to_numpy() for n in whole.column_names if n != "context"}, whole.column("context").combine_chunks() if whole.num_rows else None)
                 if found is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.int64)), pa.array(found[3].astype(np.int64))], ["did", "tag", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.int64)), pa.array(found[3].astype(np.int64))], ["k1", "k2", "first", "last"])
 
         for batch in batches:  # sorted by key; a key is never cut
             held.append(batch)
@@ -261,32 +261,26 @@ def _resolve(kind: Kind, resolver: Resolver):
     return emit
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and the keys by which results come back: rows of one identifier and text have one result."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"), F.hash(text).alias("tag"), text.alias("text"))
-
-
 def covered(docs: DataFrame, kind: Kind, resolver: Resolver, hot: int = HOT) -> DataFrame:
-    """did, tag and the spans of tokens covered by windows that occur elsewhere too.
+    """k1, k2 and the spans of tokens covered by windows that occur elsewhere too.
 
-    ``docs`` has did, tag and text (``keyed``) and any columns the caller needs
+    ``docs`` has k1, k2 and text (``keyed``) and any columns the caller needs
     later: all of them go through the join that finds the contexts, so that a
     later join of the same ``docs`` with the spans reuses its exchange and the
     texts are shuffled once.
     """
     p = partitions(docs.sparkSession)
-    texts = docs.select("did", "tag", "text")
+    texts = docs.select(*KEY, "text")
     repeated = docs.select("text").mapInArrow(_keys(kind), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
-    places = texts.mapInArrow(_places(kind), "key long, did long, tag int")
-    wanted = places.join(repeated, "key").groupBy("did", "tag").agg(F.collect_list(F.struct("key", "hot")).alias("keys"))
-    contexts = docs.join(wanted, ["did", "tag"]).mapInArrow(_contexts(kind), ROWS)
-    found = contexts.repartition(p, "key").sortWithinPartitions("key").mapInArrow(_resolve(kind, resolver), "did long, tag int, first long, last long")
-    return found.groupBy("did", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    places = texts.mapInArrow(_places(kind), "key long, k1 long, k2 long")
+    wanted = places.join(repeated, "key").groupBy(*KEY).agg(F.collect_list(F.struct("key", "hot")).alias("keys"))
+    contexts = docs.join(wanted, KEY).mapInArrow(_contexts(kind), ROWS)
+    found = contexts.repartition(p, "key").sortWithinPartitions("key").mapInArrow(_resolve(kind, resolver), "k1 long, k2 long, first long, last long")
+    return found.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    return docs.join(spans, ["did", "tag"], "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["last"]).alias("last"))
+    return docs.join(spans, KEY, "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["last"]).alias("last"))
 
 
 def cover(n: int, first, last) -> np.ndarray:

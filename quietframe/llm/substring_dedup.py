@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
+from .frames import keyed
 from .repeats import Kind
 from .textcore import BASE_A, BASE_B, Rolling, runs, text_buffers, word_hashes, words
 
@@ -97,7 +98,7 @@ def factors(own: list[str], references: list[list[str]], n: int) -> list[tuple[i
 
 def removed(df: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT) -> DataFrame:
     """doc_id, text and the spans (arrays ``first`` and ``last``) of the words to remove."""
-    docs = repeats.keyed(df, id_col, text_col)
+    docs = keyed(df, id_col, text_col)
     return repeats.with_spans(docs, repeats.covered(docs, kind(n), resolve, hot))
 
 

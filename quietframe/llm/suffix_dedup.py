@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
+from .frames import KEY, keyed, row_key
 from .repeats import Kind
 from .textcore import text_buffers
 
@@ -78,7 +79,7 @@ def resolve(kind: Kind, key: np.ndarray, data: np.ndarray, offsets: np.ndarray,
 
 def removed(df: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT) -> DataFrame:
     """doc_id, text and the spans (arrays ``first`` and ``last``) of the bytes to remove."""
-    docs = repeats.keyed(df, id_col, text_col)
+    docs = keyed(df, id_col, text_col)
     return repeats.with_spans(docs, repeats.covered(docs, kind(n), resolve, hot))
 
 
@@ -123,8 +124,8 @@ def rewrite(df: DataFrame, n: int = N, text_col: str = "text", id_col: str = "do
     named = list(df.columns)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in named if c not in (text_col, "n_chars")])
-    docs = df.select(rest.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"), F.hash(text).alias("tag"), text.alias("text"))
-    joined = docs.join(repeats.covered(docs, kind(n), resolve), ["did", "tag"], "left").select("row", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["last"]).alias("last"))
+    docs = df.select(rest.alias("row"), *row_key(id_col, text_col), text.alias("text"))
+    joined = docs.join(repeats.covered(docs, kind(n), resolve), KEY, "left").select("row", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["last"]).alias("last"))
     out = joined.mapInArrow(cut, joined.schema)
     fresh = {text_col: F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[(fresh[c] if c in fresh else F.col("row")[c]).alias(c) for c in named])
