@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-Long text is cut in halves, the halves are encoded on their own (in parallel
-where a pool is given), and each join is mended: a window around the cut is
+A text longer than a leaf is cut in halves, these in halves again, down to
+leaves of at most ``LEAF`` characters, wherever the cuts fall: inside words too,
+so that a long stretch without any split is no harder than other text.  Leaves
+are encoded in parallel threads (the encoder runs outside the interpreter's
+lock).  Then neighbours are joined, up the tree: a window around each join is
 encoded again and grown until its tokens agree exactly with the tokens of the
-left and of the right half.  A sequence is the encoding of its text if every
+left and of the right side.  A sequence is the encoding of its text if every
 pair of neighbouring tokens is, so one agreeing token on either side carries
-over; the window asks for ``AGREE`` of them, and falls back to the whole when
-no window agrees.
+over; the window asks for ``AGREE`` of them, and goes on to the whole where no
+smaller window agrees.
 
 Defined cases: null and empty text have no tokens and decode to the empty
 string; repeated rows are encoded each; the decoded text of valid UTF-8 is the
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,10 @@ from pyspark.sql import DataFrame
 
 from .frames import documents
 
-#: Characters from which a text is cut in halves.
-LONG = 1 << 16
+#: Characters that are encoded at once.
+LEAF = 1 << 11
+#: Threads of a worker that encode leaves.
+THREADS = 2
 #: First reach, in characters, of the window around a join.
 REACH = 64
 #: Tokens that have to agree on each side of a join.
@@ -33,6 +40,7 @@ AGREE = 3
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _codecs: dict[str, "Codec"] = {}
+_pools: dict[int, ThreadPoolExecutor] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -63,45 +71,44 @@ class Codec:
     def plain(self, text: str) -> list[int]:
         return self.core.encode(text, allowed_special="all")
 
-    def encode(self, text: str, long: int = LONG, pool=None) -> list[int]:
-        if len(text) <= long:
+    def encode(self, text: str, leaf: int = LEAF, pool: ThreadPoolExecutor | None = None) -> list[int]:
+        if len(text) <= leaf:
             return self.plain(text)
-        cut = len(text) // 2
-        left, right = text[:cut], text[cut:]
-        if pool is not None:
-            ahead = pool.submit(self.encode, left, long)
-            right_ids = self.encode(right, long)
-            left_ids = ahead.result()
-        else:
-            left_ids, right_ids = self.encode(left, long), self.encode(right, long)
-        return self.joined(left, left_ids, right, right_ids)
+        many = 1 << (-(-len(text) // leaf) - 1).bit_length()
+        cuts = [len(text) * i // many for i in range(many + 1)]
+        parts = [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        encoded = list((pool.map if pool else map)(self.plain, parts))
+        while len(parts) > 1:
+            pairs = range(0, len(parts), 2)
+            encoded = [self.joined(parts[i], encoded[i], parts[i + 1], encoded[i + 1]) for i in pairs]
+            parts = [parts[i] + parts[i + 1] for i in pairs]
+        return encoded[0]
 
     def joined(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
-        """The encoding of left + right from those of its parts."""
-        left_ends = np.cumsum(self.size[left_ids])[::-1] if left_ids else np.zeros(0, np.int64)
-        right_starts = np.cumsum(np.append(0, self.size[right_ids]))[:-1] if right_ids else np.zeros(0, np.int64)
-        middle = len(left.encode())
+        """The encoding of left + right from those of its parts; bytes are counted from the join."""
         reach = REACH
         while reach < min(len(left), len(right)):
             before, after = left[-reach:], right[:reach]
             window = self.plain(before + after)
-            starts = np.cumsum(np.append(0, self.size[window]))[:-1] + middle - len(before.encode())
-            a = self._agreement([(int(s), t) for s, t in zip(starts, window) if s < middle], {int(e - self.size[t]): t for e, t in zip(left_ends[: 2 * reach], left_ids[::-1])}, middle)
-            b = self._agreement([(int(s) - middle, t) for s, t in zip(starts, window) if s >= middle], {int(s): t for s, t in zip(right_starts[: 2 * reach], right_ids)}, None)
+            starts = np.cumsum(np.append(0, self.size[window])) - len(before.encode())
+            near, next_ = left_ids[-4 * reach :], right_ids[: 4 * reach]
+            left_starts = -np.cumsum(self.size[near[::-1]])[::-1]
+            right_starts = np.cumsum(np.append(0, self.size[next_]))[:-1]
+            a = self._agreement(starts, window, dict(zip(left_starts.tolist(), near)), False)
+            b = self._agreement(starts, window, dict(zip(right_starts.tolist(), next_)), True)
             if a is not None and b is not None:
-                head = len(left_ids) - int(np.searchsorted(-left_ends, -a))
-                tail = int(np.searchsorted(right_starts, b))
-                inner = [t for s, t in zip(starts, window) if a <= s < b + middle]
-                return [*left_ids[:head], *inner, *right_ids[tail:]]
+                head = len(left_ids) - len(near) + int(np.searchsorted(left_starts, a)) if a < 0 else len(left_ids)
+                inner = [t for s, t in zip(starts[:-1].tolist(), window) if a <= s < b]
+                return [*left_ids[:head], *inner, *right_ids[int(np.searchsorted(right_starts, b)) :]]
             reach *= 2
         return self.plain(left + right)
 
-    def _agreement(self, window: list[tuple[int, int]], half: dict[int, int], middle: int | None) -> int | None:
+    def _agreement(self, starts: np.ndarray, window: list[int], half: dict[int, int], right: bool) -> int | None:
         """Byte at which ``AGREE`` neighbouring tokens of the window that are the half's own end."""
         run = 0
-        for start, token in window:
-            end = start + int(self.size[token])
-            run = run + 1 if half.get(start) == token and (middle is None or end <= middle) else 0
+        for start, end, token in zip(starts[:-1].tolist(), starts[1:].tolist(), window):
+            inside = start >= 0 if right else end <= 0
+            run = run + 1 if inside and half.get(start) == token else 0
             if run == AGREE:
                 return end
         return None
@@ -110,6 +117,14 @@ class Codec:
         return self.core.decode_bytes(ids).decode("utf-8", "replace")
 
 
+def leaf_pool() -> ThreadPoolExecutor:
+    """The threads of this process (a forked worker makes its own)."""
+    if os.getpid() not in _pools:
+        _pools.clear()
+        _pools[os.getpid()] = ThreadPoolExecutor(THREADS)
+    return _pools[os.getpid()]
+
+
 def codec(spec: str) -> Codec:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _codecs:
@@ -132,7 +147,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for text in batch.column("text"):
-                ids = bpe.encode(text.as_py() or "")
+                ids = bpe.encode(text.as_py() or "", pool=leaf_pool())
                 raw = np.asarray(ids, "<u4").tobytes()
                 decoded = bpe.decode(ids)
                 rows[0].append(len(ids))

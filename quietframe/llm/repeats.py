@@ -13,8 +13,9 @@ distances.  A phrase is what lies between anchors.
 2. Anchors of such hashes send the text of their windows to the hash's
    partition, where a ``resolver`` decides which windows are equal.
 3. Hashes of more than ``HOT`` occurrences never meet in one task: their windows
-   are hashed one by one, windows that repeat inside a task are decided there,
-   and one representative a task goes on.
+   are counted one by one, by two 64-bit hashes each; windows that repeat inside
+   a task are decided there, and one representative a task goes on.  No case is
+   dropped on either way.
 
 The result holds the starts of all repeated windows as spans of covered tokens.
 """
@@ -35,7 +36,7 @@ from .textcore import BASE_A, BASE_B, BYTE_VALUES, U64, Rolling, runs, text_buff
 #: Occurrences from which an anchor's windows are counted one by one.
 HOT = 2000
 #: Bytes of context that a resolver takes at once, cut at a change of the hash.
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 POSITION = U64((1 << 20) - 1)
 CONTEXT, WINDOW, DECIDED = 0, 1, 2
 
@@ -62,6 +63,10 @@ class Kind:
         start, end, bounds = words(data, offsets)
         return word_hashes(data, start, end), start, end, bounds
 
+    def proofs(self, data: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Other token values: what two tokens share in one of both they hardly share in the other."""
+        return values if self.unit == "byte" else word_hashes(data, start, end, other=True)
+
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     width = 1
@@ -176,7 +181,7 @@ def _contexts(kind: Kind):
                 reps = hi[sel] - lo[sel] + 1
                 back = np.repeat(hi[sel], reps) - (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
                 begin, d = np.repeat(t[sel], reps) - back, np.repeat(doc[sel], reps)
-                name, proof = Rolling(values, BASE_A).of(begin, kind.n).view(np.int64), Rolling(values, BASE_B).of(begin, kind.n).view(np.int64)
+                name, proof = Rolling(values, BASE_A).of(begin, kind.n).view(np.int64), Rolling(kind.proofs(own, values, start, end), BASE_B).of(begin, kind.n).view(np.int64)
                 order = np.lexsort((begin, proof, name))
                 new = np.append(True, (name[order][1:] != name[order][:-1]) | (proof[order][1:] != proof[order][:-1]))
                 group = np.cumsum(new) - 1
@@ -196,7 +201,7 @@ def _contexts(kind: Kind):
     return emit
 
 
-Resolver = Callable[[Kind, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Resolver = Callable[[Kind, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def starts_to_spans(kind: Kind, hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +224,7 @@ def _resolve(kind: Kind, resolver: Resolver):
             sel = sel[count[inverse] > 1]
         if len(sel):
             data, offsets = text_buffers(context.take(pa.array(sel)))
-            hit = resolver(kind, names["key"][sel], data, offsets, names["lo"][sel].astype(np.int64), names["hi"][sel].astype(np.int64))
+            hit = resolver(kind, data, offsets, names["lo"][sel].astype(np.int64), names["hi"][sel].astype(np.int64))
             row, first, last = starts_to_spans(kind, hit, names["at"][sel].astype(np.int64))
             out.append((names["k1"][sel][row], names["k2"][sel][row], first, last))
         sel = np.flatnonzero(what == WINDOW)

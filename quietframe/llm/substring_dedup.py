@@ -1,15 +1,18 @@
 """Substring dedup of words by relative Lempel-Ziv parsing.
 
 The corpus is cut into reference blocks (``repeats``: the stretches around equal
-anchors, every one of them indexed).  Each block is factored greedily against
-the index of all blocks of its key: a factor begins at the first word whose
-window of ``n`` words stands elsewhere and goes on, word by word, as long as the
-longest of the matching blocks goes on with the same words.  A factor of at
-least ``n`` words is a duplicate span.  At the factor's end the windows that
-straddle it are looked up too, since another block may hold them, and the next
-factor starts there.
-
-Words are compared by 64-bit hashes, windows by two of them.
+anchors; every window lies in one of them and every block is indexed).  The
+index of a task's blocks is their order of suffixes: by the words before the
+anchor, read backwards, and by those from it on.  Each block is factored
+greedily against all others: a factor begins at the first word whose window of
+``n`` words the index holds elsewhere and is as long as the longest match there
+is.  A factor of at least ``n`` words is a duplicate span.  At its end the
+windows that straddle it are looked up, since another block may hold them: the
+next factor begins at the first window that the last factor does not hold.
+
+Words are compared by their bytes.  Blocks of anchors of more than ``HOT``
+occurrences never meet in one task: their windows are counted by two 64-bit
+hashes, made of different hashes of the words (``repeats``).
 
 Defined cases: null text has no words; a text of fewer than ``n`` words is kept;
 copies are removed on both sides; repeated rows count as places of their own;
@@ -26,8 +29,9 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 from .frames import keyed
+from .orders import longest_right, positions, sorted_rows
 from .repeats import Kind
-from .textcore import BASE_A, BASE_B, Rolling, runs, text_buffers, word_hashes, words
+from .textcore import text_buffers, word_hashes, words
 
 N = 35
 WORDS = Kind("word", N, 24, 2, 16)
@@ -39,61 +43,87 @@ def kind(n: int) -> Kind:
     return WORDS if n == N else Kind("word", n, max(1, n * 2 // 3), 1, 16)
 
 
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number from 1 on for each word; words have the same number if their bytes are the same."""
+    h = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(data[a:b], start[i:j] - a, end[i:j] - a) for a, b, i, j in _slices(start, end))])
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    length, like = end - start, first[ids]
+    same = length == length[like]
+    rows = np.flatnonzero(same & (like != np.arange(len(like))))
+    for part in np.array_split(rows, 1 + len(rows) // 100_000):
+        size = length[part]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        differ = data[np.repeat(start[part], size) + step] != data[np.repeat(start[like[part]], size) + step]
+        same[np.repeat(part, size)[differ]] = False
+    if not same.all():  # two words of one hash: number them by their bytes
+        known: dict[bytes, int] = {}
+        ids = np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start, end)])
+    return ids + 1
+
+
+def _slices(start: np.ndarray, end: np.ndarray, limit: int = 1 << 19):
+    """(first byte, end byte, first word, end word) of stretches of whole words of about ``limit`` bytes."""
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + limit, "right")))
+        yield int(start[i]), int(end[j - 1]), i, j
+        i = j
+
+
 class Index:
-    """The windows of ``n`` words of all reference blocks, by two hashes."""
-
-    def __init__(self, values: np.ndarray, begin: np.ndarray, n: int):
-        name, proof = Rolling(values, BASE_A).of(begin, n), Rolling(values, BASE_B).of(begin, n)
-        order = np.lexsort((proof, name))
-        a, b = name[order], proof[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(order) else np.zeros(0, bool)
-        self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        self.size = np.bincount(self.group) if len(order) else np.zeros(0, np.int64)
-
-    def elsewhere(self) -> np.ndarray:
-        """Whether each indexed window stands at another place too."""
-        return self.size[self.group] > 1
-
-
-def resolve(kind: Kind, key: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """hit[row, a]: the window that starts ``a`` words before the row's anchor is in a factor of at least ``n`` words or straddles two."""
-    parts, bounds = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64)
-    for a, b in runs(offsets):  # a slice at a time: what is per byte stays small
-        own = data[offsets[a] : offsets[b]]
-        start, end, edges = words(own, offsets[a : b + 1] - offsets[a])
-        parts.append(word_hashes(own, start, end))
-        bounds[a + 1 : b + 1] = bounds[a] + edges[1:]
-    values = np.concatenate(parts)
-    many = hi - lo + 1
-    row = np.repeat(np.arange(len(hi)), many)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    index = Index(values, bounds[row] + step, kind.n)
-    hit = np.zeros((len(hi), int(hi.max()) + 1), bool)
-    hit[row, hi[row] - step] = index.elsewhere()
+    """The suffixes of all blocks: each has ``hi`` words before its anchor and goes on from there."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, hi: np.ndarray, lo: np.ndarray):
+        self.hi, self.size = hi, np.diff(bounds)
+        anchor = bounds[:-1] + hi
+
+        def reach(length: np.ndarray, step: int) -> np.ndarray:
+            k = np.arange(int(length.max(initial=0)))
+            inside = k < length[:, None]
+            at = anchor[:, None] + (k if step > 0 else -1 - k)
+            return np.where(inside, ids[np.where(inside, at, 0)], 0)
+
+        self.left, self.left_common = sorted_rows(reach(hi, -1))
+        right, self.common = sorted_rows(reach(self.size - hi, 1))
+        self.rank = positions(right)
+        self.lo = lo
+
+    def longest(self) -> np.ndarray:
+        """longest[row, a]: words of the longest match of the suffix that begins ``a`` words before the row's anchor with another block; 0 if it ends before the anchor."""
+        out = np.zeros((len(self.hi), int(self.hi.max()) + 1), np.int64)
+        head = np.empty(len(self.hi), np.int64)
+        for a in range(int(self.lo.min()), out.shape[1]):
+            own = np.flatnonzero((self.lo <= a) & (a <= self.hi))
+            head[self.left] = np.cumsum(self.left_common < a)
+            match = longest_right(head[own], self.rank[own], self.common)
+            out[own, a] = np.where(match < 0, 0, np.minimum(a + match, self.size[own] - self.hi[own] + a))
+        return out
+
+
+def factor(longest: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Greedy factors of every block, as hit[row, a]: the window that starts ``a`` words before the anchor lies in a factor of ``n`` words or more.
+
+    All blocks go on together, each from its first window to its last one.
+    """
+    hit = np.zeros(longest.shape, bool)
+    at = hi.copy()
+    rows = np.arange(len(hi))
+    while len(rows):
+        length = longest[rows, at[rows]]
+        held = np.maximum(length - n + 1, 0)  # windows that the factor holds
+        for k in range(int(held.max(initial=0))):
+            some = rows[held > k]
+            some = some[at[some] - k >= lo[some]]
+            hit[some, at[some] - k] = True
+        at[rows] -= np.maximum(held, 1)
+        rows = rows[at[rows] >= lo[rows]]
     return hit
 
 
-def factors(own: list[str], references: list[list[str]], n: int) -> list[tuple[int, int]]:
-    """Greedy factors (first word, end word) of at least ``n`` words of one document against other documents; the plain form of the parsing, for small inputs."""
-    spots: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-    for r, text in enumerate(references):
-        for i in range(len(text) - n + 1):
-            spots.setdefault(tuple(text[i : i + n]), []).append((r, i))
-    out, at = [], 0
-    while at + n <= len(own):
-        length = 0
-        for r, i in spots.get(tuple(own[at : at + n]), ()):
-            size = n
-            while at + size < len(own) and i + size < len(references[r]) and own[at + size] == references[r][i + size]:
-                size += 1
-            length = max(length, size)
-        if length:
-            out.append((at, at + length))
-            at += length - n + 1  # the windows that straddle the factor's end come next
-        else:
-            at += 1
-    return out
+def resolve(kind: Kind, data: np.ndarray, offsets: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """hit[row, a]: whether a factor holds the window that starts ``a`` words before the row's anchor."""
+    start, end, bounds = words(data, offsets)
+    return factor(Index(word_ids(data, start, end), bounds, hi, lo).longest(), lo, hi, kind.n)
 
 
 def removed(df: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT) -> DataFrame:

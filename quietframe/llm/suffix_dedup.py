@@ -1,13 +1,23 @@
 """Suffix-array dedup of bytes by prefix-free parsing.
 
-Rolling-hash triggers cut the corpus into phrases (``repeats``).  Where an
-anchor's hash occurs more than once, the phrases before those anchors are a
-dictionary and what follows them is the parse.  The dictionary is sorted by its
-suffixes and the parse by its right context, each with the lengths of the
-common prefixes of neighbours; both orders together are the corpus order of all
-suffixes that begin in those phrases.  Suffixes that stand together in both
-orders, at ``a`` bytes in the dictionary and ``n - a`` in the parse, start equal
-windows of ``n`` bytes; all bytes are compared, no hash decides.
+Rolling-hash triggers cut the corpus into phrases (``repeats``).  Equal windows
+of ``n`` bytes have equal anchors at equal distances, so a partition of anchors
+decides about its windows alone, in this way:
+
+* the dictionary: the distinct phrases before the anchors, with a suffix array
+  (``orders.suffix_ranks``), and the distinct phrases after them in order, each
+  up to the end of its next trigger, so that none is the beginning of another;
+* the parse: what follows each anchor, as the ranks of its phrases.  Its suffix
+  array is the order of these sequences of ranks, with common prefixes in bytes
+  that come from the lengths of equal phrases and the dictionary's own;
+* both combined are the corpus order of all suffixes that begin in a phrase
+  before an anchor: by the rank of the rest of their phrase, then by the parse.
+  A suffix that shares ``n`` bytes with a neighbour in that order starts a
+  window that starts elsewhere too.
+
+Bytes are compared here, no hash decides.  Anchors of more than ``HOT``
+occurrences never meet in one task: their windows are counted by two 64-bit
+hashes each (``repeats``).
 
 Defined cases: null text is empty; a text of fewer than ``n`` bytes is kept; a
 whole copy is removed on both sides, since windows are judged on the input;
@@ -25,8 +35,9 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .frames import KEY, keyed, row_key
+from .orders import distinct_strings, longest_right, positions, range_min, sorted_rows, suffix_ranks
 from .repeats import Kind
-from .textcore import text_buffers
+from .textcore import BYTE_VALUES, U64, Rolling, text_buffers
 
 N = 200
 BYTES = Kind("byte", N, 160, 16, 128)
@@ -38,42 +49,67 @@ def kind(n: int) -> Kind:
     return BYTES if n == N else Kind("byte", n, max(1, n * 4 // 5), max(1, min(16, n // 8)), 128)
 
 
-def _order(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of the strings that go ``length`` bytes from ``start`` in direction ``step``, and each one's common prefix with the one before it."""
-    wide = -(-width // 8) * 8
-    matrix = np.zeros((len(start), wide), np.uint8)
-    for i in range(width):
-        some = length > i
-        matrix[some, i] = data[start[some] + step * i]
-    columns = matrix.view(">u8").astype(np.uint64)
-    order = np.lexsort(columns.T[::-1])
-    matrix = matrix[order]
-    common = np.zeros(len(start), np.int64)
-    if len(start) > 1:
-        differ = matrix[1:] != matrix[:-1]
-        common[1:] = np.where(differ.any(1), differ.argmax(1), wide)
+def phrases(kind: Kind, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the phrases of the stretches begin:end: cut at triggers, each with the next trigger at its end."""
+    trigger = np.zeros(len(data) + 1, bool)
+    if len(data) >= kind.gram:
+        trigger[: len(data) - kind.gram + 1] = Rolling(BYTE_VALUES[data]).all(kind.gram) % U64(kind.every) == 0
+    at = np.flatnonzero(trigger)
+    # stretches do not overlap and are in order: the stretch of a trigger is the last that begins before it
+    row = np.searchsorted(begin, at, "left") - 1
+    inside = (row >= 0) & (at + kind.gram <= end[row])
+    starts, rows = np.concatenate([begin, at[inside]]), np.concatenate([np.arange(len(begin)), row[inside]])
+    order = np.argsort(starts, kind="stable")
+    starts, rows = starts[order], rows[order]
+    last = np.append(rows[1:] != rows[:-1], True)
+    ends = np.where(last, end[rows], np.append(starts[1:], 0) + kind.gram)
+    return rows, starts, np.minimum(ends, end[rows])
+
+
+def parse_order(kind: Kind, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the stretches begin:end by the ranks of their phrases, and each one's common bytes with the one before it."""
+    rows, start, stop = phrases(kind, data, begin, end)
+    first, rank = distinct_strings(data, start, stop - start)
+    step = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    most = int(step.max(initial=0)) + 1
+    ranks = np.zeros((len(begin), most), np.int64)
+    ranks[rows, step] = rank + 1
+    offset = np.repeat((end - begin)[:, None], most + 1, axis=1)
+    offset[rows, step] = start - begin[rows]
+    order, equal = sorted_rows(ranks)
+    common = np.zeros(len(begin), np.int64)
+    if len(begin) > 1:
+        a, b, m = order[:-1], order[1:], equal[1:]
+        common[1:] = np.minimum(offset[a, m], offset[b, m])
+        some = np.flatnonzero(m < most)
+        x, y = ranks[a[some], m[some]] - 1, ranks[b[some], m[some]] - 1
+        both = (x >= 0) & (x < y)
+        length, lead = (stop - start)[first], start[first]
+        shared = np.zeros(len(first), np.int64)
+        alive = np.arange(1, len(first))
+        for i in range(int(length.max(initial=0))):  # common bytes of neighbours in the dictionary
+            alive = alive[(length[alive] > i) & (length[alive - 1] > i)]
+            alive = alive[data[lead[alive] + i] == data[lead[alive - 1] + i]]
+            shared[alive] += 1
+        if both.any():
+            common[1:][some[both]] += range_min(shared)(x[both] + 1, y[both] + 1)
     return order, common
 
 
-def resolve(kind: Kind, key: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def resolve(kind: Kind, data: np.ndarray, offsets: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """hit[row, a]: whether the window that starts ``a`` bytes before the row's anchor starts elsewhere too."""
     anchor = offsets[:-1] + hi
-    rows, widest = len(anchor), int(hi.max())
-    dictionary, shared_left = _order(data, anchor - 1, hi, max(1, widest), -1)
-    parse, shared_right = _order(data, anchor, kind.n - lo, kind.n, 1)
-    left, right = np.empty(rows, np.int64), np.empty(rows, np.int64)
-    hit = np.zeros((rows, widest + 1), bool)
-    for a in range(int(lo.min()), widest + 1):
-        own = np.flatnonzero((lo <= a) & (a <= hi))
-        if len(own) < 2:
-            continue
-        left[dictionary] = np.cumsum(shared_left < a)
-        right[parse] = np.cumsum(shared_right < kind.n - a)
-        place = left[own] * (rows + 1) + right[own]
-        order = np.argsort(place, kind="stable")
-        p = place[order]
-        same = p[1:] == p[:-1]
-        hit[own[order], a] = np.append(same, False) | np.append(False, same)
+    order, common = parse_order(kind, data, anchor, offsets[1:])
+    first, phrase = distinct_strings(data, offsets[:-1], hi)
+    bounds = np.append(0, np.cumsum(hi[first]))
+    dictionary = data[np.repeat(offsets[:-1][first] - bounds[:-1], hi[first]) + np.arange(bounds[-1])]
+    suffixes = np.append(suffix_ranks(dictionary, bounds) + 1, 0)
+    many = hi - lo + 1
+    row = np.repeat(np.arange(len(hi)), many)
+    back = np.repeat(hi, many) - (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+    head = np.where(back > 0, suffixes[bounds[phrase[row] + 1] - back], 0)
+    hit = np.zeros((len(hi), int(hi.max()) + 1), bool)
+    hit[row, back] = back + longest_right(head, positions(order)[row], common) >= kind.n
     return hit
 
 

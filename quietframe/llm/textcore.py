@@ -128,11 +128,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: bool = False) -> np.ndarray:
+    """64-bit hash of each word's bytes; ``other``: by other byte values and another base."""
     if not len(start):
         return np.zeros(0, U64)
-    roll = Rolling(BYTE_VALUES[data], BASE_B)
+    roll = Rolling(mix(BYTE_VALUES)[data], BASE_A) if other else Rolling(BYTE_VALUES[data], BASE_B)
     return roll.of(start, end - start)
 
 

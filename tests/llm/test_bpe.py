@@ -35,7 +35,7 @@ def test_joined_halves_are_the_whole(pair, parts):
     want = plain.encode(text, add_special_tokens=False).ids
     assert codec.encode(text) == want
     if "<|endoftext|>" not in text:
-        assert codec.encode(text, long=40) == want
+        assert codec.encode(text, leaf=40) == want
     assert codec.decode(want) == plain.decode(want, skip_special_tokens=False)
 
 
@@ -44,14 +44,14 @@ def test_long_unsplit_text(pair, unit):
     codec, plain = pair
     text = unit * 3000
     with ThreadPoolExecutor(2) as pool:
-        assert codec.encode(text, long=500, pool=pool) == plain.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text, leaf=500, pool=pool) == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_long_random_letters(pair):
     codec, plain = pair
     rng = random.Random(4)
     text = "".join(rng.choice("abcdeéñ") for _ in range(20000))
-    assert codec.encode(text, long=300) == plain.encode(text, add_special_tokens=False).ids
+    assert codec.encode(text, leaf=300) == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_table(spark, pair):

@@ -5,9 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quietframe.llm import substring_dedup, suffix_dedup
+from quietframe.llm import orders, substring_dedup, suffix_dedup
+from quietframe.llm.repeats import Kind
 
 
 def corpus(seed):
@@ -91,16 +94,93 @@ def test_very_long_text(spark):
     assert (row.n_bytes, row.n_removed, row.n_spans) == (1_200_500, 1000, 2)
 
 
-def test_factors_cover_what_windows_cover():
-    rows = [t.split() for _, t in corpus(7) if t]
-    gone = windows_gone([tuple(t) for t in rows], 6)
-    for k, own in enumerate(rows):
-        others = rows[:k] + rows[k + 1 :]
-        seen = [False] * len(own)
-        for a, b in substring_dedup.factors(own, others, 6):
-            seen[a:b] = [True] * (b - a)
-        inner = Counter(tuple(own[i : i + 6]) for i in range(len(own) - 5))
-        for i in range(len(own) - 5):
-            if inner[tuple(own[i : i + 6])] > 1:
-                seen[i : i + 6] = [True] * 6
-        assert seen == gone[k]
+def contexts(kind, alphabet, separator, seed=3):
+    """Blocks of one anchor each, many of which share passages: bytes, offsets, lo, hi, and the flags that counting gives."""
+    rng = random.Random(seed)
+    base = [rng.choice(alphabet) for _ in range(400)]
+    blocks, lo, hi = [], [], []
+    for _ in range(300):
+        h = rng.randrange(kind.reach)
+        low = rng.randrange(h + 1)
+        start = rng.randrange(340)
+        block = base[start : start + h + kind.n - low]
+        if rng.random() < 0.5:
+            block[rng.randrange(len(block))] = rng.choice(alphabet)
+        if len(block) == h + kind.n - low:
+            blocks.append(block), lo.append(low), hi.append(h)
+    count = Counter((a, tuple(b[h - a : h - a + kind.n])) for b, low, h in zip(blocks, lo, hi) for a in range(low, h + 1))
+    want = {(i, a) for i, (b, low, h) in enumerate(zip(blocks, lo, hi)) for a in range(low, h + 1) if count[a, tuple(b[h - a : h - a + kind.n])] > 1}
+    whole = [separator.join(b) for b in blocks]
+    return np.frombuffer(b"".join(whole), np.uint8), np.cumsum([0, *map(len, whole)]), np.array(lo), np.array(hi), want
+
+
+@pytest.mark.parametrize("alphabet,n", [(b"ab", 12), (b"a", 12), (b"abcdefgh", 30), (b"ab\0", 20)])
+@pytest.mark.parametrize("module", [suffix_dedup, substring_dedup])
+def test_orders_and_factors_find_what_counting_finds(module, alphabet, n):
+    words = module is substring_dedup
+    kind = Kind("word", n, n * 2 // 3, 1, 16) if words else Kind("byte", n, n * 4 // 5, max(1, n // 8), 4)
+    letters = [(bytes([c]) * 2).replace(b"\0", b"c") if words else bytes([c]) for c in alphabet]
+    data, offsets, lo, hi, want = contexts(kind, letters, b" " if words else b"")
+    hit = module.resolve(kind, data, offsets, lo, hi)
+    assert set(zip(*map(list, map(np.ndarray.tolist, np.nonzero(hit))))) == want
+
+
+def test_suffix_ranks():
+    rng = random.Random(1)
+    strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(40))) for _ in range(30)]
+    offsets = np.cumsum([0, *map(len, strings)])
+    rank = orders.suffix_ranks(np.frombuffer(b"".join(strings), np.uint8), offsets)
+    suffixes = [s[i:] for s in strings for i in range(len(s))]
+    place = {s: i for i, s in enumerate(sorted(set(suffixes)))}
+    assert rank.tolist() == [place[s] for s in suffixes]
+
+
+def test_greedy_factors():
+    longest = np.array([[0, 0, 0, 7, 6, 8], [0, 0, 0, 0, 4, 5]])  # by words before the anchor; windows of 6 words
+    hit = substring_dedup.factor(longest, np.array([0, 0]), np.array([5, 5]), 6)
+    assert np.argwhere(hit).tolist() == [[0, 3], [0, 4], [0, 5]]
+    longest[0, 2] = 6  # a window that straddles the factor's end, held by another block
+    assert np.argwhere(substring_dedup.factor(longest, np.array([0, 0]), np.array([5, 5]), 6)).tolist() == [[0, 2], [0, 3], [0, 4], [0, 5]]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda data, start, end, other=False: np.zeros(len(start), np.uint64))
+    data = np.frombuffer(b"ab cd ab abc cd", np.uint8)
+    start, end = np.array([0, 3, 6, 9, 13]), np.array([2, 5, 8, 12, 15])
+    ids = substring_dedup.word_ids(data, start, end)
+    assert ids[0] == ids[2] and ids[1] == ids[4] and len(set(ids.tolist())) == 3
+
+
+def colliding(spark):
+    """Two texts of one 32-bit Spark hash."""
+    seen = spark.range(300_000).select(F.concat(F.lit("x" * 300), F.col("id").cast("string")).alias("t")).groupBy(F.hash("t").alias("h")).agg(F.collect_list("t").alias("ts")).where(F.size("ts") > 1).first()
+    return seen.ts[:2]
+
+
+def test_rows_of_one_32_bit_hash_keep_their_own_results(spark):
+    a, b = colliding(spark)
+    rng = random.Random(2)
+    unique = "".join(rng.choice("abcdefghij") for _ in range(400))
+    rows = [(None, a), (None, b), (None, a), (None, unique), (7, "")]
+    got = Counter(map(tuple, suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("n_bytes", "n_removed").collect()))
+    texts = [(t or "").encode() for _, t in rows]
+    want = Counter((len(t), sum(g)) for t, g in zip(texts, windows_gone(texts, 200)))
+    assert got == want
+
+
+@pytest.mark.parametrize("module,n", [(suffix_dedup, 200), (substring_dedup, 35)])
+def test_shipped_lengths_on_a_table(spark, module, n):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    tokens = [(t or "").encode() if n == 200 else tuple(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in rows]
+    want = {i: sum(g) for (i, _), g in zip(rows, windows_gone(tokens, n))}
+    assert {r.doc_id: r.n_removed for r in module.dedup(docs).collect()} == want
+    assert sum(want.values()) > 0
+
+
+def test_very_long_words_text(spark):
+    rng = random.Random(6)
+    text = [str(rng.randrange(10**9)) for _ in range(200_000)]
+    df = spark.createDataFrame([(1, " ".join(text + text[70_000:70_100]))], "doc_id long, text string")
+    row = substring_dedup.dedup(df).first()
+    assert (row.n_words, row.n_removed) == (200_100, 200)
