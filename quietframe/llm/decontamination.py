@@ -26,8 +26,9 @@ verbatim form, and then has to be copied word for word.
    words do not count where the typed form matches a larger share of its windows
    and its slots are not consistent: another name stands at one of its places.
 
-The item windows are broadcast only if they are at most ``BROADCAST`` (counted
-first); beyond that the join is a plain hash or merge join.
+The item windows and the keys of the first step are broadcast only if they are
+at most ``BROADCAST`` rows (counted first); beyond that the join is a plain hash
+or merge join.
 
 Defined cases: null and empty texts and items match nothing; repeated items
 count as items of their own; documents that are copies have rows each; a null
@@ -39,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import KEY, keyed, with_row
+from .frames import KEY, checkpoint, keyed, with_row
 
 WINDOW = 4
 LITERAL = 2
@@ -58,18 +59,16 @@ def _first(word: Column, plain: tuple[str, str], kind: str) -> Column:
     return ((word >= plain[0]) & (word <= plain[1] + "\U0010ffff")) | ((word >= "\u0080") & word.rlike(rf"^\p{{{kind}}}"))
 
 
-def _placeholder(word: Column, names: bool) -> Column:
+def _typed(word: Column) -> Column:
     low = F.lower(word)
-    out = F.when(_first(word, ("0", "9"), "N"), NUMBER)
-    if names:
-        out = out.when(_first(word, ("A", "Z"), "Lu"), NAME)
-    return out.when(low.isin(UNITS), UNIT).otherwise(low)
+    return F.when(_first(word, ("0", "9"), "N"), NUMBER).when(_first(word, ("A", "Z"), "Lu"), NAME).when(low.isin(UNITS), UNIT).otherwise(low)
 
 
 def forms(df: DataFrame, text: str) -> DataFrame:
     """``df`` with the words of a text in the three forms, and the first word of each token of the typed one."""
-    out = df.withColumn("words", F.filter(F.split(text, BETWEEN), lambda w: w != ""))
-    out = out.withColumn("each", F.transform("words", lambda w: _placeholder(w, True))).withColumn("plain", F.transform("words", lambda w: _placeholder(w, False)))
+    plain_numbers = ~F.col(text).rlike(r"\p{N}[.,]\p{N}")  # then the simple pattern does the same
+    out = df.withColumn("words", F.filter(F.when(plain_numbers, F.split(text, r"[^\p{L}\p{N}]+")).otherwise(F.split(text, BETWEEN)), lambda w: w != ""))
+    out = out.withColumn("each", F.transform("words", _typed)).withColumn("plain", F.zip_with("words", "each", lambda w, e: F.when(e == NAME, F.when(F.lower(w).isin(UNITS), UNIT).otherwise(F.lower(w))).otherwise(e)))
     head = lambda x, i: (x != NAME) | (i == 0) | (F.get("each", F.greatest(i - 1, F.lit(0))) != NAME)
     return out.withColumn("typed", F.filter("each", head))
 
@@ -107,16 +106,30 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     same = F.col("i.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("i.copy") == F.col("s.copy"))
     items = items.alias("i").join(strong.alias("s"), same, "left").where((F.col("form") == VERBATIM) & F.col("strong").isNull() | (F.col("form") != VERBATIM) & enough).select("i.*")
     need = F.when((F.col("n") < SHORTEST) | (F.col("form") == VERBATIM), F.col("offered")).otherwise(F.greatest(F.lit(2), F.floor(F.col("offered") / 2))).cast("int")
-    return items.select("item_id", "copy", "form", "size", "last", "offered", need.alias("need"), F.explode("usable").alias("u")).select("item_id", "copy", "form", "size", "last", "offered", "need", F.col("u.at").alias("item_at"), F.col("u.tokens").alias("kind"), F.col("u.values").alias("theirs")).withColumn("w", F.xxhash64("form", *[F.get("kind", F.lit(k)) for k in range(WINDOW)]))
+    return items.select("item_id", "copy", "form", "size", "last", "offered", need.alias("need"), F.explode("usable").alias("u")).select("item_id", "copy", "form", "size", "last", "offered", "need", F.col("u.at").alias("item_at"), F.col("u.tokens").alias("kind"), F.col("u.values").alias("theirs")).withColumn("w", _hash(F.col("form"), lambda k: F.get("kind", F.lit(k))))
 
 
 def _small(known: DataFrame) -> DataFrame:
     return F.broadcast(known) if known.limit(BROADCAST + 1).count() <= BROADCAST else known
 
 
-def _hash(form: int, tokens: str, size: int):
-    """The window at a place, as ``items_of`` hashes it (words beyond a short window are null)."""
-    return lambda i: F.xxhash64(F.lit(form), *[F.get(F.col(tokens), i + k) if k < size else F.lit(None).cast("string") for k in range(WINDOW)])
+def _hash(form: Column, token) -> Column:
+    """Hash of a window, given its words by number; words beyond a short window are null."""
+    return F.xxhash64(form, F.xxhash64(token(0), token(1)), F.xxhash64(token(2), token(3)))
+
+
+def _at(tokens: Column, i: Column, size: int):
+    return lambda k: F.get(tokens, i + k) if k < size else F.lit(None).cast("string")
+
+
+def _hashes(form: int, tokens: str, size: int) -> Column:
+    """Hashes of all windows of a form: from those of pairs of neighbours, which are cheaper than four look-ups a window."""
+    if size < WINDOW:
+        return F.transform(_starts(F.col(tokens), size), lambda i: _hash(F.lit(form), _at(F.col(tokens), i, size)))
+    rest = lambda column, k: F.slice(column, k + 1, F.size(column))
+    pairs = f"{tokens}_pairs"
+    fours = F.zip_with(pairs, rest(pairs, 2), lambda x, y: F.xxhash64(F.lit(form), x, y))
+    return F.when(F.size(tokens) >= WINDOW, F.slice(fours, 1, F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -126,9 +139,12 @@ def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
     split = forms(docs, "text")
     split = split.withColumn("low", F.transform("words", lambda w: F.lower(F.regexp_replace(w, ",", "")))) if any(form == VERBATIM for form, _ in specs) else split
     tokens = {TYPED: "typed", PLAIN: "plain", VERBATIM: "low"}
-    hashes = [F.transform(_starts(F.col(tokens[form]), size), _hash(form, tokens[form], size)) for form, size in specs]
-    if not hashes:
+    if not specs:
         return docs.select(*KEY).limit(0)
+    for form in {form for form, size in specs if size == WINDOW}:
+        name = tokens[form]
+        split = split.withColumn(f"{name}_pairs", F.zip_with(name, F.slice(name, 2, F.size(name)), lambda x, y: F.xxhash64(x, y)))
+    hashes = [_hashes(form, tokens[form], size) for form, size in specs]
     hits = split.select(*KEY, F.explode(F.concat(*hashes)).alias("w")).join(_small(marks), "w")
     return hits.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("need").alias("need")).where(F.col("n") >= F.least("need", F.lit(2))).select(*KEY)
 
@@ -151,9 +167,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """k1, k2, doc_id, item_id, matched windows, windows the item offers, and distinct slots, for every leak."""
     known = items_of(benchmark, item_col, item_text_col)
     docs = keyed(df, id_col, text_col)
-    few = docs.join(candidates(docs, known), KEY, "left_semi")
+    few = docs.join(_small(checkpoint(candidates(docs, known))), KEY, "left_semi")
     own = _with_values(forms(few, "text").drop("text"))
-    spot = lambda size: F.transform(_starts(F.col("tokens"), size), lambda i: F.struct(i.alias("at"), F.xxhash64("form", *[F.get("tokens", i + k) if k < size else F.lit(None).cast("string") for k in range(WINDOW)]).alias("w"), F.slice("values", i + 1, size).alias("own")))
+    spot = lambda size: F.transform(_starts(F.col("tokens"), size), lambda i: F.struct(i.alias("at"), _hash(F.col("form"), _at(F.col("tokens"), i, size)).alias("w"), F.slice("values", i + 1, size).alias("own")))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
     if not sizes:
         return few.select(*KEY, "doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in ("matched", "room", "slots")]).limit(0)
