@@ -69,6 +69,18 @@ def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *row_key(id_col, text_col))
 
 
+def with_hot_keys(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
+    """Left join of rows with ``known``, which has one row for each key and how many rows the key has.
+
+    Keys of more than a partition's share of the rows are at most as many as
+    there are partitions; they are broadcast, and their rows stay where they are.
+    """
+    total = known.agg(F.sum(count)).first()[0] or 0
+    hot = known.where(F.col(count) > max(1000, total // partitions(rows.sparkSession))).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(known.drop(count), key, "left")
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the identifier and the text, under fixed names: other columns never get in the way."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

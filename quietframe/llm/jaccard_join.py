@@ -1,30 +1,38 @@
 """Similarity join of word-shingle sets by signature trees.
 
-Equal sets are one class with one representative.  Candidate groups come from a
-global order of shingles: rare ones by hash, then the most frequent ones.  Two
-sets of Jaccard similarity ``t`` have one of their first ``floor((1-t) n) + 1``
-shingles in common; a set gives fewer where that is as sure by the hash order
-alone: the chance that two linked sets miss each other in their first ``k`` is
-below ``r**k`` with ``r`` the largest share of their first-class shingles that
-may differ, and ``k`` is chosen for ``MISS`` = 2**-56 a pair, the odds of equal
-64-bit hashes.  The order decides speed alone, never a link.
-
-Links are found in two rounds, so that a family of copies is never expanded
-into pairs:
-
-1. every set is compared with centres of its groups: a group's centre is the set
-   whose shingles are shared most, as that of an original is among its copies.
-   The links found are joined into provisional components; groups that still
-   hold several are given a centre from another component, once more;
-2. groups that still hold several components are searched by signature trees:
-   nodes hold the OR of their sets' bitmaps, the range of set sizes and the
-   largest excess of size over bits.  A dual traversal prunes two nodes when the
-   size ranges are too far apart, when the maximum possible overlap (common bits
-   plus excess) is too small for any pair, or when all their sets are in one
-   component.  Groups of more than ``BLOCK`` sets are searched block against
-   block, in separate tasks.
-
-Every surviving pair is compared exactly on its whole texts.
+Equal sets are one class with one representative.  The others stand in groups:
+by a global order of shingles (rare ones by hash, then the most frequent ones)
+two sets of Jaccard similarity ``t`` have one of their first
+``floor((1-t) n) + 1`` shingles in common, and the sets that share one are a
+group.  Groups of the same members are one group.
+
+Each group is searched by signature trees, which alone propose pairs.  Nodes
+hold the OR of their sets' bitmaps, the range of set sizes and the largest
+excess of size over bits.  A dual traversal prunes two nodes when the size
+ranges are too far apart, when the maximum possible overlap (common bits plus
+excess) is too small for any pair, or when all their sets are in one component.
+So that a family of copies is never expanded into pairs, there are three rounds,
+each followed by the exact comparison of the pairs' whole texts and by the
+components of all links so far:
+
+1. of a set's pairs that survive the trees of all its groups, the one with the
+   set that shares most shingles with others (the original among its copies);
+2. of a set's pairs with other components, the one of the largest possible
+   similarity;
+3. every pair with another component that was not compared before.
+
+The third round makes the result exact; the first two leave it little to do and
+change no result.  A group of more than ``BLOCK`` sets is searched by blocks.  In
+the first two rounds a block holds its own sets and the group's first one.  In
+the third, sets of the group's largest component are only held against those of
+others, so that a set is copied once for each block of smaller components.
+
+By the order of shingles alone two linked sets could miss each other where a set
+gives fewer shingles than the exact number: it gives ``k`` where the chance of a
+miss is below ``r**k``, with ``r`` the largest share of its shingles that may
+differ, and ``k`` is chosen for ``MISS`` = 2**-56 a pair, the odds of equal
+64-bit hashes, on which classes rest anyway.  ``exact`` asks for the full
+number.
 
 Defined cases: null and empty texts have no shingles and are linked with
 nothing; a text of fewer words than a shingle is one shingle; a null identifier
@@ -42,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import KEY, checkpoint, keyed, partitions, with_row
+from .frames import KEY, checkpoint, keyed, partitions, with_hot_keys, with_row
 from .textcore import U64, Rolling, ascii_lower, mix, runs, text_buffers, word_hashes, words
 
 SHINGLE = 5
@@ -81,10 +89,10 @@ def each_run(column: pa.Array, size: int = SHINGLE):
         yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
 
 
-def prefix_length(n: int, first: int, percent: int = PERCENT) -> int:
+def prefix_length(n: int, first: int, percent: int = PERCENT, full: bool = False) -> int:
     """How many shingles of a set of ``n``, ``first`` of them not frequent, stand for it."""
     exact = n - -(-percent * n // 100) + 1
-    if first:
+    if first and not full:
         share = (100 - percent) * n / percent / first
         if share < 1:
             likely = math.ceil(MISS / -math.log(share))
@@ -108,7 +116,7 @@ def _frequent(df: DataFrame, size: int) -> np.ndarray:
     return np.sort(top.select("token").toArrow().column("token").to_numpy().view(U64))
 
 
-def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def profiles(docs: DataFrame, size: int, percent: int, full: bool = False) -> DataFrame:
     """doc_id, k1, k2, the set's identity ``sid``, its size and the shingles that stand for it."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
 
@@ -125,7 +133,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 for i in range(b - a):
                     own, often = h[bounds[i] : bounds[i + 1]], last[bounds[i] : bounds[i + 1]]
                     n, many = len(own), int(often.sum())
-                    k = prefix_length(n, n - many, percent) if n else 0
+                    k = prefix_length(n, n - many, percent, full) if n else 0
                     tokens.append((np.concatenate([own[~often], own[often]]) if many else own)[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(np.concatenate(sid).view(np.int64)), pa.array(np.concatenate(count).astype(np.int64)), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "sid", "size", "tokens"])
 
@@ -137,8 +145,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     def compare(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 one = [h[s:e] for _, _, h, o in each_run(part.column("text_a"), size) for s, e in zip(o[:-1], o[1:])]
                 two = [h[s:e] for _, _, h, o in each_run(part.column("text_b"), size) for s, e in zip(o[:-1], o[1:])]
                 yes = np.zeros(part.num_rows, bool)
@@ -149,9 +157,16 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     yes[i] = 100 * common >= percent * (len(x) + len(y) - common)
                 yield part.select(["a", "b"]).filter(pa.array(yes))
 
-    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    share = max(500, pairs.count() // partitions(pairs.sparkSession))
+    # the pairs of a set in the middle of many copies are dealt to several tasks, each with its text; at most twice as many sets as partitions are so
+    hot = {side: pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > share).select(F.col(side).alias("often"), F.ceil(F.col("n") / share).cast("int").alias("k")) for side in ("a", "b")}
+    for side in hot:
+        often = F.broadcast(hot[side])
+        spread = F.coalesce("k", F.lit(1))
+        copies = texts.join(often, F.col("sid") == F.col("often"), "left").select(F.col("sid").alias(side), F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("copy"))
+        dealt = pairs.join(often, F.col(side) == F.col("often"), "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), spread).cast("int")).drop("often", "k")
+        pairs = dealt.join(copies, [side, "copy"]).drop("copy")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
 class Tree:
@@ -166,16 +181,19 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(ex, at), np.minimum.reduceat(l0, at), np.maximum.reduceat(l1, at)))
 
     def pairs(self, other: "Tree", percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs of sets that may be similar and are in different components."""
+        """Index pairs of sets that may be similar and are in different components; in both orders if ``other`` is the tree itself."""
         # both trees may differ in height: the lower one's top stands until the other has come down
         a, b = len(self.levels) - 1, len(other.levels) - 1
         x, y = np.divmod(np.arange(len(self.levels[a][0]) * len(other.levels[b][0])), len(other.levels[b][0]))
         while True:
+            if other is self and a == b:  # each pair once
+                once = x < y if a == 0 else x <= y
+                x, y = x[once], y[once]
             found = [self._alive(self.levels[a], other.levels[b], x[s : s + 4096], y[s : s + 4096], percent, a == 0 and b == 0) for s in range(0, len(x), 4096)]
             alive = np.concatenate(found) if found else np.zeros(0, bool)
             x, y = x[alive], y[alive]
             if a == 0 and b == 0:
-                return x, y
+                return (np.concatenate([x, y]), np.concatenate([y, x])) if other is self else (x, y)
             if a >= b:
                 x, y = self._down(x, y, len(self.levels[a - 1][0]))
                 a -= 1
@@ -210,46 +228,64 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(percent: int):
-    def blocks(columns: dict[str, np.ndarray]):
-        order = np.lexsort((columns["size"], columns["own"], columns["y"], columns["x"], columns["token"]))
-        c = {k: v[order] for k, v in columns.items()}
-        new = np.append(True, (c["token"][1:] != c["token"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1]))
-        edges = np.append(np.flatnonzero(new), len(order))
+HEAVY, NEAR, ALL = range(3)
+
+
+def _proposed(mode: int, c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of rows (i, j) that survived, those a round asks for: one and other set, and what they are chosen by."""
+    a, b = c["sid"][i], c["sid"][j]
+    if mode == ALL:
+        return np.minimum(a, b), np.maximum(a, b), np.zeros(len(a))
+    if mode == HEAVY:
+        up = (c["weight"][j] > c["weight"][i]) | ((c["weight"][j] == c["weight"][i]) & (b > a))
+        a, b, value = a[up], b[up], c["weight"][j][up].astype(float)
+    else:
+        common = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(c["bits"][i[s : s + 4096]] & c["bits"][j[s : s + 4096]]).sum(1) for s in range(0, len(i), 4096))])
+        value = common / (c["size"][i] + c["size"][j])
+    order = np.lexsort((b, value, a))
+    last = np.append(a[order][1:] != a[order][:-1], True)[: len(order)]
+    best = order[last]
+    return a[best], b[best], value[best]
+
+
+def _search(mode: int, percent: int):
+    """Rows sorted by ``cell`` (a block of a group, or two blocks of it) to proposed pairs."""
+
+    def cells(c: dict[str, np.ndarray]):
+        order = np.lexsort((c["size"], c["own"], c["cell"]))
+        c = {k: v[order] for k, v in c.items()}
+        edges = np.append(np.flatnonzero(np.append(True, c["cell"][1:] != c["cell"][:-1])), len(order))
         out = []
         for s, e in zip(edges[:-1], edges[1:]):
             if e - s < 2:
                 continue
-            x, y = c["x"][s], c["y"][s]
-            first = np.flatnonzero(c["own"][s:e] == x) + s
-            second = first if x == y else np.flatnonzero(c["own"][s:e] == y) + s
+            first = np.flatnonzero(c["own"][s:e] == c["x"][s]) + s
+            second = first if c["x"][s] == c["y"][s] else np.flatnonzero(c["own"][s:e] == c["y"][s]) + s
             if not len(first) or not len(second):
                 continue
-            trees = [Tree(c["size"][i], c["label"][i], c["bits"][i]) for i in ((first,) if x == y else (first, second))]
+            trees = [Tree(c["size"][k], c["label"][k], c["bits"][k]) for k in ((first,) if second is first else (first, second))]
             i, j = trees[0].pairs(trees[-1], percent)
-            a, b = c["sid"][first[i]], c["sid"][second[j]]
-            out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b])
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            out.append(_proposed(mode, c, first[i], second[j]))
+        return [np.concatenate(v) for v in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
     def emit(batches):
         held, size = [], 0
 
         def flush(parts):
             whole = pa.Table.from_batches(parts).combine_chunks()
-            columns = {n: whole.column(n).to_numpy() for n in ("token", "x", "y", "own", "sid", "size", "label")}
+            columns = {n: whole.column(n).to_numpy() for n in ("cell", "x", "y", "own", "sid", "size", "weight", "label")}
             data, _ = text_buffers(whole.column("bits"))
             columns["bits"] = data.copy().view(U64).reshape(len(columns["sid"]), -1)
-            pairs = blocks(columns)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in cells(columns)], ["a", "b", "value"])
 
-        for batch in batches:  # sorted by token: a token is never cut
+        for batch in batches:  # a cell is never cut
             if not batch.num_rows:
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size > 16 << 20:
-                token = batch.column("token").to_numpy()
-                cut = int(np.searchsorted(token, token[-1]))
+            if size > 8 << 20:
+                cell = batch.column("cell").to_numpy()
+                cut = int(np.searchsorted(cell, cell[-1]))
                 if cut:
                     yield flush([*held[:-1], batch.slice(0, cut)])
                     held, size = [batch.slice(cut)], 0
@@ -259,9 +295,35 @@ def _search(percent: int):
     return emit
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def proposals(mode: int, member: DataFrame, signature: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) with a < b that a round's tree search proposes; ``member``: token, sid, size, weight and label."""
+    p = partitions(member.sparkSession)
+    labels = member.groupBy("token", "label").agg(F.count("*").alias("n"), F.max(F.struct("weight", "sid")).alias("top"))
+    groups = labels.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("major"), F.max("top").alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    rows = member.join(groups.select("token", "n", "major", "top"), "token")
+    slot = lambda n: F.pmod(F.xxhash64("sid"), F.greatest(n, F.lit(1))).cast("int")
+    if mode == ALL:
+        less, more = blocks(F.col("n") - F.col("major.n")), blocks(F.col("major.n"))
+        minor = F.col("label") != F.col("major.label")
+        rows = rows.withColumn("own", F.when(minor, slot(less)).otherwise(less + slot(more)))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, less + more).otherwise(less) - 1)))
+        rows = rows.select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    else:
+        many = blocks(F.col("n"))
+        spots = F.when(F.col("sid") == F.col("top.sid"), F.sequence(F.lit(0), many - 1)).otherwise(F.array(slot(many)))
+        rows = rows.withColumn("own", F.explode(spots)).select("*", F.col("own").alias("x"), F.col("own").alias("y"))
+    rows = rows.join(signature, "sid").select(F.xxhash64("token", "x", "y").alias("cell"), "x", "y", "own", "sid", "size", "weight", "label", "bits")
+    found = rows.repartition(p, "cell").sortWithinPartitions("cell").mapInArrow(_search(mode, percent), "a long, b long, value double")
+    if mode == ALL:
+        return found.select("a", "b").distinct()
+    best = found.groupBy("a").agg(F.max(F.struct("value", "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, **more) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    return classes_of(df, id_col, text_col, size, percent, block).select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return classes_of(df, id_col, text_col, size, percent, block, **more).select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,44 +336,16 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return kept.dropDuplicates([*KEY, "own"]).select("row.*")
 
 
-def _labelled(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with the labels of their sets, and the components as links (a, b)."""
-    rows = member.join(known, F.col("sid") == F.col("node"), "left").select("token", "sid", "size", "weight", F.coalesce("label", "sid").alias("label"))
-    return rows, known.select(F.col("node").alias("a"), F.col("label").alias("b"))
-
-
-def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, k1, k2 and size of every document, and ``least``: doc_id, k1 and k2 of the first document of its component."""
-    p = partitions(df.sparkSession)
-    docs = keyed(df, id_col, text_col)
-    every = checkpoint(profiles(docs, size, percent))
-    classes = every.where("size > 0").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("place"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+def _members(classes: DataFrame) -> DataFrame:
+    """token, sid, size and weight of the sets of every group of two sets or more; of groups with the same members one is left."""
     tokens = classes.select(F.explode("tokens").alias("token"), "sid", "size")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    member = checkpoint(tokens.join(shared, "token"))
-    member = checkpoint(member.join(member.groupBy("sid").agg(F.sum("n").alias("weight")), "sid").select("token", "sid", "size", "weight"))
-
-    places = member.select("sid").distinct().join(classes.select("sid", "place"), "sid").select("sid", "place.k1", "place.k2")
-    texts = checkpoint(places.join(docs.select(*KEY, "text"), KEY).dropDuplicates(["sid"]).select("sid", "text"))
-
-    alike = percent * F.greatest("size", "c.size") <= 100 * F.least("size", "c.size")
-
-    centres = member.groupBy("token").agg(F.max(F.struct("weight", "sid", "size")).alias("c"))
-    reach = member.join(centres, "token").where((F.col("sid") != F.col("c.sid")) & alike).groupBy("sid").agg(F.max("c").alias("heavy"), F.min("c").alias("light"))
-    star = reach.select(F.explode(F.array(*[F.struct(F.least("sid", f"{c}.sid").alias("a"), F.greatest("sid", f"{c}.sid").alias("b")) for c in ("heavy", "light")])).alias("e")).select("e.*").distinct()
-    links = checkpoint(verified(star, texts, size, percent))
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"who{k}") for k in (1, 2)]
+    groups = tokens.groupBy("token").agg(F.count("*").alias("n"), *who).where("n > 1").groupBy("n", "who1", "who2").agg(F.min("token").alias("token"))
+    member = checkpoint(tokens.join(groups.select("token", "n"), "token"))
+    return checkpoint(member.join(member.groupBy("sid").agg(F.sum("n").alias("weight")), "sid").select("token", "sid", "size", "weight"))
 
-    labelled, known = _labelled(member, components(links))
-    whole = F.struct("weight", "sid", "label", "size")
-    open_groups = labelled.groupBy("token").agg(F.max(whole).alias("top"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token", "top")
-    rest = checkpoint(labelled.join(open_groups, "token"))
-    second = rest.where("label != top.label").groupBy("token").agg(F.max(whole).alias("c"))
-    star = rest.join(second, "token").where((F.col("label") != F.col("c.label")) & alike).select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
-    links = checkpoint(verified(star, texts, size, percent)).unionByName(known)
-
-    labelled, known = _labelled(rest.select("token", "sid", "size", "weight"), components(links))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1").select("token", F.ceil(F.col("n") / block).cast("int").alias("nb"))
 
+def _signatures(texts: DataFrame, size: int) -> DataFrame:
     def signed(batches):
         for batch in batches:
             for a, b, h, bounds in each_run(batch.column("text"), size):
@@ -319,18 +353,32 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                 rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), b - a, [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("sid").slice(a, b - a), rows], ["sid", "bits"])
 
-    signature = texts.mapInArrow(signed, "sid long, bits binary")
-    own = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
-    searched = (
-        labelled.join(mixed, "token").withColumn("own", own).join(signature, "sid")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "size", "label", "bits")
-        .repartition(p, "token", "x", "y").sortWithinPartitions("token", "x", "y")
-    )
-    pairs = searched.mapInArrow(_search(percent), "a long, b long").distinct()
-    more = checkpoint(verified(pairs, texts, size, percent))
-
-    final = components(known.unionByName(more))
-    classed = every.select("doc_id", *KEY, "sid", "size").join(final, F.col("sid") == F.col("node"), "left").select("doc_id", *KEY, "size", F.coalesce("label", "sid").alias("class"))
-    least = classed.where("size > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *KEY)).alias("least"))
-    return classed.join(least, "class", "left").select("doc_id", *KEY, "size", "least")
+    return texts.mapInArrow(signed, "sid long, bits binary")
+
+
+def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, rounds: tuple[int, ...] = (HEAVY, NEAR, ALL), exact: bool = False) -> DataFrame:
+    """doc_id, k1, k2 and size of every document, and ``least``: doc_id, k1 and k2 of the first document of its component."""
+    docs = keyed(df, id_col, text_col)
+    every = checkpoint(profiles(docs, size, percent, exact))
+    whole = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *KEY)
+    classes = every.where("size > 0").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("place"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"), F.min(whole).alias("least"))
+    member = _members(classes)
+
+    places = member.select("sid").distinct().join(classes.select("sid", "place"), "sid").select("sid", "place.k1", "place.k2")
+    texts = checkpoint(places.join(docs.select(*KEY, "text"), KEY).dropDuplicates(["sid"]).select("sid", "text"))
+    signature = checkpoint(_signatures(texts, size))
+
+    known = tested = None
+    for mode in rounds:
+        rows = member.withColumn("label", F.col("sid")) if known is None else member.join(known, F.col("sid") == F.col("node"), "left").select("token", "sid", "size", "weight", F.coalesce("label", "sid").alias("label"))
+        pairs = proposals(mode, rows, signature, percent, block)
+        pairs = checkpoint(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = verified(pairs, texts, size, percent)
+        known = checkpoint(components(links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+
+    # sets first, documents last: a set may have a third of all documents
+    labelled = checkpoint(classes.select("sid", "copies", "least").join(known, F.col("sid") == F.col("node"), "left").select("sid", "copies", "least", F.coalesce("label", "sid").alias("class")))
+    first = labelled.groupBy("class").agg(F.min("least").alias("least"), F.count("*").alias("sets"))
+    of_set = with_hot_keys(labelled.select("sid", "copies", "class"), first, "class", "sets").select("sid", "copies", "least")
+    return with_hot_keys(every.select("doc_id", *KEY, "sid", "size"), of_set, "sid", "copies")

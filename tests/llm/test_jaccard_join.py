@@ -106,3 +106,30 @@ def test_prefix_length_is_exact_for_small_sets():
     assert jaccard_join.prefix_length(10, 10) == 3
     assert jaccard_join.prefix_length(500, 0) == 101
     assert jaccard_join.prefix_length(1000, 1000) < 40
+
+
+@pytest.mark.parametrize("rounds", [(2,), (1, 2)])
+def test_rounds_before_the_last_change_no_result(spark, rounds):
+    """The trees alone find all links; the exact prefix gives the same."""
+    rows = corpus(11, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_join.join(df, block=9, rounds=rounds, exact=len(rounds) == 1).collect())) == brute(rows)
+
+
+def test_a_family_of_near_copies_and_a_hot_text(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):  # chains: neighbours are alike, the ends are not
+        base[rng.randrange(200)] = f"n{i}"
+        rows.append((i, " ".join(base)))
+    rows += [(1000 + i, "the same text of some words for many rows") for i in range(1500)] + [(5000, " ".join(f"z{i}" for i in range(60_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(map(tuple, jaccard_join.join(df, block=16).collect())) == brute(rows[:120]) + Counter({(1000 + i, 5, 1000): 1 for i in range(1500)}) + Counter({(5000, 59_996, 5000): 1})
+
+
+def test_representatives_of_null_identifiers(spark):
+    texts = [f"some words of text number {i} that differ from all other ones by their number {i * 7}" for i in range(30)]
+    rows = [(None, t, i) for i, t in enumerate(texts + texts[:5])] + [(None, None, 99), (None, "", 98)]
+    kept = jaccard_join.representatives(spark.createDataFrame(rows, "doc_id long, text string, k1 int")).collect()
+    assert sorted(r.text or "" for r in kept) == sorted(texts + ["", ""])
