@@ -1,8 +1,7 @@
-"""Bounded samples of labelled documents, for the two trained classifiers."""
+"""Labelled documents and bounded samples of them, for the two trained classifiers."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +13,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[pa.Table, dict[int, int]]:
-    """At most ``per_class`` whole texts of each label, and how many rows each label has.
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label of the rows that may be learnt from; of several labels of one document the smaller counts."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text, label and ``order`` of at most ``per_class`` documents of each label with texts of at most ``longest`` bytes, and how many documents each label has.
 
     The identifiers are drawn by hash from the labels alone, so at most
     ``2 * per_class`` rows are broadcast, and the documents are read once
     without a shuffle.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = learnable(labels, label)
     counts = {int(r["label"]): int(r["count"]) for r in known.groupBy("label").count().collect()}
     draw = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    drawn = draw(0).unionByName(draw(1)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = documents(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").toArrow()
-    return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]), counts
+    rows = documents(docs).join(F.broadcast(draw(0).unionByName(draw(1))), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    return rows.select("doc_id", "text", "label", F.xxhash64("doc_id").alias("order")), counts

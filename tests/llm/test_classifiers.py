@@ -1,8 +1,10 @@
 """Quality and toxicity on held-out labels, and their defined cases."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ def test_held_out_accuracy(spark, module, label, least):
     assert scored.count() == docs.count()
     rows = scored.join(labels, "doc_id").where("held_out").toPandas()
     assert (rows.predicted == rows[label]).mean() > least
+    found, true = rows.predicted == 1, rows[label] == 1
+    assert (found & true).sum() >= 0.94 * true.sum() and (found & true).sum() >= 0.95 * found.sum()
     assert rows.score.between(0, 1).all()
     assert ((rows.score >= module.CUT) == (rows.predicted == 1)).all()
 
@@ -49,3 +53,50 @@ def test_keep_returns_the_rows(spark):
     assert kept.schema == docs.schema
     want = {r.doc_id for r in quality.score(docs, model).where("predicted = 1").collect()}
     assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_a_toxic_sentence_in_very_long_texts(spark):
+    docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    held = docs.join(labels.where("toxic = 0"), "doc_id").where("lang = 'en'").select("doc_id", "text").orderBy(F.length("text").desc()).limit(40)
+    rows = [(r.doc_id, r.text) for r in held.collect()]
+    assert max(len(t) for _, t in rows) > 10_000
+    planted = [(i + 10**6, t + " you pathetic idiot, worthless scum, a stupid moron and a disgusting loser, you are trash, clown") for i, t in rows]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(rows + planted, "doc_id long, text string"), model).collect()}
+    assert sum(got[i] for i, _ in rows) <= 1
+    assert sum(got[i] for i, _ in planted) >= 39
+
+
+def test_grams_against_counting():
+    texts = ["abcabc xab", "", "aaaaaa", "zabcab ÀB", "ab", "x" * 50 + "y\n" * 9]
+    own = [t.encode() for t in texts]
+    doc, key = toxicity.grams(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]))
+    for i, t in enumerate(texts):
+        count = Counter(t[j : j + k] for k in toxicity.SIZES for j in range(len(t) - k + 1))
+        mine = key[doc == i]
+        assert len(mine) == len(set(mine.tolist())) == len(count) + sum(c > 1 for c in count.values())
+        assert (mine & 1).sum() == sum(c > 1 for c in count.values())
+
+
+def test_frequencies_against_counting(spark):
+    rows = [(f"abc{i % 3} xyz", i % 2) for i in range(20)] + [("", 0), (None, 1)]
+    df = spark.createDataFrame(rows, "text string, label int").repartition(3)
+    keys = np.unique(toxicity.grams(np.frombuffer(b"abc1", np.uint8), np.array([0, 4]))[1])
+    got = {(r.df1, r.df0) for r in toxicity.frequencies(df, keys).collect()}
+    has = lambda s, v: sum(1 for t, y in rows if t and s in t and y == v)
+    assert got == {(has(s, 1), has(s, 0)) for s in ("abc", "bc1", "abc1")}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 0.93, 1.0])
+def test_threshold_is_the_quantile_of_all(spark, share):
+    rng = np.random.default_rng(2)
+    values = np.sort(np.concatenate([rng.normal(size=300), np.full(40, 0.25)]))
+    got = quality.threshold(spark.createDataFrame([(float(v),) for v in values], "strength double"), share, bins=7)
+    k = max(1, min(len(values) - 1, round(share * len(values))))
+    assert got == (values[k - 1] + values[k]) / 2
+    assert quality.threshold(spark.createDataFrame([], "strength double"), share) == 0.0
+
+
+def test_very_long_text_has_features():
+    text = "word and | more ||| " * 200_000
+    assert np.isfinite(quality.features(pa.array([text, "", None]))).all()
