@@ -7,8 +7,17 @@ of equals.  Shingles are five words (as they stand, without change of case); a
 text of fewer words is one shingle.
 
 The fingerprint string is the base64 of the kept hashes, ascending, as 8 bytes
-each.  A text whose shingles all lie above the threshold keeps its smallest one,
-marked by its value, so that only texts without words have the empty string.
+each.  A text whose shingles all lie above the threshold keeps its smallest one
+instead, which its value tells (it is above the threshold), so that only texts
+without words have the empty string.  ``merged`` knows this: it drops such a
+value as soon as there is one below the threshold, so the merged sketch of parts
+is the sketch of their shingles taken together.
+
+The standard error of a likeness J is about ``sqrt(J (1 - J) SCALE / n)`` for
+``n`` shingles in both texts together: 0.03 at 1,000, 0.14 at 50.  Containment in
+a long text cannot be told for a text that keeps its smallest hash alone (most
+often fewer than ``SCALE`` shingles): it is 1 if the other text keeps that hash
+and 0 otherwise.
 
 Defined cases: null text is empty; two empty sketches have likeness 1, one empty
 sketch has likeness 0; the last document's next one is the first; a single
@@ -31,7 +40,7 @@ from .frames import documents, partitions
 from .textcore import U64, Rolling, mix, runs, text_buffers, word_hashes, words
 
 SHINGLE = 5
-SCALE = 8
+SCALE = 4
 #: Blocks of ascending identifiers at most; a block is sorted with spill and read as a stream.
 MOST_BLOCKS = 20_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
@@ -74,9 +83,11 @@ def read_sketch(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u8")
 
 
-def merged(*parts: np.ndarray) -> np.ndarray:
+def merged(*parts: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of texts taken together (without the shingles that span two of them)."""
-    return np.unique(np.concatenate(parts))
+    both = np.unique(np.concatenate(parts)) if parts else np.zeros(0, U64)
+    below = both[both <= U64((1 << 64) // scale - 1)]
+    return below if len(below) else both[:1]
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -6,13 +6,22 @@ negatively; the weights are log ratios counted on labelled pages.  One linear
 scan finds the contiguous region of the largest sum; its blocks, without what
 stands in menus, adverts, forms and the like, are the text.
 
-The labelled pages are the small ``LABELLED`` set below, in which ``[[`` and
-``]]`` enclose the content, or any others given to ``train``.
+An element counts as such by its name, or by a class, id or role of which every
+part is known: ``site-footer`` and ``cookieBanner`` are, ``search-results`` and
+``comment-on-law`` are not.  A page marks its article by ``article`` or ``main``
+elements outside comments and scripts, if they hold ``MARKED`` words or at least
+as many as stand beside them.
+
+The labelled pages are the ``LABELLED`` set below, in which ``[[`` and ``]]``
+enclose the content, or any others given to ``train``.
 
 Defined cases: null and empty html, pages without words and pages whose words
 all score negatively have the empty text; an unfinished tag or comment at the
-end is dropped; an unknown character reference stays as it is; of regions with
-equal sums the first is taken; repeated rows get a row each.
+end is dropped, an unclosed script or style runs to the end; formulas and the
+content of ``object`` are text, that of ``textarea`` and other form controls is
+not; an end tag closes one of the 500 innermost open elements or nothing; an
+unknown character reference stays as it is; of regions with equal sums
+the first is taken; repeated rows get a row each.
 """
 
 from __future__ import annotations
@@ -29,15 +38,26 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody tfoot thead title tr ul".split())
 SPACED = frozenset("br td th".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose content is not text, up to their end tag.
-RAW = "script style noscript template iframe svg math object textarea"
+#: Elements whose content is not text and not markup either, up to their end tag.
+RAW = "script style"
+#: Elements without text for readers of the page.
+SILENT = frozenset("noscript template iframe svg".split())
 #: Elements that never hold main text.
-APART = frozenset("head title nav footer aside form button select menu dialog".split())
-#: Words in a class, id or role that mark what is not main text.
+APART = frozenset("head title nav footer aside form button select textarea menu dialog".split())
+#: Words in a class, id or role that mark what is not main text, and words that may stand beside them.
 HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z|[^<]+|<", re.S | re.I)
+BESIDE = frozenset("area article articles bar block body bottom box button buttons container content contentinfo inner item items left link links list main form global header icons module outer page panel post posts primary region right secondary section site slot sticky stories story text thread top unit wrap wrapper".split())
+#: Words that make an article's mark count in any case.
+MARKED = 25
+_PIECE = r"(?>[^>\"'<]+|\"[^\"<]*\"|'[^'<]*')"
+_ACROSS = r"(?>\"[^\"]{0,2000}\"|'[^']{0,2000}')"
+#: Every alternative reads on at most to the next "<", or across eight quotes of bounded length, or takes what it has read: a page takes linear time.
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:{_PIECE}*+{_ACROSS}){{0,8}}+(?:{_PIECE}|[\"'])*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*+\Z|[^<]+|<",
+    re.S | re.I,
+)
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPLIT = re.compile(r"[^a-zA-Z]+")
+SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 LABELLED = (
     "<html><head><title>A title</title></head><body><nav><ul><li><a>Home</a></li><li><a>News of the day</a></li></ul></nav><div class='ad'>Buy this now and save</div><article><h1>[[A title</h1><p>Some words of the first paragraph stand here.</p><p>And some more <a>with a link</a> in the second one.</p><div class='share'>Share this page</div><p>The end of it all.]]</p></article><aside>Related pages to read</aside><footer>Copyright of the owner</footer></body></html>",
@@ -47,17 +67,20 @@ LABELLED = (
 )
 
 
-def events(html: str):
-    """(kind, zone, value) of a page: kind 't' for text, 'b' for a block's limit, 's' for a space, 'i' for an inline tag.
+def hinted(attributes: str) -> bool:
+    """Whether a class, id or role says that the element holds no main text."""
+    for value in MARK.findall(attributes):
+        for name in "".join(value).split():
+            parts = [p.lower() for p in SPLIT.split(name) if p]
+            if any(p in HINTS for p in parts) and all(p in HINTS or p in BESIDE for p in parts):
+                return True
+    return False
 
-    Zones: 'article' or 'main' inside such an element, 'outside' elsewhere on a
-    page that has one, 'plain' on a page that has none, 'apart' in what never
-    holds main text, 'dropped' for the same inside an article.
-    """
-    marked = re.search(r"<(?:article|main)\b", html, re.I) is not None
-    base = "outside" if marked else "plain"
+
+def _placed(html: str):
+    """Events with the zone 'beside' for what is outside of article and main."""
     stack: list[tuple[str, str]] = []
-    zone = base
+    zone = "beside"
     for m in TOKEN.finditer(html):
         piece = m.group(0)
         name = m.group(3)
@@ -71,7 +94,7 @@ def events(html: str):
         kind = "b" if name in BLOCKS else "s" if name in SPACED else "i"
         if m.group(2):
             yield kind, zone, name
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 500), -1):
                 if stack[i][0] == name:
                     zone = stack[i][1]
                     del stack[i:]
@@ -86,17 +109,37 @@ def events(html: str):
             zone = stack.pop()[1]
         before = zone
         within = zone in ("article", "main")
-        hinted = any(w in HINTS for v in MARK.findall(m.group(4)) for w in SPLIT.split("".join(v).lower()))
         if zone not in ("apart", "dropped"):
-            if name in APART or (hinted and name not in ("body", "main")) or (name == "header" and not within):
+            if name in APART or name in SILENT or (name not in ("body", "main") and hinted(m.group(4))) or (name == "header" and not within):
                 zone = "dropped" if within else "apart"
             elif name in ("article", "main"):
                 zone = name
-        if name not in VOID:
-            stack.append((name, before))
-        elif zone != before:
-            zone = before
+        closed = name in VOID or (name in ("svg", "math") and m.group(4).rstrip().endswith("/"))
         yield kind, zone, name
+        if closed:
+            zone = before
+        else:
+            stack.append((name, before))
+
+
+def events(html: str) -> list[tuple[str, str, str]]:
+    """(kind, zone, value) of a page: kind 't' for text, 'b' for a block's limit, 's' for a space, 'i' for an inline tag.
+
+    Zones: 'article' or 'main' inside such an element, 'outside' elsewhere on a
+    page that has one, 'plain' on a page that has none, 'apart' in what never
+    holds main text, 'dropped' for the same inside an article.
+    """
+    found = list(_placed(html))
+    count = {"article": 0, "main": 0, "beside": 0}
+    for kind, zone, value in found:
+        if kind == "t" and zone in count:
+            count[zone] += len(value.split())
+    inside = count["article"] + count["main"]
+    if inside and (inside >= MARKED or inside >= count["beside"]):
+        new = {"beside": "outside"}
+    else:
+        new = {"beside": "plain", "article": "plain", "main": "plain"}
+    return [(kind, new.get(zone, zone), value) for kind, zone, value in found]
 
 
 def train(pages=LABELLED) -> dict[tuple[str, str], float]:
@@ -130,7 +173,7 @@ def extract(html: str | None, weights: dict[tuple[str, str], float]) -> str:
     """The blocks of the best region, joined by empty lines."""
     if not html:
         return ""
-    sequence = list(events(html))
+    sequence = events(html)
     best, best_range, total, begin = 0.0, (0, 0), 0.0, 0
     for i, (kind, zone, value) in enumerate(sequence):
         score = weights["word", zone] * len(value.split()) if kind == "t" else weights["tag", zone]

@@ -1,7 +1,10 @@
 """Fingerprints against a plain version, and estimates against exact values."""
 
+import base64
 import hashlib
 import random
+import re
+import struct
 
 import pyarrow as pa
 
@@ -14,19 +17,71 @@ def rows_of(n, seed=1):
     return rows + [(5, None), (6, ""), (7, "one"), (8, "one two three four"), (8, "a second text of one identifier"), (None, "no identifier")]
 
 
+WORD = 1 << 64
+A, B, C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x5851F42D4C957F2D
+
+
+def mixed(x):
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 % WORD
+    x ^= x >> 29
+    x = x * 0x94D049BB133111EB % WORD
+    return x ^ (x >> 32)
+
+
+def polynomial(values, base):
+    return mixed((sum(v * pow(base, k, WORD) for k, v in enumerate(values)) + C) % WORD)
+
+
+def sketch(text):
+    """By the definition, one number at a time."""
+    words = [polynomial([mixed((b + 1) * B % WORD) for b in w.encode()], B) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    shingles = [words[i : i + 5] for i in range(max(1, len(words) - 4))] if words else []
+    hashes = sorted({mixed(polynomial(s, A)) for s in shingles})
+    return [h for h in hashes if h < WORD // fp.SCALE] or hashes[:1]
+
+
+def similar(x, y):
+    return len(set(x) & set(y)) / len(set(x) | set(y)) if x and y else float(len(x) == len(y))
+
+
 def plain(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [t or "" for _, t in order]
+    write = lambda s: base64.b64encode(struct.pack(f"<{len(s)}Q", *s)).decode()
     out = []
-    sk = lambda t: fp.sketches(pa.array([t]))[0]
     for i, (d, _) in enumerate(order):
         t, n = texts[i], texts[(i + 1) % len(texts)]
         q = len(t) // 4
         e = t[: len(t) - q] + n[:q]
-        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), fp.written(sk(t)), fp.written(sk(e)), fp.likeness(sk(t), sk(e))[0], fp.likeness(sk(t), sk(n))[0]))
+        own, other, after = sketch(t), sketch(e), sketch(n)
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), write(own), write(other), similar(own, other), similar(own, after)))
     return out
 
 
+def exact(x, y):
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
+    a, b = shingles(x.split()), shingles(y.split())
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_error_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = fp.fingerprints(docs, with_text=True).collect()
+    errors = sorted(abs(r.near_edited - exact(texts[r.doc_id], r.edited)) for r in rows)
+    assert sum(errors) / len(errors) < 0.05 and errors[len(errors) * 95 // 100] < 0.15
+    by_text = {}
+    for r in rows:
+        assert by_text.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(150_000))
+    rows = fp.fingerprints(spark.createDataFrame([(1, text), (2, "short text of six words here")], "doc_id long, text string")).collect()
+    assert [r.n_chars for r in sorted(rows)] == [len(text), 28]
+
+
 def test_whole_table(spark):
     rows = rows_of(120)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, block int").repartition(5)
@@ -55,9 +110,14 @@ def test_estimates_follow_the_truth():
 
 
 def test_round_trip_and_merge():
-    a, b = fp.sketches(pa.array(["a b c d e f g", "q r s t u v w x"]))
-    assert (fp.read_sketch(fp.written(a)) == a).all()
-    assert set(fp.merged(a, b)) == set(a) | set(b)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) for n in (3, 5, 6, 7, 9, 30, 400)]
+    sketches = fp.sketches(pa.array(texts))
+    for s in sketches:
+        assert (fp.read_sketch(fp.written(s)) == s).all()
+    for k in range(1, len(texts) + 1):
+        every = sorted({h for t in texts[:k] for h in [mixed(polynomial([polynomial([mixed((b + 1) * B % WORD) for b in w.encode()], B) for w in t.split()[i : i + 5]], A)) for i in range(max(1, len(t.split()) - 4))]})
+        assert fp.merged(*sketches[:k]).tolist() == ([h for h in every if h < WORD // fp.SCALE] or every[:1])
 
 
 def test_rank_among(spark):

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -56,3 +57,36 @@ def test_every_page_of_a_table(spark):
         inner = inner[: inner.index("</article>")] if "</article>" in inner else re.sub(r"<[^>]*\Z", "", inner)
         blocks = [" ".join(html.unescape(b).split()) for b in re.split(r"</?(?:p|h1)>", inner.replace("<b>", "").replace("</b>", "").replace("<br>", " "))]
         assert h.extract(page, W) == "\n\n".join(b for b in blocks if b), row.page_id
+
+
+BODY = "<p>The body of this article has quite a few words, enough of them to be found by any extraction.</p>"
+
+
+@pytest.mark.parametrize("before", ["<script>var a='<article>'</script>", "<!-- <article> --><!-- <main> -->", "<style>article{}</style>"])
+def test_marks_in_scripts_and_comments_are_none(before):
+    assert h.extract(f"{before}<div>{BODY}</div>", W).startswith("The body of this")
+
+
+def test_compound_classes_hold_content():
+    page = f"<article>{BODY}<div class='search-results'><p>Results of the search for gold.</p></div><p class='comment-on-law'>A remark about law.</p><div class='site-footer'>foot</div><div class='cookieBanner'>c</div><div class='ad-slot top'>ad</div></article>"
+    assert h.extract(page, W).split("\n\n")[1:] == ["Results of the search for gold.", "A remark about law."]
+
+
+def test_formulas_objects_and_closed_icons_stay_text():
+    page = f"<article>{BODY}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg class='i'/> one <object data='a'>an object</object><textarea>form</textarea>.</p><svg><text>icon</text></svg><p>End.</p></article>"
+    assert h.extract(page, W).split("\n\n")[1:] == ["Let x=1 be one an object.", "End."]
+
+
+def test_a_tiny_mark_beside_a_long_body():
+    assert "body of this article" in h.extract(f"<main>tiny</main><div>{BODY * 6}</div>", W)
+
+
+def test_quotes_in_attributes():
+    assert h.extract(f"<article><p title=\"a > b < c\" data-x='</article>'>{BODY}</p></article>", W).startswith("The body")
+
+
+@pytest.mark.parametrize("piece", ["<a href=\"x' ", "<svg>", "<div ", "<", "<p>x</b>", '<a x="', "<b></i>", "<script>", "<!-- "])
+def test_broken_pages_take_linear_time(piece):
+    start = time.perf_counter()
+    h.extract(piece * (2_000_000 // len(piece)), W)
+    assert time.perf_counter() - start < 10
