@@ -36,7 +36,8 @@ from .textcore import BASE_A, BASE_B, BYTE_VALUES, U64, Rolling, runs, text_buff
 #: Occurrences from which an anchor's windows are counted one by one.
 HOT = 2000
 #: Bytes of context that a resolver takes at once, cut at a change of the hash.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
+ROWS_AT_ONCE = 2000
 POSITION = U64((1 << 20) - 1)
 CONTEXT, WINDOW, DECIDED = 0, 1, 2
 
@@ -250,7 +251,7 @@ def _resolve(kind: Kind, resolver: Resolver):
                 if found is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.int64)), pa.array(found[3].astype(np.int64))], ["k1", "k2", "first", "last"])
 
-        for batch in batches:  # sorted by key; a key is never cut
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):  # sorted by key; a key is never cut
             held.append(batch)
             size += batch.nbytes
             if size > CHUNK:

@@ -37,7 +37,7 @@ from . import repeats
 from .frames import KEY, keyed, row_key
 from .orders import distinct_strings, longest_right, positions, range_min, sorted_rows, suffix_ranks
 from .repeats import Kind
-from .textcore import BYTE_VALUES, U64, Rolling, text_buffers
+from .textcore import BYTE_VALUES, U64, Rolling, runs, text_buffers
 
 N = 200
 BYTES = Kind("byte", N, 160, 16, 128)
@@ -51,10 +51,12 @@ def kind(n: int) -> Kind:
 
 def phrases(kind: Kind, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start and end of the phrases of the stretches begin:end: cut at triggers, each with the next trigger at its end."""
-    trigger = np.zeros(len(data) + 1, bool)
-    if len(data) >= kind.gram:
-        trigger[: len(data) - kind.gram + 1] = Rolling(BYTE_VALUES[data]).all(kind.gram) % U64(kind.every) == 0
-    at = np.flatnonzero(trigger)
+    found = [np.zeros(0, np.int64)]
+    for first, last in runs(np.append(begin, end[-1])):  # a slice at a time: what is per byte stays small
+        own = data[begin[first] : end[last - 1]]
+        if len(own) >= kind.gram:
+            found.append(np.flatnonzero(Rolling(BYTE_VALUES[own]).all(kind.gram) % U64(kind.every) == 0) + begin[first])
+    at = np.concatenate(found)
     # stretches do not overlap and are in order: the stretch of a trigger is the last that begins before it
     row = np.searchsorted(begin, at, "left") - 1
     inside = (row >= 0) & (at + kind.gram <= end[row])
