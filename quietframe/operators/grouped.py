@@ -19,8 +19,8 @@ from quietframe.plans.domains import Domain, NumpyFloatDomain, NumpyIntegerDomai
 from quietframe.plans.errors import DomainColumnError, DomainMismatchError, UnsupportedCombinationError, UnsupportedDomainError, UnsupportedMetricError
 from quietframe.plans.metrics import AbsoluteDifference, HammingDistance, IfGroupedBy, Metric, OnColumn, RootSumOfSquared, SumOf, SymmetricDifference
 
-#: Keys up to which the key table is broadcast; it is counted first.
-SMALL_KEYS = 100_000
+#: Bits of each part of a whole number that are summed on their own: 2**41 rows can not overflow a long.
+PART_BITS = 21
 
 
 def named(column: str) -> Column:
@@ -207,6 +207,30 @@ def clip_bounds(descriptor, lower: ExactNumber, upper: ExactNumber) -> tuple[Any
     return (int(low), int(high)) if isinstance(descriptor, SparkIntegerColumnDescriptor) else (float(low), float(high))
 
 
+def sum_of(column: Column, whole: bool, most: int | float) -> Column:
+    """The sum of numbers of at most ``most`` in size; it can not fail on any rows.
+
+    Whole numbers are summed in parts of ``PART_BITS`` bits, put together as a
+    decimal, and a sum beyond the range of longs is the range's end.
+    """
+    parts = -(-(int(most).bit_length() + 1) // PART_BITS) if whole else 1
+    if not whole or parts == 1:
+        return F.sum(column)
+    wide = lambda c: c.cast("decimal(20,0)").cast("decimal(38,0)")
+    mask = F.lit((1 << PART_BITS) - 1).cast("long")
+    total = wide(F.sum(F.shiftright(column, PART_BITS * (parts - 1))))
+    for k in reversed(range(parts - 1)):
+        total = (total * F.lit(1 << PART_BITS)).cast("decimal(38,0)") + wide(F.sum(F.shiftright(column, PART_BITS * k).bitwiseAND(mask)))
+    top = F.lit(2**63 - 1)
+    return F.least(F.greatest(total, (-top - 1).cast("decimal(38,0)")), top.cast("decimal(38,0)")).cast("long")
+
+
+def whole_bounds(low: ExactNumber, high: ExactNumber, what: str) -> None:
+    """Refuse bounds between which numbers or their distances do not fit a long; decided by the bounds alone."""
+    if max(abs(low), abs(high), high - low) > 2**62:
+        raise ValueError(f"The bounds are too far apart for {what} of whole numbers.")
+
+
 class _Aggregate(Transformation):
     """A number of a table, or a column of numbers of a grouped one."""
 
@@ -298,6 +322,8 @@ class _Sum(_Aggregate):
             if not bound.is_finite:
                 raise ValueError("Clipping bounds have to be finite.")
             validate_exact_number(bound, allow_nonintegral=not whole, minimum=-(2**970), maximum=2**970)
+        if whole:
+            whole_bounds(low, high, "a sum")
         self._measure, self._bounds = measure_column, (low, high)
         return descriptor
 
@@ -306,7 +332,9 @@ class _Sum(_Aggregate):
     upper = property(lambda self: self._bounds[1])
 
     def _expression(self) -> Column:
-        return F.sum(clip(named(self._measure), *clip_bounds(self.input_domain[self._measure], *self._bounds)))
+        descriptor = self.input_domain[self._measure]
+        low, high = clip_bounds(descriptor, *self._bounds)
+        return sum_of(clip(named(self._measure), low, high), isinstance(descriptor, SparkIntegerColumnDescriptor), max(abs(low), abs(high)))
 
     @property
     def _sensitivity(self) -> ExactNumber:

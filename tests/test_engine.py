@@ -405,9 +405,15 @@ def test_streaming_release(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, m), k) for m in (1, 2, 3, 25, 50) for k in ("a", "b")], "ts timestamp, kind string").write.parquet(str(source))
     stream = spark.readStream.schema("ts timestamp, kind string").parquet(str(source))
-    released = []
-    running = windows.start(windows.windowed_counts(stream, "ts", ["kind"], "10 minutes", "5 minutes"), make(spark, [("a",), ("b",), ("c",)], "kind string"), PureDP(), INFINITY, lambda t, _: released.extend(map(tuple, t.collect())), str(tmp_path / "state"))
+    running = windows.collect(windows.windowed_counts(stream, "ts", ["kind"], "10 minutes", "5 minutes"), str(tmp_path / "closed"), str(tmp_path / "state"))
     running.processAllAvailable()
     running.stop()
-    closed = {(w.start.minute, k): n for w, k, n in released}
-    assert closed[(0, "a")] == 3 and closed[(0, "c")] == 0 and closed[(20, "b")] == 1 and (50, "a") not in closed
+    closed = spark.read.parquet(str(tmp_path / "closed"))
+    zone = datetime.timezone.utc
+    public = windows.public_windows(spark, datetime.datetime(2024, 1, 1, 0, 0, tzinfo=zone), datetime.datetime(2024, 1, 1, 0, 40, tzinfo=zone), datetime.timedelta(minutes=10))
+    keys = make(spark, [("a",), ("b",), ("c",)], "kind string")
+    found = {(w.start.minute, k): n for w, k, n in windows.release(closed, public, keys, PureDP(), INFINITY).collect()}
+    assert len(found) == 12 and found[(0, "a")] == 3 and found[(20, "b")] == 1
+    assert found[(0, "c")] == found[(10, "a")] == found[(30, "b")] == 0  # windows without rows appear all the same
+    noisy = windows.release(closed, public, keys, PureDP(), 1)
+    assert noisy.count() == 12
