@@ -1,22 +1,25 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-Whole texts and single lines are brought to a canonical form (lower case,
-copyright lines dropped, equivalent spellings made one, punctuation and white
-space as one space) and looked up by SHA-256 in the digests of known licences.
-The known digests are a fixed list of a few hundred rows, so they are broadcast;
-documents are never shuffled, only the few lines found.
-
-Defined cases: null and empty texts and texts of copyright lines alone have no
-licence; a text that is a whole licence has it in ``licence``, with a title line of
-``TITLES`` above it or not, and wrapped at any word but before a
-``copyright`` that ``WORDING`` does not know (``digest`` and notices are
-of all lines, without those that begin with ``copyright``); notices found as
-whole lines are in ``notices``, sorted and distinct, the empty string if none;
+A text is brought to its canonical form: lower case, equivalent spellings made
+one, copyright statements dropped (lines that begin with the word or sign and
+have a year, a ``(c)`` or the sign, and the sentence "all rights reserved"),
+everything but letters and digits as one space, and a title of ``TITLES`` at the
+head cut off.  How lines are wrapped does not matter.  Its SHA-256 is looked up
+in the digests of known licences, and the same is done for single lines and the
+wordings of notices.  The known digests are a fixed list of a few hundred rows,
+so they are broadcast; documents are never shuffled, only the few lines found.
+A line is looked up only if it has a word that every notice has.
+
+Defined cases: null and empty texts and texts of copyright statements alone have
+no licence; a text that is a whole licence has it in ``licence``; notices found
+as whole lines are in ``notices``, sorted and distinct, the empty string if none;
 repeated rows get a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,23 +51,28 @@ PHRASES = ("Licensed under {}", "Licensed under the {}", "Released under {}", "R
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("organisation", "organization"), ("https://", "http://"), ("merchantibility", "merchantability"))
 # Digests of the canonical full texts, title included, as published by their stewards.
 FULL = {
-    "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0": "Apache-2.0",
-    "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c": "GPL-1.0",
+    "0be25ae8b112b6c47bf696a745855eebba678079747ad8bbf877d928555027f1": "Apache-2.0",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
     "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
-    "9085ee283b8c84517846c5acafee37391c28bb825b7ecec4aaa90768f2f283b0": "GPL-3.0",
-    "5b313222545879140519fc4f8ac7558088e9529f29bda08d2b75946987652f50": "LGPL-2.0",
-    "6ce9e9dc5005db9536b303ace5104e7d79eb77fa76f5ca2e335ea6401497ea1e": "LGPL-2.1",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
     "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
     "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61": "MPL-1.1",
     "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56": "MPL-2.0",
     "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
-    "49259de2e41746a2de3ac8abe98d6effcc752e1bb462ce8dae8c86b9d34d94bc": "CC-BY-SA-4.0",
+    "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b": "GFDL-1.2",
+    "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d": "GFDL-1.3",
+    "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2": "Artistic-1.0-Perl",
+    "6fd32d7fe30fa66c101714769c97e3e375bdf90cc19532508e2dfb4d98a92a9d": "CC-BY-SA-4.0",
 }
 # Canonical titles of the licences, which stand above their texts in files.
 TITLES = ("mit license", "the mit license", "the mit license mit", "mit no attribution", "isc license", "the isc license", "bsd zero clause license", "zero clause bsd", "bsd 2 clause license", "the bsd 2 clause license", "simplified bsd license", "bsd 3 clause license", "the bsd 3 clause license", "new bsd license", "zlib license", "the zlib license")
-COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©)|all rights reserved"
-# Lines of a wrapped text that begin with the word and are no copyright statements.
-WORDING = r"copyright\s+(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|treaty|treaties|disclaimers?|and|or|in|on|for|to|is|as|rights?|permission|status|conditions)\b"
+#: Lines of copyright statements, and the sentence that often follows them.
+COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[0-9]{4})[^\n]*$|^[^a-z0-9\n]*(?:\(c\)|©)[^\n]*$"
+RESERVED = r"all rights reserved\.?"
+#: Words of which every notice has one.
+MARKS = ("under", "license")
 
 
 def notices() -> list[tuple[str, str]]:
@@ -73,62 +81,73 @@ def notices() -> list[tuple[str, str]]:
     return rows + [(k, f"SPDX-License-Identifier: {k}") for k in NAMES]
 
 
-def canonical_lines(text: Column, kept: str | None = None) -> Column:
-    """The lines of a text in canonical form, without empty ones and copyright lines (but those that begin with ``kept``)."""
+def plain(text: Column) -> Column:
+    """Lower case with one spelling of each word."""
     low = F.lower(text)
     for old, new in SPELLINGS:
         low = F.replace(low, F.lit(old), F.lit(new))
-    lines = F.filter(F.split(low, "\n"), lambda line: ~line.rlike(COPYRIGHT) if kept is None else ~line.rlike(COPYRIGHT) | line.rlike(rf"^[^a-z0-9]*{kept}"))
-    return F.filter(F.transform(lines, lambda line: F.trim(F.regexp_replace(line, "[^a-z0-9]+", " "))), lambda line: line != "")
+    return low
+
 
+def words(low: Column) -> Column:
+    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
-def untitled(lines: Column) -> Column:
-    """Canonical lines without a title at their head."""
-    return F.when(F.element_at(F.concat(lines, F.array(F.lit(""))), 1).isin(*TITLES), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+
+def canonical(low: Column) -> Column:
+    """The canonical form of a text in plain spelling."""
+    whole = words(F.regexp_replace(F.regexp_replace(low, COPYRIGHT, ""), RESERVED, ""))
+    return F.regexp_replace(whole, rf"^(?:{'|'.join(sorted(TITLES, key=len, reverse=True))}) ", "")
+
+
+def _known(spark: SparkSession, rows: list[tuple[str, str]], form) -> DataFrame:
+    frame = spark.createDataFrame(rows, "licence string, known string")
+    return frame.select("licence", F.sha2(form(plain(F.col("known"))), 256).alias("digest"))
 
 
 def _texts(spark: SparkSession) -> DataFrame:
     """Digests of whole texts: those written out here, and ``FULL``."""
     full = spark.createDataFrame(list(FULL.items()), "digest string, licence string").select("licence", "digest")
-    return F.broadcast(_known(spark, list(WHOLE.items())).unionByName(full).dropDuplicates(["digest"]))
+    return F.broadcast(_known(spark, list(WHOLE.items()), canonical).unionByName(full).groupBy("digest").agg(F.min("licence").alias("licence")))
 
 
-def _known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    frame = spark.createDataFrame(rows, "licence string, known string")
-    return F.broadcast(frame.select("licence", F.sha2(F.array_join(canonical_lines(F.col("known")), " "), 256).alias("digest")).dropDuplicates(["digest"]))
+def _notices(spark: SparkSession) -> DataFrame:
+    return F.broadcast(_known(spark, notices(), words).groupBy("digest").agg(F.min("licence").alias("licence")))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest of the canonical text, licence (null if none), notices and n_notices of every document."""
     spark = df.sparkSession
-    lines = keyed(df, id_col, text_col).select("doc_id", *KEY, canonical_lines(F.col("text")).alias("lines"), F.when(F.lower("text").rlike(rf"(?m)^[^a-z0-9\n]*{WORDING}"), canonical_lines(F.col("text"), WORDING)).alias("wrapped"))
+    docs = keyed(df, id_col, text_col).select("doc_id", *KEY, plain(F.col("text")).alias("low"))
+    marked = lambda text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in MARKS])
+    lines = docs.where(marked(F.col("low"))).select(*KEY, F.explode(F.filter(F.split("low", "\n"), marked)).alias("line"))
     found = (
-        lines.select(*KEY, F.explode("lines").alias("line")).select(*KEY, F.sha2("line", 256).alias("digest"))
-        .join(_known(spark, notices()), "digest").groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.countDistinct("licence").alias("n_notices"))
+        lines.select(*KEY, F.sha2(words(F.col("line")), 256).alias("digest")).join(_notices(spark), "digest")
+        .groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.countDistinct("licence").alias("n_notices"))
     )
-    bare = untitled(F.coalesce("wrapped", "lines"))
-    own = F.sha2(F.array_join("lines", " "), 256)
-    whole = lines.select("doc_id", *KEY, own.alias("shown"), F.when(bare == F.col("lines"), own).otherwise(F.sha2(F.array_join(bare, " "), 256)).alias("digest")).join(_texts(spark), "digest", "left").drop("digest").withColumnRenamed("shown", "digest")
+    whole = docs.select("doc_id", *KEY, F.sha2(canonical(F.col("low")), 256).alias("digest")).join(_texts(spark), "digest", "left")
     return whole.join(found, KEY, "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
-def _sql_lines(column: str) -> str:
+def _sql_plain(column: str) -> str:
     low = f"lower({column})"
     for old, new in SPELLINGS:
         low = f"replace({low}, '{old}', '{new}')"
-    return f"list_filter(list_transform(list_filter(string_split({low}, chr(10)), lambda l: NOT regexp_matches(l, '{COPYRIGHT}')), lambda l: trim(regexp_replace(l, '[^a-z0-9]+', ' ', 'g'))), lambda l: l <> '')"
+    return low
 
 
 def oracle_sql() -> str:
     """The same scan over ``documents`` for DuckDB."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = lambda rows: ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in rows)
-    digest = lambda c: f"sha256(array_to_string({_sql_lines(c)}, ' '))"
+    words_of = lambda c: f"trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g'))"
+    titles = "|".join(sorted(TITLES, key=len, reverse=True))
+    form = lambda c: f"regexp_replace({words_of(f"regexp_replace(regexp_replace({c}, '{COPYRIGHT}', '', 'g'), '{RESERVED}', '', 'g')")}, '^(?:{titles}) ', '')"
     return f"""
-WITH texts AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, {digest('known')} AS digest FROM (VALUES {values(WHOLE.items())}) v(licence, known)) GROUP BY digest),
-marks AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, {digest('known')} AS digest FROM (VALUES {values(notices())}) v(licence, known)) GROUP BY digest),
-canon AS (SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS lines FROM documents),
-hits AS (SELECT doc_id, sha256(line) AS digest FROM (SELECT doc_id, unnest(lines) AS line FROM canon)),
-found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(DISTINCT licence) AS n_notices FROM hits JOIN marks USING (digest) GROUP BY doc_id)
-SELECT c.doc_id, sha256(array_to_string(c.lines, ' ')) AS digest, t.licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
-FROM canon c LEFT JOIN texts t ON t.digest = sha256(array_to_string(c.lines, ' ')) LEFT JOIN found f ON f.doc_id = c.doc_id"""
+WITH texts AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, sha256({form(_sql_plain('known'))}) AS digest FROM (VALUES {values(WHOLE.items())}) v(licence, known) UNION ALL SELECT * FROM (VALUES {values((v, k) for k, v in FULL.items())}) f(licence, digest)) GROUP BY digest),
+marks AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, sha256({words_of(_sql_plain('known'))}) AS digest FROM (VALUES {values(notices())}) v(licence, known)) GROUP BY digest),
+low AS (SELECT doc_id, {_sql_plain("coalesce(text, '')")} AS low FROM documents),
+hits AS (SELECT doc_id, sha256({words_of('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM low)),
+found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(DISTINCT licence) AS n_notices FROM hits JOIN marks USING (digest) GROUP BY doc_id),
+whole AS (SELECT doc_id, sha256({form('low')}) AS digest FROM low)
+SELECT w.doc_id, w.digest, t.licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
+FROM whole w LEFT JOIN texts t ON t.digest = w.digest LEFT JOIN found f ON f.doc_id = w.doc_id"""

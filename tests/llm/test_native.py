@@ -1,5 +1,9 @@
 """Licence scan and decontamination: defined cases, SQL on a table, plain versions."""
 
+import random
+import re
+import textwrap
+
 import duckdb
 import pytest
 
@@ -75,9 +79,74 @@ def test_leaks_of_items_with_many_slots(spark, offset):
     assert {r.doc_id for r in dc.clean(df, items).collect()} == {6, 7}
 
 
+@pytest.mark.parametrize("one,two", [("All rights reserved at the hotel.", "All rights reserved in the house."), ("Copyright law is difficult.", "Copyright is a right."), ("Copyrighted works of art", "copyright or not")])
+def test_lines_about_copyright_are_no_statements(spark, one, two):
+    rows = licences.scan(spark.createDataFrame([(1, one), (2, two), (3, ""), (4, "Copyright (c) 2020 A. Body. All rights reserved.")], "doc_id long, text string")).collect()
+    digest = {r.doc_id: r.digest for r in rows}
+    assert digest[1] != digest[2] and digest[3] not in (digest[1], digest[2]) and digest[3] == digest[4]
+
+
+@pytest.mark.parametrize("width", [20, 33, 60, 72, 79, 120])
+def test_wrapping_does_not_matter(spark, width):
+    rows = [(i, "Copyright 2021 Some Body\n" + "\n".join(textwrap.wrap(t, width, break_long_words=False)), k) for i, (k, t) in enumerate(licences.WHOLE.items())]
+    got = licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    assert {r.doc_id: r.licence for r in got.collect()} == {r[0]: r[2] for r in rows}
+
+
+def test_very_long_texts(spark):
+    line = "some words of a line of text that goes on, 12 of them or 1,250\n"
+    rows = [(1, line * 30_000 + "Released under the MIT License\n" + ITEM)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert licences.scan(docs).first().notices == "MIT"
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert [r.item_id for r in dc.contaminated(docs, items).collect()] == [1]
+
+
+def changed(rng, text):
+    """The question with other numbers and names, each the same everywhere."""
+    new = {}
+    for w in re.findall(r"\d+|[A-Z][a-z]+", text):
+        new.setdefault(w, str(rng.randrange(2, 9999)) if w.isdigit() else " ".join(rng.choice(["Lima", "Oslo", "Bob", "Ada", "New Haven", "Kim"]) + rng.choice("aeiou") for _ in range(rng.randrange(1, 3))))
+    return re.sub(r"\d+|[A-Z][a-z]+", lambda m: new[m.group(0)], text), len(set(new.values())) == len(new)
+
+
+def test_recall_of_changed_questions(spark):
+    """Planted questions with other numbers and names between other sentences are found; texts without them are not."""
+    rng = random.Random(8)
+    verbs, things = ["buys", "sells", "counts", "eats", "finds", "breaks"], ["apples", "books", "stones", "chairs", "birds", "maps"]
+    items, docs = [], []
+    for i in range(40):
+        a, b = rng.sample(["Anna", "Peter", "Maria", "John", "Sara"], 2)
+        x, y = rng.sample(range(2, 900), 2)
+        items.append((i, f"{a} {rng.choice(verbs)} {x} {rng.choice(things)} in the {rng.choice(['old', 'new', 'small'])} shop of {b} and then {rng.choice(verbs)} {y} of them before the {rng.choice(['train', 'boat', 'bus'])} {rng.choice(['leaves', 'stops'])}, how many {rng.choice(things)} are left for {b}?"))
+    filler = lambda: " ".join(rng.choice(["the", "weather", "of", "these", "days", "is", "fine", "and", "warm", "or", "not"]) for _ in range(rng.randrange(5, 40)))
+    planted = 0
+    for i, text in items:
+        new, apart = changed(rng, text)
+        planted += apart
+        docs.append((i if apart else 1000 + i, f"{filler()}. {new} {filler()}"))
+    docs += [(2000 + i, filler()) for i in range(40)]
+    found = {(r.doc_id, r.item_id) for r in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in found for i, _ in docs if i < 1000) >= 0.9 * planted > 20
+    assert not any(d >= 2000 for d, _ in found)
+
+
+@pytest.mark.parametrize("item", ["What is the capital of France?", "Who wrote it?", "Solve 3 x", "Name two rivers of Spain"])
+def test_short_items_are_found_at_any_place(spark, item):
+    rows = [(k, " ".join(["word"] * k) + " " + item.upper() + " and so on") for k in range(6)] + [(9, "quite another text about rivers and capitals")]
+    got = {r.doc_id for r in dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == set(range(6))
+
+
+def test_runs_of_names(spark):
+    item = "the train from New York to San Diego carries Anna Smith and stops at noon in Los Angeles for one hour of rest"
+    other = item.replace("New York", "Rome").replace("San Diego", "Lima").replace("Anna Smith", "Bob").replace("Los Angeles", "Oslo")
+    got = dc.contaminated(spark.createDataFrame([(1, other), (2, "a plain text of words")], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r.doc_id for r in got.collect()] == [1]
+
+
 def test_titled_wrapped_and_full_licences(spark):
     import os
-    import textwrap
 
     wrapped = lambda t: "\n".join(textwrap.wrap(t, 72))
     rows = [(1, "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrapped(licences.WHOLE["MIT"]), "MIT"), (2, "BSD 3-Clause License\n\nCopyright (c) 2020, Some Body\nAll rights reserved.\n\n" + wrapped(licences.WHOLE["BSD-3-Clause"]), "BSD-3-Clause"), (3, "MIT License\n", None), (5, licences.WHOLE["BSD-2-Clause"].replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"), "BSD-2-Clause"), (4, "# A program\nMIT License\n" + licences.WHOLE["MIT"], None)]
