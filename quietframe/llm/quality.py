@@ -156,8 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     model = fit(x[order], y[order], pairs)
     if model is None:
         return None
-    every = documents(docs).join(learnable(labels, label).select("doc_id"), "doc_id", "left_semi")
-    return model | {"cut": threshold(checkpoint(_strength_column(every, model)), counts[0] / (counts[0] + counts[1]))}
+    # strengths first: what is joined are numbers, not texts
+    known = _strength_column(documents(docs), model).join(learnable(labels, label).select("doc_id"), "doc_id", "left_semi")
+    return model | {"cut": threshold(checkpoint(known), counts[0] / (counts[0] + counts[1]))}
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
