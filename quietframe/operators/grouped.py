@@ -38,6 +38,7 @@ class GroupedDataFrame:
     def __init__(self, dataframe: DataFrame, group_keys: DataFrame):
         self._dataframe, self._group_keys = dataframe, group_keys.distinct() if group_keys.columns else group_keys
 
+    dataframe = property(lambda self: self._dataframe)
     group_keys = property(lambda self: self._group_keys)
     groupby_columns = property(lambda self: self._group_keys.columns)
 

@@ -6,6 +6,7 @@ import math
 import secrets
 from enum import Enum
 from fractions import Fraction
+from statistics import NormalDist
 from typing import Any
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from quietframe.functions import samplers
+from quietframe.functions.distributions import discrete_gaussian_inverse_cmf, double_sided_geometric_inverse_cmf
 from quietframe.functions.exact import INFINITY, ExactNumber, ExactNumberInput, validate_exact_number
 from quietframe.operators.grouped import named
 from quietframe.plans.core import Measurement
@@ -41,6 +43,15 @@ class NoiseMechanism(Enum):
     def gaussian(self) -> bool:
         return self in (NoiseMechanism.GAUSSIAN, NoiseMechanism.DISCRETE_GAUSSIAN)
 
+    def supported_output_measure(self) -> list[Measure]:
+        """Measures that releases with this noise may have; Gaussian kinds have no pure guarantee."""
+        return [RhoZCDP()] if self.gaussian else [PureDP(), RhoZCDP()]
+
+    def check_output_measure(self, output_measure: Measure) -> None:
+        """Raise UnsupportedMeasureError for any other measure."""
+        if output_measure not in self.supported_output_measure():
+            raise UnsupportedMeasureError(output_measure, f"{self.name} noise has a guarantee in {self.supported_output_measure()} only.")
+
 
 def calculate_noise_scale(d_in: ExactNumberInput, d_out: ExactNumberInput, output_measure: Measure) -> ExactNumber:
     """Scale at which noise for inputs d_in apart loses d_out: d/epsilon, or d/sqrt(2 rho) (the standard deviation of Gaussian noise)."""
@@ -92,6 +103,21 @@ class _Mechanism(Measurement):
     def output_type(self):
         return LongType() if self.kind.integral else DoubleType()
 
+    @property
+    def adds_no_noise(self) -> bool:
+        return self._noise == 0
+
+    @classmethod
+    def inverse_cdf(cls, noise: float, probability: float) -> float:
+        """The value that noise of this scale (or variance) does not exceed with the given probability, for Laplace noise and by kind."""
+        if not 0 < probability < 1:
+            raise ValueError("The probability has to lie between 0 and 1.")
+        kinds = {
+            NoiseMechanism.LAPLACE: lambda: math.copysign(-noise * math.log1p(-2 * abs(probability - 0.5)), probability - 0.5), NoiseMechanism.GAUSSIAN: lambda: NormalDist(0, math.sqrt(noise)).inv_cdf(probability),
+            NoiseMechanism.GEOMETRIC: lambda: double_sided_geometric_inverse_cmf(probability, noise), NoiseMechanism.DISCRETE_GAUSSIAN: lambda: discrete_gaussian_inverse_cmf(probability, noise),
+        }
+        return float(kinds[cls.kind]()) if noise else 0.0
+
     @property
     def standard(self) -> ExactNumber:
         """The scale, or the standard deviation."""

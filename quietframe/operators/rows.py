@@ -8,11 +8,12 @@ from dataclasses import replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietframe.functions.exact import ExactNumber
 from quietframe.operators.grouped import named
+from quietframe.operators.truncation import numbered
 from quietframe.plans.core import Transformation
 from quietframe.plans.domains import ListDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkStringColumnDescriptor
 from quietframe.plans.errors import DomainColumnError, UnsupportedCombinationError, UnsupportedMetricError
@@ -218,8 +219,9 @@ class AddUniqueColumn(RowTransformation):
 
     def __call__(self, sdf):
         cells = [named(c).cast("string") for c in sdf.columns]
-        number = F.row_number().over(Window.partitionBy(*map(named, sdf.columns)).orderBy(F.lit(1))) if sdf.columns else F.monotonically_increasing_id()
-        return sdf.select(*map(named, sdf.columns), F.hex(F.to_json(F.array(*cells, number.cast("string")))).alias(self._column))
+        every = sdf.columns
+        sdf = numbered(sdf, self._column) if every else sdf.withColumn(self._column, F.monotonically_increasing_id())
+        return sdf.select(*map(named, every), F.hex(F.to_json(F.array(*cells, named(self._column).cast("string")))).alias(self._column))
 
 
 class Partition(RowTransformation):

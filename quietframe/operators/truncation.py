@@ -56,14 +56,32 @@ def lowest(df: DataFrame, groups: Sequence[Column], hashed: str, order: Sequence
     return df
 
 
+#: Copies of a row that one task numbers.
+COPIES = 1 << 16
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a number among rows of equal content, from 1 on.
+
+    Copies are counted first, with partial sums, and then dealt out by number, so
+    that a row with very many copies meets in no task; these are numbered in
+    stretches of ``COPIES`` by several tasks.
+    """
+    every = list(map(named, df.columns))
+    counted = df.groupBy(*every).agg(F.count(F.lit(1)).alias("__n"))
+    number = lambda first, last: F.explode(F.sequence(first, last)).alias(name)
+    few = counted.where(F.col("__n") <= COPIES).select(*every, number(F.lit(1).cast("long"), F.col("__n")))
+    many = counted.where(F.col("__n") > COPIES).select(*every, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))).alias("__stretch"))
+    many = many.repartition(*every, "__stretch").select(*every, number(F.col("__stretch") * COPIES + 1, F.least("__n", (F.col("__stretch") + 1) * COPIES)))
+    return few.unionByName(many)
+
+
 def truncate_large_groups(df: DataFrame, grouping_columns: Sequence[str], threshold: int) -> DataFrame:
     """At most ``threshold`` rows of each group; copies of a row are told apart by their number, so that they do not clump."""
     every = df.columns
     if threshold <= 0:
         return df.limit(0)
-    number = F.row_number().over(Window.partitionBy(*map(named, every)).orderBy(*map(named, every)))
-    counted = df.withColumn("__number", number)
-    hashed = counted.withColumn("__hash", row_hash(df, every, F.col("__number").cast("long")))
+    hashed = numbered(df, "__number").withColumn("__hash", row_hash(df, every, F.col("__number").cast("long")))
     return lowest(hashed, list(map(named, grouping_columns)), "__hash", list(map(named, every)), threshold).select(*map(named, every))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -115,12 +116,8 @@ class SymmetricDifference(ExactNumberMetric):
     def distance(self, value1, value2, domain):
         self._check(value1, value2, domain)
         if isinstance(domain, SparkGroupedDataFrameDomain):
-            total = 0
-            for a, b in _groups_of_both(value1, value2):
-                one, two = _row_counts(a, b)
-                if one or two:
-                    total += 1 if not a.take(1) or not b.take(1) else 2
-            return ExactNumber(total)
+            cost = F.when(F.col("a") + F.col("b") == 0, 0).when((F.col("n1") == 0) | (F.col("n2") == 0), 1).otherwise(2)
+            return ExactNumber(int(_group_counts(value1, value2).agg(F.sum(cost)).first()[0] or 0))
         return ExactNumber(sum(_row_counts(value1, value2) if isinstance(value1, DataFrame) else _pandas_counts(value1, value2)))
 
 
@@ -138,6 +135,20 @@ class HammingDistance(ExactNumberMetric):
         return ExactNumber(one) if one == two else INFINITY
 
 
+def _group_counts(one, two) -> DataFrame:
+    """For each group of two grouped tables with the same keys: rows that the other lacks (a, b) and all rows (n1, n2), from one aggregation."""
+    if _row_counts(one.group_keys, two.group_keys) != (0, 0):
+        raise ValueError("The tables have different group keys.")
+    keys, every = one.groupby_columns, one.dataframe.columns
+    named = lambda columns: [F.col(f"`{c}`") for c in columns]
+    both = one.dataframe.withColumn("__s", F.lit(1)).unionByName(two.dataframe.withColumn("__s", F.lit(-1)))
+    net = both.groupBy(*named(every)).agg(F.sum("__s").alias("__net"), F.count(F.when(F.col("__s") > 0, 1)).alias("__one"), F.count(F.when(F.col("__s") < 0, 1)).alias("__two"))
+    sums = {"a": F.greatest("__net", F.lit(0)), "b": F.greatest(-F.col("__net"), F.lit(0)), "n1": F.col("__one"), "n2": F.col("__two")}
+    counted = net.groupBy(*named(keys)).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    same = reduce(lambda x, y: x & y, [F.col(f"c.`{k}`").eqNullSafe(F.col(f"k.`{k}`")) for k in keys], F.lit(True))
+    return counted.alias("c").join(one.group_keys.alias("k"), same, "left_semi").select(*[F.col(f"__{n}").alias(n) for n in sums])
+
+
 def _groups_of_both(one, two) -> list[tuple[DataFrame, DataFrame]]:
     """The groups of two grouped tables with the same keys, side by side."""
     if _row_counts(one.group_keys, two.group_keys) != (0, 0):
@@ -175,6 +186,15 @@ class AggregationMetric(ExactNumberMetric):
     def distance(self, value1, value2, domain):
         self._check(value1, value2, domain)
         if isinstance(domain, SparkGroupedDataFrameDomain):
+            if isinstance(self.inner_metric, (SymmetricDifference, HammingDistance)):
+                apart = isinstance(self.inner_metric, HammingDistance)
+                far = F.col("a") if apart else F.col("a") + F.col("b")
+                power = far.cast("decimal(19,0)") * far.cast("decimal(19,0)") if isinstance(self, RootSumOfSquared) else far
+                row = _group_counts(value1, value2).agg(F.sum(power).alias("total"), F.max(F.col("a") != F.col("b")).alias("sizes")).first()
+                if apart and row["sizes"]:
+                    return INFINITY
+                total = ExactNumber(int(row["total"] or 0))
+                return ExactNumber.sqrt(total) if isinstance(self, RootSumOfSquared) else total
             inner = domain.get_group_domain()
             return self.combine([self.inner_metric.distance(a, b, inner) for a, b in _groups_of_both(value1, value2)])
         if len(value1) != len(value2):

@@ -29,10 +29,14 @@ class Config:
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """The shared folder that ``spark.checkpoint.dir`` names; a local one only where none is set."""
+    """The shared folder that ``spark.checkpoint.dir`` names; a local session without one gets a temporary folder, a cluster has to name it."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "quietframe-checkpoints"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quietframe-checkpoints"))
 
 
 def get_materialized_df(sdf: DataFrame, table_name: str | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 import datetime
 import math
+import random
+import statistics
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -417,3 +421,78 @@ def test_streaming_release(spark, tmp_path):
     assert found[(0, "c")] == found[(10, "a")] == found[(30, "b")] == 0  # windows without rows appear all the same
     noisy = windows.release(closed, public, keys, PureDP(), 1)
     assert noisy.count() == 12
+
+
+def test_sums_can_not_fail(spark):
+    huge = make(spark, [(2**62,), (2**62,), (2**62,), (-5,)], "x long")
+    domain = SparkDataFrameDomain({"x": SparkIntegerColumnDescriptor()})
+    release = lambda low, high: releases.create_sum_measurement(domain, SymmetricDifference(), PureDP(), INFINITY, NoiseMechanism.GEOMETRIC, "x", low, high)(huge)
+    assert release(0, 2**62) == 2**63 - 1  # the range's end
+    assert release(-(2**40), 2**40) == 3 * 2**40 - 5
+    assert release(-7, 3) == 4
+    for low, high in ((-(2**62), 2**62), (0, 2**63)):
+        with pytest.raises(ValueError):
+            release(low, high)
+    rng = random.Random(4)
+    values = [rng.randrange(-(2**61), 2**61) for _ in range(40)]
+    assert releases.create_sum_measurement(domain, SymmetricDifference(), PureDP(), INFINITY, NoiseMechanism.GEOMETRIC, "x", -(2**61), 2**61)(make(spark, [(v,) for v in values], "x long")) == sum(values)
+    with pytest.raises(ValueError):
+        releases.create_variance_measurement(domain, SymmetricDifference(), PureDP(), 1, NoiseMechanism.GEOMETRIC, "x", 0, 2**41)
+
+
+@pytest.mark.parametrize("low,high", [(-6, 6), (0, 9), (4, 11), (-7, 2)])
+@pytest.mark.parametrize("whole", [True, False])
+def test_variance_is_centred(spark, low, high, whole):
+    kind = SparkIntegerColumnDescriptor() if whole else SparkFloatColumnDescriptor()
+    domain = SparkDataFrameDomain({"x": kind})
+    noise = NoiseMechanism.GEOMETRIC if whole else NoiseMechanism.LAPLACE
+    make_one = lambda budget: releases.create_variance_measurement(domain, SymmetricDifference(), PureDP(), budget, noise, "x", low, high)
+    least = 0 if low <= 0 <= high else min(low * low, high * high)
+    half = (max(low * low, high * high) - least) / 2
+    assert abs(make_one(1).parts[1].sensitivity.to_float(True) - half) <= (0.5 if whole else 0)
+    values = [low - 3, low, high, high + 9, (low + high) // 2, low + 1]
+    clipped = [max(low, min(high, v)) for v in values]
+    found = make_one(INFINITY)(make(spark, [(v if whole else float(v),) for v in values], "x long" if whole else "x double"))
+    assert found == pytest.approx(statistics.variance(clipped))
+
+
+def test_quantile_takes_values_with_counts():
+    q = releases.NoisyQuantile(PandasSeriesDomain(NumpyFloatDomain()), PureDP(), 0.4, 0.0, 10.0, 3)
+    values, counts = np.array([1.0, 2.0, 7.0, 12.0]), np.array([3, 1, 5, 2])
+    free = releases.NoisyQuantile(PandasSeriesDomain(NumpyFloatDomain()), PureDP(), 0.4, 0.0, 10.0, INFINITY)
+    assert free.interval(values, counts) == free.interval(np.repeat(values, counts)) == (2.0, 7.0)
+    # the exponential mechanism by its definition: length times exp(-epsilon |rank - 0.4 n| / (2 max(0.4, 0.6)))
+    edges, rank = [0, 1, 2, 7, 10], [0, 3, 4, 9]
+    weight = [(b - a) * math.exp(-3 * abs(r - 0.4 * 11) / 1.2) for a, b, r in zip(edges, edges[1:], rank)]
+    n = 4000
+    found = Counter(q.interval(values, counts)[0] for _ in range(n))
+    for a, w in zip(edges, weight):
+        p = w / sum(weight)
+        assert abs(found[float(a)] / n - p) < 6 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+def test_gumbel_choice_with_weights_that_floats_can_not_tell():
+    same = releases.LogWeights(np.array([0.0, 1.0]), np.array([1.0, 2.0]), [Fraction(10**15)] * 2, ExactNumber(1))
+    found = Counter(releases.largest_gumbel(same) for _ in range(400))
+    assert min(found[0], found[1]) > 120
+
+
+def test_numbers_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "COPIES", 7)
+    df = spark.createDataFrame([("a", None)] * 30 + [("b", 1.0)] * 3 + [("c", float("nan"))], "k string, v double")
+    rows = truncation.numbered(df, "n").collect()
+    assert sorted(r.n for r in rows if r.k == "a") == list(range(1, 31)) and sorted(r.n for r in rows if r.k == "b") == [1, 2, 3] and len(rows) == 34
+
+
+def test_small_properties():
+    from quietframe.plans.domains import NumpyDomain
+
+    assert [NumpyDomain.from_np_type(np.dtype(t)) for t in ("int8", "int16", "bool", "int32", "int64")] == [NumpyIntegerDomain(size=s) for s in (32, 32, 32, 32, 64)]
+    with pytest.raises(ValueError):
+        NumpyIntegerDomain(size=16)
+    assert noise.AddLaplaceNoise.inverse_cdf(2.0, 0.5) == 0 and noise.AddLaplaceNoise.inverse_cdf(2.0, 0.9) == pytest.approx(-2 * math.log(0.2)) and noise.AddLaplaceNoise.inverse_cdf(2.0, 0.1) == pytest.approx(2 * math.log(0.2))
+    assert noise.AddGaussianNoise.inverse_cdf(4.0, 0.975) == pytest.approx(2 * 1.959963985) and noise.AddGeometricNoise(0).adds_no_noise
+    assert joins.PrivateJoin.truncation_strategy_stability(joins.TruncationStrategy.TRUNCATE, 5) == 2 and joins.PrivateJoin.truncation_strategy_stability(joins.TruncationStrategy.DROP, 5) == 5
+    NoiseMechanism.LAPLACE.check_output_measure(PureDP())
+    with pytest.raises(errors.UnsupportedMeasureError):
+        NoiseMechanism.GAUSSIAN.check_output_measure(PureDP())
