@@ -47,8 +47,22 @@ CUT = 0.3
 SCHEMA = "doc_id long, score double"
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of every n-gram, each once a document, by document; the last bit marks those that occur twice or more."""
+#: Bits of a hash by which most n-grams that nobody asks for are passed over.
+TABLE_BITS = 20
+
+
+def table_of(keys: np.ndarray) -> np.ndarray:
+    """Which leading bits any of the hashes has."""
+    out = np.zeros(1 << TABLE_BITS, bool)
+    out[keys >> (KEY_BITS - TABLE_BITS)] = True
+    return out
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every n-gram, each once a document, by document; the last bit marks those that occur twice or more.
+
+    With a ``table``, n-grams whose leading bits are not in it are left out.
+    """
     lead = (data & 0xC0) != 0x80
     chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     at = np.append(0, np.cumsum(lead))
@@ -67,7 +81,10 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if size in SIZES:
             inside = doc[: len(rolled)] == doc[size - 1 :]
             key = ((rolled ^ (rolled >> U64(29))) * U64(0x94D049BB133111EB) >> U64(65 - KEY_BITS)) << U64(1)
-            found.append((doc[: len(rolled)] << U64(KEY_BITS) | key)[inside])
+            if table is not None:
+                inside &= table[key >> U64(KEY_BITS - TABLE_BITS)]
+            at = np.flatnonzero(inside)
+            found.append(doc[at] << U64(KEY_BITS) | key[at])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     every = np.sort(np.concatenate(found))
@@ -80,8 +97,9 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def slots(column: pa.Array, keys: np.ndarray):
     """For each run of texts: its first and end text, and (text, place in ``keys``) of the n-grams that are among ``keys``."""
     data, offsets = text_buffers(column)
+    table = table_of(keys)
     for a, b in runs(offsets):
-        doc, key = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        doc, key = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
         place = np.searchsorted(keys, key).clip(max=max(0, len(keys) - 1))
         known = keys[place] == key if len(keys) else np.zeros(len(key), bool)
         yield a, b, doc[known], place[known]
