@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from quietframe.functions import samplers
+from quietframe.functions import batches, samplers
 from quietframe.functions.distributions import discrete_gaussian_inverse_cmf, double_sided_geometric_inverse_cmf
 from quietframe.functions.exact import INFINITY, ExactNumber, ExactNumberInput, validate_exact_number
 from quietframe.operators.grouped import named
@@ -88,6 +88,25 @@ def draw(mechanism: NoiseMechanism, value: Any, scale: ExactNumber) -> Any:
     return samplers.gaussian(_rational(scale * scale), Fraction(float(value)))
 
 
+def draw_many(mechanism: NoiseMechanism, values: np.ndarray, scale: ExactNumber) -> np.ndarray:
+    """Each value with noise of its own; whole numbers stay in the range of longs, values that are not finite stay as they are."""
+    if scale == 0:
+        return values.astype(np.int64 if mechanism.integral else np.float64)
+    if scale == INFINITY:
+        out = np.array([draw(mechanism, v, scale) for v in values.tolist()], dtype=object if mechanism.integral else np.float64)
+    elif mechanism is NoiseMechanism.GEOMETRIC:
+        out = values.astype(object) + batches.discrete_laplace(_rational(scale), len(values)).astype(object)
+    elif mechanism is NoiseMechanism.DISCRETE_GAUSSIAN:
+        out = values.astype(object) + batches.discrete_gaussian(_rational(scale * scale), len(values)).astype(object)
+    else:
+        out = values.astype(np.float64)
+        finite = np.isfinite(out)
+        out[finite] = batches.laplace(out[finite], scale.to_float(True)) if mechanism is NoiseMechanism.LAPLACE else batches.gaussian(out[finite], _rational(scale * scale))
+    if mechanism.integral:
+        return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64)
+    return out
+
+
 class _Mechanism(Measurement):
     """A number plus noise."""
 
@@ -202,7 +221,7 @@ class AddNoiseToSeries(Measurement):
 
     def __call__(self, values: pd.Series) -> pd.Series:
         m = self._noise_measurement
-        return pd.Series([m(v) for v in values.tolist()], dtype="int64" if m.kind.integral else "float64")
+        return pd.Series(draw_many(m.kind, values.to_numpy(), m.standard))
 
 
 def noisy(column: Column, mechanism: NoiseMechanism, scale: ExactNumber) -> Column:
@@ -217,9 +236,7 @@ def noisy(column: Column, mechanism: NoiseMechanism, scale: ExactNumber) -> Colu
 
     @F.pandas_udf(kind)
     def add(values: pd.Series) -> pd.Series:
-        limit = 2**63 - 1
-        out = [draw(mechanism, v, scale) for v in values.tolist()]
-        return pd.Series([max(-limit - 1, min(limit, v)) for v in out] if mechanism.integral else out, dtype="int64" if mechanism.integral else "float64")
+        return pd.Series(draw_many(mechanism, values.to_numpy(), scale))
 
     return add.asNondeterministic()(column.cast(kind))
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 from fractions import Fraction
 
 import numpy as np
@@ -157,3 +158,55 @@ def test_helpers():
         helpers.get_element_type([1, "a"])
     draws = [samplers.RNGWrapper().randrange(5) for _ in range(2000)]
     assert set(draws) == set(range(5)) and max(abs(draws.count(k) - 400) for k in range(5)) < 120
+
+
+def test_batches_follow_their_laws():
+    from quietframe.functions import batches
+
+    n = 60_000
+    for scale in (Fraction(1, 3), Fraction(3), Fraction(1000, 7)):
+        x, g = batches.discrete_laplace(scale, n), math.exp(-1 / float(scale))
+        for k in (-2, -1, 0, 1, 2):
+            p = (1 - g) / (1 + g) * g ** abs(k)
+            assert abs((x == k).mean() - p) < 6 * math.sqrt(p * (1 - p) / n) + 1e-4
+    for variance in (Fraction(1, 2), Fraction(9)):
+        x, k = batches.discrete_gaussian(variance, n), np.arange(-60, 61)
+        p = np.exp(-k * k / (2 * float(variance)))
+        p /= p.sum()
+        for j in (-2, -1, 0, 1, 2):
+            q = p[60 + j]
+            assert abs((x == j).mean() - q) < 6 * math.sqrt(q * (1 - q) / n) + 1e-4
+    for x, cdf in ((batches.laplace(np.full(n, 1.5), 2.0), lambda v: 0.5 * math.exp((v - 1.5) / 2) if v < 1.5 else 1 - 0.5 * math.exp(-(v - 1.5) / 2)), (batches.gaussian(np.full(n, 1.5), Fraction(4)), statistics.NormalDist(1.5, 2).cdf)):
+        for v in (-4.0, -1.0, 1.5, 2.0, 5.0):
+            p = cdf(v)
+            assert abs((x <= v).mean() - p) < 6 * math.sqrt(p * (1 - p) / n)
+
+
+def test_batches_round_as_the_exact_samplers_do(monkeypatch):
+    """With the same bits, the floats are those of exact arithmetic."""
+    from quietframe.functions import batches
+    from quietframe.functions.interval import Interval, precision
+
+    bits = np.array([1, 5 << 40, (1 << 62) - 3, (1 << 62) + 9, (1 << 63) - 2, *[random.Random(7).randrange(1 << 63) for _ in range(200)]], np.uint64)
+    monkeypatch.setattr(batches, "random_bits", lambda n: bits)
+    got = batches.laplace(np.full(len(bits), 0.1), 3.0)
+    sure = 0
+    for b, v in zip(bits.tolist(), got):
+        with precision(60):
+            try:
+                want = samplers.laplace_inverse_cdf(0.1, 3.0, Interval(Fraction(b, 1 << 63), Fraction(b + 1, 1 << 63))).to_float()
+            except (ValueError, ArithmeticError):
+                continue
+        sure += 1
+        assert v == want
+    assert sure > 150
+
+
+def test_undecided_draws_go_on_with_more_bits(monkeypatch):
+    from quietframe.functions import batches
+
+    monkeypatch.setattr(batches, "SLACK", batches.LD(1) / 3)
+    monkeypatch.setattr(batches, "FINE", batches.LD(1) / 3)
+    n, g = 1500, math.exp(-1 / 3)
+    for x, variance in ((batches.discrete_laplace(Fraction(3), n), 2 * g / (1 - g) ** 2), (batches.discrete_gaussian(Fraction(9), n), 9), (batches.laplace(np.zeros(n), 3.0), 18), (batches.gaussian(np.zeros(60), Fraction(9)), 9)):
+        assert abs(x.mean()) < 6 * math.sqrt(variance / len(x)) and 0.4 < x.var() / variance < 2.5
