@@ -578,3 +578,40 @@ def refusals(spark, sf_dir):
         except Exception as e:  # the kinds of errors are what is shown
             found[type(e).__name__] += 1
     return rows_of(spark, "error string", [(k,) for k in found])
+
+
+# -- releases with noise: whether they lie as near to the exact answers as their noise says
+
+
+def _near_query(name: str, create, exact, reach: float, budget=8, **arguments) -> None:
+    """All flags with a noisy answer, and whether it is within ``reach``, which it misses less often than once in some millions."""
+
+    def run(spark, sf_dir):
+        df = lines(spark, sf_dir, "l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice")
+        domain = dense(df)
+        keys = grouped.create_groupby_from_list_of_keys(domain, SD, False, ["l_returnflag"], [("A",), ("N",), ("R",)])
+        found = create(domain, SD, PureDP(), budget, groupby_transformation=keys, **arguments)(df)
+        column = [c for c in found.columns if c != "l_returnflag"][0]
+        return found.join(df.groupBy("l_returnflag").agg(F.expr(exact).alias("exact__")), "l_returnflag").select("l_returnflag", (F.abs(F.col(f"`{column}`") - F.col("exact__")) <= reach).alias("near"))
+
+    run.__name__ = name
+    query("SELECT DISTINCT l_returnflag, true AS near FROM lineitem")(run)
+
+
+_clipped = "least(greatest(l_quantity, 5), 40)"
+_near_query("noisy_sum", releases.create_sum_measurement, f"sum({_clipped})", 40 * 20 / 8, noise_mechanism=NoiseMechanism.LAPLACE, measure_column="l_quantity", lower=5, upper=40)
+_near_query("noisy_count_distinct", releases.create_count_distinct_measurement, "count(DISTINCT l_linenumber, l_quantity, l_extendedprice)", 20 / 8, 8, noise_mechanism=NoiseMechanism.GEOMETRIC)
+_near_query("noisy_variance", releases.create_variance_measurement, f"var_samp({_clipped})", 60.0, 24, noise_mechanism=NoiseMechanism.LAPLACE, measure_column="l_quantity", lower=5, upper=40)
+_near_query("noisy_standard_deviation", releases.create_standard_deviation_measurement, f"stddev_samp({_clipped})", 4.0, 24, noise_mechanism=NoiseMechanism.LAPLACE, measure_column="l_quantity", lower=5, upper=40)
+_near_query("noisy_quantile", releases.create_quantile_measurement, "percentile_approx(l_extendedprice, 0.5, 10000)", 4000.0, 8, measure_column="l_extendedprice", quantile=0.5, lower=0, upper=200000)
+
+
+@query("SELECT f AS l_returnflag, true AS near FROM (VALUES ('A'), ('N'), ('R')) k(f)")
+def noisy_bounds(spark, sf_dir):
+    """Noisy bounds are powers of two between half and four times what holds nine tenths of the values."""
+    df = lines(spark, sf_dir, "l_returnflag", "l_partkey")
+    domain = dense(df)
+    keys = grouped.create_groupby_from_list_of_keys(domain, SD, False, ["l_returnflag"], [("A",), ("N",), ("R",)])
+    found = releases.create_bounds_measurement(domain, SD, PureDP(), 8, "l_partkey", 0.9, groupby_transformation=keys, lower_bound_column="low", upper_bound_column="high")(df)
+    exact = df.groupBy("l_returnflag").agg(F.percentile_approx(F.abs("l_partkey"), 0.9, 1000).alias("most"))
+    return found.join(exact, "l_returnflag").select("l_returnflag", ((F.col("low") == -F.col("high")) & F.col("high").between(F.col("most") / 2, F.col("most") * 4)).alias("near"))
