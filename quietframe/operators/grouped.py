@@ -19,6 +19,9 @@ from quietframe.plans.domains import Domain, NumpyFloatDomain, NumpyIntegerDomai
 from quietframe.plans.errors import DomainColumnError, DomainMismatchError, UnsupportedCombinationError, UnsupportedDomainError, UnsupportedMetricError
 from quietframe.plans.metrics import AbsoluteDifference, HammingDistance, IfGroupedBy, Metric, OnColumn, RootSumOfSquared, SumOf, SymmetricDifference
 
+#: Values of a key column up to which they are broadcast to make all combinations.
+SMALL_KEYS = 100_000
+
 #: Bits of each part of a whole number that are summed on their own: 2**41 rows can not overflow a long.
 PART_BITS = 21
 
@@ -144,7 +147,8 @@ def compute_full_domain_df(column_domains: Mapping[str, Sequence[Any]]) -> DataF
     if not column_domains:
         return spark.createDataFrame([()], StructType([]))
     parts = [spark.createDataFrame([(v,) for v in values], StructType([StructField(c, _key_type(values), None in values)])) for c, values in column_domains.items()]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+    small = [len(values) <= SMALL_KEYS for values in column_domains.values()]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b[0]) if b[1] else b[0]), zip(parts[1:], small[1:]), parts[0])
 
 
 def _key_type(values: Sequence[Any]):
