@@ -241,7 +241,18 @@ def noisy(column: Column, mechanism: NoiseMechanism, scale: ExactNumber) -> Colu
     return add.asNondeterministic()(column.cast(kind))
 
 
-class AddNoiseToColumn(Measurement):
+class SparkMeasurement(Measurement):
+    """A measurement whose answer is a table: what ``call`` gives is evaluated once, in random order, before anyone can read it."""
+
+    def call(self, val: Any) -> DataFrame:
+        """The answer as a plan."""
+        raise NotImplementedError
+
+    def __call__(self, val: Any) -> DataFrame:
+        return sanitized(self.call(val))
+
+
+class AddNoiseToColumn(SparkMeasurement):
     """Noise on one column of a table; the result is a release."""
 
     def __init__(self, input_domain: SparkDataFrameDomain, measurement: AddNoiseToSeries, measure_column: str):
@@ -258,9 +269,9 @@ class AddNoiseToColumn(Measurement):
         self.input_metric.validate(d_in)
         return self._measurement.privacy_function(d_in)
 
-    def __call__(self, sdf: DataFrame) -> DataFrame:
+    def call(self, val: DataFrame) -> DataFrame:
         m = self._measurement.noise_measurement
-        return sanitized(sdf.select(*[noisy(named(c), m.kind, m.standard).alias(c) if c == self._measure_column else named(c) for c in sdf.columns]))
+        return val.select(*[noisy(named(c), m.kind, m.standard).alias(c) if c == self._measure_column else named(c) for c in val.columns])
 
 
 def noisy_number(value: Any, mechanism: NoiseMechanism, scale: ExactNumber) -> np.generic:
