@@ -1,9 +1,9 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page is a sequence of words and tags.  Words score by the place they stand in
-(kind of element around them, whether the page marks its article), tags score
-negatively; the weights are log ratios counted on labelled pages.  One linear
-scan finds the contiguous region of the largest sum; its blocks, without what
+(kind of element around them, whether the page marks its article, whether they
+are a link), tags score negatively; the weights are log ratios counted on labelled pages.  One linear
+scan finds the contiguous region of the largest sum; the blocks it touches, without what
 stands in menus, adverts, forms and the like, are the text.
 
 An element counts as such by its name, or by a class, id or role of which every
@@ -63,6 +63,7 @@ LABELLED = (
     "<html><head><title>A title</title></head><body><nav><ul><li><a>Home</a></li><li><a>News of the day</a></li></ul></nav><div class='ad'>Buy this now and save</div><article><h1>[[A title</h1><p>Some words of the first paragraph stand here.</p><p>And some more <a>with a link</a> in the second one.</p><div class='share'>Share this page</div><p>The end of it all.]]</p></article><aside>Related pages to read</aside><footer>Copyright of the owner</footer></body></html>",
     "<html><body><header><h2>Name of the site</h2><a>Log in</a></header><main><h1>[[Another title</h1><p>This page marks its main part, with quite a few words in it.</p><blockquote>A quotation that belongs to it.</blockquote><ul><li>one point of a list</li><li>one more point</li></ul><p>A last word.]]</p></main><section class='comments'><p>A reader says something long about this page here.</p><form><label>Your comment</label></form></section><div>All rights reserved</div></body></html>",
     "<html><body><div id='menu'><a>one</a><a>two</a><a>three</a></div><div><h1>[[No marks here</h1><p>This page has its words in plain blocks, one after the other, and no marks.</p><p>A second paragraph makes it longer.</p><p>A third one ends it.]]</p></div><div class='sidebar'><p>Sign up for more</p></div><div id='footer'>Contact and privacy</div></body></html>",
+    "<html><body><div><a>Home</a> <a>Products and prices</a> <a>About us</a> <a>How to find us</a></div><div><h1>[[Heading of a plain page</h1><p>This page has links beside its text, and <a>one link</a> in it, as many pages do.</p><p>There is a second paragraph with some more words.]]</p></div><div><a>Imprint</a> <a>Privacy</a> <a>Terms of use</a> <a>Site map</a></div></body></html>",
     "<body><div class='cookie notice'>We use cookies on this site</div><div><a>Back</a> <a>Next</a></div><article><header><h1>[[Title in a header</h1></header><section><p>Words in a section of the article.</p><table><tr><td>a cell</td><td>and a cell</td></tr></table></section>]]</article><div><p>Read our other stories as well</p></div></body>",
 )
 
@@ -80,7 +81,7 @@ def hinted(attributes: str) -> bool:
 def _placed(html: str):
     """Events with the zone 'beside' for what is outside of article and main."""
     stack: list[tuple[str, str]] = []
-    zone = "beside"
+    zone, linked = "beside", False
     for m in TOKEN.finditer(html):
         piece = m.group(0)
         name = m.group(3)
@@ -88,9 +89,13 @@ def _placed(html: str):
             if m.group(1):
                 yield "s", zone, ""
             elif piece[0] != "<" or piece == "<":
-                yield "t", zone, piece
+                yield "l" if linked else "t", zone, piece
             continue
         name = name.lower()
+        if name == "a":
+            linked = not m.group(2)
+        elif name in BLOCKS:
+            linked = False  # an unclosed link ends with its block
         kind = "b" if name in BLOCKS else "s" if name in SPACED else "i"
         if m.group(2):
             yield kind, zone, name
@@ -123,7 +128,7 @@ def _placed(html: str):
 
 
 def events(html: str) -> list[tuple[str, str, str]]:
-    """(kind, zone, value) of a page: kind 't' for text, 'b' for a block's limit, 's' for a space, 'i' for an inline tag.
+    """(kind, zone, value) of a page: kind 't' for text, 'l' for text of a link, 'b' for a block's limit, 's' for a space, 'i' for an inline tag.
 
     Zones: 'article' or 'main' inside such an element, 'outside' elsewhere on a
     page that has one, 'plain' on a page that has none, 'apart' in what never
@@ -132,7 +137,7 @@ def events(html: str) -> list[tuple[str, str, str]]:
     found = list(_placed(html))
     count = {"article": 0, "main": 0, "beside": 0}
     for kind, zone, value in found:
-        if kind == "t" and zone in count:
+        if kind in "tl" and zone in count:
             count[zone] += len(value.split())
     inside = count["article"] + count["main"]
     if inside and (inside >= MARKED or inside >= count["beside"]):
@@ -149,7 +154,7 @@ def train(pages=LABELLED) -> dict[tuple[str, str], float]:
     for page in pages:
         content = False
         for kind, zone, value in events(page):
-            if kind != "t":
+            if kind not in "tl":
                 count = inside if content else outside
                 count["tag", zone] = count.get(("tag", zone), 0) + 1
                 continue
@@ -158,14 +163,16 @@ def train(pages=LABELLED) -> dict[tuple[str, str], float]:
                     content = word == "[["
                     continue
                 count = inside if content else outside
-                count["word", zone] = count.get(("word", zone), 0) + 1
+                what = ("word" if kind == "t" else "link", zone)
+                count[what] = count.get(what, 0) + 1
     out = {}
     for zone in ("article", "main", "outside", "plain", "apart", "dropped"):
-        yes, no = inside.get(("word", zone), 0), outside.get(("word", zone), 0)
-        out["word", zone] = max(-2.0, min(2.0, math.log((yes + 0.5) / (no + 0.5))))
+        for what in ("word", "link"):
+            yes, no = inside.get((what, zone), 0), outside.get((what, zone), 0)
+            out[what, zone] = max(-2.0, min(2.0, math.log((yes + 0.5) / (no + 0.5))))
         tags = inside.get(("tag", zone), 0) + 0.5, outside.get(("tag", zone), 0) + 0.5
         out["tag", zone] = -0.02 * tags[1] / tags[0] if zone in ("article", "main") else -max(0.1, min(1.0, 0.2 * tags[1] / tags[0]))
-    out["word", "dropped"] = out["tag", "dropped"] = 0.0  # it stands inside the region and is left out of the text
+    out["word", "dropped"] = out["link", "dropped"] = out["tag", "dropped"] = 0.0  # it stands inside the region and is left out of the text
     return out
 
 
@@ -176,7 +183,7 @@ def extract(html: str | None, weights: dict[tuple[str, str], float]) -> str:
     sequence = events(html)
     best, best_range, total, begin = 0.0, (0, 0), 0.0, 0
     for i, (kind, zone, value) in enumerate(sequence):
-        score = weights["word", zone] * len(value.split()) if kind == "t" else weights["tag", zone]
+        score = weights["word" if kind == "t" else "link", zone] * len(value.split()) if kind in "tl" else weights["tag", zone]
         if total <= 0:
             total, begin = 0.0, i
         total += score
@@ -185,8 +192,10 @@ def extract(html: str | None, weights: dict[tuple[str, str], float]) -> str:
     if best <= 0:
         return ""
     first, last = best_range
-    while first > 0 and sequence[first - 1][0] == "t" and sequence[first - 1][1] == sequence[first][1]:
+    while first > 0 and sequence[first - 1][0] != "b":  # whole blocks
         first -= 1
+    while last < len(sequence) and sequence[last][0] != "b":
+        last += 1
     blocks, current = [], []
     for kind, zone, value in sequence[first:last]:
         if kind == "b":
@@ -194,7 +203,7 @@ def extract(html: str | None, weights: dict[tuple[str, str], float]) -> str:
             current = []
         elif zone in ("apart", "dropped") or (zone == "outside" and weights["word", zone] < 0):
             continue
-        elif kind == "t":
+        elif kind in "tl":
             current.append(value)
         elif kind == "s":
             current.append(" ")

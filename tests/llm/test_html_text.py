@@ -77,6 +77,12 @@ def test_formulas_objects_and_closed_icons_stay_text():
     assert h.extract(page, W).split("\n\n")[1:] == ["Let x=1 be one an object.", "End."]
 
 
+def test_lists_of_links_beside_unmarked_text():
+    links = "".join(f"<a href=x>Link number {i}</a> " for i in range(9))
+    page = f"<body><div>{links}</div><div><h1>Head</h1>{BODY}<p>With <a href=y>one link</a> in it.</p></div><div>{links}</div></body>"
+    assert h.extract(page, W).split("\n\n") == ["Head", re.sub("<[^>]*>", "", BODY), "With one link in it."]
+
+
 def test_a_tiny_mark_beside_a_long_body():
     assert "body of this article" in h.extract(f"<main>tiny</main><div>{BODY * 6}</div>", W)
 
