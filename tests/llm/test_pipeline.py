@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quietframe.llm import quality
@@ -19,6 +20,24 @@ def test_stages_return_the_columns_of_documents(spark):
         assert stage(spark, docs, DIR).columns == docs.columns
 
 
+def test_stages_with_clashing_columns_null_ids_and_empty_tables(spark):
+    """Columns that operators use inside pass through untouched; rows of null identifiers and texts are handled by every stage."""
+    names = ["row", "k1", "k2", "sid", "score", "size", "token", "label", "first", "spans", "key", "w"]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(i))
+    odd = docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    whole = docs.unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, whole, DIR)
+        rows = out.collect()
+        assert rows
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == whole.columns
+            assert all(tuple(r[c] for c in names) == tuple(range(len(names))) for r in rows)
+        assert stage(spark, whole.limit(0), DIR).collect() == []
+
+
 def test_near_duplicates_keep_one(spark):
     from quietframe.llm import jaccard_join
 
