@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .frames import documents
 
 #: Characters that are encoded at once.
-LEAF = 1 << 11
+LEAF = 1 << 12
 #: Threads of a worker that encode leaves.
 THREADS = 2
 #: First reach, in characters, of the window around a join.
@@ -90,8 +90,9 @@ class Codec:
         while reach < min(len(left), len(right)):
             before, after = left[-reach:], right[:reach]
             window = self.plain(before + after)
-            starts = np.cumsum(np.append(0, self.size[window])) - len(before.encode())
-            near, next_ = left_ids[-4 * reach :], right_ids[: 4 * reach]
+            size = len(before.encode())
+            starts = np.cumsum(np.append(0, self.size[window])) - size
+            near, next_ = left_ids[-size - 1 :], right_ids[: len(after.encode()) + 1]  # all that the window can hold
             left_starts = -np.cumsum(self.size[near[::-1]])[::-1]
             right_starts = np.cumsum(np.append(0, self.size[next_]))[:-1]
             a = self._agreement(starts, window, dict(zip(left_starts.tolist(), near)), False)
