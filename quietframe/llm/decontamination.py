@@ -165,7 +165,7 @@ def _slots() -> Column:
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """k1, k2, doc_id, item_id, matched windows, windows the item offers, and distinct slots, for every leak."""
-    known = items_of(benchmark, item_col, item_text_col)
+    known = checkpoint(items_of(benchmark, item_col, item_text_col))
     docs = keyed(df, id_col, text_col)
     few = docs.join(_small(checkpoint(candidates(docs, known))), KEY, "left_semi")
     own = _with_values(forms(few, "text").drop("text"))
