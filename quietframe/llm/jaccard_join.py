@@ -51,6 +51,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .frames import KEY, checkpoint, keyed, partitions, with_hot_keys, with_row
+from .orders import positions
 from .textcore import U64, Rolling, ascii_lower, mix, runs, text_buffers, word_hashes, words
 
 SHINGLE = 5
@@ -58,7 +59,7 @@ PERCENT = 80
 MISS = 56 * math.log(2)
 #: The most frequent shingles that are put last in the order, and the count from which one is.
 FREQUENT, OFTEN = 50_000, 50
-BLOCK = 2000
+BLOCK = 1000
 LEAF = 16
 BITS = 4096
 
@@ -181,10 +182,10 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(ex, at), np.minimum.reduceat(l0, at), np.maximum.reduceat(l1, at)))
 
     def pairs(self, other: "Tree", percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs of sets that may be similar and are in different components; in both orders if ``other`` is the tree itself."""
+        """Index pairs of sets that may be similar and are in different components; x < y if ``other`` is the tree itself."""
         # both trees may differ in height: the lower one's top stands until the other has come down
         a, b = len(self.levels) - 1, len(other.levels) - 1
-        x, y = np.divmod(np.arange(len(self.levels[a][0]) * len(other.levels[b][0])), len(other.levels[b][0]))
+        x, y = np.divmod(np.arange(len(self.levels[a][0]) * len(other.levels[b][0]), dtype=np.int32), np.int32(len(other.levels[b][0])))
         while True:
             if other is self and a == b:  # each pair once
                 once = x < y if a == 0 else x <= y
@@ -193,7 +194,7 @@ class Tree:
             alive = np.concatenate(found) if found else np.zeros(0, bool)
             x, y = x[alive], y[alive]
             if a == 0 and b == 0:
-                return (np.concatenate([x, y]), np.concatenate([y, x])) if other is self else (x, y)
+                return x, y
             if a >= b:
                 x, y = self._down(x, y, len(self.levels[a - 1][0]))
                 a -= 1
@@ -203,7 +204,7 @@ class Tree:
 
     @staticmethod
     def _down(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        child = (x[:, None] * LEAF + np.arange(LEAF)).ravel()
+        child = (x[:, None] * np.int32(LEAF) + np.arange(LEAF, dtype=np.int32)).ravel()
         y = np.repeat(y, LEAF)
         return child[child < n], y[child < n]
 
@@ -233,19 +234,30 @@ HEAVY, NEAR, ALL = range(3)
 
 def _proposed(mode: int, c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs of rows (i, j) that survived, those a round asks for: one and other set, and what they are chosen by."""
-    a, b = c["sid"][i], c["sid"][j]
+    sid = c["sid"]
     if mode == ALL:
-        return np.minimum(a, b), np.maximum(a, b), np.zeros(len(a))
-    if mode == HEAVY:
-        up = (c["weight"][j] > c["weight"][i]) | ((c["weight"][j] == c["weight"][i]) & (b > a))
-        a, b, value = a[up], b[up], c["weight"][j][up].astype(float)
-    else:
-        common = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(c["bits"][i[s : s + 4096]] & c["bits"][j[s : s + 4096]]).sum(1) for s in range(0, len(i), 4096))])
-        value = common / (c["size"][i] + c["size"][j])
-    order = np.lexsort((b, value, a))
-    last = np.append(a[order][1:] != a[order][:-1], True)[: len(order)]
-    best = order[last]
-    return a[best], b[best], value[best]
+        return np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), np.zeros(len(i))
+    if mode == HEAVY:  # each row with the heaviest one above it
+        order = np.lexsort((sid, c["weight"]))
+        rank = positions(order)
+        best = np.full(len(sid), -1, np.int64)
+        np.maximum.at(best, np.where(rank[j] > rank[i], i, j), np.maximum(rank[i], rank[j]))
+        one = np.flatnonzero(best >= 0)
+        other = order[best[one]]
+        return sid[one], sid[other], c["weight"][other].astype(float)
+    value = np.empty(len(i), np.float32)
+    for s in range(0, len(i), 4096):
+        x, y = i[s : s + 4096], j[s : s + 4096]
+        value[s : s + 4096] = np.bitwise_count(c["bits"][x] & c["bits"][y]).sum(1) / (c["size"][x] + c["size"][y])
+    best = np.full(len(sid), -1, np.float32)
+    for side in (i, j):
+        np.maximum.at(best, side, value)
+    found = [(one[top], other[top]) for one, other in ((i, j), (j, i)) for top in (np.flatnonzero(value == best[one]),)]
+    one, other = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((sid[other], sid[one]))
+    last = np.append(sid[one][order][1:] != sid[one][order][:-1], True)[: len(order)]
+    one, other = one[order[last]], other[order[last]]
+    return sid[one], sid[other], best[one].astype(float)
 
 
 def _search(mode: int, percent: int):
