@@ -10,6 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows that goes to a Python worker; Spark's own limit is sixteen times as much, which both sides would hold several times.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table, in a session that sends it to Python workers in batches of ``BATCH_BYTES`` (unless the user has set a limit)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,7 +73,7 @@ KEY = ["k1", "k2"]
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k1, k2, doc_id and text."""
-    return df.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return small_batches(df).select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -83,4 +95,4 @@ def with_hot_keys(rows: DataFrame, known: DataFrame, key: str, count: str) -> Da
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the identifier and the text, under fixed names: other columns never get in the way."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

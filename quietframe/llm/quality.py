@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import checkpoint, documents
+from .frames import checkpoint, documents, small_batches
 from .labelled import held_out, learnable, sampled
 from .textcore import runs, text_buffers, word_hashes, words
 
@@ -189,4 +189,4 @@ def keep(docs: DataFrame, model) -> DataFrame:
             margin = strengths(model, features(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array(margin >= 0))
 
-    return docs.mapInArrow(kept, fields)
+    return small_batches(docs).mapInArrow(kept, fields)

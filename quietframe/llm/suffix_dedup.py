@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .frames import KEY, keyed, row_key
+from .frames import KEY, keyed, row_key, small_batches
 from .orders import distinct_strings, longest_right, positions, range_min, sorted_rows, suffix_ranks
 from .repeats import Kind
 from .textcore import BYTE_VALUES, U64, Rolling, runs, text_buffers
@@ -162,7 +162,7 @@ def rewrite(df: DataFrame, n: int = N, text_col: str = "text", id_col: str = "do
     named = list(df.columns)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in named if c not in (text_col, "n_chars")])
-    docs = df.select(rest.alias("row"), *row_key(id_col, text_col), text.alias("text"))
+    docs = small_batches(df).select(rest.alias("row"), *row_key(id_col, text_col), text.alias("text"))
     joined = docs.join(repeats.covered(docs, kind(n), resolve), KEY, "left").select("row", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["last"]).alias("last"))
     out = joined.mapInArrow(cut, joined.schema)
     fresh = {text_col: F.col("text"), "n_chars": F.length("text").cast("long")}
