@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that checkpoints have replaced: it does so only when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """``k1`` and ``k2``: two 64-bit hashes of a row's identifier and text, by which results find their row.
 

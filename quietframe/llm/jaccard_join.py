@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import KEY, checkpoint, keyed, partitions, with_hot_keys, with_row
+from .frames import KEY, checkpoint, free_shuffles, keyed, partitions, with_hot_keys, with_row
 from .orders import positions
 from .textcore import U64, Rolling, ascii_lower, mix, runs, text_buffers, word_hashes, words
 
@@ -379,6 +379,7 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     places = member.select("sid").distinct().join(classes.select("sid", "place"), "sid").select("sid", "place.k1", "place.k2")
     texts = checkpoint(places.join(docs.select(*KEY, "text"), KEY).dropDuplicates(["sid"]).select("sid", "text"))
     signature = checkpoint(_signatures(texts, size))
+    free_shuffles(df.sparkSession)
 
     known = tested = None
     for mode in rounds:
@@ -386,8 +387,10 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         pairs = proposals(mode, rows, signature, percent, block)
         pairs = checkpoint(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
+        free_shuffles(df.sparkSession)
         links = verified(pairs, texts, size, percent)
         known = checkpoint(components(links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+        free_shuffles(df.sparkSession)
 
     # sets first, documents last: a set may have a third of all documents
     labelled = checkpoint(classes.select("sid", "copies", "least").join(known, F.col("sid") == F.col("node"), "left").select("sid", "copies", "least", F.coalesce("label", "sid").alias("class")))
