@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprint, html_text, jaccard_join, licences, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, centroids, decontamination, fingerprint, html_text, jaccard_join, licences, prefix_trie, quality, substring_dedup, suffix_dedup, token_files, toxicity
 from .frames import read
 
 
-def vocabulary() -> str:
-    """Path of the byte-level BPE vocabulary of the installed public tokenizers."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a vocabulary of the installed public tokenizers, by default the byte-level BPE."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(read(spark, sf_dir, "conversations"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = (
     op1_suffix_dedup, op2_quality_classifier, op3_fingerprint, op4_html_text, op5_licence_scan,
     op6_substring_dedup, op7_bpe, op8_toxicity, op9_decontamination, op10_jaccard_join,
+    op11_prefix_trie, op12_centroids, op13_token_files,
 )
 
 
