@@ -26,9 +26,11 @@ its length for each of them.
 
 A text is cut at white space of ASCII, which no token contains and where no rule
 of these tokenizers looks across (the pre-tokenizer drops white space, and no
-added token holds any); the tokenizers library encodes each distinct piece of a
-batch once, and a bounded memory of pieces saves repeated ones.  A vocabulary for
-which this does not hold is encoded by whole texts instead (``by_pieces``).
+added token holds any), and between a letter of ASCII and a closing mark after it
+(``MARKS``), which are always tokens of their own; the tokenizers library encodes
+each distinct piece of a batch once, and a bounded memory of pieces saves repeated
+ones.  A vocabulary for which this does not hold is encoded by whole texts instead
+(``by_pieces``).
 
 Defined cases: null and empty texts have the end id alone; null identifiers come
 first, rows of one identifier in the order of their texts' hashes, and equal rows
@@ -41,6 +43,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -58,7 +61,11 @@ LONGEST = 18
 #: Ids of a block.
 BLOCK = 512
 #: Pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: A letter and a closing mark, between which a text can be cut; none of these marks is in a contraction or an added token.
+MARKS = r"([A-Za-z])([.,!?;:)\]\"-])"
+#: Pieces of one pre-token: letters that lower case and composition leave single letters.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 PACKED = "doc_id long, tie long, n_tokens long, ids binary"
 SHARDS = "part int, shard long, before long, n_ids long, doc_ids array<long>, n_tokens array<long>, blocks array<long>, bits_at array<long>, bits binary"
@@ -73,11 +80,42 @@ class Encoder:
         self.core = Tokenizer.from_str(spec)
         self.core.no_truncation()
         self.core.no_padding()
-        self.pieces = by_pieces(json.loads(spec))
-        self.known: dict[str, np.ndarray] = {}
+        model = json.loads(spec)
+        self.pieces = by_pieces(model)
+        self.width = "<u2" if self.core.get_vocab_size() <= 1 << 16 else "<u4"
+        self.ends = np.zeros(max(self.core.get_vocab().values(), default=0) + 1, bool)
+        self.ends[[i for t, i in model["model"]["vocab"].items() if t.endswith(model["model"].get("end_of_word_suffix") or "\0")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew: ``known`` has the number of each piece, ``first`` and ``flat`` where its ids are and what they are."""
+        self.known: dict[str, int] = {}
+        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(self.core.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        return [np.asarray(e.ids, np.uint32) for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """Add the ids of new pieces; pieces of one pre-token each are encoded side by side, their last tokens tell them apart."""
+        single = [w for w in new if PLAIN.fullmatch(w)]
+        other = [w for w in new if not PLAIN.fullmatch(w)]
+        parts, sizes = [], []
+        for a in range(0, len(single), 1000):
+            some = single[a : a + 1000]
+            ids = self.plain([" ".join(some)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                other += some
+                continue
+            parts.append(ids)
+            sizes.append(np.diff(np.append(0, ends)))
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+        rest = self.plain(other)
+        self.known.update(zip(other, range(len(self.known), len(self.known) + len(other))))
+        parts += rest
+        sizes.append(np.fromiter((len(v) for v in rest), np.int64, len(rest)))
+        self.flat = np.concatenate([self.flat, *parts])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(np.concatenate(sizes)))
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, each with the end id after it, and where each text's ids start."""
@@ -89,26 +127,22 @@ class Encoder:
             for at, v in zip(bounds.tolist(), ids):
                 out[at : at + len(v)] = v
             return out, bounds
-        split = pc.ascii_split_whitespace(texts)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, MARKS, r"\1 \2"))
         words = split.flatten().dictionary_encode()
         lists = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
         distinct = words.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [w for w in distinct if w not in self.known]
-        self.known.update(zip(new, self.plain(new)))
-        table = [self.known[w] for w in distinct]
-        size = np.fromiter((len(v) for v in table), np.int64, len(table))
-        first = np.append(0, np.cumsum(size))
-        flat = np.concatenate([*table, np.zeros(0, np.uint32)])
-        which = np.asarray(words.indices, np.int64)
-        many = size[which]
+            self.forget()
+        self.learn([w for w in distinct if w not in self.known])
+        which = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[np.asarray(words.indices, np.int64)]
+        first = self.first[which]
+        many = self.first[which + 1] - first
         before = np.append(0, np.cumsum(many))
         bounds = before[lists] + np.arange(len(lists))
         out = np.full(bounds[-1], end, np.uint32)
         place = np.arange(before[-1])
         document = np.repeat(np.arange(len(lists) - 1), np.diff(before[lists]))
-        out[place + document] = flat[place - np.repeat(before[:-1] - first[which], many)]
+        out[place + document] = self.flat[place + np.repeat(first - before[:-1], many)]
         return out, bounds
 
 
@@ -232,35 +266,41 @@ def block_sizes(n_tokens: np.ndarray, blocks: np.ndarray) -> np.ndarray:
 
 
 def packed(df: DataFrame, spec: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a hash of the text, how many ids it has with the end id, and these as little-endian numbers of 32 bits."""
+    """doc_id, a hash of the text, how many ids it has with the end id, and these as little-endian numbers of 16 bits, or 32 for vocabularies beyond."""
     sent = df.sparkSession.sparkContext.broadcast(spec)
 
     def encode(batches):
         own = encoder(sent.value)
         for batch in batches:
             ids, bounds = own.encode(batch.column("text"), end)
-            offsets = pa.py_buffer((bounds * 4).astype(np.int64))
-            data = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, offsets, pa.py_buffer(ids.astype("<u4"))])
+            raw = ids.astype(own.width)
+            data = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * raw.itemsize), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(np.diff(bounds)), data.cast(pa.binary())], ["doc_id", "tie", "n_tokens", "ids"])
 
     rows = documents(df, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
     return rows.mapInArrow(encode, PACKED)
 
 
+def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+    """The ids of a batch of packed rows; how many there are tells their width."""
+    data = text_buffers(batch.column("ids"))[0]
+    many = int(pc.sum(batch.column("n_tokens")).as_py() or 0)
+    return data.view("<u2" if len(data) == 2 * many else "<u4")
+
+
 def id_counts(rows: DataFrame) -> DataFrame:
     """id and how often it occurs in packed rows; a task gives a row for each of its distinct ids."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(text_buffers(batch.column(0))[0], "<u4")
-            own = np.bincount(ids, minlength=len(total))
+            own = np.bincount(unpacked(batch), minlength=len(total))
             own[: len(total)] += total
             total = own
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
-    return rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("n_tokens", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end: int = 1, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -281,7 +321,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int = 1, longest: int =
         codes = Codebook(*book.value)
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            own = np.frombuffer(text_buffers(batch.column("ids"))[0], "<u4")
+            own = unpacked(batch)
             n_tokens = batch.column("n_tokens").to_numpy()
             blocks, bits_at, bits = codes.write(own, np.append(0, np.cumsum(n_tokens)))
             lists = [batch.column("doc_id").to_pylist(), n_tokens, blocks, bits_at]

@@ -79,7 +79,7 @@ def test_other_vocabularies_are_encoded_by_whole_texts(spark):
 PIECES = st.sampled_from(["a", "The", "isn't", "<|endoftext|>", "<|start", "oftext|>", " ", "\n", "\x0b", " ", " ", "é", "́", "ΣΑΣ", "日本", "12", "'s", "!?", "🙂", "\x1c", "x" * 40])
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(PIECES, max_size=30))
 def test_pieces_are_the_whole(plain, parts):
     import pyarrow as pa
