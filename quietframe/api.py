@@ -16,7 +16,7 @@ from quietframe.operators.joins import PrivateJoin, PrivateJoinOnKey, PublicJoin
 from quietframe.operators.maps import FlatMap, FlatMapByKey, GroupingFlatMap, Map, RowsToRowsTransformation, RowToRowsTransformation, RowToRowTransformation
 from quietframe.operators.noise import AddDiscreteGaussianNoise, AddGaussianNoise, AddGeometricNoise, AddLaplaceNoise, AddNoiseToColumn, AddNoiseToSeries, NoiseMechanism, calculate_noise_scale
 from quietframe.operators.releases import (
-    Aggregate, AggregateByColumn, ApplyInPandas, FusedAggregate, GeometricPartitionSelection, NoisyQuantile, SparseVectorPrefixSums, create_average_measurement, create_bounds_measurement,
+    Aggregate, AggregateByColumn, ApplyInPandas, FusedAggregate, GeometricPartitionSelection, MergeableAggregate, NoisyQuantile, SparseVectorPrefixSums, create_average_measurement, create_bounds_measurement,
     create_count_distinct_measurement, create_count_measurement, create_partition_selection_measurement, create_quantile_measurement, create_standard_deviation_measurement,
     create_sum_measurement, create_variance_measurement, get_midpoint,
 )

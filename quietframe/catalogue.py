@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quietframe.functions.exact import INFINITY
+from quietframe.functions.exact import INFINITY, ExactNumber
 from quietframe.operators import grouped, joins, maps, releases, rows, tables, truncation
 from quietframe.operators.noise import NoiseMechanism
-from quietframe.plans.core import Composition, HammingDistanceToSymmetricDifference, PostProcess
-from quietframe.plans.domains import DictDomain, ListDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkIntegerColumnDescriptor, SparkRowDomain, SparkStringColumnDescriptor, convert_spark_schema
+from quietframe.plans.core import Composition, HammingDistanceToSymmetricDifference, Measurement, PostProcess
+from quietframe.plans.domains import DictDomain, ListDomain, NumpyIntegerDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkIntegerColumnDescriptor, SparkRowDomain, SparkStringColumnDescriptor, convert_spark_schema
 from quietframe.plans.interactive import PrivacyAccountant, SequentialComposition
 from quietframe.plans.measures import PureDP, RhoZCDP
-from quietframe.plans.metrics import AddRemoveKeys, DictMetric, HammingDistance, IfGroupedBy, RootSumOfSquared, SumOf, SymmetricDifference
+from quietframe.plans.metrics import AbsoluteDifference, AddRemoveKeys, DictMetric, HammingDistance, IfGroupedBy, RootSumOfSquared, SumOf, SymmetricDifference
 from quietframe.sources.shared import read_table
 
 SD = SymmetricDifference()
@@ -47,6 +47,16 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
+def fixed_loss(measure, loss):
+    """A measurement of a given loss at distance 1, linear in the distance."""
+
+    class Fixed(Measurement):
+        def privacy_function(self, d_in):
+            return ExactNumber(d_in) * ExactNumber(loss)
+
+    return Fixed(NumpyIntegerDomain(), AbsoluteDifference(), measure)
+
+
 def dense(df: DataFrame, *nullable: str) -> SparkDataFrameDomain:
     """The domain of a table without nulls, NaNs and infinities but in the named columns."""
     schema = StructType([f for f in df.schema])
@@ -494,7 +504,7 @@ def composition(spark, sf_dir):
     return one_row(spark, n=answers[0], total=answers[1], twice=answers[2])
 
 
-@query("SELECT count(*) FILTER (WHERE l_quantity > 10) AS n, count(*) FILTER (WHERE l_quantity > 10 AND l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_quantity > 10 AND l_returnflag = 'R') AS r FROM lineitem")
+@query("SELECT l_returnflag AS part, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM lineitem WHERE l_quantity > 10")
 def accountant(spark, sf_dir):
     df = lines(spark, sf_dir, "l_quantity", "l_returnflag")
     domain = dense(df)
@@ -502,13 +512,14 @@ def accountant(spark, sf_dir):
     root.transform_in_place(HammingDistanceToSymmetricDifference(domain))
     root.transform_in_place(rows.Filter(domain, SD, "l_quantity > 10"))
     count = lambda a: a.measure(releases.create_count_measurement(domain, SD, PureDP(), INFINITY, NoiseMechanism.GEOMETRIC, d_in=2))
-    n = count(root)
-    parts = root.split(rows.PartitionByKeys(domain, SD, False, ["l_returnflag"], [("A",), ("R",)]), INFINITY)
-    found = []
-    for part in parts:
-        found.append(count(part))
+    found = [("all", int(count(root)))]
+    flags = [r[0] for r in df.select("l_returnflag").distinct().orderBy("l_returnflag").collect()]
+    parts = root.split(rows.PartitionByKeys(domain, SD, False, ["l_returnflag"], [(k,) for k in flags]), INFINITY)
+    for flag, part in zip(flags, parts):
+        found.append((flag, int(count(part))))
         part.retire()
-    return one_row(spark, n=n, a=found[0], r=found[1])
+    root.retire()
+    return spark.createDataFrame(found, "part string, n long")
 
 
 # -- with noise: rows only
@@ -534,4 +545,4 @@ def noisy_partition_selection(spark, sf_dir):
     return releases.create_partition_selection_measurement(dense(df), 1, "1/1000000")(df)
 
 
-from quietframe import catalogue_parts  # noqa: E402, F401  its queries are kept here too
+from quietframe import catalogue_numbers, catalogue_parts  # noqa: E402, F401  their queries are kept here too

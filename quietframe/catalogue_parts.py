@@ -1,30 +1,26 @@
 """Queries of the remaining operators and functions, with their SQL.
 
-Tables pass through the operators whole; functions of numbers are shown on small
-grids, which SQL computes by formulas or sums of its own.
+Tables pass through the operators whole.
 """
 
 from __future__ import annotations
 
-import datetime
 import math
 from collections import Counter
-from fractions import Fraction
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quietframe import catalogue
-from quietframe.catalogue import SD, dense, hashed, lines, one_row, query, truncated
-from quietframe.functions import distributions, helpers, samplers
+from quietframe.catalogue import SD, dense, fixed_loss, hashed, lines, one_row, query, truncated
 from quietframe.functions.exact import INFINITY, ExactNumber
-from quietframe.operators import grouped, joins, maps, noise, releases, rows, tables, truncation
+from quietframe.operators import grouped, laws, maps, noise, per_record, quantiles, releases, rows, tables, truncation
 from quietframe.operators.noise import NoiseMechanism
 from quietframe.plans import core, domains, errors, interactive, measures, metrics
-from quietframe.plans.domains import DictDomain, ListDomain, NumpyFloatDomain, NumpyIntegerDomain, NumpyStringDomain, PandasDataFrameDomain, PandasSeriesDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkIntegerColumnDescriptor, SparkRowDomain, SparkStringColumnDescriptor
+from quietframe.plans.domains import DictDomain, ListDomain, NumpyIntegerDomain, PandasDataFrameDomain, PandasSeriesDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkIntegerColumnDescriptor, SparkRowDomain, SparkStringColumnDescriptor
 from quietframe.plans.measures import ApproxDP, PureDP, RhoZCDP
 from quietframe.plans.metrics import AddRemoveKeys, DictMetric, HammingDistance, IfGroupedBy, RootSumOfSquared, SumOf
 from quietframe.sources import shared
@@ -247,6 +243,69 @@ def apply_in_pandas(spark, sf_dir):
     return releases.ApplyInPandas(group.output_domain, SumOf(SD), f)(group(df))
 
 
+class Spread(releases.MergeableAggregate):
+    """Largest less least value of a series, taken in parts; without privacy, like ``Extremes``."""
+
+    def __init__(self, domain):
+        super().__init__(domain, SD, PureDP(), StructType([StructField("x", DoubleType())]))
+
+    def privacy_function(self, d_in):
+        return INFINITY
+
+    def init(self):
+        return None
+
+    def update(self, state, data):
+        return state if not len(data) else self.merge(state, (float(data.min()), float(data.max())))
+
+    def merge(self, state, other):
+        return other if state is None else state if other is None else (min(state[0], other[0]), max(state[1], other[1]))
+
+    def finish(self, state):
+        return -1.0 if state is None else state[1] - state[0]
+
+
+@query("SELECT f AS l_returnflag, coalesce(a, -1) AS l_quantity, coalesce(b, -1) AS l_extendedprice FROM (VALUES ('A'), ('N'), ('R'), ('X')) k(f) LEFT JOIN (SELECT l_returnflag, max(l_quantity) - min(l_quantity) AS a, max(l_extendedprice) - min(l_extendedprice) AS b FROM lineitem GROUP BY 1) g ON g.l_returnflag = f")
+def apply_in_parts(spark, sf_dir):
+    """Aggregates of groups from states that each task makes of its rows."""
+    df = lines(spark, sf_dir, "l_returnflag", "l_quantity", "l_extendedprice")
+    group = _grouping(df, dense(df))
+    series = {c: PandasSeriesDomain(dense(df)[c].to_numpy_domain()) for c in ("l_quantity", "l_extendedprice")}
+    f = releases.AggregateByColumn(PandasDataFrameDomain(series), {c: Spread(d) for c, d in series.items()})
+    return releases.ApplyInPandas(group.output_domain, SumOf(SD), f)(group(df))
+
+
+@query("SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY 1")
+def flat_map_by_key_stream(spark, sf_dir):
+    """A function that reads the rows of a key one by one: a third of the table and more a key, in bounded memory."""
+    df = lines(spark, sf_dir, "l_returnflag", "l_linenumber").withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
+
+    def count_and_sum(stream):
+        n = total = 0
+        for r in stream:
+            n, total = n + 1, total + r.l_linenumber
+        return [{"n": n, "total": total}]
+
+    target = {"n": SparkIntegerColumnDescriptor(), "total": SparkIntegerColumnDescriptor()}
+    f = maps.RowsToRowsTransformation(ListDomain(SparkRowDomain(dense(df).schema)), ListDomain(SparkRowDomain(target)), count_and_sum, streaming=True)
+    return maps.FlatMapByKey(IfGroupedBy("l_returnflag", SD), f)(df)
+
+
+@query("SELECT l_orderkey % 50 AS k, count(*) AS n, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY 1")
+def partition_by_many_keys(spark, sf_dir):
+    """Fifty parts of one pass, each read from its own folder."""
+    df = lines(spark, sf_dir, "l_orderkey", "l_linenumber").select((F.col("l_orderkey") % 50).alias("k"), F.col("l_linenumber").cast("long").alias("x"))
+    parts = rows.PartitionByKeys(dense(df), SD, False, ["k"], [(k,) for k in range(50)])(df)
+    return reduce(DataFrame.unionByName, [p.groupBy("k").agg(F.count("*").alias("n"), F.sum("x").alias("total")) for p in parts])
+
+
+@query("SELECT l_linestatus, min(r) AS rank FROM (SELECT l_linestatus, r, sum(n) OVER (PARTITION BY l_linestatus ORDER BY r) AS upto, sum(n) OVER (PARTITION BY l_linestatus) AS total FROM (SELECT l_linestatus, l_orderkey AS r, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE upto >= trunc(total * 0.6::DOUBLE) GROUP BY 1")
+def sparse_vector_prefix_sums(spark, sf_dir):
+    """The first order at which six tenths of the lines of a status are passed, from ranges of orders."""
+    df = lines(spark, sf_dir, "l_linestatus", "l_orderkey").groupBy("l_linestatus", F.col("l_orderkey").alias("rank")).agg(F.count("*").alias("n"))
+    return releases.SparseVectorPrefixSums(dense(df), "n", "rank", 0, ["l_linestatus"], 0.6)(df)
+
+
 @query("""WITH p AS (SELECT l_returnflag AS f, least(greatest(l_extendedprice, 1000), 50000) AS x, count(*) AS n FROM lineitem GROUP BY 1, 2),
 e AS (SELECT f, x, sum(n) OVER (PARTITION BY f ORDER BY x) AS rank, sum(n) OVER (PARTITION BY f) AS total FROM p UNION ALL SELECT f, 1000, 0, sum(n) FROM p GROUP BY f),
 i AS (SELECT f, x AS low, coalesce(lead(x) OVER (PARTITION BY f ORDER BY rank), 50000) AS high, rank, total FROM e),
@@ -255,14 +314,10 @@ SELECT f AS l_returnflag, low::DOUBLE AS low, high::DOUBLE AS high FROM r WHERE
 def quantile_interval(spark, sf_dir):
     """The interval from which the first quartile is drawn, from values and their counts."""
     df = lines(spark, sf_dir, "l_returnflag", "l_extendedprice")
-    q = releases.NoisyQuantile(PandasSeriesDomain(NumpyFloatDomain()), PureDP(), 0.25, 1000.0, 50000.0, INFINITY)
-    counted = df.groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("n"))
-
-    def ends(frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = q.interval(frame["l_extendedprice"].to_numpy(), frame["n"].to_numpy())
-        return pd.DataFrame({"l_returnflag": [frame["l_returnflag"].iloc[0]], "low": [low], "high": [high]})
-
-    return counted.groupBy("l_returnflag").applyInPandas(ends, "l_returnflag string, low double, high double")
+    value = grouped.clip(F.col("l_extendedprice"), 1000.0, 50000.0)
+    counted = df.groupBy("l_returnflag", value.alias("__value")).agg(F.count("*").alias("__n"))
+    found = quantiles.winning_intervals(counted, df.select("l_returnflag").distinct(), 0.25, 1000.0, 50000.0, INFINITY)
+    return found.select("l_returnflag", F.col("__low").alias("low"), F.col("__high").alias("high"))
 
 
 # -- noise
@@ -276,33 +331,6 @@ def add_noise_to_column(spark, sf_dir):
     return noise.AddNoiseToColumn(dense(df), series, "o_totalprice")(df)
 
 
-@query("SELECT 'laplace' AS kind, 5.5::DOUBLE AS value UNION ALL SELECT 'geometric', 5 UNION ALL SELECT 'discrete gaussian', 5 UNION ALL SELECT 'gaussian', 5.5")
-def noise_of_scale_zero(spark, sf_dir):
-    floats, wholes = NumpyFloatDomain(), NumpyIntegerDomain()
-    found = [("laplace", noise.AddLaplaceNoise(floats, 0)(np.float64(5.5))), ("geometric", noise.AddGeometricNoise(0)(np.int64(5))), ("discrete gaussian", noise.AddDiscreteGaussianNoise(0)(np.int64(5))), ("gaussian", noise.AddGaussianNoise(floats, 0)(np.float64(5.5)))]
-    return rows_of(spark, "kind string, value double", [(k, float(v)) for k, v in found])
-
-
-@query("SELECT d, e, d / e AS pure, d / sqrt(2 * e) AS zcdp FROM (VALUES (1.0::DOUBLE), (3.0), (7.5)) a(d), (VALUES (0.25::DOUBLE), (1.0), (4.0)) b(e)")
-def noise_scales(spark, sf_dir):
-    grid = [(d, e) for d in ("1", "3", "15/2") for e in ("1/4", "1", "4")]
-    number = lambda x: ExactNumber(x).to_float(True)
-    return rows_of(spark, "d double, e double, pure double, zcdp double", [(number(d), number(e), noise.calculate_noise_scale(d, e, PureDP()).to_float(True), noise.calculate_noise_scale(d, e, RhoZCDP()).to_float(True)) for d, e in grid])
-
-
-@query("SELECT kind, d, CASE kind WHEN 'laplace' THEN d / 4 WHEN 'geometric' THEN d / 4 ELSE d * d / 8 END AS loss FROM (VALUES ('laplace'), ('geometric'), ('discrete gaussian'), ('gaussian')) a(kind), (VALUES (1.0::DOUBLE), (2.0), (6.0)) b(d)")
-def noise_losses(spark, sf_dir):
-    """What mechanisms of scale 4, or variance 4, lose."""
-    kinds = {"laplace": noise.AddLaplaceNoise(NumpyFloatDomain(), 4), "geometric": noise.AddGeometricNoise(4), "discrete gaussian": noise.AddDiscreteGaussianNoise(4), "gaussian": noise.AddGaussianNoise(NumpyFloatDomain(), 4)}
-    return rows_of(spark, "kind string, d double, loss double", [(k, float(d), m.privacy_function(d).to_float(True)) for k, m in kinds.items() for d in (1, 2, 6)])
-
-
-def _spread(values, mean: float, variance: float) -> bool:
-    """Whether mean and variance of a sample are as they should be, but for one sample in some millions."""
-    v = np.asarray(values, float)
-    return bool(abs(v.mean() - mean) < 6 * math.sqrt(variance / len(v)) and 0.5 < v.var() / variance < 2)
-
-
 @query("SELECT * FROM (VALUES ('laplace', true), ('geometric', true), ('discrete gaussian', true), ('gaussian', true)) t(kind, fits)")
 def noise_distributions(spark, sf_dir):
     """Noise drawn by Spark's tasks, one value an order: mean and variance."""
@@ -316,111 +344,55 @@ def noise_distributions(spark, sf_dir):
     return rows_of(spark, "kind string, fits boolean", found)
 
 
-@query("SELECT * FROM (VALUES ('uniform_below', true), ('bernoulli', true), ('bernoulli_exp', true), ('geometric_exp', true), ('discrete_laplace', true), ('discrete_gaussian', true), ('laplace', true), ('gaussian', true), ('uniform', true), ('RNGWrapper', true)) t(sampler, fits)")
-def sampler_distributions(spark, sf_dir):
-    many = lambda f, n=1500: [f() for _ in range(n)]
-    q, g = math.exp(-0.5), math.exp(-1 / 2)
-    wrapped = samplers.RNGWrapper()
-    found = {
-        "uniform_below": _spread(many(lambda: samplers.uniform_below(10)), 4.5, 8.25), "bernoulli": _spread(many(lambda: samplers.bernoulli(Fraction(1, 4))), 0.25, 0.1875),
-        "bernoulli_exp": _spread(many(lambda: samplers.bernoulli_exp(Fraction(1, 2))), q, q * (1 - q)), "geometric_exp": _spread(many(lambda: samplers.geometric_exp(Fraction(1, 2))), g / (1 - g), g / (1 - g) ** 2),
-        "discrete_laplace": _spread(many(lambda: samplers.discrete_laplace(2)), 0, 2 * g / (1 - g) ** 2), "discrete_gaussian": _spread(many(lambda: samplers.sample_dgauss(9)), 0, 9),
-        "laplace": _spread(many(lambda: samplers.laplace(1.0, 2.0)), 1, 8), "gaussian": _spread(many(lambda: samplers.gaussian(4)), 0, 4), "uniform": _spread(many(lambda: samplers.uniform(2.0, 5.0)), 3.5, 0.75), "RNGWrapper": _spread(many(lambda: wrapped.randrange(10)), 4.5, 8.25),
-    }
-    return rows_of(spark, "sampler string, fits boolean", found.items())
-
-
-@query("""WITH g AS (SELECT k, a, (exp(1 / a) - 1) / (exp(1 / a) + 1) * exp(-abs(k) / a) AS mass FROM range(-300, 301) t(k), (VALUES (0.5::DOUBLE), (1.0), (3.0)) b(a)), c AS (SELECT *, sum(mass) OVER (PARTITION BY a ORDER BY k) AS upto FROM g)
-SELECT k, a, round(mass, 9) AS pmf, round(upto, 9) AS cmf, round(upto, 9) AS cmf_exact FROM c WHERE k BETWEEN -6 AND 6""")
-def geometric_distribution(spark, sf_dir):
-    d = distributions
-    values = [(k, a, round(float(d.double_sided_geometric_pmf(k, a)), 9), round(float(d.double_sided_geometric_cmf(k, a)), 9), round(d.double_sided_geometric_cmf_exact(k, ExactNumber.from_float(a, False)).to_float(False), 9)) for k in range(-6, 7) for a in (0.5, 1.0, 3.0)]
-    return rows_of(spark, "k long, a double, pmf double, cmf double, cmf_exact double", values)
-
-
-@query("""WITH g AS (SELECT k, a, sum((exp(1 / a) - 1) / (exp(1 / a) + 1) * exp(-abs(k) / a)) OVER (PARTITION BY a ORDER BY k) AS upto FROM range(-300, 301) t(k), (VALUES (0.5::DOUBLE), (1.0), (3.0)) b(a))
-SELECT p, a, min(k) AS k, min(k) AS k_exact FROM g, (VALUES (0.01::DOUBLE), (0.3), (0.71), (0.999)) c(p) WHERE upto >= p GROUP BY 1, 2""")
-def geometric_inverse(spark, sf_dir):
-    d = distributions
-    exact = lambda p, a: int(d.double_sided_geometric_inverse_cmf_exact(ExactNumber.from_float(p, False), ExactNumber.from_float(a, False)).to_fraction())
-    return rows_of(spark, "p double, a double, k long, k_exact long", [(p, a, int(d.double_sided_geometric_inverse_cmf(p, a)), exact(p, a)) for p in (0.01, 0.3, 0.71, 0.999) for a in (0.5, 1.0, 3.0)])
-
-
-_GAUSS = "SELECT k, s, exp(-k * k / (2 * s)) / sum(exp(-k * k / (2 * s))) OVER (PARTITION BY s) AS mass FROM range(-200, 201) t(k), (VALUES (0.5::DOUBLE), (2.0), (30.0)) b(s)"
-
-
-@query(f"WITH g AS ({_GAUSS}), c AS (SELECT *, sum(mass) OVER (PARTITION BY s ORDER BY k) AS upto FROM g) SELECT k, s, round(mass, 9) AS pmf, round(upto, 9) AS cmf FROM c WHERE k BETWEEN -7 AND 7")
-def discrete_gaussian_distribution(spark, sf_dir):
-    d = distributions
-    return rows_of(spark, "k long, s double, pmf double, cmf double", [(k, s, round(float(d.discrete_gaussian_pmf(k, s)), 9), round(float(d.discrete_gaussian_cmf(k, s)), 9)) for k in range(-7, 8) for s in (0.5, 2.0, 30.0)])
-
-
-@query(f"WITH g AS ({_GAUSS}), c AS (SELECT *, sum(mass) OVER (PARTITION BY s ORDER BY k) AS upto FROM g) SELECT p, s, min(k) AS k FROM c, (VALUES (0.02::DOUBLE), (0.4), (0.77), (0.995)) d(p) WHERE upto >= p GROUP BY 1, 2")
-def discrete_gaussian_inverse(spark, sf_dir):
-    return rows_of(spark, "p double, s double, k long", [(p, s, int(distributions.discrete_gaussian_inverse_cmf(p, s))) for p in (0.02, 0.4, 0.77, 0.995) for s in (0.5, 2.0, 30.0)])
-
-
-# -- losses and budgets
-
-
-def _fixed_loss(measure, loss):
-    """A measurement of a given loss at distance 1, linear in the distance."""
-
-    class Fixed(core.Measurement):
-        def privacy_function(self, d_in):
-            return ExactNumber(d_in) * ExactNumber(loss)
+_DRAWS = {"laplace": 25, "geometric": 25, "discrete gaussian": 25, "gaussian": 25, "square root gaussian": 4, "exponential polylogarithmic": 4}
 
-    return Fixed(NumpyIntegerDomain(), metrics.AbsoluteDifference(), measure)
 
+@query(f"SELECT law, (SELECT count(*) FROM lineitem) * times AS n, true AS fits, false AS fits_another_scale FROM (VALUES {', '.join(repr(x) for x in _DRAWS.items())}) t(law, times)")
+def noise_laws(spark, sf_dir):
+    """Noise drawn by Spark's tasks, some values a line: whether it has its law, by bins of exact mass, and whether a law of a scale that is 5 % (per-record noise: 30 %) larger is told apart.
 
-@query("SELECT e, e * e / 2 AS rho, e AS epsilon, 0.0::DOUBLE AS delta FROM (VALUES (0.5::DOUBLE), (1.0), (3.0)) t(e)")
-def converted_losses(spark, sf_dir):
-    found = []
-    for e in ("1/2", "1", "3"):
-        m = _fixed_loss(PureDP(), e)
-        epsilon, delta = core.PureDPToApproxDP(m).privacy_function(1)
-        found.append((ExactNumber(e).to_float(True), core.PureDPToRhoZCDP(m).privacy_function(1).to_float(True), epsilon.to_float(True), delta.to_float(True)))
-    return rows_of(spark, "e double, rho double, epsilon double, delta double", found)
-
-
-@query("SELECT rho, delta, epsilon, rho + 2 * sqrt(rho * ln(1 / delta)) <= epsilon AS holds FROM (VALUES (0.1::DOUBLE), (1.0)) a(rho), (VALUES (0.1::DOUBLE), (0.000001)) b(delta), (VALUES (0.5::DOUBLE), (2.0), (4.0), (9.0)) c(epsilon)")
-def rho_zcdp_to_approx_dp(spark, sf_dir):
-    found = [(rho, delta, epsilon, core.RhoZCDPToApproxDP(_fixed_loss(RhoZCDP(), ExactNumber.from_float(rho, True))).privacy_relation(1, (ExactNumber.from_float(epsilon, False), ExactNumber.from_float(delta, False)))) for rho in (0.1, 1.0) for delta in (0.1, 1e-6) for epsilon in (0.5, 2.0, 4.0, 9.0)]
-    return rows_of(spark, "rho double, delta double, epsilon double, holds boolean", found)
-
-
-@query("SELECT kind, a, b, CASE WHEN b <= a THEN a - b END AS remaining, b <= a AS enough FROM (VALUES ('PureDPBudget'), ('RhoZCDPBudget'), ('ApproxDPBudget')) k(kind), (VALUES (2.0::DOUBLE), (0.5)) x(a), (VALUES (0.25::DOUBLE), (1.0)) y(b)")
-def budgets(spark, sf_dir):
-    found = []
-    for kind in (measures.PureDPBudget, measures.RhoZCDPBudget, measures.ApproxDPBudget):
-        value = lambda x, kind=kind: (x, 0) if kind is measures.ApproxDPBudget else x
-        for a in ("2", "1/2"):
-            for b in ("1/4", "1"):
-                budget, loss = kind(value(a)), kind(value(b))
-                try:
-                    left = budget.subtract(loss).value
-                    left = (left[0] if isinstance(left, tuple) else left).to_float(True)
-                except errors.InsufficientBudgetError:
-                    left = None
-                found.append((kind.__name__, ExactNumber(a).to_float(True), ExactNumber(b).to_float(True), left, budget.can_spend_budget(loss)))
-    return rows_of(spark, "kind string, a double, b double, remaining double, enough boolean", found)
-
-
-@query("SELECT a, b, a <= b AS pure, a <= b AS zcdp, a <= b AND 0.25 <= 0.5 AS approx FROM (VALUES (0.5::DOUBLE), (1.0), (2.0)) x(a), (VALUES (0.75::DOUBLE), (1.0)) y(b)")
-def measures_compare(spark, sf_dir):
-    number = lambda x: ExactNumber.from_float(x, True)
-    return rows_of(spark, "a double, b double, pure boolean, zcdp boolean, approx boolean", [(a, b, PureDP().compare(number(a), number(b)), RhoZCDP().compare(number(a), number(b)), ApproxDP().compare((number(a), "1/4"), (number(b), "1/2"))) for a in (0.5, 1.0, 2.0) for b in (0.75, 1.0)])
-
-
-@query("SELECT low, high, greatest(high * high, low * low) / 2 AS squares, (high - low) / 2 AS deviations FROM (VALUES (-6.0::DOUBLE, 6.0::DOUBLE), (0.0, 8.0)) t(low, high)")
-def variance_sensitivities(spark, sf_dir):
-    """How far one row moves the sums of a variance: half of the range of squares, and of values."""
-    domain = SparkDataFrameDomain({"x": SparkFloatColumnDescriptor()})
+    Either answer is wrong less often than once in some millions.
+    """
+    zero = F.lit(0)
+    plain = lambda mechanism, scale: noise.noisy(zero.cast("long" if mechanism.integral else "double"), mechanism, ExactNumber(scale))
+    kinds = {
+        "laplace": (plain(NoiseMechanism.LAPLACE, 3), laws.laplace(3), laws.laplace(3.15)),
+        "geometric": (plain(NoiseMechanism.GEOMETRIC, 40), laws.geometric(40), laws.geometric(42)),
+        "discrete gaussian": (plain(NoiseMechanism.DISCRETE_GAUSSIAN, 40), laws.discrete_gaussian(1600), laws.discrete_gaussian(1764)),
+        "gaussian": (plain(NoiseMechanism.GAUSSIAN, 3), laws.gaussian(3), laws.gaussian(3.15)),
+        "square root gaussian": (per_record.square_root_gaussian(zero, 2.0), laws.square_root_gaussian(2.0), laws.square_root_gaussian(2.6)),
+        "exponential polylogarithmic": (per_record.exponential_polylogarithmic(zero, 1.0, 1.0, 2.0), laws.exponential_polylogarithmic(1.0, 1.0, 2.0), laws.exponential_polylogarithmic(1.0, 1.0, 2.6)),
+    }
+    df, found = read_table(spark, sf_dir, "lineitem"), []
+    with shared.keeping(spark):
+        for kind, (column, law, other) in kinds.items():
+            many = df.select(F.explode(F.array_repeat(F.lit(0), _DRAWS[kind])))
+            drawn = shared.get_materialized_df(many.select(column.alias("x")))
+            found.append((kind, drawn.count(), laws.fits(drawn, F.col("x"), law), laws.fits(drawn, F.col("x"), other)))
+    return rows_of(spark, "law string, n long, fits boolean, fits_another_scale boolean", found)
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS fourth_root, round(l_extendedprice, 2) AS square_root, round(l_extendedprice, 2) AS logarithm FROM lineitem")
+def per_record_without_noise(spark, sf_dir):
+    """Per-record mechanisms of scale 0 give their values back."""
+    price = F.col("l_extendedprice")
+    kinds = {"fourth_root": per_record.fourth_root_transformation(price, 10.0, 0.0), "square_root": per_record.square_root_transformation(price, 10.0, 0.0), "logarithm": per_record.log_transformation(price, 10.0, 0.0)}
+    return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(c, 2).alias(k) for k, c in kinds.items()])
+
+
+@query("SELECT l_returnflag, count(*) AS n, true AS roots_fit, true AS logarithms_fit FROM lineitem GROUP BY 1")
+def per_record_noise(spark, sf_dir):
+    """Noise of per-record mechanisms on prices of each flag: transformed back, it is normal."""
+    price, sigma = F.col("l_extendedprice"), 0.5
+    df = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
     found = []
-    for low, high in ((-6, 6), (0, 8)):
-        parts = releases.create_variance_measurement(domain, SD, PureDP(), 1, NoiseMechanism.LAPLACE, "x", low, high).parts
-        found.append((float(low), float(high), parts[1].sensitivity.to_float(True), parts[0].sensitivity.to_float(True)))
-    return rows_of(spark, "low double, high double, squares double, deviations double", found)
+    with shared.keeping(spark):
+        drawn = shared.get_materialized_df(df.select("l_returnflag", price, per_record.square_root_transformation(price, 0.0, sigma).alias("root"), per_record.log_transformation(price, 0.0, sigma).alias("log")))
+        for (flag,) in sorted(drawn.select("l_returnflag").distinct().collect()):
+            part = drawn.where(F.col("l_returnflag") == flag)
+            away = F.sqrt("root") - F.sqrt(price), F.log("log") - F.log(price)
+            found.append((flag, part.count(), *(laws.fits(part, a, laws.gaussian(sigma)) for a in away)))
+    return rows_of(spark, "l_returnflag string, n long, roots_fit boolean, logarithms_fit boolean", found)
 
 
 # -- distances
@@ -436,10 +408,10 @@ def grouped_distances(spark, sf_dir):
     return one_row(spark, groups_changed=changed, rows_changed=whole(far["sum"]), squared=whole(far["root"] * far["root"]), groups_distance=whole(far["groups"]))
 
 
-@query("SELECT sum(abs(n_regionkey - n_nationkey % 3))::DOUBLE AS total, sqrt(sum((n_regionkey - n_nationkey % 3) ** 2)) AS root, sum(abs(n_regionkey - n_nationkey % 3))::DOUBLE AS of_columns FROM nation")
+@query("SELECT sum(abs(l_linenumber - l_orderkey % 3))::DOUBLE AS total, sqrt(sum((l_linenumber - l_orderkey % 3) ** 2)) AS root, sum(abs(l_linenumber - l_orderkey % 3))::DOUBLE AS of_columns FROM lineitem")
 def column_distances(spark, sf_dir):
-    nation = read_table(spark, sf_dir, "nation").coalesce(1).orderBy("n_nationkey")
-    one, two = nation.select(F.col("n_regionkey").cast("long").alias("x")), nation.select((F.col("n_nationkey") % 3).cast("long").alias("x"))
+    df = read_table(spark, sf_dir, "lineitem")
+    one, two = df.select(F.col("l_linenumber").cast("long").alias("x")), df.select((F.col("l_orderkey") % 3).cast("long").alias("x"))
     absolute = metrics.AbsoluteDifference()
     total, root = metrics.OnColumn("x", SumOf(absolute)), metrics.OnColumn("x", RootSumOfSquared(absolute))
     d = dense(one)
@@ -459,7 +431,7 @@ def dict_distances(spark, sf_dir):
 # -- interactive queries
 
 
-_INTERACTIVE = "SELECT 'sequential' AS way, count(*) FILTER (WHERE l_quantity > 10) AS n FROM lineitem UNION ALL SELECT 'adaptive', count(*) FROM lineitem UNION ALL SELECT 'answer', count(*) FROM lineitem UNION ALL SELECT 'decorated', 2 * count(*) FROM lineitem UNION ALL SELECT 'parallel A', count(*) FILTER (WHERE l_returnflag = 'A') FROM lineitem UNION ALL SELECT 'parallel R', count(*) FILTER (WHERE l_returnflag = 'R') FROM lineitem UNION ALL SELECT 'once', count(*) FROM lineitem"
+_INTERACTIVE = "SELECT 'sequential' AS way, count(*) FILTER (WHERE l_quantity > 10) AS n FROM lineitem UNION ALL SELECT 'adaptive', count(*) FROM lineitem UNION ALL SELECT 'answer', count(*) FROM lineitem UNION ALL SELECT 'decorated', 2 * count(*) FROM lineitem UNION ALL SELECT 'parallel ' || l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'once', count(*) FROM lineitem"
 
 
 @query(_INTERACTIVE)
@@ -475,10 +447,12 @@ def queryables(spark, sf_dir):
     found.append(("adaptive", interactive.create_adaptive_composition(d, SD, 1, INFINITY, PureDP())(df)(interactive.MeasurementQuery(count))))
     found.append(("answer", interactive.GetAnswerQueryable(count, df)(None)))
     found.append(("decorated", interactive.DecorateQueryable(asked, lambda q: q, lambda a: 2 * a)(df)(None)))
-    parts = rows.PartitionByKeys(d, SD, False, ["l_returnflag"], [("A",), ("R",)])
-    parallel = interactive.ParallelComposition(parts.output_domain, parts.output_metric, PureDP(), [asked, asked])(parts(df))
-    for i, k in enumerate("AR"):
+    flags = [r[0] for r in df.select("l_returnflag").distinct().orderBy("l_returnflag").collect()]
+    parts = rows.PartitionByKeys(d, SD, False, ["l_returnflag"], [(k,) for k in flags])
+    parallel = interactive.RetirableQueryable(interactive.ParallelComposition(parts.output_domain, parts.output_metric, PureDP(), [asked] * len(flags))(parts(df)))
+    for i, k in enumerate(flags):
         found.append((f"parallel {k}", parallel(interactive.IndexQuery(i))(None)))
+    parallel(interactive.RetireQuery())
     found.append(("once", core.NonInteractivePostProcess(asked, lambda q: q(None))(df)))
     return rows_of(spark, "way string, n long", [(k, int(v)) for k, v in found])
 
@@ -494,70 +468,27 @@ def identities(spark, sf_dir):
 # -- domains, numbers, tables of a session
 
 
-@query("SELECT * FROM (VALUES ('integer', 'bigint', 64), ('small', 'int', 32), ('real', 'double', 64), ('narrow', 'float', 32), ('text', 'string', NULL), ('day', 'date', NULL), ('moment', 'timestamp', NULL)) t(name, type, size)")
-def column_descriptors(spark, sf_dir):
-    """Descriptors of a schema, and the columns they stand for."""
-    df = spark.createDataFrame([], "integer long, small int, real double, narrow float, text string, day date, moment timestamp")
-    schema = domains.convert_spark_schema(df.schema)
-    return rows_of(spark, "name string, type string, size int", [(c, d.data_type.simpleString(), getattr(d, "size", None)) for c, d in schema.items()])
-
-
-@query("SELECT * FROM (VALUES ('i', 'SparkIntegerColumnDescriptor'), ('f', 'SparkFloatColumnDescriptor'), ('s', 'SparkStringColumnDescriptor')) t(name, kind)")
-def pandas_descriptors(spark, sf_dir):
-    numpy = {"i": NumpyIntegerDomain(), "f": NumpyFloatDomain(), "s": NumpyStringDomain()}
-    schema = domains.convert_pandas_domain(PandasDataFrameDomain({c: PandasSeriesDomain(d) for c, d in numpy.items()}))
-    return rows_of(spark, "name string, kind string", [(c, type(d).__name__) for c, d in schema.items() if type(d) is type(domains.convert_numpy_domain(numpy[c]))])
-
-
-@query("SELECT * FROM (VALUES ('int', true, false), ('float', true, false), ('string', true, false), ('series', true, false), ('frame', true, false), ('table', true, false), ('list', true, false), ('dict', true, false), ('day', true, false), ('moment', true, false)) t(domain, own, other)")
-def domain_membership(spark, sf_dir):
-    """Whether a domain takes a value of its own, and one that it should refuse."""
-    frame = pd.DataFrame({"a": [1, 2]})
-    table = spark.createDataFrame([(1,)], StructType([StructField("a", LongType(), False)]))
-    whole = SparkIntegerColumnDescriptor()
-    cases = {
-        "int": (NumpyIntegerDomain(), np.int64(3), np.float64(1)), "float": (NumpyFloatDomain(), np.float64(1), np.float64("nan")), "string": (NumpyStringDomain(), "x", None),
-        "series": (PandasSeriesDomain(NumpyIntegerDomain()), frame["a"], pd.Series(["x"])), "frame": (PandasDataFrameDomain({"a": PandasSeriesDomain(NumpyIntegerDomain())}), frame, pd.DataFrame({"b": [1]})),
-        "table": (SparkDataFrameDomain({"a": whole}), table, table.withColumnRenamed("a", "b")), "list": (ListDomain(NumpyIntegerDomain()), [np.int64(1)], ["x"]), "dict": (DictDomain({"k": NumpyIntegerDomain()}), {"k": np.int64(1)}, {"j": np.int64(1)}),
-        "day": (SparkDataFrameDomain({"d": domains.SparkDateColumnDescriptor()}), spark.createDataFrame([(datetime.date(2024, 1, 1),)], "d date"), table), "moment": (SparkDataFrameDomain({"d": domains.SparkTimestampColumnDescriptor()}), spark.createDataFrame([(datetime.datetime(2024, 1, 1),)], "d timestamp"), table),
-    }
-
-    def takes(domain, value) -> bool:
-        try:
-            domain.validate(value)
-            return True
-        except (errors.OutOfDomainError, TypeError, ValueError):
-            return False
-
-    return rows_of(spark, "domain string, own boolean, other boolean", [(k, takes(d, a), takes(d, b)) for k, (d, a, b) in cases.items()])
-
-
-@query("SELECT text, value FROM (VALUES ('1/3 + 1/6', 0.5::DOUBLE), ('sqrt(2) * sqrt(8)', 4.0), ('(1 + sqrt(5)) ** 2', 6 + 2 * sqrt(5)), ('2 ** -3', 0.125), ('sqrt(1/4)', 0.5)) t(text, value)")
-def exact_numbers(spark, sf_dir):
-    return rows_of(spark, "text string, value double", [(t, ExactNumber(t).to_float(True)) for t in ("1/3 + 1/6", "sqrt(2) * sqrt(8)", "(1 + sqrt(5)) ** 2", "2 ** -3", "sqrt(1/4)")])
-
-
-@query("SELECT * FROM (VALUES ('materialised', 5), ('named', 5), ('sanitized', 5), ('databases left', 0), ('nonconflicting', 0), ('escaped', 7), ('element type', 3), ('copied', 2)) t(what, n)")
+@query("""SELECT 'materialised' AS what, count(*) AS n, sum(l_quantity) AS total FROM lineitem UNION ALL SELECT 'named', count(*), sum(l_quantity) FROM lineitem UNION ALL SELECT 'sanitized', count(*), sum(l_quantity) FROM lineitem
+UNION ALL SELECT * FROM (VALUES ('files with three tables and more', 1, 0.0), ('files after', 0, 0.0), ('databases left', 0, 0.0)) t(what, n, total)""")
 def session_tables(spark, sf_dir):
-    df = read_table(spark, sf_dir, "region").select("r_regionkey")
-    found = [("materialised", shared.get_materialized_df(df).count()), ("named", shared.get_materialized_df(df, f"regions_{id(df)}").count()), ("sanitized", shared.sanitized(df).count())]
-    shared.cleanup(spark)
-    found.append(("databases left", sum(b.name == shared.Config.temp_db_name() for b in spark.catalog.listDatabases())))
-    names = ["c0", "C1", "x"]
-    found.append(("nonconflicting", sum(shared.get_nonconflicting_string(names).lower() == n.lower() for n in names)))
-    found.append(("escaped", len(shared.escape_column_name("a`b c"[:4]))))
-    found.append(("element type", len(helpers.get_element_type([1, None, 2]).__name__)))
-    value = [1, 2]
-    copied = helpers.copy_if_mutable(value)
-    value.append(3)
-    found.append(("copied", len(copied)))
-    return rows_of(spark, "what string, n long", found)
+    """Tables that are written once, what they hold, and that no file of them is left afterwards."""
+    df = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    sums = lambda t: tuple(t.agg(F.count("*"), F.sum("l_quantity")).first())
+    with shared.keeping(spark) as folder:
+        before = shared.files_under(spark, folder)
+        written = {"materialised": shared.get_materialized_df(df), "named": shared.get_materialized_df(df, f"lines_{id(df)}"), "sanitized": shared.sanitized(df)}
+        found = [(name, *sums(t)) for name, t in written.items()]
+        found.append(("files with three tables and more", int(shared.files_under(spark, folder) - before >= 2), 0.0))
+    found.append(("files after", shared.files_under(spark, folder) - before, 0.0))
+    spark.sql(f"DROP DATABASE {shared.Config.temp_db_name()} CASCADE")
+    found.append(("databases left", sum(b.name == shared.Config.temp_db_name() for b in spark.catalog.listDatabases()), 0.0))
+    return rows_of(spark, "what string, n long, total double", found)
 
 
 @query("SELECT * FROM (VALUES ('OutOfDomainError'), ('DomainMismatchError'), ('UnsupportedDomainError'), ('DomainColumnError'), ('UnsupportedMetricError'), ('MetricMismatchError'), ('UnsupportedCombinationError'), ('UnsupportedMeasureError'), ('MeasureMismatchError'), ('UnsupportedNoiseMechanismError'), ('InsufficientBudgetError'), ('DomainKeyError'), ('InactiveAccountantError')) t(error)")
 def refusals(spark, sf_dir):
     """What the library refuses, by the errors it raises."""
-    df = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    df = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     d, other = dense(df), SparkDataFrameDomain({"x": SparkStringColumnDescriptor()})
     count = lambda domain, measure=PureDP(): releases.create_count_measurement(domain, SD, measure, 1, NoiseMechanism.GEOMETRIC)
 
@@ -567,8 +498,8 @@ def refusals(spark, sf_dir):
         a.measure(count(d))
 
     tries = [
-        lambda: d.validate(df.withColumnRenamed("r_name", "z")), lambda: core.Composition([count(d), count(other)]), lambda: grouped.create_count_aggregation(d, SD) and grouped.CountGrouped(d, SumOf(SD)), lambda: releases.create_sum_measurement(d, SD, PureDP(), 1, NoiseMechanism.LAPLACE, "r_name", 0, 1),
-        lambda: tables.Subset(DictDomain({"a": d}), SD, ["a"]), lambda: core.ChainTT(core.Identity(SD, d), core.Identity(HammingDistance(), d)), lambda: releases.create_count_measurement(d, SD, ApproxDP(), (1, "1/2"), NoiseMechanism.GEOMETRIC), lambda: core.PureDPToRhoZCDP(_fixed_loss(RhoZCDP(), 1)),
+        lambda: d.validate(df.withColumnRenamed("o_orderstatus", "z")), lambda: core.Composition([count(d), count(other)]), lambda: grouped.create_count_aggregation(d, SD) and grouped.CountGrouped(d, SumOf(SD)), lambda: releases.create_sum_measurement(d, SD, PureDP(), 1, NoiseMechanism.LAPLACE, "o_orderstatus", 0, 1),
+        lambda: tables.Subset(DictDomain({"a": d}), SD, ["a"]), lambda: core.ChainTT(core.Identity(SD, d), core.Identity(HammingDistance(), d)), lambda: releases.create_count_measurement(d, SD, ApproxDP(), (1, "1/2"), NoiseMechanism.GEOMETRIC), lambda: core.PureDPToRhoZCDP(fixed_loss(RhoZCDP(), 1)),
         lambda: core.Composition([count(d), count(d, RhoZCDP())]), lambda: releases.create_count_measurement(d, SD, PureDP(), 1, NoiseMechanism.DISCRETE_GAUSSIAN), lambda: measures.PureDPBudget(1).subtract(2), lambda: tables.GetValue(DictDomain({"a": d}), DictMetric({"a": SD}), "b"), retired,
     ]
     found = Counter()
@@ -583,8 +514,8 @@ def refusals(spark, sf_dir):
 # -- releases with noise: whether they lie as near to the exact answers as their noise says
 
 
-def _near_query(name: str, create, exact, reach: float, budget=8, **arguments) -> None:
-    """All flags with a noisy answer, and whether it is within ``reach``, which it misses less often than once in some millions."""
+def _near_query(name: str, create, exact, reach, budget=8, **arguments) -> None:
+    """All flags with a noisy answer, and whether it is within ``reach``, a number or SQL of the group, which it misses less often than once in some millions."""
 
     def run(spark, sf_dir):
         df = lines(spark, sf_dir, "l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice")
@@ -592,17 +523,19 @@ def _near_query(name: str, create, exact, reach: float, budget=8, **arguments) -
         keys = grouped.create_groupby_from_list_of_keys(domain, SD, False, ["l_returnflag"], [("A",), ("N",), ("R",)])
         found = create(domain, SD, PureDP(), budget, groupby_transformation=keys, **arguments)(df)
         column = [c for c in found.columns if c != "l_returnflag"][0]
-        return found.join(df.groupBy("l_returnflag").agg(F.expr(exact).alias("exact__")), "l_returnflag").select("l_returnflag", (F.abs(F.col(f"`{column}`") - F.col("exact__")) <= reach).alias("near"))
+        return found.join(df.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.expr(exact).alias("exact__"), F.expr(str(reach)).alias("reach__")), "l_returnflag").select("l_returnflag", "n", (F.abs(F.col(f"`{column}`") - F.col("exact__")) <= F.col("reach__")).alias("near"))
 
     run.__name__ = name
-    query("SELECT DISTINCT l_returnflag, true AS near FROM lineitem")(run)
+    query("SELECT l_returnflag, count(*) AS n, true AS near FROM lineitem GROUP BY 1")(run)
 
 
 _clipped = "least(greatest(l_quantity, 5), 40)"
+#: Three numbers of scales 17.5 / 8, 306.25 / 8 and 1 / 8 about the middle, each within 20 scales: (766 + 2 * 17.5 * 44 + 306 * 2.5) / n, and a sample's n - 1.
+_VARIANCE = "4000 / count(*)"
 _near_query("noisy_sum", releases.create_sum_measurement, f"sum({_clipped})", 40 * 20 / 8, noise_mechanism=NoiseMechanism.LAPLACE, measure_column="l_quantity", lower=5, upper=40)
 _near_query("noisy_count_distinct", releases.create_count_distinct_measurement, "count(DISTINCT l_linenumber, l_quantity, l_extendedprice)", 20 / 8, 8, noise_mechanism=NoiseMechanism.GEOMETRIC)
-_near_query("noisy_variance", releases.create_variance_measurement, f"var_samp({_clipped})", 60.0, 24, noise_mechanism=NoiseMechanism.LAPLACE, measure_column="l_quantity", lower=5, upper=40)
-_near_query("noisy_standard_deviation", releases.create_standard_deviation_measurement, f"stddev_samp({_clipped})", 4.0, 24, noise_mechanism=NoiseMechanism.LAPLACE, measure_column="l_quantity", lower=5, upper=40)
+_near_query("noisy_variance", releases.create_variance_measurement, f"var_samp({_clipped})", _VARIANCE, 24, noise_mechanism=NoiseMechanism.LAPLACE, measure_column="l_quantity", lower=5, upper=40)
+_near_query("noisy_standard_deviation", releases.create_standard_deviation_measurement, f"stddev_samp({_clipped})", f"{_VARIANCE} / 20", 24, noise_mechanism=NoiseMechanism.LAPLACE, measure_column="l_quantity", lower=5, upper=40)
 _near_query("noisy_quantile", releases.create_quantile_measurement, "percentile_approx(l_extendedprice, 0.5, 10000)", 4000.0, 8, measure_column="l_extendedprice", quantile=0.5, lower=0, upper=200000)
 
 

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quietframe.functions.exact import ExactNumber
-from quietframe.operators.grouped import named
+from quietframe.operators.grouped import SMALL_KEYS, named
 from quietframe.operators.truncation import numbered
 from quietframe.plans.core import Transformation
 from quietframe.plans.domains import ListDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkStringColumnDescriptor
 from quietframe.plans.errors import DomainColumnError, UnsupportedCombinationError, UnsupportedMetricError
 from quietframe.plans.metrics import HammingDistance, IfGroupedBy, Metric, RootSumOfSquared, SumOf, SymmetricDifference
+from quietframe.sources.shared import Answers
 
 
 def over_rows(metric: Metric, hamming: bool = True) -> None:
@@ -264,9 +266,41 @@ class PartitionByKeys(Partition):
     list_values = property(lambda self: list(self._values))
     use_l2 = property(lambda self: self._use_l2)
 
-    def __call__(self, sdf: DataFrame) -> list[DataFrame]:
-        condition = lambda v: reduce(lambda a, b: a & b, [named(c).eqNullSafe(F.lit(x).cast(self.input_domain[c].data_type)) for c, x in zip(self._keys, v)])
-        return [sdf.filter(condition(v)) for v in self._values]
+    def __call__(self, sdf: DataFrame) -> KeyedTables:
+        """All parts from one pass: rows are written once by their key's number, and each part reads its own folder.
+
+        Rows are dealt out by number first, so that a part has few files; large
+        parts are split, so that a key with most of the rows has many tasks.
+        """
+        if len(self._values) == 1:
+            same_key = [named(c).eqNullSafe(F.lit(x).cast(self.input_domain[c].data_type)) for c, x in zip(self._keys, self._values[0])]
+            return KeyedTables([sdf.filter(reduce(lambda a, b: a & b, same_key))], None)
+        spark = sdf.sparkSession
+        key_names = [f"__k{i}" for i in range(len(self._keys))]
+        schema = StructType([StructField(n, self.input_domain[c].data_type) for n, c in zip(key_names, self._keys)] + [StructField("__part", LongType())])
+        numbers = spark.createDataFrame([(*v, i) for i, v in enumerate(self._values)], schema)
+        same_key = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"n.`{k}`")) for c, k in zip(self._keys, key_names)]
+        known = F.broadcast(numbers) if len(self._values) <= SMALL_KEYS else numbers
+        plain = [f"__c{i}" for i in range(len(sdf.columns))]
+        marked = sdf.alias("r").join(known.alias("n"), reduce(lambda a, b: a & b, same_key)).select(*[F.col(f"r.`{c}`").alias(p) for c, p in zip(sdf.columns, plain)], F.col("n.__part").alias("__part"))
+        path = Answers.new(spark)
+        marked.hint("rebalance", "__part").write.partitionBy("__part").parquet(path)
+        whole = spark.read.schema(marked.schema).parquet(path)  # its files are listed once for all parts
+        parts = [whole.where(F.col("__part") == i).select(*[F.col(p).alias(c) for c, p in zip(sdf.columns, plain)]) for i in range(len(self._values))]
+        return KeyedTables(parts, lambda: Answers.remove(spark, [path]))
+
+
+class KeyedTables(list):
+    """The parts of a table; ``release`` removes what was written for them."""
+
+    def __init__(self, parts: Sequence[DataFrame], remove: Callable[[], None] | None):
+        super().__init__(parts)
+        self._remove = remove
+
+    def release(self) -> None:
+        if self._remove is not None:
+            self._remove()
+            self._remove = None
 
 
 class _Stays(RowTransformation):

@@ -21,6 +21,9 @@ class Queryable:
     def __call__(self, query: Any) -> Any:
         raise NotImplementedError
 
+    def released(self) -> None:
+        """What was written to answer from goes; there will be no more queries."""
+
 
 @dataclass(frozen=True)
 class MeasurementQuery:
@@ -64,6 +67,7 @@ class RetirableQueryable(Queryable):
                 for child in self._children:
                     child(query)
                 self._retired = True
+                self._queryable.released()
             return None
         if self._retired:
             raise ValueError("The queryable is retired.")
@@ -73,6 +77,9 @@ class RetirableQueryable(Queryable):
             self._children.append(answer)
         return answer
 
+    def released(self) -> None:
+        self(RetireQuery())
+
 
 def _charge(part: Any, d_in: Any, given: Any, function: str, relation: str, what: str) -> Any:
     """The distance or loss of a part: its own function's value, or a given one that its relation confirms."""
@@ -135,7 +142,7 @@ class ParallelQueryable(Queryable):
     def __init__(self, data: list, measurements: list[Measurement]):
         if len(data) != len(measurements):
             raise ValueError("There are as many parts as measurements.")
-        self._pairs, self._next, self._open = list(zip(data, measurements)), 0, None
+        self._data, self._measurements, self._next, self._open = data, list(measurements), 0, None
 
     def __call__(self, query):
         if not isinstance(query, IndexQuery):
@@ -144,11 +151,17 @@ class ParallelQueryable(Queryable):
             raise ValueError(f"The next part is {self._next}, not {query.index}.")
         if self._open is not None:
             self._open(RetireQuery())
-        value, measurement = self._pairs[self._next]
+        value, measurement = self._data[self._next], self._measurements[self._next]
         self._next += 1
         self._open = RetirableQueryable(measurement(value))
         return self._open
 
+    def released(self) -> None:
+        """What was written for the parts goes."""
+        release = getattr(self._data, "release", None)
+        if release is not None:
+            release()
+
 
 class GetAnswerQueryable(Queryable):
     """The answer of a measurement, taken once; any query gets it."""
@@ -171,6 +184,9 @@ class DecoratedQueryable(Queryable):
     def __call__(self, query):
         return self._after(self._queryable(self._before(query)))
 
+    def released(self) -> None:
+        self._queryable.released()
+
 
 class DecorateQueryable(Measurement):
     """An interactive measurement whose queryable is decorated."""

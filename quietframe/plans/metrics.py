@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietframe.functions.exact import INFINITY, ExactNumber
 from quietframe.plans.domains import DictDomain, Domain, ListDomain, NumpyFloatDomain, NumpyIntegerDomain, PandasDataFrameDomain, PandasSeriesDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkGroupedDataFrameDomain
 from quietframe.plans.errors import DomainColumnError, OutOfDomainError, UnsupportedDomainError, UnsupportedMetricError
+from quietframe.sources.aligned import aligned
 
 
 class Metric:
@@ -245,9 +248,21 @@ class OnColumn(ExactNumberMetric):
 
     def distance(self, value1, value2, domain):
         self._check(value1, value2, domain)
-        series = PandasSeriesDomain(domain[self.column].to_numpy_domain())
-        get = lambda v: v.select(F.col(f"`{self.column}`")).toPandas()[self.column]
-        return self.metric.distance(get(value1), get(value2), series)
+        pairs = aligned(*[v.select(F.col(f"`{self.column}`").alias("v")) for v in (value1, value2)])
+        if pairs is None:
+            return INFINITY
+        squared = isinstance(self.metric, RootSumOfSquared)
+
+        def partial(batches):
+            """The sum of the differences of a partition's pairs, or of their squares, as an exact fraction."""
+            total = Fraction(0)
+            for batch in batches:
+                far = [abs(Fraction(a) - Fraction(b)) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+                total += sum((x * x for x in far) if squared else far, Fraction(0))
+            yield pa.RecordBatch.from_pydict({"total": [str(total)]})
+
+        total = ExactNumber(sum((Fraction(r[0]) for r in pairs.mapInArrow(partial, "total string").collect()), Fraction(0)))
+        return ExactNumber.sqrt(total) if squared else total
 
     def __repr__(self):
         return f"OnColumn(column={self.column!r}, metric={self.metric!r})"
