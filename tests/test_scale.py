@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quietframe.functions import batches
 from quietframe.functions.exact import INFINITY, ExactNumber
-from quietframe.operators import grouped, laws, maps, per_record, quantiles, ranges, releases, rows
+from quietframe.operators import grouped, joins, laws, maps, per_record, quantiles, ranges, releases, rows
 from quietframe.operators.noise import NoiseMechanism, noisy
 from quietframe.plans import interactive as ia
 from quietframe.plans.domains import ListDomain, NumpyFloatDomain, PandasDataFrameDomain, PandasSeriesDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkIntegerColumnDescriptor, SparkRowDomain, SparkStringColumnDescriptor
@@ -304,3 +304,36 @@ def test_per_record_columns(spark):
     assert all(abs(r[c] - r["x"]) < 1e-5 for r in near for c in "abc")
     with pytest.raises(Exception, match="has to be"):
         df.select(per_record.log_transformation(F.col("x"), 0.0, 1.0)).collect()
+
+
+@pytest.mark.parametrize("nulls", [True, False])
+@pytest.mark.parametrize("how", ["left", "right", "inner", "outer", "left_anti"])
+def test_hot_keys_are_dealt_out(spark, monkeypatch, how, nulls):
+    """Keys that are hot on the left, on the right, on both sides and nowhere, and null ones."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
+    left = [("hot", i) for i in range(90)] + [("both", i) for i in range(60)] + [("right", 1), ("left only", 2), (None, 3)] + [(None, 4)] * 40
+    right = [("right", i) for i in range(80)] + [("both", i) for i in range(70)] + [("hot", 5), ("right only", 6), (None, 7)] + [("gone", i) for i in range(40)]
+    one, two = spark.createDataFrame(left, "k string, a long"), spark.createDataFrame(right, "k string, b long")
+    got = joins.join(one, two, ["k"], how, nulls, balanced=True)
+    plain = joins.join(one, two, ["k"], how, nulls, balanced=False)
+    assert got.columns == plain.columns and Counter(got.collect()) == Counter(plain.collect())
+
+
+def test_a_key_with_half_of_the_rows(spark, monkeypatch):
+    """An outer join whose largest task has about its share."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    n, settings = 120_000, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    one = spark.range(n).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    two = spark.range(0, n, 3).select(F.col("id").alias("k"), F.col("id").alias("b"))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = joins.join(one, two, ["k"], "outer")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        plain = joins.join(one, two, ["k"], "outer", balanced=False)
+        alone = max(r["count"] for r in plain.groupBy(F.spark_partition_id()).count().collect())
+        assert joined.count() == plain.count() and max(sizes) < n / 4 < n / 2 <= alone
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
