@@ -13,9 +13,11 @@ distances.  A phrase is what lies between anchors.
 2. Anchors of such hashes send the text of their windows to the hash's
    partition, where a ``resolver`` decides which windows are equal.
 3. Hashes of more than ``HOT`` occurrences never meet in one task: their windows
-   are counted one by one, by two 64-bit hashes each; windows that repeat inside
-   a task are decided there, and one representative a task goes on.  No case is
-   dropped on either way.
+   are counted one by one, by two 64-bit hashes each.  A window that a task sees
+   for the second time is decided there, as are all later ones; only the first
+   one of each task goes on, with a second row that tells the count if there were
+   more.  So a window has two rows a task at most where it is counted, however
+   many places it has.  No case is dropped on either way.
 
 The result holds the starts of all repeated windows as spans of covered tokens.
 """
@@ -39,7 +41,7 @@ HOT = 2000
 CHUNK = 2 << 20
 ROWS_AT_ONCE = 2000
 POSITION = U64((1 << 20) - 1)
-CONTEXT, WINDOW, DECIDED = 0, 1, 2
+CONTEXT, WINDOW, DECIDED, COUNTED = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -160,6 +162,7 @@ def _rows(key, proof, what, k1, k2, at, lo, hi, many, context):
 
 def _contexts(kind: Kind):
     def emit(batches):
+        seen: dict[tuple[int, int], bool] = {}  # hot windows of this task, and whether their count went on
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             lists = batch.column("keys")
@@ -189,8 +192,19 @@ def _contexts(kind: Kind):
                 size = np.bincount(group)
                 head = order[new]
                 at = begin - bounds[d]
-                yield _rows(name[head], proof[head], WINDOW, k1[a + d[head]], k2[a + d[head]], at[head], 0, 0, np.minimum(size, 2), None)
-                twice = order[size[group] > 1]
+                windows = list(zip(name[head].tolist(), proof[head].tolist()))
+                known = np.fromiter((w in seen for w in windows), bool, len(windows))
+                first = np.flatnonzero(~known)
+                if len(first):
+                    h = head[first]
+                    yield _rows(name[h], proof[h], WINDOW, k1[a + d[h]], k2[a + d[h]], at[h], 0, 0, np.minimum(size[first], 2), None)
+                    seen.update((windows[i], many > 1) for i, many in zip(first.tolist(), size[first].tolist()))
+                again = [i for i in np.flatnonzero(known).tolist() if not seen[windows[i]]]
+                if again:
+                    h = head[again]
+                    yield _rows(name[h], proof[h], COUNTED, k1[a + d[h]], k2[a + d[h]], 0, 0, 0, 1, None)
+                    seen.update((windows[i], True) for i in again)
+                twice = order[(size[group] > 1) | known[group]]
                 if len(twice):  # decided here: as runs of starts
                     twice = np.sort(twice)
                     s, dd = at[twice], d[twice]
@@ -228,12 +242,12 @@ def _resolve(kind: Kind, resolver: Resolver):
             hit = resolver(kind, data, offsets, names["lo"][sel].astype(np.int64), names["hi"][sel].astype(np.int64))
             row, first, last = starts_to_spans(kind, hit, names["at"][sel].astype(np.int64))
             out.append((names["k1"][sel][row], names["k2"][sel][row], first, last))
-        sel = np.flatnonzero(what == WINDOW)
+        sel = np.flatnonzero((what == WINDOW) | (what == COUNTED))
         if len(sel):
             order = sel[np.lexsort((names["proof"][sel], names["key"][sel]))]
             k, p = names["key"][order], names["proof"][order]
             group = np.cumsum(np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))) - 1
-            yes = order[np.bincount(group, names["many"][order])[group] > 1]
+            yes = order[(np.bincount(group, names["many"][order])[group] > 1) & (what[order] == WINDOW)]
             out.append((names["k1"][yes], names["k2"][yes], names["at"][yes].astype(np.int64), names["at"][yes].astype(np.int64) + kind.n))
         sel = np.flatnonzero(what == DECIDED)
         if len(sel):

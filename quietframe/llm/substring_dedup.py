@@ -4,11 +4,13 @@ The corpus is cut into reference blocks (``repeats``: the stretches around equal
 anchors; every window lies in one of them and every block is indexed).  The
 index of a task's blocks is their order of suffixes: by the words before the
 anchor, read backwards, and by those from it on.  Each block is factored
-greedily against all others: a factor begins at the first word whose window of
-``n`` words the index holds elsewhere and is as long as the longest match there
-is.  A factor of at least ``n`` words is a duplicate span.  At its end the
-windows that straddle it are looked up, since another block may hold them: the
-next factor begins at the first window that the last factor does not hold.
+greedily against all others.  A factor begins where the parse stands; the index
+is asked for the longest match of the block's suffix from there with another
+block, and the factor is that match.  If it has ``n`` words or more it is a
+duplicate span, and the parse goes on at its boundary: at the first window that
+straddles the factor's end, which another block may hold.  Else it goes on one
+word further.  Starts inside a factor are never looked up: what a factor holds is
+decided by the factor.
 
 Words are compared by their bytes.  Blocks of anchors of more than ``HOT``
 occurrences never meet in one task: their windows are counted by two 64-bit
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 from .frames import keyed
-from .orders import longest_right, positions, sorted_rows
+from .orders import positions, range_min, sorted_rows
 from .repeats import Kind
 from .textcore import text_buffers, word_hashes, words
 
@@ -88,42 +90,55 @@ class Index:
         self.rank = positions(right)
         self.lo = lo
 
-    def longest(self) -> np.ndarray:
-        """longest[row, a]: words of the longest match of the suffix that begins ``a`` words before the row's anchor with another block; 0 if it ends before the anchor."""
-        out = np.zeros((len(self.hi), int(self.hi.max()) + 1), np.int64)
-        head = np.empty(len(self.hi), np.int64)
-        for a in range(int(self.lo.min()), out.shape[1]):
-            own = np.flatnonzero((self.lo <= a) & (a <= self.hi))
-            head[self.left] = np.cumsum(self.left_common < a)
-            match = longest_right(head[own], self.rank[own], self.common)
-            out[own, a] = np.where(match < 0, 0, np.minimum(a + match, self.size[own] - self.hi[own] + a))
-        return out
-
-
-def factor(longest: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+        self.least = range_min(self.common)
+        self.head = np.empty(len(hi), np.int64)
+
+    def match(self, rows: np.ndarray, a: int) -> np.ndarray:
+        """Words of the longest match, with another block, of the suffixes that begin ``a`` words before the anchors of ``rows``."""
+        self.head[self.left] = np.cumsum(self.left_common < a)
+        asked = np.zeros(int(self.head.max()) + 1, bool)
+        asked[self.head[rows]] = True
+        others = np.flatnonzero((self.lo <= a) & (a <= self.hi) & asked[self.head])  # the suffixes of the same head words
+        order = others[np.argsort(self.head[others] * (len(self.common) + 1) + self.rank[others], kind="stable")]
+        place = np.empty(len(self.hi), np.int64)
+        place[order] = np.arange(len(order))
+        found = np.full(len(rows), -1, np.int64)
+        for step in (-1, 1):  # in corpus order the longest match is one of the two neighbours
+            near = place[rows] + step
+            some = np.flatnonzero((near >= 0) & (near < len(order)))
+            other = order[near[some]]
+            alike = self.head[other] == self.head[rows[some]]
+            some, other = some[alike], other[alike]
+            one, two = self.rank[rows[some]], self.rank[other]
+            found[some] = np.maximum(found[some], self.least(np.minimum(one, two) + 1, np.maximum(one, two) + 1))
+        return np.where(found < 0, 0, np.minimum(a + found, self.size[rows] - self.hi[rows] + a))
+
+
+def factors(index: Index, n: int) -> np.ndarray:
     """Greedy factors of every block, as hit[row, a]: the window that starts ``a`` words before the anchor lies in a factor of ``n`` words or more.
 
-    All blocks go on together, each from its first window to its last one.
+    All blocks go on together, each from its first window to its last one;
+    ``at[row]`` is where its parse stands.
     """
-    hit = np.zeros(longest.shape, bool)
+    lo, hi = index.lo, index.hi
+    hit = np.zeros((len(hi), int(hi.max(initial=0)) + 1), bool)
     at = hi.copy()
-    rows = np.arange(len(hi))
-    while len(rows):
-        length = longest[rows, at[rows]]
-        held = np.maximum(length - n + 1, 0)  # windows that the factor holds
+    for a in range(hit.shape[1] - 1, -1, -1):
+        rows = np.flatnonzero((at == a) & (lo <= a))
+        if not len(rows):
+            continue
+        held = np.maximum(index.match(rows, a) - n + 1, 0)  # windows that the factor holds
         for k in range(int(held.max(initial=0))):
-            some = rows[held > k]
-            some = some[at[some] - k >= lo[some]]
-            hit[some, at[some] - k] = True
-        at[rows] -= np.maximum(held, 1)
-        rows = rows[at[rows] >= lo[rows]]
+            some = rows[(held > k) & (a - k >= lo[rows])]
+            hit[some, a - k] = True
+        at[rows] = a - np.maximum(held, 1)
     return hit
 
 
 def resolve(kind: Kind, data: np.ndarray, offsets: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """hit[row, a]: whether a factor holds the window that starts ``a`` words before the row's anchor."""
     start, end, bounds = words(data, offsets)
-    return factor(Index(word_ids(data, start, end), bounds, hi, lo).longest(), lo, hi, kind.n)
+    return factors(Index(word_ids(data, start, end), bounds, hi, lo), kind.n)
 
 
 def removed(df: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT) -> DataFrame:

@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quietframe.llm import orders, substring_dedup, suffix_dedup
+from quietframe.llm import orders, repeats, substring_dedup, suffix_dedup
 from quietframe.llm.repeats import Kind
 
 
@@ -135,12 +136,72 @@ def test_suffix_ranks():
     assert rank.tolist() == [place[s] for s in suffixes]
 
 
-def test_greedy_factors():
-    longest = np.array([[0, 0, 0, 7, 6, 8], [0, 0, 0, 0, 4, 5]])  # by words before the anchor; windows of 6 words
-    hit = substring_dedup.factor(longest, np.array([0, 0]), np.array([5, 5]), 6)
-    assert np.argwhere(hit).tolist() == [[0, 3], [0, 4], [0, 5]]
-    longest[0, 2] = 6  # a window that straddles the factor's end, held by another block
-    assert np.argwhere(substring_dedup.factor(longest, np.array([0, 0]), np.array([5, 5]), 6)).tolist() == [[0, 2], [0, 3], [0, 4], [0, 5]]
+def index_of(blocks, lo, hi):
+    numbers = {}
+    ids = np.array([numbers.setdefault(w, len(numbers) + 1) for b in blocks for w in b])
+    return substring_dedup.Index(ids, np.cumsum([0, *map(len, blocks)]), np.array(hi), np.array(lo))
+
+
+def test_the_greedy_parse_decides(monkeypatch):
+    """Only where the parse stands is looked up: not inside a factor, and at its boundary again."""
+    n = 6
+    one = list("abcdefghijklmnop")
+    blocks = [one, ["x", *one[1:9], "y", *"zzzzzz"], ["v", "v", "v", *one[3:]]]  # anchors 5 words after the start
+    index, asked = index_of(blocks, [0, 0, 0], [5, 5, 5]), []
+    plain = substring_dedup.Index.match
+    monkeypatch.setattr(substring_dedup.Index, "match", lambda self, rows, a: asked.extend((r, a) for r in rows.tolist()) or plain(self, rows, a))
+    hit = substring_dedup.factors(index, n)
+    # block 0: nothing at 5, words 1..8 are a factor of 8 words with the windows 4, 3 and 2, whose boundary is window 1 (held by block 2)
+    assert [a for r, a in asked if r == 0] == [5, 4, 1]
+    assert np.flatnonzero(hit[0]).tolist() == [0, 1, 2, 3, 4] and np.flatnonzero(hit[1]).tolist() == [2, 3, 4] and np.flatnonzero(hit[2]).tolist() == [0, 1, 2]
+
+
+def test_a_broken_parser_breaks_the_query(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(50))
+    kind = substring_dedup.kind(35)
+    data, offsets, lo, hi, want = contexts(Kind("word", 12, 8, 1, 16), [b"a", b"b"], b" ")
+    assert want and substring_dedup.resolve(Kind("word", 12, 8, 1, 16), data, offsets, lo, hi).any()
+    monkeypatch.setattr(substring_dedup, "factors", lambda index, n: np.zeros((len(index.hi), int(index.hi.max()) + 1), bool))
+    assert not substring_dedup.resolve(Kind("word", 12, 8, 1, 16), data, offsets, lo, hi).any()
+    assert kind.n == 35 and text
+
+
+def test_a_hot_window_has_two_rows_a_task_at_most():
+    """One passage in many texts of many batches: a task sends its windows once, and once more that there are others."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef") for _ in range(400))
+    kind = suffix_dedup.kind(200)
+
+    def batch(i):
+        texts = ["".join(rng.choice("ghijkl") for _ in range(300)) + passage + "".join(rng.choice("mnopqr") for _ in range(300)) for _ in range(3)]
+        column = pa.array(texts)
+        keys = np.unique(np.concatenate([x[9] for x in repeats.scan(kind, column)]))
+        hot = pa.array([[{"key": int(k), "hot": True} for k in keys]] * len(texts))
+        return pa.RecordBatch.from_arrays([pa.array([10 * i + j for j in range(3)]), pa.array([j for j in range(3)]), column, hot], ["k1", "k2", "text", "keys"])
+
+    rows = [r for out in repeats._contexts(kind)(batch(i) for i in range(12)) for r in out.to_pylist()]
+    sent = Counter((r["key"], r["proof"]) for r in rows if r["kind"] in (repeats.WINDOW, repeats.COUNTED))
+    assert max(sent.values()) <= 2
+    single = [r for out in repeats._contexts(kind)(batch(i).slice(0, 1) for i in range(12)) for r in out.to_pylist()]
+    sent = Counter((r["key"], r["proof"]) for r in single if r["kind"] in (repeats.WINDOW, repeats.COUNTED))
+    assert max(sent.values()) == 2
+    decided = sum(r["hi"] - 200 - r["lo"] + 1 for r in single if r["kind"] == repeats.DECIDED)
+    assert decided >= 11 * 201  # all later places of the passage's windows
+
+
+@pytest.mark.parametrize("module,n", [(suffix_dedup, 200), (substring_dedup, 35)])
+def test_hot_passages_over_many_batches(spark, module, n):
+    """The hot way gives what counting gives, with few rows a batch so that windows are seen again and again."""
+    rng = random.Random(9)
+    passage = " ".join(str(rng.randrange(1000)) for _ in range(120))
+    rows = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(40)) + (f" {passage} " if i % 3 else " ") + " ".join(str(rng.randrange(10**6)) for _ in range(40))) for i in range(90)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {r.doc_id: r.n_removed for r in module.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tokens = [t.encode() if n == 200 else tuple(t.split()) for _, t in rows]
+    assert got == {i: sum(g) for (i, _), g in zip(rows, windows_gone(tokens, n))}
 
 
 def test_words_of_one_hash_are_told_apart(monkeypatch):
