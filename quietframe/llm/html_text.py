@@ -9,8 +9,13 @@ stands in menus, adverts, forms and the like, are the text.
 An element counts as such by its name, or by a class, id or role of which every
 part is known: ``site-footer`` and ``cookieBanner`` are, ``search-results`` and
 ``comment-on-law`` are not.  A page marks its article by ``article`` or ``main``
-elements outside comments and scripts, if they hold ``MARKED`` words or at least
-as many as stand beside them.
+elements outside comments and scripts that hold words, other than those of links,
+in a block of their own or in a sentence.
+
+Tags are read by one pass from left to right.  An attribute's quoted value runs to
+its closing quote, whatever it holds and however long it is; a quote without one
+is a character like others, and a tag with quoted values that meets a "<" ends
+there, so that nothing is read twice.
 
 The labelled pages are the ``LABELLED`` set below, in which ``[[`` and ``]]``
 enclose the content, or any others given to ``train``.
@@ -19,8 +24,8 @@ Defined cases: null and empty html, pages without words and pages whose words
 all score negatively have the empty text; an unfinished tag or comment at the
 end is dropped, an unclosed script or style runs to the end; formulas and the
 content of ``object`` are text, that of ``textarea`` and other form controls is
-not; an end tag closes one of the 500 innermost open elements or nothing; an
-unknown character reference stays as it is; of regions with equal sums
+not; an end tag closes the innermost open element of its name, within its article
+or main element, or nothing; an unknown character reference stays as it is; of regions with equal sums
 the first is taken; repeated rows get a row each.
 """
 
@@ -47,17 +52,19 @@ SILENT = frozenset("noscript template iframe svg".split())
 #: Elements that never hold main text.
 APART = frozenset("head title nav footer aside form button select textarea menu dialog".split())
 #: Words in a class, id or role that mark what is not main text, and words that may stand beside them.
-HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
-BESIDE = frozenset("area article articles bar block body bottom box button buttons container content contentinfo inner item items left link links list main form global header icons module outer page panel post posts primary region right secondary section site slot sticky stories story text thread top unit wrap wrapper".split())
-#: Words that make an article's mark count in any case.
-MARKED = 25
-_PIECE = r"(?>[^>\"'<]+|\"[^\"<]*\"|'[^'<]*')"
-_ACROSS = r"(?>\"[^\"]{0,2000}\"|'[^']{0,2000}')"
-#: Every alternative reads on at most to the next "<", or across eight quotes of bounded length, or takes what it has read: a page takes linear time.
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:{_PIECE}*+{_ACROSS}){{0,8}}+(?:{_PIECE}|[\"'])*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*+\Z|[^<]+|<",
-    re.S | re.I,
-)
+HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
+BESIDE = frozenset("app area article articles bar block cc cta el embed fixed floating frame holder inline js layer mod overlay plugin row search strip ui view window wp body bottom box button buttons container content contentinfo inner item items left link links list main form global header icons module outer page panel post posts primary region right secondary section site slot sticky stories story text thread top unit wrap wrapper".split())
+#: Words beside which ``search`` is a field to search in, and not what a page is about.
+FIELDS = frozenset("bar box button field form global header top".split())
+NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+#: Attributes up to the end of a tag: each quoted value is taken whole, and what is taken is not given back.
+ATTRIBUTES = re.compile(r"(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+")
+#: What ends a sentence.
+SENTENCE = re.compile(r"\w[.!?\u3002]")
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+#: Comments and declarations.
+SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split()}
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -75,57 +82,105 @@ def hinted(attributes: str) -> bool:
     for value in MARK.findall(attributes):
         for name in "".join(value).split():
             parts = [p.lower() for p in SPLIT.split(name) if p]
-            if any(p in HINTS for p in parts) and all(p in HINTS or p in BESIDE for p in parts):
+            known = any(p in HINTS for p in parts) or ("search" in parts and any(p in FIELDS for p in parts))
+            if known and all(p in HINTS or p in BESIDE or p in FIELDS for p in parts):
                 return True
     return False
 
 
+def tokens(html: str):
+    """(text, None, False) of text, (None, None, False) of what is skipped, and (attributes, name, whether it is an end tag) of tags, in one pass."""
+    at, end = 0, len(html)
+    while at < end:
+        opened = html.find("<", at)
+        if opened != at:
+            opened = end if opened < 0 else opened
+            yield html[at:opened], None, False
+            at = opened
+            continue
+        m = NAME.match(html, at)
+        skipped = SKIPPED.match(html, at) if m is None else None
+        if skipped is not None:
+            yield None, None, False
+            at = skipped.end()
+            continue
+        if m is not None and not m.group(1) and m.group(2).lower() in CLOSED:
+            inside = html.find(">", at)
+            if inside < 0:
+                return
+            yield None, None, False
+            closing = CLOSED[m.group(2).lower()].search(html, inside)
+            at = closing.end() if closing else end
+            continue
+        if m is not None:
+            stop = ATTRIBUTES.match(html, m.end()).end()
+            attributes = html[m.end() : stop]
+            if stop < end and html[stop] == ">":
+                yield attributes, m.group(2).lower(), bool(m.group(1))
+                at = stop + 1
+                continue
+            if QUOTED.search(attributes) and stop < end:
+                yield attributes, m.group(2).lower(), bool(m.group(1))
+                at = stop
+                continue
+            if stop == end:
+                return
+        yield "<", None, False
+        at += 1
+
+
 def _placed(html: str):
     """Events with the zone 'beside' for what is outside of article and main."""
     stack: list[tuple[str, str]] = []
+    places: dict[str, list[int]] = {}  # where elements of a name stand in the stack
+    regions: list[int] = []  # where article, main and body do
     zone, linked = "beside", False
-    for m in TOKEN.finditer(html):
-        piece = m.group(0)
-        name = m.group(3)
+
+    def close(down: int) -> None:
+        while len(stack) > down:
+            gone = stack.pop()[0]
+            places[gone].pop()
+            if regions and regions[-1] == len(stack):
+                regions.pop()
+
+    for value, name, is_end in tokens(html):
         if name is None:
-            if m.group(1):
-                yield "s", zone, ""
-            elif piece[0] != "<" or piece == "<":
-                yield "l" if linked else "t", zone, piece
+            yield ("s", zone, "") if value is None else ("l" if linked else "t", zone, value)
             continue
-        name = name.lower()
         if name == "a":
-            linked = not m.group(2)
+            linked = not is_end
         elif name in BLOCKS:
             linked = False  # an unclosed link ends with its block
         kind = "b" if name in BLOCKS else "s" if name in SPACED else "i"
-        if m.group(2):
+        if is_end:
             yield kind, zone, name
-            for i in range(len(stack) - 1, max(-1, len(stack) - 500), -1):
-                if stack[i][0] == name:
-                    zone = stack[i][1]
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
-                    break  # a stray end tag closes nothing outside its region
+            own = places.get(name)
+            # a stray end tag closes nothing outside its region
+            if own and (name in ("article", "main", "body", "html") or not regions or own[-1] > regions[-1]):
+                zone = stack[own[-1]][1]
+                close(own[-1])
             continue
         if name in ("html", "body"):
             yield kind, zone, name
             continue
         if name == "p" and stack and stack[-1][0] == "p":
-            zone = stack.pop()[1]
+            zone = stack[-1][1]
+            close(len(stack) - 1)
         before = zone
         within = zone in ("article", "main")
         if zone not in ("apart", "dropped"):
-            if name in APART or name in SILENT or (name not in ("body", "main") and hinted(m.group(4))) or (name == "header" and not within):
+            if name in APART or name in SILENT or (name not in ("body", "main") and hinted(value)) or (name == "header" and not within):
                 zone = "dropped" if within else "apart"
             elif name in ("article", "main"):
                 zone = name
-        closed = name in VOID or (name in ("svg", "math") and m.group(4).rstrip().endswith("/"))
+        closed = name in VOID or (name in ("svg", "math") and value.rstrip().endswith("/"))
         yield kind, zone, name
         if closed:
             zone = before
         else:
+            places.setdefault(name, []).append(len(stack))
+            if name in ("article", "main"):
+                regions.append(len(stack))
             stack.append((name, before))
 
 
@@ -137,15 +192,13 @@ def events(html: str) -> list[tuple[str, str, str]]:
     holds main text, 'dropped' for the same inside an article.
     """
     found = list(_placed(html))
-    count = {"article": 0, "main": 0, "beside": 0}
+    block, marked = False, False
     for kind, zone, value in found:
-        if kind in "tl" and zone in count:
-            count[zone] += len(value.split())
-    inside = count["article"] + count["main"]
-    if inside and (inside >= MARKED or inside >= count["beside"]):
-        new = {"beside": "outside"}
-    else:
-        new = {"beside": "plain", "article": "plain", "main": "plain"}
+        if kind == "b" and value not in ("article", "main"):
+            block = zone in ("article", "main")
+        elif kind == "t" and zone in ("article", "main") and value.strip():
+            marked = marked or block or SENTENCE.search(value) is not None
+    new = {"beside": "outside"} if marked else {"beside": "plain", "article": "plain", "main": "plain"}
     return [(kind, new.get(zone, zone), value) for kind, zone, value in found]
 
 

@@ -96,3 +96,70 @@ def test_broken_pages_take_linear_time(piece):
     start = time.perf_counter()
     h.extract(piece * (2_000_000 // len(piece)), W)
     assert time.perf_counter() - start < 10
+
+
+def text(page):
+    return h.extract(page, W)
+
+
+FILLER = "<div><p>" + " ".join(f"other{i}" for i in range(60)) + "</p></div>"
+
+
+@pytest.mark.parametrize("value", ["<p>state of the page</p>" * 120, "a > b < c" * 400, "<" * 5000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_attributes_hold_anything(value, quote):
+    page = f"<article><h1>Title</h1><div data-props={quote}{value}{quote} id=x><p>Some words.</p></div></article>"
+    assert text(page) == "Title\n\nSome words."
+
+
+def test_many_quoted_values_in_a_tag():
+    attributes = " ".join(f"data-a{i}='<b>{i}</b>'" for i in range(40))
+    assert text(f"<article><p {attributes}>Some words of it.</p></article>") == "Some words of it."
+
+
+def test_a_quote_without_an_end_is_a_character():
+    assert text("<article><p>One.</p><p title=\"half>Two.</p></article>") == "One.\n\nTwo."
+    assert text("<article><p title='it's here'>One.</p></article>") == "One."
+    assert text("<article><p title=\"a\" <b>One</b> two.</p></article>") == "One two."
+
+
+def test_a_short_marked_article_keeps_its_mark():
+    words = "Fourteen words stand in this article, which is marked, beside a longer one."
+    assert text(f"<body>{FILLER}<article><p>{words}</p></article>{FILLER}</body>") == words
+
+
+def test_deeply_nested_elements_close():
+    first, more = ("word " * 60).strip(), ("more " * 60).strip()
+    deep = "<div>" * 700 + f"<p>{first}</p>" + "</div>" * 700
+    assert text(f"<article>{deep}<p>{more}</p></article><div>Outside of it all.</div>") == f"{first}\n\n{more}"
+    assert text("<article>" + "<i>" * 2000 + "<div class='share'>Share this</div>" + "</i>" * 2000 + "<p>Some words.</p></article>") == "Some words."
+
+
+@pytest.mark.parametrize("name", ["paywall-overlay", "wp-block-newsletter-signup", "cc-cookie-window", "comments-app", "search-box", "SiteSearchForm"])
+def test_elements_that_say_what_they_are(name):
+    assert text(f"<article><p>Some words of the article.</p><div class='{name}'><p>Not part of it.</p></div></article>") == "Some words of the article."
+
+
+@pytest.mark.parametrize("name", ["search", "search-results", "main-window", "app", "comment-on-law", "row"])
+def test_elements_that_may_be_content(name):
+    assert text(f"<article><section class='{name}'><p>Some words of the article.</p></section></article>") == "Some words of the article."
+
+
+@pytest.mark.parametrize("piece", ["<a x=\"", "<a x='", "<a ", "</a", "<!-", "<a x=\"<a x='\" ", "<p>", "</p>", "<i></b>", "='\"<", "<script", "<article></div>"])
+def test_time_is_linear(piece):
+    def took(n):
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            text(piece * n)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    took(100)
+    assert took(40_000) < 25 * max(took(4_000), 2e-3)
+
+
+def test_ties_and_equal_regions():
+    """Of two regions of one sum the first is taken; equal pages have equal texts."""
+    page = "<body><div><p>one two three four five six seven eight.</p></div><nav>" + "<a>x</a>" * 60 + "</nav><div><p>one two three four five six seven nine.</p></div></body>"
+    assert text(page) == text(page) and text(page).startswith("one two three four five six seven eight.")
