@@ -6,7 +6,10 @@ have a year, a ``(c)`` or the sign, and the sentence "all rights reserved"),
 everything but letters and digits as one space, and a title of ``TITLES`` at the
 head cut off.  How lines are wrapped does not matter.  Its SHA-256 is looked up
 in the digests of known licences, and the same is done for single lines and the
-wordings of notices.  The known digests are a fixed list of a few hundred rows,
+wordings of notices.  A text that begins with a copyright statement is looked up in
+a second form too, in which all from there to the licence's first words is dropped
+(``HEADER``: at most 600 characters: statements without a year or over several
+lines), and the owner that a BSD text may name is the copyright holder.  The known digests are a fixed list of a few hundred rows,
 so they are broadcast; documents are never shuffled, only the few lines found.
 A line is looked up only if it has a word that every notice has.
 
@@ -71,6 +74,15 @@ TITLES = ("mit license", "the mit license", "the mit license mit", "mit no attri
 #: Lines of copyright statements, and the sentence that often follows them.
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[0-9]{4})[^\n]*$|^[^a-z0-9\n]*(?:\(c\)|©)[^\n]*$"
 RESERVED = r"all rights reserved\.?"
+# First words of the licences that are written out.
+OPENINGS = ("permission is hereby granted free of charge", "permission to use copy modify and or distribute", "redistribution and use in source and binary forms", "this software is provided as is without any express", "licensed under the apache license version 2 0")
+#: In canonical words: a title, if any, a copyright statement, and what follows up to a licence's first words.
+HEADER = rf"^(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))}) )?(?:copyright|c|portions copyright|[0-9]{{4}}) .{{0,600}}?({'|'.join(OPENINGS)})"
+#: The owner that the third clause of a BSD text names.
+OWNER = r"neither the names? of .{1,200}? nor the names of (?:its|their) contributors"
+HOLDER = "neither the name of the copyright holder nor the names of its contributors"
+#: What a text with such a statement has near its beginning.
+STATED = ("copyright", "(c)", "©")
 #: Words of which every notice has one.
 MARKS = ("under", "license")
 
@@ -99,6 +111,13 @@ def canonical(low: Column) -> Column:
     return F.regexp_replace(whole, rf"^(?:{'|'.join(sorted(TITLES, key=len, reverse=True))}) ", "")
 
 
+def headless(low: Column) -> Column:
+    """The second form of a text in plain spelling: without a header of copyright statements, owners as a slot; null if there is no statement near the beginning."""
+    begin = F.substring(low, 1, 400)
+    whole = F.regexp_replace(words(F.regexp_replace(low, RESERVED, "")), HEADER, "$1")
+    return F.when(reduce(lambda a, b: a | b, [F.contains(begin, F.lit(m)) for m in STATED]), F.regexp_replace(whole, OWNER, HOLDER))
+
+
 def _known(spark: SparkSession, rows: list[tuple[str, str]], form) -> DataFrame:
     frame = spark.createDataFrame(rows, "licence string, known string")
     return frame.select("licence", F.sha2(form(plain(F.col("known"))), 256).alias("digest"))
@@ -124,7 +143,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         lines.select(*KEY, F.sha2(words(F.col("line")), 256).alias("digest")).join(_notices(spark), "digest")
         .groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.countDistinct("licence").alias("n_notices"))
     )
-    whole = docs.select("doc_id", *KEY, F.sha2(canonical(F.col("low")), 256).alias("digest")).join(_texts(spark), "digest", "left")
+    texts = _texts(spark)
+    second = texts.select(F.col("digest").alias("headless"), F.col("licence").alias("second"))
+    whole = docs.select("doc_id", *KEY, F.sha2(canonical(F.col("low")), 256).alias("digest"), F.sha2(headless(F.col("low")), 256).alias("headless"))
+    whole = whole.join(texts, "digest", "left").join(F.broadcast(second), "headless", "left").withColumn("licence", F.coalesce("licence", "second"))
     return whole.join(found, KEY, "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
@@ -142,12 +164,14 @@ def oracle_sql() -> str:
     words_of = lambda c: f"trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g'))"
     titles = "|".join(sorted(TITLES, key=len, reverse=True))
     form = lambda c: f"regexp_replace({words_of(f"regexp_replace(regexp_replace({c}, '{COPYRIGHT}', '', 'g'), '{RESERVED}', '', 'g')")}, '^(?:{titles}) ', '')"
+    headless_of = lambda c: f"regexp_replace(regexp_replace({words_of(f"regexp_replace({c}, '{RESERVED}', '', 'g')")}, '{HEADER}', '\\1'), '{OWNER}', '{HOLDER}', 'g')"
+    stated = " OR ".join(f"contains(substring(low, 1, 400), '{m}')" for m in STATED)
     return f"""
 WITH texts AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, sha256({form(_sql_plain('known'))}) AS digest FROM (VALUES {values(WHOLE.items())}) v(licence, known) UNION ALL SELECT * FROM (VALUES {values((v, k) for k, v in FULL.items())}) f(licence, digest)) GROUP BY digest),
 marks AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, sha256({words_of(_sql_plain('known'))}) AS digest FROM (VALUES {values(notices())}) v(licence, known)) GROUP BY digest),
 low AS (SELECT doc_id, {_sql_plain("coalesce(text, '')")} AS low FROM documents),
 hits AS (SELECT doc_id, sha256({words_of('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM low)),
 found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(DISTINCT licence) AS n_notices FROM hits JOIN marks USING (digest) GROUP BY doc_id),
-whole AS (SELECT doc_id, sha256({form('low')}) AS digest FROM low)
-SELECT w.doc_id, w.digest, t.licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
-FROM whole w LEFT JOIN texts t ON t.digest = w.digest LEFT JOIN found f ON f.doc_id = w.doc_id"""
+whole AS (SELECT doc_id, sha256({form('low')}) AS digest, CASE WHEN {stated} THEN sha256({headless_of('low')}) END AS headless FROM low)
+SELECT w.doc_id, w.digest, coalesce(t.licence, s.licence) AS licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
+FROM whole w LEFT JOIN texts t ON t.digest = w.digest LEFT JOIN texts s ON s.digest = w.headless LEFT JOIN found f ON f.doc_id = w.doc_id"""

@@ -156,3 +156,25 @@ def test_titled_wrapped_and_full_licences(spark):
             rows.append((10 + i, open(f"{folder}/{name}", encoding="utf-8").read(), licence))
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     assert {r.doc_id: r.licence for r in licences.scan(df).collect()} == {r[0]: r[2] for r in rows}
+
+
+def test_copyright_statements_without_a_year_and_over_lines(spark):
+    mit, bsd = licences.WHOLE["MIT"], licences.WHOLE["BSD-3-Clause"]
+    google = bsd.replace("Neither the name of the copyright holder nor", "Neither the name of Google Inc. nor")
+    regents = bsd.replace("Neither the name of the copyright holder nor the names of its", "Neither the name of the University nor the names of its")
+    rows = [
+        (1, "Copyright Joyent, Inc. and other Node contributors.\n\n" + mit), (2, "The MIT License\n\nCopyright (c) 2010 A. Body,\n   B. Body and\n   others of the same house\n\n" + mit), (3, "Copyright 2008, Google Inc.\nAll rights reserved.\n\n" + google),
+        (4, "Copyright (c) 1993\n  The Regents of somewhere\n" + regents), (5, "Copyright Some Body\n" + "word " * 300 + mit), (6, "A story.\n" + mit), (7, "Copyright Some Body\n" + mit + " And more."), (8, "Copyright Some Body"),
+    ]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, headless int")
+    assert {r.doc_id: r.licence for r in licences.scan(df).collect()} == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-3-Clause", 5: None, 6: None, 7: None, 8: None}
+
+
+def test_statements_against_sql(spark, tmp_path):
+    mit = licences.WHOLE["MIT"]
+    texts = ["Copyright Some Body, Inc.\n" + mit, "MIT License\nCopyright Some\nBody\n" + mit, mit, "© me\n" + licences.WHOLE["ISC"], "Copyright of it\n" + licences.WHOLE["BSD-3-Clause"].replace("the copyright holder nor", "W3C (r) and others nor"), "x " + mit, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "none")], "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    found = licences.scan(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    same(found, licences.oracle_sql(), str(tmp_path))
+    assert [r.licence for r in found.orderBy("doc_id").collect()] == ["MIT", "MIT", "MIT", "ISC", "BSD-3-Clause", None, None]
