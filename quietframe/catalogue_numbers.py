@@ -6,8 +6,11 @@ SQL has the same rows and formulas of its own.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import math
 from collections.abc import Callable, Iterable
+from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
@@ -19,13 +22,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quietframe.catalogue import SD, dense, fixed_loss, query
-from quietframe.functions import distributions, samplers
+from quietframe.functions import distributions, helpers, samplers
 from quietframe.functions.exact import ExactNumber
 from quietframe.operators import noise, releases
 from quietframe.operators.noise import NoiseMechanism
-from quietframe.plans import core, domains, errors, measures
+from quietframe.plans import core, domains, errors, measures, metrics
 from quietframe.plans.domains import DictDomain, ListDomain, NumpyFloatDomain, NumpyIntegerDomain, NumpyStringDomain, PandasDataFrameDomain, PandasSeriesDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor
 from quietframe.plans.measures import ApproxDP, PureDP, RhoZCDP
+from quietframe.sources import shared
 from quietframe.sources.shared import read_table
 
 
@@ -268,3 +272,62 @@ def exact_numbers(spark, sf_dir):
         counted(spark, sf_dir, line=LINE, quantity="CAST(l_quantity AS BIGINT)"), "line long, quantity long, n long, sum double, roots double, power double, inverse double",
         lambda a, q, n: [(a, q, n, value(f"{q}/{a} + 1/6"), value(f"sqrt({q}) * sqrt(8)"), value(f"(1 + sqrt({a})) ** 2"), value(f"2 ** -{a}"))],
     )
+
+
+# -- helpers
+
+
+@query("SELECT c_custkey, c_nationkey AS escaped, 7 AS fresh FROM customer")
+def column_names(spark, sf_dir):
+    """A column whose name has a quote and a space, and a new one under a name that no other has."""
+    odd = "a`b c0"
+    df = read_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias(odd))
+    fresh = shared.get_nonconflicting_string(["c0", "C1", *df.columns])
+    assert fresh.lower() not in {"c0", "c1", odd}
+    return df.withColumn(fresh, F.lit(7)).select("c_custkey", F.col(shared.escape_column_name(odd)).alias("escaped"), F.col(fresh).alias("fresh"))
+
+
+@query("SELECT c_custkey, 'str' AS element, c_nationkey::BIGINT AS copied, 'decimal.Decimal' AS fullname, true AS frozen, 'AssertionError' AS never FROM customer")
+def object_helpers(spark, sf_dir):
+    """Helpers of plans on values of each customer."""
+
+    def helped(key, nation, name):
+        mutable = [nation]
+        copied = helpers.copy_if_mutable(mutable)
+        mutable.append(-1)
+        try:
+            helpers.assert_never(name)
+        except AssertionError as e:
+            never = type(e).__name__
+        yield key, helpers.get_element_type([name, None]).__name__, sum(copied), helpers.get_fullname(Decimal(key)), isinstance(name, helpers.get_immutable_types()), never
+
+    return of_rows(read_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long"), "c_name"), "c_custkey long, element string, copied long, fullname string, frozen boolean, never string", helped)
+
+
+@query("SELECT n_name, n_regionkey, true AS printed FROM nation")
+def printed_table(spark, sf_dir):
+    """A table as it is printed, in the order of its columns: a line a row."""
+    df = read_table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        shared.print_sdf(df)
+    lines = spark.createDataFrame([(line.split()[0], " ".join(line.split()[1:])) for line in text.getvalue().splitlines()[1:]], "place string, line string")
+    wanted = df.select("n_name", "n_regionkey", F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string")).alias("line"))
+    return wanted.join(lines, "line", "left").select("n_name", "n_regionkey", F.col("place").isNotNull().alias("printed"))
+
+
+@query("SELECT o_orderkey, 'UnsupportedExpressionError' AS refused, 'NotImplementedError' AS no_distance FROM orders")
+def refused_values(spark, sf_dir):
+    """What is no exact number, and a metric that has no distances, with values of orders."""
+
+    def refused(key, status):
+        found = []
+        for attempt in (lambda: ExactNumber(f"x_{status} + {key}"), lambda: metrics.NullMetric().distance(key, key, NumpyIntegerDomain())):
+            try:
+                attempt()
+                found.append("nothing")
+            except Exception as e:  # the kinds of errors are what is shown
+                found.append(type(e).__name__)
+        yield key, *found
+
+    return of_rows(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey long, refused string, no_distance string", refused)

@@ -180,8 +180,9 @@ def cleanup(spark: SparkSession | None = None) -> None:
     if spark is not None:
         spark.sql(f"DROP DATABASE IF EXISTS `{Config.temp_db_name()}` CASCADE")
         Answers.remove(spark, Answers.known(spark))
-        target, system = _hadoop(spark, Answers.folder(spark))
-        system.delete(target, True)
+        if not files_under(spark, Answers.folder(spark)):  # others may have put their checkpoints there
+            target, system = _hadoop(spark, Answers.folder(spark))
+            system.delete(target, True)
 
 
 def remove_all_temp_tables(spark: SparkSession | None = None) -> None:
