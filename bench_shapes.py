@@ -43,6 +43,12 @@ def quantiles(spark, groups: int, size: int):
     return releases.create_quantile_measurement(AX, SD, PureDP(), 1, "X", 0.5, 0, 10, groupby_transformation=keys(spark, groups))(rows_in_groups(spark, groups, size))
 
 
+def distinct_quantile(spark, n: int):
+    domain = SparkDataFrameDomain({"X": SparkIntegerColumnDescriptor()})
+    m = releases.create_quantile_measurement(domain, SD, PureDP(), 1, "X", 0.5, 0, n)
+    return spark.createDataFrame([(float(m(spark.range(n).select(F.col("id").alias("X")))),)], "q double")
+
+
 def noise_on(spark, kind: NoiseMechanism, n: int):
     return spark.range(n).select(noise.noisy(F.lit(0), kind, ExactNumber(3)).alias("x"))
 
@@ -72,7 +78,7 @@ def privately_joined(spark, groups: int, size: int):
 
 SHAPES = {
     "count, 640,000 groups of 1 row": lambda s: counted(s, 640_000, 1), "count, 100 groups of 100,000 rows": lambda s: counted(s, 100, 100_000), "sum, 640,000 groups of 1 row": lambda s: summed(s, 640_000, 1), "sum, 100 groups of 100,000 rows": lambda s: summed(s, 100, 100_000),
-    "quantile, 10,000 groups of 100 rows": lambda s: quantiles(s, 10_000, 100), "quantile, 1 group of 10,000,000 rows": lambda s: quantiles(s, 1, 10_000_000),
+    "quantile, 10,000 groups of 100 rows": lambda s: quantiles(s, 10_000, 100), "quantile, 1 group of 10,000,000 rows": lambda s: quantiles(s, 1, 10_000_000), "quantile, 10,000,000 distinct values": lambda s: distinct_quantile(s, 10_000_000),
     **{f"{k.name.lower()} noise on 640,000 zeros": lambda s, k=k: noise_on(s, k, 640_000) for k in NoiseMechanism},
     "map in Python, 320,000 rows": lambda s: mapped(s, 320_000), "flat map in Python, 100,000 rows by 10": lambda s: flat_mapped(s, 100_000, 10), "public join, 10,000,000 rows": lambda s: publicly_joined(s, 10_000_000), "private join, 100,000 groups of 10 rows": lambda s: privately_joined(s, 100_000, 10),
 }

@@ -187,7 +187,7 @@ def measures_compare(spark, sf_dir):
     return of_rows(counted(spark, sf_dir, a="l_quantity / 8", b="CAST(l_linenumber AS DOUBLE)"), "a double, b double, n long, pure boolean, zcdp boolean, approx boolean", compare)
 
 
-@query("SELECT -l_linenumber::BIGINT AS low, l_quantity::BIGINT AS high, count(*) AS n, greatest(l_quantity * l_quantity, l_linenumber * l_linenumber) / 2 AS squares, (l_quantity + l_linenumber) / 2 AS deviations FROM lineitem GROUP BY l_linenumber, l_quantity")
+@query("SELECT -line AS low, top AS high, count(*) AS n, greatest(top * top, line * line) / 2 AS squares, (top + line) / 2 AS deviations FROM (SELECT l_linenumber::BIGINT AS line, (ceil(l_quantity / 10) * 10)::BIGINT AS top FROM lineitem) GROUP BY line, top")
 def variance_sensitivities(spark, sf_dir):
     """How far one row moves the sums of a variance: half of the range of squares, and of values."""
 
@@ -196,7 +196,7 @@ def variance_sensitivities(spark, sf_dir):
         parts = releases.create_variance_measurement(domain, SD, PureDP(), 1, NoiseMechanism.LAPLACE, "x", low, high).parts
         yield low, high, n, number(parts[1].sensitivity), number(parts[0].sensitivity)
 
-    seen = counted(spark, sf_dir, low=f"-{LINE}", high="CAST(l_quantity AS BIGINT)").collect()  # expressions are built on the driver
+    seen = counted(spark, sf_dir, low=f"-{LINE}", high="CAST(ceil(l_quantity / 10) * 10 AS BIGINT)").collect()  # expressions are built on the driver
     return spark.createDataFrame([r for low, high, n in seen for r in moved(low, high, n)], "low long, high long, n long, squares double, deviations double")
 
 
