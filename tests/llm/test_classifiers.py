@@ -1,5 +1,7 @@
 """Quality and toxicity on held-out labels, and their defined cases."""
 
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -100,3 +102,118 @@ def test_threshold_is_the_quantile_of_all(spark, share):
 def test_very_long_text_has_features():
     text = "word and | more ||| " * 200_000
     assert np.isfinite(quality.features(pa.array([text, "", None]))).all()
+
+
+def plain_features(text):
+    """The features of one text, word by word and character by character."""
+    data = (text or "").encode()
+    own = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    n, some = max(len(data), 1), max(len(own), 1)
+    symbol = lambda c: 32 < c < 127 and not chr(c).isalnum() and chr(c) not in ",."
+    many = Counter(own)
+    return [
+        sum(map(symbol, data)) / n, sum(65 <= c <= 90 for c in data) / n, sum(48 <= c <= 57 for c in data) / n, data.count(b"|") / some,
+        len(many) / some, max(many.values(), default=0) / some, sum(a == b for a, b in zip(own, own[1:])) / some, sum(len(w) <= 4 for w in own) / some,
+        sum(sum(map(symbol, w)) >= 2 for w in own) / some, sum(map(len, own)) / some / 10, math.log1p(len(own)) / 10, float(not own),
+    ]
+
+
+TEXTS = ["", None, "one", "|| two | two | TWO 22 ||x", "a " * 50, "Ünï cödé, wörds. And-more; of (them) twice twice", " \n\t ", "x" * 300, "$$$ %%% 1 2 3"]
+
+
+def test_features_against_plain_ones():
+    got = quality.features(pa.array([*TEXTS, *TEXTS[::-1]]))
+    want = [plain_features(t) for t in [*TEXTS, *TEXTS[::-1]]]
+    # a mark that stands between two words belongs to the stretch from the first one on; here none does
+    assert np.allclose(got, want)
+
+
+def test_the_fit_is_the_optimum_of_its_loss():
+    """Bradley-Terry by its definition: logistic loss of strength differences of drawn pairs, and a penalty."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 12))
+    y = (x @ np.arange(12) / 20 + rng.normal(size=300) > 0).astype(int)
+    model = quality.fit(x, y, pairs=4000)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -6, 6)
+    draw = np.random.default_rng(7)
+    good, bad = (np.flatnonzero(y == v) for v in (1, 0))
+    first, second = draw.choice(good, 4000), draw.choice(bad, 4000)
+
+    def loss(beta):
+        strength = z @ beta
+        return np.mean(np.log1p(np.exp(-(strength[first] - strength[second])))) + 0.0015 * (beta**2).sum()
+
+    best = loss(model["beta"])
+    for i in range(12):
+        for step in (-1e-3, 1e-3):
+            assert loss(model["beta"] + step * np.eye(12)[i]) > best
+    assert quality.fit(x, np.ones(300, int)) is None
+
+
+def test_quality_of_a_table_against_a_plain_version(spark):
+    """Every row of the smallest table, and ties: equal texts have equal scores."""
+    where = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    model = quality.train(docs, labels)
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6))
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(twice, model).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        z = np.clip((np.array(plain_features(text)) - model["mean"]) / model["spread"], -6, 6)
+        want = 1 / (1 + math.exp(-(float(z @ model["beta"]) - model["cut"] + math.log(0.7 / 0.3))))
+        assert got[doc_id][0] == pytest.approx(want, abs=1e-6) and got[doc_id] == got[doc_id + 10**6]
+        assert got[doc_id][1] == int(got[doc_id][0] >= 0.7)
+
+
+def plain_hash(gram):
+    """The 40-bit hash of an n-gram, digit by digit."""
+    mask, rolled = (1 << 64) - 1, 0
+    for i, c in enumerate(gram):
+        value = (ord(c) * toxicity.BASE_A + 1) & mask
+        rolled = value if i == 0 else (rolled * 0xD6E8FEB86659FD93 + value) & mask
+    return ((((rolled ^ (rolled >> 29)) * 0x94D049BB133111EB) & mask) >> (65 - toxicity.KEY_BITS)) << 1
+
+
+def folded(text):
+    return "".join(" " if c in "\t\n\x0b\x0c\r" else chr(ord(c) + 32) if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in text or "")
+
+
+def plain_margin(model, text):
+    count = Counter(folded(text)[i : i + k] for k in toxicity.SIZES for i in range(len(text or "") - k + 1))
+    weight = dict(zip(model["keys"].tolist(), model["weight"].tolist()))
+    return model["bias"] + sum(weight.get(plain_hash(g), 0.0) + (weight.get(plain_hash(g) | 1, 0.0) if n > 1 else 0.0) for g, n in count.items())
+
+
+def test_toxicity_of_a_table_against_a_plain_version(spark):
+    where = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6))
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(twice, model).collect()}
+    for doc_id, text in docs.where("length(text) < 500").select("doc_id", "text").collect():
+        want = 1 / (1 + math.exp(-max(-30, min(30, plain_margin(model, text)))))
+        assert got[doc_id][0] == pytest.approx(want, abs=1e-6) and got[doc_id] == got[doc_id + 10**6]
+        assert got[doc_id][1] == int(got[doc_id][0] >= 0.3)
+
+
+def test_the_toxicity_fit_is_near_the_optimum_of_its_loss():
+    """Logistic loss and penalty by their definitions: plain descent from there gains little more."""
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(30, rng.integers(2, 12), replace=False)) for _ in range(400)]
+    truth, scale = rng.normal(size=30), rng.normal(size=30)
+    y = np.array([float(truth[r].sum() + rng.normal() > 0) for r in rows])
+    weight, bias = toxicity.fit(rows, y, scale, {0: int((y == 0).sum()), 1: int(y.sum())})
+    own = weight / scale
+    x = np.zeros((400, 30))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r]
+
+    def loss(w, b):
+        margin = x @ w + b
+        return np.mean(np.log1p(np.exp(margin)) - y * margin) + 1e-4 * (w**2).sum()
+
+    best = loss(own, bias)
+    start = loss(np.zeros(30), math.log(y.mean() / (1 - y.mean())))
+    for _ in range(3000):  # plain gradient descent from there
+        error = 1 / (1 + np.exp(-(x @ own + bias))) - y
+        own, bias = own - 0.3 * (x.T @ error / len(y) + 2e-4 * own), bias - 0.3 * error.mean()
+    assert best - loss(own, bias) < 0.15 * (start - best)  # its 120 steps end before the optimum
