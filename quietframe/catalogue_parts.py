@@ -220,8 +220,8 @@ def grouped_aggregations(spark, sf_dir):
 # -- pandas aggregates of groups, quantile intervals
 
 
-class Extremes(releases.Aggregate):
-    """The least or the largest value of a series, clipped; without privacy, to show how aggregates are applied."""
+class Extremes(releases.MergeableAggregate):
+    """The least or the largest value of a series; without privacy, to show how aggregates are applied."""
 
     def __init__(self, domain, largest: bool):
         super().__init__(domain, SD, PureDP(), StructType([StructField("x", DoubleType())]))
@@ -230,8 +230,17 @@ class Extremes(releases.Aggregate):
     def privacy_function(self, d_in):
         return INFINITY
 
-    def __call__(self, data):
-        return float(data.max() if self._largest else data.min()) if len(data) else -1.0
+    def init(self):
+        return None
+
+    def update(self, state, data):
+        return state if not len(data) else self.merge(state, float(data.max() if self._largest else data.min()))
+
+    def merge(self, state, other):
+        return other if state is None else state if other is None else (max if self._largest else min)(state, other)
+
+    def finish(self, state):
+        return -1.0 if state is None else state
 
 
 @query("SELECT f AS l_returnflag, coalesce(low, -1) AS l_quantity, coalesce(high, -1) AS l_extendedprice FROM (VALUES ('A'), ('N'), ('R'), ('X')) k(f) LEFT JOIN (SELECT l_returnflag, min(l_quantity) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1) g ON g.l_returnflag = f")

@@ -337,3 +337,11 @@ def test_a_key_with_half_of_the_rows(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_no_group_of_the_query_of_pandas_aggregates_is_held_whole(spark, monkeypatch):
+    """Its aggregates are taken in parts; a frame of a whole group would not fit a task."""
+    from quietframe import catalogue
+
+    monkeypatch.setattr(grouped.GroupedDataFrame, "apply_in_pandas", lambda *_: pytest.fail("a group in one frame"))
+    assert catalogue.queries()["apply_in_pandas"](spark, "/root/testdata/sf0.001").count() == 4
