@@ -94,10 +94,11 @@ def draw_many(mechanism: NoiseMechanism, values: np.ndarray, scale: ExactNumber)
         return values.astype(np.int64 if mechanism.integral else np.float64)
     if scale == INFINITY:
         out = np.array([draw(mechanism, v, scale) for v in values.tolist()], dtype=object if mechanism.integral else np.float64)
-    elif mechanism is NoiseMechanism.GEOMETRIC:
-        out = values.astype(object) + batches.discrete_laplace(_rational(scale), len(values)).astype(object)
-    elif mechanism is NoiseMechanism.DISCRETE_GAUSSIAN:
-        out = values.astype(object) + batches.discrete_gaussian(_rational(scale * scale), len(values)).astype(object)
+    elif mechanism.integral:
+        noise = batches.discrete_laplace(_rational(scale), len(values)) if mechanism is NoiseMechanism.GEOMETRIC else batches.discrete_gaussian(_rational(scale * scale), len(values))
+        if values.dtype == np.int64 == noise.dtype and all(len(x) == 0 or (x.min() >= -(2**62) and x.max() < 2**62) for x in (values, noise)):
+            return values + noise
+        out = values.astype(object) + noise.astype(object)
     else:
         out = values.astype(np.float64)
         finite = np.isfinite(out)

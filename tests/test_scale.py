@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quietframe.functions import batches
+from quietframe.functions import batches, samplers
 from quietframe.functions.exact import INFINITY, ExactNumber
 from quietframe.operators import grouped, joins, laws, maps, per_record, quantiles, ranges, releases, rows
 from quietframe.operators.noise import NoiseMechanism, noisy
@@ -345,3 +345,34 @@ def test_no_group_of_the_query_of_pandas_aggregates_is_held_whole(spark, monkeyp
 
     monkeypatch.setattr(grouped.GroupedDataFrame, "apply_in_pandas", lambda *_: pytest.fail("a group in one frame"))
     assert catalogue.queries()["apply_in_pandas"](spark, "/root/testdata/sf0.001").count() == 4
+
+
+def test_few_draws_are_left_to_slow_arithmetic(monkeypatch):
+    """Floats that 63 bits leave open are settled from 126, to the same floats as exact arithmetic gives from these bits."""
+    settled, slow = [], []
+    whole, refined = batches._settled, batches._refined
+
+    def spy(out, places, bits, more, value):
+        left = whole(out, places, bits, more, value)
+        settled.extend((float(out[p]), int(bits[p]) << 63 | int(m), int(p)) for p, m in zip(places.tolist(), more.tolist()) if p not in dict(left))
+        return left
+
+    monkeypatch.setattr(batches, "_settled", spy)
+    monkeypatch.setattr(batches, "_refined", lambda u, value: slow.append(u) or refined(u, value))
+    center, n = np.random.default_rng(3).normal(0, 5, 5000), 5000
+    batches.laplace(center, 3.0)
+    assert settled and all(x == refined(batches.Open(b, 126), lambda p, c=float(center[i]): samplers.laplace_inverse_cdf(c, 3.0, p)) for x, b, i in settled[:200])
+    batches.gaussian(center, Fraction(9))
+    batches.square_root_gaussian(n, 2.0)
+    batches.exponential_polylogarithmic(n, 1.0, 1.0, 2.0)
+    assert len(slow) < 0.01 * 4 * n  # a few of a hundred before
+
+
+def test_query_of_laws_keeps_no_draws(spark, monkeypatch):
+    """Values are drawn and counted in one pass, by several tasks for a file of one row group."""
+    from quietframe import catalogue
+
+    monkeypatch.setattr(shared, "get_materialized_df", lambda *_: pytest.fail("draws are written"))
+    assert catalogue.queries()["noise_laws"](spark, "/root/testdata/sf0.001").count() == 6
+    table = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert shared.spread(table, "l_orderkey").rdd.getNumPartitions() >= 16
