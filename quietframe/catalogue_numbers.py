@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quietframe.catalogue import SD, dense, fixed_loss, query
-from quietframe.functions import distributions, helpers, samplers
+from quietframe.functions import batches, distributions, helpers, samplers
 from quietframe.functions.exact import ExactNumber
 from quietframe.operators import noise, releases
 from quietframe.operators.noise import NoiseMechanism
@@ -91,21 +91,29 @@ def noise_losses(spark, sf_dir):
 
 
 _Q, _G = math.exp(-0.5), math.exp(-1 / 2)
-#: Single samplers: a draw, the mean and the variance that it should have.
+_each = lambda draw: lambda n: [draw() for _ in range(n)]
+#: Samplers: so many draws, the mean and the variance that they should have.  Those that cost more than some microseconds a draw draw in batches.
 _SAMPLERS = {
-    "uniform_below": (lambda: samplers.uniform_below(10), 4.5, 8.25), "bernoulli": (lambda: samplers.bernoulli(Fraction(1, 4)), 0.25, 0.1875), "bernoulli_exp": (lambda: samplers.bernoulli_exp(Fraction(1, 2)), _Q, _Q * (1 - _Q)),
-    "geometric_exp": (lambda: samplers.geometric_exp(Fraction(1, 2)), _G / (1 - _G), _G / (1 - _G) ** 2), "discrete_laplace": (lambda: samplers.discrete_laplace(2), 0, 2 * _G / (1 - _G) ** 2), "discrete_gaussian": (lambda: samplers.sample_dgauss(9), 0, 9),
-    "laplace": (lambda: samplers.laplace(1.0, 2.0), 1, 8), "gaussian": (lambda: samplers.gaussian(4), 0, 4), "uniform": (lambda: samplers.uniform(2.0, 5.0), 3.5, 0.75), "RNGWrapper": (lambda: samplers.RNGWrapper().randrange(10), 4.5, 8.25),
+    "uniform_below": (_each(lambda: samplers.uniform_below(10)), 4.5, 8.25), "bernoulli": (_each(lambda: samplers.bernoulli(Fraction(1, 4))), 0.25, 0.1875), "bernoulli_exp": (_each(lambda: samplers.bernoulli_exp(Fraction(1, 2))), _Q, _Q * (1 - _Q)),
+    "geometric_exp": (lambda n: batches.geometric_exp(Fraction(1, 2), n), _G / (1 - _G), _G / (1 - _G) ** 2), "discrete_laplace": (lambda n: batches.discrete_laplace(Fraction(2), n), 0, 2 * _G / (1 - _G) ** 2), "discrete_gaussian": (lambda n: batches.discrete_gaussian(Fraction(9), n), 0, 9),
+    "laplace": (lambda n: batches.laplace(np.ones(n), 2.0), 1, 8), "gaussian": (lambda n: batches.gaussian(np.zeros(n), Fraction(4)), 0, 4), "uniform": (lambda n: batches.uniform(2.0, 5.0, n), 3.5, 0.75), "RNGWrapper": (_each(lambda: samplers.RNGWrapper().randrange(10)), 4.5, 8.25),
 }
 
 
 @query(f"SELECT sampler, (SELECT count(*) FROM orders) AS n, true AS fits FROM (VALUES {', '.join(f'({k!r})' for k in _SAMPLERS)}) t(sampler)")
 def sampler_distributions(spark, sf_dir):
     """One draw of each sampler an order, taken in Spark's tasks: mean and variance, within what they miss once in some millions."""
-    drawn = of_rows(read_table(spark, sf_dir, "orders").select("o_orderkey"), "sampler string, x double", lambda _: [(k, float(draw())) for k, (draw, _, _) in _SAMPLERS.items()])
+    names = list(_SAMPLERS)
+
+    def draws(found):
+        for batch in found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(draw(batch.num_rows), np.float64)) for draw, _, _ in _SAMPLERS.values()], names)
+
+    drawn = shared.spread(read_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").mapInArrow(draws, ", ".join(f"{k} double" for k in names))
+    moments = [F.struct(F.lit(k).alias("sampler"), F.count(k).alias("n"), F.avg(k).alias("m"), F.var_pop(k).alias("v")) for k in names]
     law = spark.createDataFrame([(k, float(m), float(v)) for k, (_, m, v) in _SAMPLERS.items()], "sampler string, mean double, variance double")
     # sixth moments are not needed: fourth ones of these laws are at most 24 variances squared
-    seen = drawn.groupBy("sampler").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).join(F.broadcast(law), "sampler")
+    seen = drawn.agg(F.array(*moments).alias("all")).select(F.inline("all")).join(F.broadcast(law), "sampler")
     near = (F.abs(F.col("m") - F.col("mean")) < 6 * F.sqrt(F.col("variance") / F.col("n"))) & (F.abs(F.col("v") / F.col("variance") - 1) < 6 * F.sqrt(24 / F.col("n")))
     return seen.select("sampler", "n", near.alias("fits"))
 

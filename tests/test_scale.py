@@ -376,3 +376,16 @@ def test_query_of_laws_keeps_no_draws(spark, monkeypatch):
     assert catalogue.queries()["noise_laws"](spark, "/root/testdata/sf0.001").count() == 6
     table = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     assert shared.spread(table, "l_orderkey").rdd.getNumPartitions() >= 16
+
+
+def test_expensive_samplers_of_the_query_draw_in_batches(monkeypatch):
+    """No draw of these goes through the arithmetic of single ones, but for a few of very many."""
+    from quietframe import catalogue_numbers
+
+    slow = []
+    for name in ("geometric_exp", "discrete_laplace", "discrete_gaussian", "sample_dgauss", "construct_inverse_sampler"):
+        monkeypatch.setattr(samplers, name, lambda *_, name=name: slow.append(name) or pytest.fail(name))
+    for name in ("geometric_exp", "discrete_laplace", "discrete_gaussian", "laplace", "gaussian", "uniform"):
+        draw, mean, variance = catalogue_numbers._SAMPLERS[name]
+        x = np.asarray(draw(20_000), float)
+        assert len(x) == 20_000 and abs(x.mean() - mean) < 6 * math.sqrt(variance / len(x)), name
