@@ -65,12 +65,16 @@ def noise_of_scale_zero(spark, sf_dir):
     """Mechanisms of scale 0 on numbers of every line."""
     df = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"))
     floats = NumpyFloatDomain()
+    kinds = [noise.AddNoiseToSeries(m) for m in (noise.AddLaplaceNoise(floats, 0), noise.AddGeometricNoise(0), noise.AddDiscreteGaussianNoise(0), noise.AddGaussianNoise(floats, 0))]
+    kind = StructType.fromDDL("l_orderkey long, l_linenumber int, laplace double, geometric long, discrete_gaussian long, gaussian double")
+    arrow = to_arrow_schema(kind)
 
-    def draw(order, line, price, part, supplier, quantity):
-        kinds = noise.AddLaplaceNoise(floats, 0)(np.float64(price)), noise.AddGeometricNoise(0)(np.int64(part)), noise.AddDiscreteGaussianNoise(0)(np.int64(supplier)), noise.AddGaussianNoise(floats, 0)(np.float64(quantity))
-        yield order, line, float(kinds[0]), int(kinds[1]), int(kinds[2]), float(kinds[3])
+    def draw(found):
+        for batch in found:
+            noisy = [m(c.to_pandas()) for m, c in zip(kinds, batch.columns[2:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, t) for x, t in zip(noisy, arrow.types[2:]))], arrow.names)
 
-    return of_rows(df, "l_orderkey long, l_linenumber int, laplace double, geometric long, discrete_gaussian long, gaussian double", draw)
+    return df.mapInArrow(draw, kind)
 
 
 @query("SELECT l_linenumber::BIGINT AS d, l_quantity / 4 AS e, count(*) AS n, round(l_linenumber / (l_quantity / 4), 9) AS pure, round(l_linenumber / sqrt(2 * l_quantity / 4), 9) AS zcdp FROM lineitem GROUP BY l_linenumber, l_quantity")

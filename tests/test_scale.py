@@ -389,3 +389,13 @@ def test_expensive_samplers_of_the_query_draw_in_batches(monkeypatch):
         draw, mean, variance = catalogue_numbers._SAMPLERS[name]
         x = np.asarray(draw(20_000), float)
         assert len(x) == 20_000 and abs(x.mean() - mean) < 6 * math.sqrt(variance / len(x)), name
+
+
+def test_noise_of_scale_zero_takes_whole_batches(spark, monkeypatch):
+    from quietframe import catalogue
+    from quietframe.operators import noise
+
+    built, init = [], noise._Mechanism.__init__
+    monkeypatch.setattr(noise._Mechanism, "__init__", lambda self, *a: built.append(1) or init(self, *a))
+    catalogue.queries()["noise_of_scale_zero"](spark, "/root/testdata/sf0.001")
+    assert len(built) == 4  # once where the query is built, none a row
