@@ -255,16 +255,27 @@ def domain_membership(spark, sf_dir):
         except (errors.OutOfDomainError, TypeError, ValueError):
             return 0
 
-    def members(key, name, balance):
-        i, frame = np.int64(key), pd.DataFrame({"a": [key]})
-        cases = {
-            "int": (whole, i, np.float64(balance)), "float": (NumpyFloatDomain(), np.float64(balance), np.float64("nan")), "string": (NumpyStringDomain(), name, None),
-            "series": (PandasSeriesDomain(whole), frame["a"], pd.Series([name])), "frame": (PandasDataFrameDomain({"a": PandasSeriesDomain(whole)}), frame, pd.DataFrame({"b": [key]})),
-            "list": (ListDomain(whole), [i], [name]), "dict": (DictDomain({"k": whole}), {"k": i}, {"j": i}),
-        }
-        return [(k, takes(d, a), takes(d, b)) for k, (d, a, b) in cases.items()]
-
-    rows = of_rows(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), "domain string, own long, other long", members)
+    floats, texts, series, many, named = NumpyFloatDomain(), NumpyStringDomain(), PandasSeriesDomain(whole), ListDomain(whole), DictDomain({"k": whole})
+    table = PandasDataFrameDomain({"a": series})
+
+    def members(found):
+        """Single values one by one; a series or frame has the values of a batch, all of which its domain looks at."""
+        for batch in found:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, names, balances = (c.to_pylist() for c in batch.columns)
+            numbers, frame = [np.int64(k) for k in keys], pd.DataFrame({"a": keys})
+            each = lambda domain, values: sum(takes(domain, v) for v in values)
+            counts = {
+                "int": (each(whole, numbers), each(whole, map(np.float64, balances))), "float": (each(floats, map(np.float64, balances)), each(floats, [np.float64("nan")] * n)), "string": (each(texts, names), each(texts, [None] * n)),
+                "series": (n * takes(series, frame["a"]), n * takes(series, pd.Series(names))), "frame": (n * takes(table, frame), n * takes(table, frame.rename(columns={"a": "b"}))),
+                "list": (each(many, ([i] for i in numbers)), each(many, ([x] for x in names))), "dict": (each(named, ({"k": i} for i in numbers)), each(named, ({"j": i} for i in numbers))),
+            }
+            yield pa.RecordBatch.from_pylist([{"domain": k, "own": own, "other": other} for k, (own, other) in counts.items()])
+
+    customers = shared.spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey")
+    rows = customers.mapInArrow(members, "domain string, own long, other long")
     out = rows.groupBy("domain").agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
     orders = read_table(spark, sf_dir, "orders")
     n = orders.count()

@@ -399,3 +399,11 @@ def test_noise_of_scale_zero_takes_whole_batches(spark, monkeypatch):
     monkeypatch.setattr(noise._Mechanism, "__init__", lambda self, *a: built.append(1) or init(self, *a))
     catalogue.queries()["noise_of_scale_zero"](spark, "/root/testdata/sf0.001")
     assert len(built) == 4  # once where the query is built, none a row
+
+
+def test_domains_of_series_take_batches(spark, monkeypatch):
+    """No frame is made for each customer."""
+    from quietframe import catalogue
+
+    plan = catalogue.queries()["domain_membership"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(c_custkey" in plan  # dealt out, not read by one task
