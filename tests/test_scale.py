@@ -421,3 +421,16 @@ def test_hot_keys_of_flat_maps_are_not_sorted(spark, monkeypatch):
     assert {r.k: r.n for r in out.collect()} == dict(want) and out.count() == len(want)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Union" in plan and plan.count("Sort [") <= 2
+
+
+def test_columns_are_aligned_once(spark, monkeypatch):
+    from quietframe.plans import metrics
+
+    seen, whole = [], metrics.aligned
+    monkeypatch.setattr(metrics, "aligned", lambda *two: seen.append(1) or whole(*two))
+    domain = SparkDataFrameDomain({"x": SparkIntegerColumnDescriptor()})
+    big = 2**62
+    one, two = (spark.createDataFrame([(v,) for v in values], "x long") for values in ([1, 5, big, -3], [2, 3, -big, 9]))
+    both = [OnColumn("x", m(AbsoluteDifference())) for m in (SumOf, RootSumOfSquared)]
+    total, root = metrics.OnColumns(both).distance(one, two, domain)
+    assert len(seen) == 1 and total == 15 + 2 * big and root * root == 1 + 4 + 4 * big * big + 144
