@@ -235,6 +235,24 @@ class Partition(RowTransformation):
     num_partitions = property(lambda self: self.output_domain.length)
 
 
+#: Rows that a task writes to the folders of parts, which it sorts by folder.
+ROWS_A_TASK = 1 << 21
+
+
+def places_of(counts: Mapping[int, int]) -> tuple[list[tuple[int, int, int]], int]:
+    """The first task and the number of tasks of each part, and how many tasks there are: small parts share one."""
+    places, tasks, room = [], 0, 0
+    for part, n in sorted(counts.items(), key=lambda x: (x[1], x[0])):
+        if n > room:
+            own = -(-n // ROWS_A_TASK)
+            places.append((part, tasks, own))
+            tasks, room = tasks + own, ROWS_A_TASK - n if own == 1 else 0
+        else:
+            places.append((part, tasks - 1, 1))
+            room -= n
+    return places, max(1, tasks)
+
+
 class PartitionByKeys(Partition):
     """The rows of each key, as tables in the keys' order; other rows are dropped."""
 
@@ -267,10 +285,11 @@ class PartitionByKeys(Partition):
     use_l2 = property(lambda self: self._use_l2)
 
     def __call__(self, sdf: DataFrame) -> KeyedTables:
-        """All parts from one pass: rows are written once by their key's number, and each part reads its own folder.
+        """All parts from one pass over the input: rows are kept with their key's number, counted, and written to a folder a part.
 
-        Rows are dealt out by number first, so that a part has few files; large
-        parts are split, so that a key with most of the rows has many tasks.
+        The counts say where rows go: a large part to several tasks, small ones
+        together to one, so that a part has few files and no task sorts more than
+        about ``ROWS_A_TASK`` rows for its folders, whatever the table's size.
         """
         if len(self._values) == 1:
             same_key = [named(c).eqNullSafe(F.lit(x).cast(self.input_domain[c].data_type)) for c, x in zip(self._keys, self._values[0])]
@@ -283,8 +302,16 @@ class PartitionByKeys(Partition):
         known = F.broadcast(numbers) if len(self._values) <= SMALL_KEYS else numbers
         plain = [f"__c{i}" for i in range(len(sdf.columns))]
         marked = sdf.alias("r").join(known.alias("n"), reduce(lambda a, b: a & b, same_key)).select(*[F.col(f"r.`{c}`").alias(p) for c, p in zip(sdf.columns, plain)], F.col("n.__part").alias("__part"))
-        path = Answers.new(spark)
-        marked.hint("rebalance", "__part").write.partitionBy("__part").parquet(path)
+        kept, path = Answers.new(spark), Answers.new(spark)
+        marked.write.parquet(kept)
+        found = spark.read.schema(marked.schema).parquet(kept)
+        places, tasks = places_of({part: n for part, n in found.groupBy("__part").count().collect()})
+        placed = spark.createDataFrame(places, "part long, first int, tasks int")
+        at = F.broadcast(placed) if len(places) <= SMALL_KEYS else placed
+        task = F.col("first") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("tasks")).cast("int")
+        dealt = found.join(at, F.col("__part") == F.col("part")).select(*plain, "__part", task.alias("__task"))
+        dealt.repartitionById(tasks, F.col("__task")).drop("__task").write.partitionBy("__part").parquet(path)
+        Answers.remove(spark, [kept])
         whole = spark.read.schema(marked.schema).parquet(path)  # its files are listed once for all parts
         parts = [whole.where(F.col("__part") == i).select(*[F.col(p).alias(c) for c, p in zip(sdf.columns, plain)]) for i in range(len(self._values))]
         return KeyedTables(parts, lambda: Answers.remove(spark, [path]))

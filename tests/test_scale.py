@@ -145,6 +145,17 @@ def test_parts_by_key_from_one_scan(spark, tmp_path):
         assert set(shared.Answers.known(spark)) == before
 
 
+def test_a_large_part_is_written_by_several_tasks(spark, monkeypatch):
+    """However well its rows are packed: no file, and so no sort of a task, has more than about its share of rows."""
+    monkeypatch.setattr(rows, "ROWS_A_TASK", 2000, raising=False)
+    df = spark.range(21_000).select(F.when(F.col("id") < 20_000, "hot").otherwise((F.col("id") % 4).cast("string")).alias("k"), F.col("id").alias("x"))
+    parts = rows.PartitionByKeys(KX, SD, False, ["k"], [("hot",), *[(str(i),) for i in range(4)], ("absent",)])(df)
+    files = [[r["count"] for r in p.groupBy(F.input_file_name()).count().collect()] for p in parts]
+    assert list(map(sum, files)) == [20_000, 250, 250, 250, 250, 0]
+    assert len(files[0]) == 10 and max(files[0]) < 2500 and all(len(f) == 1 for f in files[1:5])
+    parts.release()
+
+
 def test_a_retired_accountant_leaves_no_parts_behind(spark):
     df = spark.range(300).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("x"))
     root = ia.PrivacyAccountant.launch(ia.SequentialComposition(KX, SD, PureDP(), 1, INFINITY), df)
