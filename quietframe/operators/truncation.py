@@ -40,20 +40,25 @@ def row_hash(df: DataFrame, columns: Sequence[str], *more: Column) -> Column:
 PARTS, UNLIMITED = 32, 1000
 
 
-def lowest(df: DataFrame, groups: Sequence[Column], hashed: str, order: Sequence[Column], threshold: int) -> DataFrame:
-    """The first ``threshold`` rows of each group by the hash column and the rest of the order.
+def lowest(df: DataFrame, groups: Sequence[Column], hashed: Column, order: Sequence[Column], threshold: int) -> DataFrame:
+    """The first ``threshold`` rows of each group by the hash and the rest of the order.
 
     Spark limits each group by itself in every task before the shuffle, so what
     meets in one task is at most ``threshold`` rows a group and task.  For large
-    thresholds, where it does not, parts of a group (by the hash) are limited
-    first: a row that is not among the first of its part is not among the first
-    of its group.
+    thresholds, where it does not, parts of a group are limited first: a row that
+    is not among the first of its part is not among the first of its group.
+
+    All rows are sorted for this by 60 bits of the hash, a number instead of a text
+    of 64 letters.  Rows of equal numbers have equal ranks and stay; the whole hash
+    decides among the few that are left.
     """
-    part = F.pmod(F.xxhash64(hashed), F.lit(PARTS))
+    df = df.withColumn("__near", F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long"))
+    part = F.pmod(F.col("__near"), F.lit(PARTS))
     for extra in ([part], []) if threshold >= UNLIMITED else ([],):
-        place = F.row_number().over(Window.partitionBy(*groups, *extra).orderBy(hashed, *order))
+        place = F.rank().over(Window.partitionBy(*groups, *extra).orderBy("__near"))
         df = df.withColumn("__place", place).where(F.col("__place") <= threshold).drop("__place")
-    return df
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy("__near", "__hash", *order))
+    return df.withColumn("__hash", hashed).withColumn("__place", place).where(F.col("__place") <= threshold).drop("__place", "__hash", "__near")
 
 
 #: Copies of a row that one task numbers.
@@ -81,8 +86,8 @@ def truncate_large_groups(df: DataFrame, grouping_columns: Sequence[str], thresh
     every = df.columns
     if threshold <= 0:
         return df.limit(0)
-    hashed = numbered(df, "__number").withColumn("__hash", row_hash(df, every, F.col("__number").cast("long")))
-    return lowest(hashed, list(map(named, grouping_columns)), "__hash", list(map(named, every)), threshold).select(*map(named, every))
+    hashed = row_hash(df, every, F.col("__number").cast("long"))
+    return lowest(numbered(df, "__number"), list(map(named, grouping_columns)), hashed, list(map(named, every)), threshold).select(*map(named, every))
 
 
 def drop_large_groups(df: DataFrame, grouping_columns: Sequence[str], threshold: int) -> DataFrame:
@@ -106,8 +111,8 @@ def limit_keys_per_group(df: DataFrame, grouping_columns: Sequence[str], key_col
     sorted rows as it has keys.
     """
     both = [*grouping_columns, *key_columns]
-    keys = df.select(*map(named, both)).distinct().withColumn("__hash", row_hash(df, both))
-    kept = lowest(keys, list(map(named, grouping_columns)), "__hash", list(map(named, key_columns)), threshold)
+    keys = df.select(*map(named, both)).distinct()
+    kept = lowest(keys, list(map(named, grouping_columns)), row_hash(df, both), list(map(named, key_columns)), threshold)
     matches = reduce(lambda a, b: a & b, [F.col(f"d.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in both])
     return df.alias("d").join(kept.alias("k"), matches, "left_semi")
 

@@ -1,5 +1,6 @@
 """Operators that split hot groups: results against plain versions, and what plans and tasks hold."""
 
+import hashlib
 import math
 import os
 from collections import Counter
@@ -13,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quietframe.functions import batches, samplers
 from quietframe.functions.exact import INFINITY, ExactNumber
-from quietframe.operators import grouped, joins, laws, maps, per_record, quantiles, ranges, releases, rows
+from quietframe.operators import grouped, joins, laws, maps, per_record, quantiles, ranges, releases, rows, truncation
 from quietframe.operators.noise import NoiseMechanism, noisy
 from quietframe.plans import interactive as ia
 from quietframe.plans.domains import ListDomain, NumpyFloatDomain, PandasDataFrameDomain, PandasSeriesDomain, SparkDataFrameDomain, SparkFloatColumnDescriptor, SparkIntegerColumnDescriptor, SparkRowDomain, SparkStringColumnDescriptor
@@ -146,6 +147,20 @@ def test_parts_by_key_from_one_scan(spark, tmp_path):
         assert set(shared.Answers.known(spark)) == before
 
 
+@pytest.mark.parametrize("k", [3, 1200])
+def test_limits_sort_numbers_and_the_whole_hash_decides_ties(spark, k):
+    df = spark.range(6000).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"))
+    plan = truncation.truncate_large_groups(df, ["g"], k)._jdf.queryExecution().optimizedPlan().toString()
+    limits = [line for line in plan.split("\n") if "WindowGroupLimit" in line]
+    assert "__near" in plan and bool(limits) == (k < truncation.UNLIMITED) and not any("__hash" in line for line in limits[-1:])  # the lowest one gets all rows
+    for head in ("", "0" * 15, "f" * 15):
+        hashed = F.concat(F.lit(head), F.sha2(F.col("x").cast("string"), 256))
+        found = [tuple(r) for r in truncation.lowest(df, [F.col("g")], hashed, [F.col("x")], k).collect()]
+        digest = lambda x: hashlib.sha256(str(x).encode()).hexdigest()
+        want = [(g, x) for g in (0, 1) for x in sorted(range(g, 6000, 2), key=digest)[:k]]
+        assert sorted(found) == sorted(want)
+
+
 def test_rows_without_a_key_meet_in_several_tasks(spark, monkeypatch):
     """Where nulls are equal their pairs are dealt out on both sides; what few rows make stays with the rest."""
     monkeypatch.setattr(joins, "CELL", 50, raising=False)
