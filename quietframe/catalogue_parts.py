@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quietframe import catalogue
 from quietframe.catalogue import SD, dense, fixed_loss, hashed, lines, one_row, query, truncated
+from quietframe.functions import batches
 from quietframe.functions.exact import INFINITY, ExactNumber
 from quietframe.operators import grouped, laws, maps, noise, per_record, quantiles, releases, rows, tables, truncation
 from quietframe.operators.noise import NoiseMechanism
@@ -362,21 +363,18 @@ def noise_laws(spark, sf_dir):
 
     Either answer is wrong less often than once in some millions.
     """
-    zero = F.lit(0)
-    plain = lambda mechanism, scale: noise.noisy(zero.cast("long" if mechanism.integral else "double"), mechanism, ExactNumber(scale))
+    plain = lambda mechanism, scale: lambda n: noise.draw_many(mechanism, np.zeros(n, np.int64 if mechanism.integral else np.float64), ExactNumber(scale))
     kinds = {
         "laplace": (plain(NoiseMechanism.LAPLACE, 3), laws.laplace(3), laws.laplace(3.15)),
         "geometric": (plain(NoiseMechanism.GEOMETRIC, 40), laws.geometric(40), laws.geometric(42)),
         "discrete gaussian": (plain(NoiseMechanism.DISCRETE_GAUSSIAN, 40), laws.discrete_gaussian(1600), laws.discrete_gaussian(1764)),
         "gaussian": (plain(NoiseMechanism.GAUSSIAN, 3), laws.gaussian(3), laws.gaussian(3.15)),
-        "square root gaussian": (per_record.square_root_gaussian(zero, 2.0), laws.square_root_gaussian(2.0), laws.square_root_gaussian(3.2)),
-        "exponential polylogarithmic": (per_record.exponential_polylogarithmic(zero, 1.0, 1.0, 2.0), laws.exponential_polylogarithmic(1.0, 1.0, 2.0), laws.exponential_polylogarithmic(1.0, 1.0, 3.2)),
+        "square root gaussian": (lambda n: batches.square_root_gaussian(n, 2.0), laws.square_root_gaussian(2.0), laws.square_root_gaussian(3.2)),
+        "exponential polylogarithmic": (lambda n: batches.exponential_polylogarithmic(n, 1.0, 1.0, 2.0), laws.exponential_polylogarithmic(1.0, 1.0, 2.0), laws.exponential_polylogarithmic(1.0, 1.0, 3.2)),
     }
-    df, found = shared.spread(lines(spark, sf_dir, "l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber"), []
-    for kind, (column, *both) in kinds.items():
-        many = df.select(F.explode(F.array_repeat(F.lit(0), _DRAWS[kind])))
-        seen = laws.counts_of(many, column, both)  # values are drawn, put in the bins of both laws, and not kept
-        found.append((kind, sum(seen[0]), *(laws.statistic(n, law) <= laws.threshold(law) for n, law in zip(seen, both))))
+    draws = [laws.Draws(draw, _DRAWS[kind], tuple(both)) for kind, (draw, *both) in kinds.items()]
+    counted = laws.counts_of_draws(lines(spark, sf_dir, "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], draws)
+    found = [(kind, sum(seen[0]), *(laws.statistic(n, law) <= laws.threshold(law) for n, law in zip(seen, both))) for (kind, (_, *both)), seen in zip(kinds.items(), counted)]
     return rows_of(spark, "law string, n long, fits boolean, fits_another_scale boolean", found)
 
 

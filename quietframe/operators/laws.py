@@ -9,17 +9,25 @@ model selection", 2000, lemma 1).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietframe.functions.distributions import discrete_gaussian_cmf, double_sided_geometric_cmf
+from quietframe.operators.grouped import named
+from quietframe.sources.shared import spread
 
 #: Bins of about equal mass.
 BINS = 16
+#: Rows for which a piece of work draws.
+PIECE = 1024
+#: Values that are drawn at once; their arrays of extended floats stay in a core's cache.
+BLOCK = 6000
 
 
 @dataclass(frozen=True)
@@ -102,6 +110,46 @@ def counts_of(df: DataFrame, column: Column, laws: Sequence[Law]) -> list[list[i
     return found
 
 
+@dataclass(frozen=True)
+class Draws:
+    """Values that ``draw`` gives, so many for each row, and laws in whose bins they are counted."""
+
+    draw: Callable[[int], np.ndarray]
+    times: int
+    laws: tuple[Law, ...]
+
+
+def counts_of_draws(df: DataFrame, columns: Sequence[str], kinds: Sequence[Draws]) -> list[list[list[int]]]:
+    """How many of the values drawn for the rows are in each bin of each law, for each kind, from one pass over the rows.
+
+    Rows are counted by the hash of some columns, and tasks get pieces of these
+    counts: drawing costs far more than reading, and no row is moved for it.  Values
+    are put in their bins by the task that draws them.
+    """
+    edges = [np.array(sorted({e for law in k.laws for e in law.edges})) for k in kinds]
+
+    def drawn(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = [np.zeros(len(e) + 1, np.int64) for e in edges]
+        for piece in pieces:
+            rows = sum(piece.column("rows").to_pylist())
+            for kind, inner, found in zip(kinds, edges, cells):
+                for first in range(0, rows * kind.times, BLOCK):
+                    x = kind.draw(min(BLOCK, rows * kind.times - first))
+                    found += np.bincount(np.searchsorted(inner, x, side="right"), minlength=len(found))
+        for i, found in enumerate(cells):
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([i] * len(found), pa.int32()), "cell": pa.array(range(len(found)), pa.int32()), "n": pa.array(found, pa.int64())})
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.groupBy(F.pmod(F.xxhash64(*map(named, columns)), F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    pieces = counted.select("part", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))).alias("first"))
+    dealt = spread(pieces.select("part", "first", F.least(F.lit(PIECE), F.col("n") - F.col("first")).alias("rows")), "part", "first")
+    out = [[[0] * len(law.masses) for law in k.laws] for k in kinds]
+    for i, cell, n in dealt.mapInArrow(drawn, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n")).collect():
+        for of, law in zip(out[i], kinds[i].laws):
+            of[sum(e in law.edges for e in edges[i][:cell])] += n
+    return out
+
+
 def counts(df: DataFrame, column: Column, law: Law) -> list[int]:
     """How many values are in each bin."""
     return counts_of(df, column, [law])[0]

@@ -479,3 +479,41 @@ def test_columns_are_aligned_once(spark, monkeypatch):
     both = [OnColumn("x", m(AbsoluteDifference())) for m in (SumOf, RootSumOfSquared)]
     total, root = metrics.OnColumns(both).distance(one, two, domain)
     assert len(seen) == 1 and total == 15 + 2 * big and root * root == 1 + 4 + 4 * big * big + 144
+
+
+def test_laws_are_counted_where_values_are_drawn(spark, monkeypatch):
+    """One pass over the rows for all kinds, in pieces that no hot key gathers in one task; every row has its draws."""
+    monkeypatch.setattr(laws, "PIECE", 100)
+    law = laws.Law((0.5, 1.5, 2.5), (0.25,) * 4)
+    kinds = [laws.Draws(lambda n: np.arange(n) % 4, 8, (law, laws.Law((1.5,), (0.5, 0.5)))), laws.Draws(lambda n: np.full(n, 2.5), 1, (law,))]
+    hot = spark.range(20_000).select(F.lit(7).alias("k"))
+    dealt, whole = [], laws.spread
+    monkeypatch.setattr(laws, "spread", lambda df, *columns: dealt.append(whole(df, *columns)) or dealt[-1])
+    assert laws.counts_of_draws(hot, ["k"], kinds) == [[[40_000] * 4, [80_000, 80_000]], [[0, 0, 0, 20_000]]]
+    tasks = dealt[0].groupBy(F.spark_partition_id()).agg(F.sum("rows").alias("rows")).collect()
+    assert len(tasks) > 8 and sum(r["rows"] for r in tasks) == 20_000 and max(r["rows"] for r in tasks) <= 4_000
+
+
+def test_exponentials_of_pairs_are_as_exact_as_claimed(monkeypatch):
+    """Few steps, of which the error is below the claimed one."""
+    from decimal import Decimal, localcontext
+
+    from quietframe.functions import pairs
+
+    def number(p, i):
+        x = sum(Fraction(*part[i].as_integer_ratio()) for part in p)
+        return Decimal(x.numerator) / Decimal(x.denominator)
+
+    high = np.concatenate([np.linspace(-40, 40, 400), np.linspace(-0.01, 0.01, 101), np.array([-9000.0, 700.3, 9000.0])]).astype(np.longdouble) / 3
+    x = high, high * np.longdouble(2) ** -66
+    steps, whole = [], pairs.multiply
+    monkeypatch.setattr(pairs, "multiply", lambda *a: steps.append(1) or whole(*a))
+    found = pairs.exp(x)
+    assert len(steps) <= 4  # 21 before
+    back = pairs.log(found)
+    with localcontext() as c:
+        c.prec = 60
+        for i in range(len(high)):
+            want, error = number(x, i), Decimal(Fraction(*pairs.ERROR.as_integer_ratio()).numerator) / Fraction(*pairs.ERROR.as_integer_ratio()).denominator
+            assert abs(number(found, i) / want.exp() - 1) < error
+            assert abs(number(back, i) - want) < error * max(1, abs(want))
