@@ -21,9 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame, *columns: str, at_least: int = 0) -> DataFrame:
     """The rows dealt out by some columns to several tasks a core, for work that costs far more than moving them; a file is often read by one task."""
-    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(at_least, 4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(tasks, *columns)
 
 

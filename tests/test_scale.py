@@ -517,3 +517,19 @@ def test_exponentials_of_pairs_are_as_exact_as_claimed(monkeypatch):
             want, error = number(x, i), Decimal(Fraction(*pairs.ERROR.as_integer_ratio()).numerator) / Fraction(*pairs.ERROR.as_integer_ratio()).denominator
             assert abs(number(found, i) / want.exp() - 1) < error
             assert abs(number(back, i) - want) < error * max(1, abs(want))
+
+
+def test_pairs_of_rows_without_a_key_are_kept_in_few_bytes(spark, monkeypatch, tmp_path):
+    """They come in runs and short cycles, and a task has few enough of either side for dictionaries of its file."""
+    left = spark.range(6000).select(F.lit(None).cast("long").alias("k"), F.xxhash64("id").alias("a"))
+    right = spark.range(3000).select(F.lit(None).cast("long").alias("k"), F.xxhash64(-F.col("id")).alias("b"))
+    joins.join(left, right, ["k"], "inner", True).write.parquet(str(tmp_path / "joined"))
+    files = [f for f in (tmp_path / "joined").iterdir() if f.suffix == ".parquet"]
+    found = spark.read.parquet(str(tmp_path / "joined"))
+    assert found.agg(F.count("*"), F.count_distinct("a"), F.count_distinct("b"), F.count("k")).first() == (18_000_000, 6000, 3000, 0)
+    assert sum(f.stat().st_size for f in files) < 0.4 * 18_000_000
+    monkeypatch.setattr(joins, "CELL", 40)
+    monkeypatch.setattr(joins, "CELLS_A_TASK", 3, raising=False)
+    small = joins.join(left.limit(400), right.limit(160), ["k"], "inner", True)
+    tasks = small.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).collect()
+    assert sum(t["n"] for t in tasks) == 400 * 160 and len(tasks) > 40 and max(t["n"] for t in tasks) < 400 * 160 / 16
