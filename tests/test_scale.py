@@ -533,3 +533,24 @@ def test_pairs_of_rows_without_a_key_are_kept_in_few_bytes(spark, monkeypatch, t
     small = joins.join(left.limit(400), right.limit(160), ["k"], "inner", True)
     tasks = small.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).collect()
     assert sum(t["n"] for t in tasks) == 400 * 160 and len(tasks) > 40 and max(t["n"] for t in tasks) < 400 * 160 / 16
+
+
+@pytest.mark.parametrize(("spread", "scale"), [(0.0, 3.0), (5.0, 3.0), (1e6, 1e-3)])
+def test_draws_are_settled_in_pairs_of_floats(spread, scale):
+    """Nearly all, and to the floats that exact arithmetic gives from the same bits, at the ends of the range as well."""
+    n = 3000
+    center, bits, more = np.random.default_rng(5).normal(0, 1, n) * spread, batches.random_bits(n), batches.random_bits(n)
+    for first, step in ((0, 40), (2**62 - 20, 0), (2**62 - (20 << 30), 30), (2**63 - 1 - (39 << 35), 35)):
+        bits[(step + 1) * 40 : (step + 1) * 40 + 40] = [first + (i << step) for i in range(40)]
+    more[::7], more[::11] = 0, 2**63 - 1
+    out, left = batches._laplace_in_floats(center, scale, bits, more)
+    assert len(left) < 0.1 * n
+    for i in sorted({*range(0, 1700), *range(1700, n, 20)} - set(left.tolist())):
+        u = batches.Open(int(bits[i]) << 63 | int(more[i]), 126)
+        assert out[i] == batches._refined(u, lambda p, c=float(center[i]): samplers.laplace_inverse_cdf(c, scale, p))
+    sigma, sign = Fraction(10**7, 7), np.where(np.arange(n) % 2, 1.0, -1.0)
+    whole = np.arange(n) % 9
+    out, left = batches._gaussian_in_floats(center, sigma, whole, bits, sign)
+    assert len(left) < 0.1 * n
+    for i in set(range(n)) - set(left.tolist()):
+        assert {float(Fraction(center[i]) + int(sign[i]) * sigma * (int(whole[i]) + f)) for f in batches.Open(int(bits[i])).ends()} == {out[i]}
